@@ -48,7 +48,7 @@ def weighted_demand(sales: DataFrame, days: int = 90, method: str = "weighted",
     if method != "weighted":
         return velocity_simple(sales, days, as_of)
     return _decayed(sales, days, days / 3, as_of).select(
-        *PAIR, stable(ratio(F.col("wq"), F.col("w"), 0) / days, 9).alias("DAILY_SALES")
+        *PAIR, stable(ratio(F.col("wq"), F.col("w"), 0) / days, 12).alias("DAILY_SALES")
     )
 
 
@@ -61,7 +61,7 @@ def weighted_daily_sales(sales: DataFrame, days: int = 90, as_of=None) -> DataFr
     """
     v = ratio(F.col("wq"), F.col("w"), 0) / days * F.col("n")
     return _decayed(sales, days, days * 0.3, as_of).select(
-        *PAIR, stable(F.greatest(F.lit(0.0), v), 9).alias("DAILY_SALES")
+        *PAIR, stable(F.greatest(F.lit(0.0), v), 12).alias("DAILY_SALES")
     )
 
 
@@ -90,7 +90,7 @@ def velocity_trended(sales: DataFrame, days: int = 90, as_of=None) -> DataFrame:
     return (
         weighted_daily_sales(sales, days, as_of)
         .join(simple_trend(sales, days, as_of), PAIR)
-        .select(*PAIR, stable(F.col("DAILY_SALES") * clipped, 9).alias("DAILY_SALES"), "TREND_FACTOR")
+        .select(*PAIR, stable(F.col("DAILY_SALES") * clipped, 12).alias("DAILY_SALES"), "TREND_FACTOR")
     )
 
 
@@ -117,7 +117,7 @@ def variability_safety(sales: DataFrame, days: int = 90, z: float = 1.645, cover
     out = (
         _daily(sales, days, as_of)
         .groupBy(*PAIR)
-        .agg((F.sum("QUANTITY") / F.lit(float(days))).alias("DAILY_SALES"), stable(spread, 9).alias("CV"))
+        .agg((F.sum("QUANTITY") / F.lit(float(days))).alias("DAILY_SALES"), stable(spread, 12).alias("CV"))
     )
     safety = stable_ceil(F.lit(z) * F.col("DAILY_SALES") * F.col("CV") * F.sqrt(F.lit(float(cover))))
     return out.withColumn("SAFETY_STOCK", safety).withColumn(

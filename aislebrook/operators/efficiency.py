@@ -113,7 +113,7 @@ def _scored(df: DataFrame) -> DataFrame:
         + ratio(F.col("REVENUE_CONTRIBUTION"), F.col("top.q"), 0) * 15
         + cover
     )
-    score = F.round(stable(score, 9), 1)
+    score = F.round(stable(score, 12), 1)
     if "WAREHOUSE_STOCK" in df.columns:
         score = F.round(score * F.when(F.col("WAREHOUSE_STOCK") > 0, 1.0).otherwise(0.7), 9)
     return (
@@ -149,7 +149,7 @@ def store_recommendations(
         F.round(stable(mean_good("STYLE_EFFICIENCY_SCORE")), 1).alias("AVG_EFFICIENCY_SCORE"),
         F.round(stable(mean_good("SALES_VELOCITY")), 2).alias("AVG_SALES_VELOCITY"),
         F.round(stable(mean_good("STOCK_TURNOVER")), 2).alias("AVG_STOCK_TURNOVER"),
-        stable(F.avg("STYLE_EFFICIENCY_SCORE"), 9).alias("all_avg"),
+        stable(F.avg("STYLE_EFFICIENCY_SCORE"), 12).alias("all_avg"),
     )
     cuts = quantiles(metrics, {"q50": ("TOTAL_SALES", 0.5), "q75": ("TOTAL_SALES", 0.75)}, ["STORE"])
     per = per.join(cuts, "STORE", "left")
@@ -334,7 +334,7 @@ def score_histogram(stores: DataFrame, column: str = "AVG_EFFICIENCY_SCORE", bin
     ends = scalars(stores.agg(F.min(column).alias("lo"), F.max(column).alias("hi")))
     x = stores.select(F.col(column).cast("double").alias("x")).withColumn("ends", ends)
     lo, width = F.col("ends.lo"), (F.col("ends.hi") - F.col("ends.lo")) / bins
-    place = F.when(width > 0, F.least(F.floor(stable((F.col("x") - lo) / width, 9)), F.lit(bins - 1))).otherwise(0)
+    place = F.when(width > 0, F.least(F.floor(stable((F.col("x") - lo) / width, 12)), F.lit(bins - 1))).otherwise(0)
     counts = x.where(F.col("x").isNotNull()).groupBy(place.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     frame = stores.sparkSession.range(bins).select(F.col("id").alias("bin")).withColumn("ends", ends)
     return frame.join(counts, "bin", "left").select(

@@ -67,7 +67,7 @@ def minmax_efficiency(sales: DataFrame, stock: DataFrame, days: int = 90, as_of=
         + F.col("FREQUENCY_SCORE") * 0.25
         + F.col("STOCK_EFFICIENCY_SCORE") * 0.20
     )
-    return df.withColumn("EFFICIENCY_SCORE", stable(score, 9))
+    return df.withColumn("EFFICIENCY_SCORE", stable(score, 12))
 
 
 def minmax_store_plan(styles: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def minmax_store_plan(styles: DataFrame) -> DataFrame:
     s = F.col("EFFICIENCY_SCORE")
     per = styles.groupBy("STORE", "STORE_NAME").agg(
         F.count("STYLE").alias("CURRENT_STYLES"),
-        stable(F.avg(s), 9).alias("EFFICIENCY_SCORE"),
+        stable(F.avg(s), 12).alias("EFFICIENCY_SCORE"),
         F.sum("TOTAL_QTY").alias("TOTAL_SALES_QTY"),
         F.sum(F.col("TOTAL_REVENUE").cast("decimal(24,4)")).cast("double").alias("TOTAL_REVENUE"),
         F.count_if(s >= 70).alias("HIGH_PERFORMERS"),
@@ -86,7 +86,7 @@ def minmax_store_plan(styles: DataFrame) -> DataFrame:
     avg = F.col("EFFICIENCY_SCORE")
 
     def part(c, share):
-        return F.floor(stable(c * share, 9))
+        return F.floor(stable(c * share, 12))
 
     wish = (
         F.when(avg >= 70, F.greatest(high + part(medium, 0.5), now))
@@ -176,7 +176,7 @@ def rank_efficiency(
         .when(s >= 20, "Weak Performer")
         .otherwise("Poor Performer")
     )
-    return df.withColumn("EFFICIENCY_SCORE", stable(score, 9)).withColumn("PERFORMANCE_TIER", tier)
+    return df.withColumn("EFFICIENCY_SCORE", stable(score, 12)).withColumn("PERFORMANCE_TIER", tier)
 
 
 TIERS = ["Star Performer", "Strong Performer", "Average Performer", "Weak Performer", "Poor Performer"]
@@ -195,13 +195,13 @@ def optimal_style_count(styles: DataFrame) -> DataFrame:
         F.min("STORE_NAME").alias("STORE_NAME"),
         F.count(F.lit(1)).alias("CURRENT_STYLES"),
         F.sum(F.col("TOTAL_REVENUE").cast("decimal(24,4)")).cast("double").alias("TOTAL_REVENUE"),
-        stable(F.avg("EFFICIENCY_SCORE"), 9).alias("EFFICIENCY_SCORE"),
+        stable(F.avg("EFFICIENCY_SCORE"), 12).alias("EFFICIENCY_SCORE"),
         *[F.count_if(tier == t).alias(t.split()[0].upper() + "_PERFORMERS") for t in TIERS],
     )
     avg = F.col("EFFICIENCY_SCORE")
     share = F.when(avg >= 50, 0.7).when(avg >= 30, 0.5).otherwise(0.3)
     kept = F.col("STAR_PERFORMERS") + F.col("STRONG_PERFORMERS") + F.floor(
-        stable(F.col("AVERAGE_PERFORMERS") * share, 9)
+        stable(F.col("AVERAGE_PERFORMERS") * share, 12)
     )
     optimal = F.greatest(F.lit(LEAST_STYLES).cast("long"), F.least(F.lit(MOST_STYLES).cast("long"), kept))
     per = materialize(

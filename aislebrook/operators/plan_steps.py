@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import ratio, stable, stable_ceil, stable_floor
+from ..functions.stats import ratio, stable_ceil, stable_floor
 from ..model import ReplenishParams
 from . import demand
 
@@ -120,21 +120,3 @@ def equal_split(amount: Column, *order: Column) -> Column:
 def whole_number(c: Column) -> Column:
     return F.format_string("%.0f", c.cast("double"))
 
-
-__all__ = [
-    "NO_STOCK",
-    "velocity",
-    "stock_by_pair",
-    "pairs",
-    "one_per_key",
-    "store_names",
-    "warehouse_by_sku",
-    "with_stock_cover",
-    "with_base_forecast",
-    "with_need",
-    "per_sku",
-    "share_of",
-    "equal_split",
-    "whole_number",
-    "stable",
-]

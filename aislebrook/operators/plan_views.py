@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantiles, ratio, scalars, stable
+from ..functions.stats import quantiles, scalars, stable
 
 # Column order of the plan file.
 PLAN_COLUMNS = [
@@ -114,8 +114,3 @@ def records(plan: DataFrame) -> DataFrame:
         number("WAREHOUSE_STOCK").alias("warehouse_stock"),
     )
 
-
-__all__ = [
-    "PLAN_COLUMNS", "overview", "recommendations", "display", "new_items", "shortage_summary",
-    "quantity_by_store", "cover_summary", "factor_summary", "records", "ratio",
-]

@@ -48,7 +48,7 @@ def store_priority(sales: DataFrame, stock: DataFrame, days: int = 90, as_of=Non
     lo, hi = F.col("ends.lo"), F.col("ends.hi")
     spread = F.when(hi > lo, F.try_divide(F.col("RAW_SCORE") - lo, hi - lo)).otherwise(1.0)
     return (
-        scored.withColumn("ends", ends).withColumn("PRIORITY_SCORE", stable(spread, 9)).drop("ends", "RAW_SCORE")
+        scored.withColumn("ends", ends).withColumn("PRIORITY_SCORE", stable(spread, 12)).drop("ends", "RAW_SCORE")
     )
 
 

@@ -206,7 +206,7 @@ def with_importance(df: DataFrame) -> DataFrame:
 def store_scores(df: DataFrame) -> DataFrame:
     """ENHANCED_STORE_SCORE per store: 0.4 priority + 0.4 turn + 0.2 sales share."""
     per = df.groupBy("STORE").agg(
-        stable(F.sum("DAILY_SALES"), 9).alias("sales"),
+        stable(F.sum("DAILY_SALES"), 12).alias("sales"),
         F.sum("STOCK").alias("stock"),
         F.max("PRIORITY_SCORE").alias("priority"),
     )

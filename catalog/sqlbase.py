@@ -61,8 +61,15 @@ style_sales AS (
     BILL_QUANTITY AS QUANTITY, NET_AMOUNT FROM bills)"""
 
 
-def q(ctes: str, body: str) -> str:
-    """A full statement: WITH <ctes>, <body>; body may start with more CTEs."""
+def q(ctes: str, body: str, f: str = "", i: str = "", s: str = "") -> str:
+    """A full statement. body is a SELECT, or more CTEs ending in one. f: columns to
+    round to 6 places, i: to BIGINT, s: to VARCHAR (comma-separated)."""
     body = body.strip()
     sep = "" if body[:6].upper() == "SELECT" else ","
-    return f"WITH {ctes}{sep}\n{body}"
+    inner = f"WITH {ctes}{sep}\n{body}"
+    changes = [f'round(CAST("{c}" AS DOUBLE), 6) + 0.0 AS "{c}"' for c in f.split()]
+    changes += [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in i.split()]
+    changes += [f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in s.split()]
+    if not changes:
+        return inner
+    return f"SELECT * REPLACE ({', '.join(changes)}) FROM (\n{inner}\n) result"
