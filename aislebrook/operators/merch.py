@@ -30,7 +30,7 @@ def style_kpis(df: DataFrame, group_cols: tuple[str, ...] = ("STYLE",), within:
         F.sum("BILL_QUANTITY").alias("units_sold"),
         money("NET_AMOUNT").alias("revenue"),
         money(gross).alias("gross_amount"),
-        stable(F.avg(F.when(F.col("RSP") > 0, F.col("RSP"))), 9).alias("avg_rsp"),
+        stable(F.avg(F.when(F.col("RSP") > 0, F.col("RSP"))), 12).alias("avg_rsp"),
         money("ITEM_DISCOUNT_AMOUNT").alias("avg_item_discount"),
         promo.alias("promo_amount"),
         voids.alias("void_count"),

@@ -59,7 +59,7 @@ def weekly_forecast(
     mean = F.col("s") / n
     return (
         per.withColumn("mean_weekly", stable(mean, 12))
-        .withColumn("std_weekly", stable(F.sqrt(F.greatest(F.col("ss") / n - mean * mean, F.lit(0.0))), 9))
+        .withColumn("std_weekly", stable(F.sqrt(F.greatest(F.col("ss") / n - mean * mean, F.lit(0.0))), 12))
         .withColumn("cv_weekly", ratio(F.col("std_weekly"), F.col("mean_weekly")))
         .withColumn("ewma_weekly", stable(F.col("decayed") + F.col("first") * F.pow(keep, n), 12))
         .withColumn("sma4_weekly", F.col("s4") / F.least(n, F.lit(4.0)))

@@ -2,3 +2,4 @@
 
 from . import demand  # noqa: F401
 from . import replenish  # noqa: F401
+from . import efficiency  # noqa: F401

@@ -707,9 +707,28 @@ def _(t):
     return replenish_final.removal_counts(final_needs(t), FINAL)
 
 
+GRID_SQL = PAIRS.replace("pairs AS (", "sparse AS (", 1).replace(
+    "covered AS (",
+    """grid AS (
+  SELECT STORE, SKU FROM (SELECT DISTINCT STORE FROM stock) s
+  CROSS JOIN (SELECT SKU FROM vel UNION SELECT SKU FROM stock WHERE STOCK > 0 UNION SELECT SKU FROM warehouse) k),
+pairs AS (
+  SELECT g.STORE, g.SKU, coalesce(v, 0) AS v, coalesce(st, 0) AS st
+  FROM grid g LEFT JOIN sparse p ON g.STORE = p.STORE AND g.SKU = p.SKU),
+covered AS (""",
+)
+UNIVERSE_SQL = FULL_SQL.replace(PAIRS, GRID_SQL).replace("730", "90").replace("219.0", "27.0")
+
+
 @query(
     "r22_final_plan_universe",
-    None,
+    q(
+        ALL,
+        f"""{UNIVERSE_SQL}
+SELECT {FINAL_COLS} FROM c2
+WHERE GENDER <> 'FREEBIES' AND NOT (GENDER = 'UNISEX' AND STYLE <> 'BRAND#3')""",
+        f=FINAL_NUMBERS,
+    ),
 )
 def _(t):
     p = ReplenishParams(mode="universe", method="weighted", exception_styles=("BRAND#3",))
