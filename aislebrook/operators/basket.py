@@ -170,8 +170,8 @@ def basket_sizes(df: DataFrame, bill: str = "BILL_NO") -> DataFrame:
     )
     stats = hist.agg(
         (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.percentile("size", 0.5, "n").alias("median"),
-        F.min_by("size", F.struct(-F.col("n"), "size")).cast("double").alias("mode"),
+        F.percentile("size", 0.5, F.col("n")).alias("median"),
+        F.min_by("size", F.struct((-F.col("n")).alias("k"), F.col("size").alias("s"))).cast("double").alias("mode"),
         F.max("size").cast("double").alias("largest"),
         (F.coalesce(F.sum(F.when(F.col("size") == 1, F.col("n"))), F.lit(0)) / F.sum("n") * 100).alias("single"),
     )

@@ -75,9 +75,10 @@ def _text_of(edition: str):
     return clean_text if edition == "base" else fast_clean_text
 
 
-def clean_sales(df: DataFrame, edition: str = "final") -> DataFrame:
+def clean_sales(df: DataFrame, edition: str = "final", keep: dict[str, list[str]] | None = None) -> DataFrame:
     """SKU, DATE, QUANTITY, STORE, STORE_NAME of paid lines with a date and a quantity.
-    Lines without a positive rate (or, lacking one, amount) are giveaways."""
+    Lines without a positive rate (or, lacking one, amount) are giveaways. `keep` carries
+    further columns along as text: {name: header parts}."""
     text = _text_of(edition)
     found = _need(df, "sales", sku=SKU_NAMES, date=DATE_NAMES, quantity=QUANTITY_NAMES)
     paid_by = detect_column(df.columns, RATE_NAMES) or detect_column(df.columns, AMOUNT_NAMES)
@@ -87,6 +88,9 @@ def clean_sales(df: DataFrame, edition: str = "final") -> DataFrame:
         "QUANTITY": safe_numeric(_c(found["quantity"])),
         **_store_columns(df, "sales", text, edition),
     }
+    for name, parts in (keep or {}).items():
+        source = detect_column(df.columns, parts)
+        cols[name] = strip(_c(source).cast("string")) if source else F.lit(None).cast("string")
     paid = safe_numeric(_c(paid_by)) > 0 if paid_by else F.lit(True)
     return (
         df.where(paid)

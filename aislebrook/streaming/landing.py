@@ -10,10 +10,14 @@ from ..sources.readers import union_files
 from ..sources.sales_store import SalesStore
 
 
+# Further columns of the store, and the header parts that identify them.
+STORE_COLUMNS = {"AMOUNT": ["net_amount", "net amount", "amount"], "BILL_NO": ["bill_no", "bill no", "bill number"]}
+
+
 def ingest_batch(store: SalesStore, raw: DataFrame, batch: int, source: str = "landing") -> None:
     """Clean one batch of raw sales and store it under its batch number. The number
     names the partitions, so a batch that is delivered again replaces itself."""
-    store.append(clean_sales(raw), f"{source}-{batch}", batch)
+    store.append(clean_sales(raw, keep=STORE_COLUMNS), f"{source}-{batch}", batch)
 
 
 def landing_ingest(
@@ -37,4 +41,4 @@ def landing_ingest(
 
 def ingest_attachments(store: SalesStore, files: list[DataFrame], source: str, batch: int) -> None:
     """Store the sales of several attachments as one batch."""
-    store.append(clean_sales(union_files(files)), source, batch)
+    store.append(clean_sales(union_files(files), keep=STORE_COLUMNS), source, batch)

@@ -1,5 +1,3 @@
 """Importing this module registers every query."""
 
-from . import demand  # noqa: F401
-from . import replenish  # noqa: F401
-from . import efficiency  # noqa: F401
+from . import basket, dashboard, demand, efficiency, forms, merch, replenish  # noqa: F401

@@ -192,5 +192,3 @@ FROM p2""",
 def _(t):
     return priority.store_priority_rank(t.sales, t.stock, 90)
 
-
-__all__ = ["RECENT", "D01", "D05", "PRIORITY"]

@@ -10,7 +10,7 @@ from aislebrook.operators import demand, plan_steps, plan_views, replenish_base,
 from aislebrook.operators.priority import store_priority
 from aislebrook.plans import replenishment as plans
 
-from .demand import D01, PRIORITY, RECENT
+from .demand import D01, PRIORITY
 from .registry import query, shared
 from .sqlbase import ALL, SALES, q
 
@@ -752,5 +752,3 @@ FROM need0""",
 def _(t):
     return plan_views.factor_summary(final_needs(t))
 
-
-__all__ = ["RECENT", "BASE_SQL", "base_plan"]
