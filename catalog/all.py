@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import basket, dashboard, demand, efficiency, forms, merch, replenish  # noqa: F401
+from . import basket, dashboard, demand, efficiency, forms, ingest, merch, replenish  # noqa: F401

@@ -450,7 +450,7 @@ def _(t):
 
 
 SHARES = """s AS (SELECT STORE, SKU, sum(QUANTITY) AS u FROM sales GROUP BY 1, 2),
-x AS (
+sx AS (
   SELECT s.*, WAREHOUSE_STOCK AS W, round(u / sum(u) OVER (PARTITION BY s.SKU) * WAREHOUSE_STOCK, 6) AS share,
     count(*) OVER (PARTITION BY s.SKU) AS n, row_number() OVER (PARTITION BY s.SKU ORDER BY u DESC, STORE) AS place
   FROM s JOIN warehouse w ON s.SKU = w.SKU)"""
@@ -467,10 +467,10 @@ def shares(t):
     q(
         ALL,
         f"""{SHARES},
-y AS (
+sy AS (
   SELECT *, row_number() OVER (PARTITION BY SKU ORDER BY round(share - floor(share), 6) DESC, STORE) AS rn,
-    W - sum(floor(share)) OVER (PARTITION BY SKU) AS rest FROM x)
-SELECT STORE, SKU, floor(share) + CASE WHEN rn <= rest THEN 1 ELSE 0 END AS units FROM y""",
+    W - sum(floor(share)) OVER (PARTITION BY SKU) AS rest FROM sx)
+SELECT STORE, SKU, floor(share) + CASE WHEN rn <= rest THEN 1 ELSE 0 END AS units FROM sy""",
         f="units",
     ),
 )
@@ -505,7 +505,7 @@ def _(t):
     "w12_equal_split",
     q(
         ALL,
-        f"{SHARES} SELECT STORE, SKU, floor(W / n) + CASE WHEN place <= W - floor(W / n) * n THEN 1 ELSE 0 END AS units FROM x",
+        f"{SHARES} SELECT STORE, SKU, floor(W / n) + CASE WHEN place <= W - floor(W / n) * n THEN 1 ELSE 0 END AS units FROM sx",
         f="units",
     ),
 )
