@@ -13,8 +13,8 @@ from ..sources.scratch import materialize
 
 
 def basket_items(df: DataFrame, item: str = "STYLE", bill: str = "BILL_NO") -> DataFrame:
-    """Distinct (bill, item), as text. Shuffled by both columns, so a huge bill or a
-    very common item is spread."""
+    """The basket matrix in sparse form: distinct (bill, item), items as text. Shuffled
+    by both columns, so a huge bill or a very common item is spread."""
     return (
         df.where(F.col(bill).isNotNull() & F.col(item).isNotNull())
         .select(F.col(bill).alias("bill"), F.col(item).cast("string").alias("item"))
@@ -130,28 +130,36 @@ def common_pairs(
     """Bills that hold both items, for every unordered item pair seen in at least
     min_count bills.
 
-    With min_count > 1 items seen in fewer bills are dropped first.  A bill is cut
-    into blocks of about block_items items and blocks are joined pairwise on
-    (bill, block, block), so the pairs of one huge bill come from many small joins.
+    Bills with the same items are counted as one basket with a weight, so the pairs
+    of a common basket are formed once.  With min_count > 1 items seen in fewer bills
+    are dropped before.  A basket of more than block_items items is cut into blocks,
+    and blocks meet on (bill, block, block), so the pairs of one huge bill come from
+    many small joins.
     """
     items = materialize(basket_items(df, item, bill), "basket_items")
     if min_count > 1:
         common = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
         items = items.join(common.select("item"), "item", "left_semi")
-    sizes = items.groupBy("bill").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
-    blocks = F.ceil(F.col("n") / block_items).cast("int")
-    placed = (
-        items.join(sizes, "bill")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    # A 128-bit fingerprint of the item set, from aggregates that need no array.
+    marks = items.groupBy("bill").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("item")).alias("h1"),
+        F.bit_xor(F.xxhash64("item", F.lit(1))).alias("h2"),
     )
+    kinds = (
+        marks.where(F.col("n") >= 2)
+        .groupBy("n", "h1", "h2")
+        .agg(F.min("bill").alias("bill"), F.count(F.lit(1)).alias("weight"))
+        .select("bill", "weight", F.ceil(F.col("n") / block_items).cast("int").alias("blocks"))
+    )
+    placed = items.join(kinds, "bill").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.select("bill", F.col("item").alias("item1"), F.col("block").alias("b1"), every.alias("b2"))
+    left = placed.select("bill", "weight", F.col("item").alias("item1"), F.col("block").alias("b1"), every.alias("b2"))
     right = placed.select("bill", F.col("item").alias("item2"), F.col("block").alias("b2"), every.alias("b1"))
     pairs = left.join(right, ["bill", "b1", "b2"]).where(F.col("item1") < F.col("item2"))
     return (
         pairs.groupBy("item1", "item2")
-        .agg(F.count(F.lit(1)).alias("frequency"))
+        .agg(F.sum("weight").alias("frequency"))
         .where(F.col("frequency") >= min_count)
         .orderBy(F.desc("frequency"), "item1", "item2")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_date, as_number, clean_text, fast_clean_text, na_to_null, safe_numeric, strip
+from .plan_steps import one_per_key
 from .windows import month
 
 # Header parts that identify a column, in order of preference.
@@ -284,9 +285,9 @@ def enrich_sales(
 ) -> DataFrame:
     """Sales with the SKU master (on SKU, or ICODE = SKU) and the style master (on STYLE).
 
-    The masters hold one row per key, so the joins cannot multiply lines; their
-    physical form is left to the optimizer, which broadcasts them only when their
-    measured size allows it and otherwise splits skewed keys.
+    The masters are brought to one row per key, so the joins cannot multiply lines;
+    their physical form is left to the optimizer, which broadcasts them only when
+    their measured size allows it and otherwise splits skewed keys.
     """
     types = dict(sales.dtypes)
     numbers = {c: safe_numeric(F.col(c)) for c in AMOUNTS if c in sales.columns and types[c] == "string"}
@@ -296,9 +297,9 @@ def enrich_sales(
     df = sales.withColumns({**numbers, **filled}) if numbers or filled else sales
     left = "SKU" if "SKU" in df.columns else "ICODE" if "ICODE" in df.columns else None
     if left and "SKU" in sku_master.columns:
-        df = _joined(df, sku_master.dropDuplicates(["SKU"]), left, "SKU", "left", suffixes[0])
+        df = _joined(df, one_per_key(sku_master, "SKU"), left, "SKU", "left", suffixes[0])
     if "STYLE" in df.columns and "STYLE" in style_master.columns:
-        df = _joined(df, style_master.dropDuplicates(["STYLE"]), "STYLE", "STYLE", style_join, suffixes[1])
+        df = _joined(df, one_per_key(style_master, "STYLE"), "STYLE", "STYLE", style_join, suffixes[1])
     return df
 
 

@@ -43,6 +43,8 @@ def pairs(vel: DataFrame, stock: DataFrame) -> DataFrame:
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
     """Deterministic first row per key (smallest remaining columns)."""
     rest = [c for c in df.columns if c != key]
+    if not rest:
+        return df.where(F.col(key).isNotNull()).distinct()
     return (
         df.where(F.col(key).isNotNull())
         .groupBy(key)

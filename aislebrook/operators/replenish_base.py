@@ -9,14 +9,17 @@ from ..model import ReplenishParams
 from . import plan_steps as ps
 
 
-def full_stock_sets(warehouse: DataFrame, sku_master: DataFrame, moq: int = 2) -> DataFrame:
+def _sku_stock(warehouse: DataFrame, sku_master: DataFrame) -> DataFrame:
+    """SKUs of the master and of the warehouse with attributes and warehouse stock."""
+    master = ps.one_per_key(sku_master.select("SKU", "STYLE", "COLOR", "SIZE"), "SKU")
+    return master.join(ps.warehouse_by_sku(warehouse), "SKU", "full")
+
+
+def full_stock_sets(sku_stock: DataFrame, moq: int = 2) -> DataFrame:
     """(STYLE, COLOR) -> whether every stocked size holds at least the MOQ."""
+    known = F.col("STYLE").isNotNull() & F.col("COLOR").isNotNull() & F.col("WAREHOUSE_STOCK").isNotNull()
     return (
-        ps.warehouse_by_sku(warehouse)
-        .join(ps.one_per_key(sku_master.select("SKU", "STYLE", "COLOR"), "SKU"), "SKU")
-        .where(F.col("STYLE").isNotNull() & F.col("COLOR").isNotNull())
-        .groupBy("STYLE", "COLOR")
-        .agg(F.bool_and(F.col("WAREHOUSE_STOCK") >= moq).alias("ALL_SIZES"))
+        sku_stock.where(known).groupBy("STYLE", "COLOR").agg(F.bool_and(F.col("WAREHOUSE_STOCK") >= moq).alias("ALL_SIZES"))
     )
 
 
@@ -24,10 +27,8 @@ def sku_facts(warehouse: DataFrame, sku_master: DataFrame, style_master: DataFra
     """One row per SKU with everything the allocation reads: attributes, gender,
     warehouse stock and the size-set flag. Built on the SKU dimension so that the
     pairs are shuffled by SKU only once."""
-    master = ps.one_per_key(sku_master.select("SKU", "STYLE", "COLOR", "SIZE"), "SKU")
-    facts = master.join(ps.warehouse_by_sku(warehouse), "SKU", "full").join(
-        full_stock_sets(warehouse, sku_master, moq), ["STYLE", "COLOR"], "left"
-    )
+    stocked = _sku_stock(warehouse, sku_master)
+    facts = stocked.join(full_stock_sets(stocked, moq), ["STYLE", "COLOR"], "left")
     if style_master is None:
         return facts.withColumn("GENDER", F.lit("UNISEX"))
     genders = ps.one_per_key(style_master.select("STYLE", "GENDER"), "STYLE")
@@ -84,7 +85,7 @@ def allocate(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> DataFrame
     )
 
 
-def with_complete_size_set(plan: DataFrame, sku_master: DataFrame) -> DataFrame:
+def with_complete_size_set(plan: DataFrame) -> DataFrame:
     """COMPLETE_SIZE_SET: every planned row of the style gets something.
 
     Aggregated and joined back: a style may own a large share of all rows, which

@@ -50,14 +50,13 @@ def sku_universe(vel: DataFrame, stock: DataFrame, warehouse: DataFrame) -> Data
     )
 
 
-def store_sku_grid(stock: DataFrame, skus: DataFrame, chunk: int = 1024) -> DataFrame:
+def store_sku_grid(stock: DataFrame, skus: DataFrame, chunk: int = 1024, salts: int = 64) -> DataFrame:
     """Every stock store with every SKU.
 
     Stores are packed into arrays of about `chunk`, and each SKU row meets the
     arrays through an equality join on (chunk, salt), so the grid needs no cross
     join and no list of all stores, and its rows spread over all tasks.
     """
-    salts = 64
     stores = stock.where(F.col("STORE").isNotNull()).select("STORE").distinct()
     chunks = stores.agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("c")).scalar()
     n = F.greatest(chunks, F.lit(1))

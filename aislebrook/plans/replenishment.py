@@ -36,7 +36,7 @@ def base_plan(
     facts = base.sku_facts(warehouse, sku_master, style_master, p.moq)
     rows = rows.join(facts, "SKU", "left").withColumn("GENDER", F.coalesce("GENDER", F.lit("UNISEX")))
     plan = base.allocate(rows.where(F.col("GENDER") != "FREEBIES"), p)
-    return base.with_complete_size_set(materialize(plan, "plan"), sku_master)
+    return base.with_complete_size_set(materialize(plan, "plan"))
 
 
 def final_pairs(

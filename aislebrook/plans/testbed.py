@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.scratch import materialize
+from ..sources.scratch import WrittenOnce
 
 # Sizes in order; a part's size number modulo 9 picks one.
 SIZES = ["XS", "S", "M", "L", "XL", "2XL", "3XL", "4XL", "5XL"]
 
 
-_DERIVED: dict[tuple[str, str, str], DataFrame] = {}
+_DERIVED = WrittenOnce()
 _SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
@@ -29,12 +29,7 @@ class Testbed:
         self.spark, self.dir = spark, sf_dir
 
     def _derived(self, name: str, build) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
-        if key not in _DERIVED:
-            _DERIVED[key] = materialize(build(), name)
-        known = _DERIVED[key]
-        # Fresh column identities, so that a table may be joined with itself.
-        return self.spark.read.schema(known.schema).parquet(*known.inputFiles())
+        return _DERIVED.get(self.spark, (self.dir, name), build)
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.dir}/{name}.parquet"

@@ -51,7 +51,9 @@ class SalesStore:
 
     @staticmethod
     def _replace(df: DataFrame, path: str, *by: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        # Rebalanced by partition, so that a month is a few large files and a busy one is split.
+        rows = df.hint("rebalance", *[F.col(c) for c in by])
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
     def _read(self, path: str, schema: str) -> DataFrame:
         try:
@@ -65,8 +67,8 @@ class SalesStore:
         return self._read(self.sales_path, SALES + ", sale_month string, batch bigint")
 
     def read_all(self) -> DataFrame:
-        """All rows by date."""
-        return self.rows().orderBy("date")
+        """All rows by date. The further columns let the sort split a very busy date."""
+        return self.rows().orderBy("date", "store", "sku", "bill_no")
 
     def summary(self) -> DataFrame:
         """Row count, first and last date; 'N/A' when there are none."""

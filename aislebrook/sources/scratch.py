@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _CONF = "spark.checkpoint.dir"
 
@@ -28,9 +30,35 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def write_scratch(df: DataFrame, label: str = "table") -> str:
+    """Write df once as Parquet in the shared folder; its path."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df, label))
+
+
+class WrittenOnce:
+    """Tables written once per application and named by a key. Every read has fresh
+    column identities, so a table may be joined with itself."""
+
+    def __init__(self):
+        self._known: dict[tuple, tuple[str, StructType]] = {}
+
+    def get(self, spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+        full = (spark.sparkContext.applicationId, *key)
+        if full not in self._known:
+            df = build()
+            self._known[full] = (write_scratch(df, str(key[-1])), df.schema)
+        path, schema = self._known[full]
+        return spark.read.schema(schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

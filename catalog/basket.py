@@ -33,12 +33,9 @@ WIDE_SETS = SETS.format(item="DEPARTMENT || '/' || substr(CATEGORY, 1, 1)", src=
 SKU_SETS = SETS.format(item="SKU", src="bills", s="0.001")
 
 
-@query(
-    "b01_baskets",
-    q(BILLS, "SELECT BILL_NO AS bill, string_agg(DISTINCT STYLE, ',' ORDER BY STYLE) AS items FROM bills GROUP BY 1"),
-)
+@query("b01_baskets", q(BILLS, "SELECT DISTINCT BILL_NO AS bill, STYLE AS item FROM bills"))
 def _(t):
-    return basket.baskets(basket.basket_items(t.bills, "STYLE")).withColumn("items", F.array_join("items", ","))
+    return basket.basket_items(t.bills, "STYLE")
 
 
 SET_COLS = "SELECT array_to_string(items, ',') AS items, freq, freq / n AS support, n AS bills FROM sets, nb"

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from aislebrook.functions.stats import month_of, quantiles, ratio, stable, with_dense_rank_desc, with_percent_ranks
 from aislebrook.operators import plan_steps, replenish_final
-from aislebrook.operators.basket import basket_items, baskets
 from aislebrook.operators.demand import velocity_simple
 from aislebrook.operators.windows import recent
 from aislebrook.sources.scratch import materialize
@@ -263,17 +262,21 @@ def _(t):
     return t.bills.groupBy(month_of("BILL_DATE").alias("month")).pivot("DEPARTMENT", cols).sum("BILL_QUANTITY").na.fill(0.0, cols)
 
 
+DEPARTMENTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query(
     "a09_crosstab",
     q(
         BILLS,
-        "SELECT BILL_NO AS bill, string_agg(DISTINCT DEPARTMENT, ',' ORDER BY DEPARTMENT) AS items, "
-        "count(DISTINCT DEPARTMENT) AS n FROM bills GROUP BY 1",
+        "SELECT BILL_NO, "
+        + ", ".join(f"CAST(bool_or(DEPARTMENT = '{d}') AS BIGINT) AS {d}" for d in DEPARTMENTS)
+        + " FROM bills GROUP BY 1",
     ),
 )
 def _(t):
-    sets = baskets(basket_items(t.bills, "DEPARTMENT"))
-    return sets.select("bill", F.array_join("items", ",").alias("items"), F.size("items").alias("n"))
+    present = t.bills.select("BILL_NO", "DEPARTMENT").distinct()
+    return present.groupBy("BILL_NO").pivot("DEPARTMENT", DEPARTMENTS).count().na.fill(0, DEPARTMENTS)
 
 
 @query("a10_value_counts", q(BILLS, "SELECT SIZE, count(*) AS n FROM bills GROUP BY 1"))

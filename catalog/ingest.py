@@ -13,16 +13,21 @@ from aislebrook.functions.stats import month_of
 from aislebrook.operators import cleaning, plan_views
 from aislebrook.sources import readers, snapshots
 from aislebrook.sources.sales_store import SalesStore, merge_batches
-from aislebrook.sources.scratch import materialize, scratch_path
+from aislebrook.sources.scratch import scratch_path
 from aislebrook.streaming.landing import ingest_attachments, ingest_batch, landing_ingest
 
-from .registry import query
+from .registry import query, shared
 from .replenish import BASE_SQL, base_plan
 from .sqlbase import ALL, BILLS, BILLS_ALL, SALES, q
 
 
 def raw_sales(t):
-    """Bill lines as a retailer's export: odd headers, all text, some cells spoiled."""
+    """Bill lines as a retailer's export, written once."""
+    return shared(t, "raw_sales", lambda: _raw_sales(t))
+
+
+def _raw_sales(t):
+    """Odd headers, all text, some cells spoiled."""
     k, day = F.col("BILL_NO"), F.col("BILL_DATE")
     when = F.when(k % 7 == 0, F.lit("not a date")).when(k % 11 == 0, F.lit(None).cast("string"))
     when = when.when(k % 5 == 0, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
@@ -437,8 +442,19 @@ def _(t):
     return info.select("datasets", "total_rows", (F.col("total_size_mb") > 0).alias("sized"), "last_updated")
 
 
+_STORES: dict[tuple[str, str], SalesStore] = {}
+
+
 def filled_store(t) -> SalesStore:
-    """Two uploads: bills up to 1998, then bills from 1998 on with 1998 corrected."""
+    """Two uploads: bills up to 1998, then bills from 1998 on with 1998 corrected; the
+    second is delivered twice. Filled once per application."""
+    key = (t.spark.sparkContext.applicationId, t.dir)
+    if key not in _STORES:
+        _STORES[key] = _fill_store(t)
+    return _STORES[key]
+
+
+def _fill_store(t) -> SalesStore:
     store = SalesStore(t.spark, scratch_path(t.spark, "store"))
     lines = t.bills.select(
         F.col("BILL_DATE").alias("date"),
@@ -466,7 +482,7 @@ STORED = """stored AS (
     q(BILLS, f"{STORED} SELECT batch, count(*) AS lines, sum(quantity) AS units, min(date) AS first, max(date) AS last FROM stored GROUP BY 1", f="units", i="batch"),
 )
 def _(t):
-    return filled_store(t).rows().groupBy("batch").agg(
+    return _fill_store(t).rows().groupBy("batch").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"), F.min("date").alias("first"), F.max("date").alias("last")
     )
 
@@ -641,7 +657,7 @@ def _(t):
     spark = t.spark
     landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "offsets")
     store = SalesStore(spark, scratch_path(spark, "store"))
-    raw = materialize(raw_sales(t), "raw")
+    raw = raw_sales(t)
     number = F.col("Bill No").cast("bigint")
     for part in (0, 1):
         lot = raw.where(number % 2 == part)

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislebrook.plans.testbed import Testbed
-from aislebrook.sources.scratch import materialize
+from aislebrook.sources.scratch import WrittenOnce
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_SHARED = WrittenOnce()
 
 
 def norm(df: DataFrame) -> DataFrame:
@@ -43,8 +43,4 @@ def query(name: str, sql: str | None = None):
 def shared(t: Testbed, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table that several queries read (the finished plan, say), written once per
     application and scale factor."""
-    key = (t.spark.sparkContext.applicationId, t.dir, name)
-    if key not in _SHARED:
-        _SHARED[key] = materialize(build(), name)
-    known = _SHARED[key]
-    return t.spark.read.schema(known.schema).parquet(*known.inputFiles())
+    return _SHARED.get(t.spark, (t.dir, name), build)

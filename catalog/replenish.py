@@ -220,7 +220,7 @@ SELECT STYLE, bool_and(fq > 0) AS COMPLETE_SIZE_SET, count(*) AS rows FROM chose
 def _(t):
     qty = F.when(F.col("STYLE") == "BRAND#4", F.lit(1.0)).otherwise(F.col("FINAL_REPLEN_QTY"))
     plan = base_plan(t).drop("COMPLETE_SIZE_SET").withColumn("FINAL_REPLEN_QTY", qty)
-    flagged = replenish_base.with_complete_size_set(plan, t.sku_master)
+    flagged = replenish_base.with_complete_size_set(plan)
     return flagged.groupBy("STYLE", "COMPLETE_SIZE_SET").agg(F.count(F.lit(1)).alias("rows"))
 
 
