@@ -254,19 +254,14 @@ fc0 AS (
   FROM pad GROUP BY 1),
 fc AS (SELECT *, sd / nullif(mean, 0) AS cv, 0.6 * ewma + 0.4 * sma AS f FROM fc0)"""
 
-# Sums of 0.7^k x units end in exact halves of the last shown place; 1e-9 settles them alike.
-FC_COLS = """SKU, mean + 1e-9 AS mean_weekly, sd + 1e-9 AS std_weekly, cv + 1e-9 AS cv_weekly, ewma + 1e-9 AS ewma_weekly,
-  sma + 1e-9 AS sma4_weekly, f + 1e-9 AS forecast_weekly, n AS history_weeks, f * 12 + 1e-9 AS forecast_horizon_units"""
+FC_COLS = """SKU, mean AS mean_weekly, sd AS std_weekly, cv AS cv_weekly, ewma AS ewma_weekly,
+  sma AS sma4_weekly, f AS forecast_weekly, n AS history_weeks, f * 12 AS forecast_horizon_units"""
 FC_NUMBERS = "mean_weekly std_weekly cv_weekly ewma_weekly sma4_weekly forecast_weekly forecast_horizon_units"
 
 
-def _settled(df):
-    return df.withColumns({c: F.col(c) + 1e-9 for c, kind in df.dtypes if kind == "double"})
-
-
 @query("m10_weekly_forecast", q(BILLS, f"{WEEKLY} SELECT {FC_COLS} FROM fc", f=FC_NUMBERS))
 def _(t):
-    return _settled(weekly.weekly_forecast(t.bills))
+    return weekly.weekly_forecast(t.bills)
 
 
 @query(
@@ -295,14 +290,14 @@ def _(t):
         BILLS,
         f"""{WEEKLY}
 SELECT {FC_COLS}, ceil(round(sd * 2.0 * 1.645, 6)) AS safety_stock_units, ceil(round(f * 4 + sd * 2.0 * 1.645, 6)) AS reorder_point_units,
-  ceil(round(f * 12 + sd * 2.0 * 1.645, 6)) AS order_up_to_units, f * 12 * (1 + coalesce(cv, 0)) + 1e-9 AS priority_score
+  ceil(round(f * 12 + sd * 2.0 * 1.645, 6)) AS order_up_to_units, f * 12 * (1 + coalesce(cv, 0)) AS priority_score
 FROM fc""",
         f=FC_NUMBERS + " priority_score",
         i="safety_stock_units reorder_point_units order_up_to_units",
     ),
 )
 def _(t):
-    return _settled(weekly.reorder_recommendations(weekly.weekly_forecast(t.bills)))
+    return weekly.reorder_recommendations(weekly.weekly_forecast(t.bills))
 
 
 @query(

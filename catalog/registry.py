@@ -16,12 +16,13 @@ _SHARED = WrittenOnce()
 
 
 def norm(df: DataFrame) -> DataFrame:
-    """Doubles to 6 places, small integers to bigint, decimals to double."""
+    """Doubles to 6 places, small integers to bigint, decimals to double. Engines round
+    exact halves differently; 1e-9 more settles them alike on both sides."""
     out = []
     for c, t in df.dtypes:
         x = F.col(f"`{c}`")
         if t in ("double", "float") or t.startswith("decimal"):
-            x = F.round(x.cast("double"), 6)
+            x = F.round(x.cast("double") + 1e-9, 6)
         elif t in ("int", "smallint", "tinyint"):
             x = x.cast("bigint")
         out.append(x.alias(c))

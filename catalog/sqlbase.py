@@ -67,7 +67,7 @@ def q(ctes: str, body: str, f: str = "", i: str = "", s: str = "") -> str:
     body = body.strip()
     sep = "" if body[:6].upper() == "SELECT" else ","
     inner = f"WITH {ctes}{sep}\n{body}"
-    changes = [f'round(CAST("{c}" AS DOUBLE), 6) + 0.0 AS "{c}"' for c in f.split()]
+    changes = [f'round(CAST("{c}" AS DOUBLE) + 1e-9, 6) + 0.0 AS "{c}"' for c in f.split()]
     changes += [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in i.split()]
     changes += [f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in s.split()]
     if not changes:
