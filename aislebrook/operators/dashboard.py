@@ -9,9 +9,12 @@ from ..functions.stats import ratio, scalars, stable
 
 
 def kpis(sales: DataFrame, stock: DataFrame) -> DataFrame:
+    """Total sales, stores, SKUs and stock, one row. The distinct counts run on sums
+    per pair, not on the sale lines."""
     held = scalars(stock.agg(F.sum("STOCK").alias("total_stock")))
-    return sales.agg(
-        F.sum("QUANTITY").alias("total_sales"),
+    pairs = sales.groupBy("STORE", "SKU").agg(F.sum("QUANTITY").alias("q"))
+    return pairs.agg(
+        F.sum("q").alias("total_sales"),
         F.count_distinct("STORE").alias("stores"),
         F.count_distinct("SKU").alias("skus"),
     ).withColumn("total_stock", held["total_stock"])

@@ -110,13 +110,18 @@ def share_of(weight: Column, amount: Column) -> Column:
     return stable_floor(F.coalesce(F.try_divide(weight, F.sum(weight).over(per_sku())) * amount, F.lit(0.0)))
 
 
-def equal_split(amount: Column, *order: Column) -> Column:
+def with_place(df: DataFrame, *order: Column) -> DataFrame:
+    """Add __place, the rank of the row within its SKU. Added before the sums over a
+    SKU, whose windows then reuse this sort."""
+    return df.withColumn("__place", F.row_number().over(per_sku().orderBy(*order)))
+
+
+def equal_split(amount: Column) -> Column:
     """Even whole shares of amount over the rows of a SKU; the rest goes, one unit
-    each, to the first rows in the given order."""
+    each, to the first rows by __place."""
     n = F.count(F.lit(1)).over(per_sku())
     base = F.floor(amount / n).cast("double")
-    place = F.row_number().over(per_sku().orderBy(*order))
-    return base + F.when(place <= F.floor(amount - base * n), 1.0).otherwise(0.0)
+    return base + F.when(F.col("__place") <= F.floor(amount - base * n), 1.0).otherwise(0.0)
 
 
 def whole_number(c: Column) -> Column:

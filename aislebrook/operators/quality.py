@@ -185,17 +185,24 @@ def history_span(sales: DataFrame, date_col: str = "DATE") -> DataFrame:
 
 
 def data_summary(sales: DataFrame, stock: DataFrame, warehouse: DataFrame) -> DataFrame:
-    """Record counts, distinct SKUs, styles and stores, dates and totals, one row."""
-    amount = F.sum(F.col("NET_AMOUNT").cast("decimal(18,4)")).cast("double")
-    out = sales.agg(
-        F.count(F.lit(1)).alias("sales_records"),
+    """Record counts, distinct SKUs, styles and stores, dates and totals, one row. Lines
+    are first summed per store and SKU, so the distinct counts see few rows."""
+    pairs = sales.groupBy("STORE", "SKU", "STYLE").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("DATE").alias("first"),
+        F.max("DATE").alias("last"),
+        F.sum("QUANTITY").alias("q"),
+        F.sum(F.col("NET_AMOUNT").cast("decimal(18,4)")).alias("amount"),
+    )
+    out = pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("sales_records"),
         F.count_distinct("SKU").alias("skus"),
         F.count_distinct("STYLE").alias("styles"),
         F.count_distinct("STORE").alias("stores"),
-        F.min("DATE").alias("first_date"),
-        F.max("DATE").alias("last_date"),
-        F.sum("QUANTITY").alias("total_quantity"),
-        amount.alias("total_value"),
+        F.min("first").alias("first_date"),
+        F.max("last").alias("last_date"),
+        F.sum("q").alias("total_quantity"),
+        F.sum("amount").cast("double").alias("total_value"),
     )
     for name, df in (("stock_records", stock), ("warehouse_records", warehouse)):
         out = out.withColumn(name, scalars(df.agg(F.count(F.lit(1)).alias("n")))["n"])

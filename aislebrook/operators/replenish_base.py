@@ -59,7 +59,7 @@ def allocate(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> DataFrame
     total = F.sum("REPLEN_QTY").over(ps.per_sku())
     weight = F.col("PRIORITY_SCORE") * need
     shared = F.when(F.sum(weight).over(ps.per_sku()) > 0, ps.share_of(weight, have)).otherwise(
-        ps.equal_split(have, F.desc("PRIORITY_SCORE"), F.asc("STORE"))
+        ps.equal_split(have)
     )
     wanted = F.greatest(F.lit(float(p.moq)), need)
     enough = F.when(F.coalesce("ALL_SIZES", F.lit(True)), wanted).otherwise(F.least(wanted, have))
@@ -77,11 +77,13 @@ def allocate(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> DataFrame
         .otherwise(0.0)
     )
     remarks = F.when(have <= 0, ps.NO_STOCK).when(F.col("TOTAL_DEMAND") > have, short).otherwise("")
+    df = df.withColumn("WAREHOUSE_STOCK", F.coalesce("WAREHOUSE_STOCK", F.lit(0.0)))
     return (
-        df.withColumn("WAREHOUSE_STOCK", F.coalesce("WAREHOUSE_STOCK", F.lit(0.0)))
+        ps.with_place(df, F.desc("PRIORITY_SCORE"), F.asc("STORE"))
         .withColumn("TOTAL_DEMAND", total)
         .withColumn("FINAL_REPLEN_QTY", F.floor(final).cast("double"))
         .withColumn("REMARKS", remarks)
+        .drop("__place")
     )
 
 

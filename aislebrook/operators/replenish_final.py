@@ -118,27 +118,21 @@ def with_gender(df: DataFrame, style_master: DataFrame | None) -> DataFrame:
 def with_classes(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> DataFrame:
     """ABC_CLASS on sales value (q0.9, q0.7) and VELOCITY_CLASS (q0.7, q0.3); fixed
     limits with ten rows or fewer. df should be a written table."""
-    price = F.col("UNIT_PRICE") if "UNIT_PRICE" in df.columns else F.lit(p.unit_price)
+    priced = "UNIT_PRICE" in df.columns
+    price = F.col("UNIT_PRICE") if priced else F.lit(p.unit_price)
     df = df.withColumn("SALES_VALUE", F.col("DAILY_SALES") * price)
-    cuts = scalars(
-        quantiles(
-            df,
-            {
-                "medium": ("DAILY_SALES", 0.3),
-                "fast": ("DAILY_SALES", 0.7),
-                "b": ("SALES_VALUE", 0.7),
-                "a": ("SALES_VALUE", 0.9),
-            },
-            count_as="n",
-        )
-    )
+    # With one price for all, the limits of the value are those of the velocity times it.
+    column = "SALES_VALUE" if priced else "DAILY_SALES"
+    spec = {"medium": ("DAILY_SALES", 0.3), "fast": ("DAILY_SALES", 0.7), "b": (column, 0.7), "a": (column, 0.9)}
+    cuts = scalars(quantiles(df, spec, count_as="n", accuracy=p.quantile_accuracy))
+    scale = 1.0 if priced else p.unit_price
     many = F.col("cuts.n") > 10
 
-    def cut(name: str, small: float) -> Column:
-        return F.when(many, F.col(f"cuts.{name}")).otherwise(F.lit(small))
+    def cut(name: str, small: float, scale: float = 1.0) -> Column:
+        return F.when(many, F.col(f"cuts.{name}") * scale).otherwise(F.lit(small))
 
     value, speed = F.col("SALES_VALUE"), F.col("DAILY_SALES")
-    abc = F.when(value >= cut("a", 200.0), "A").when(value >= cut("b", 50.0), "B").otherwise("C")
+    abc = F.when(value >= cut("a", 200.0, scale), "A").when(value >= cut("b", 50.0, scale), "B").otherwise("C")
     vel = F.when(speed >= cut("fast", 0.5), "Fast").when(speed >= cut("medium", 0.1), "Medium").otherwise("Slow")
     return df.withColumn("cuts", cuts).withColumns({"ABC_CLASS": abc, "VELOCITY_CLASS": vel}).drop("cuts")
 

@@ -43,9 +43,12 @@ def allocate_priority(df: DataFrame) -> DataFrame:
     have, need = F.col("WAREHOUSE_STOCK"), F.col("REPLEN_QTY")
     weight = F.col("PRIORITY_SCORE") * need
     shared = F.when(F.sum(weight).over(ps.per_sku()) > 0, ps.share_of(weight, have)).otherwise(
-        ps.equal_split(have, F.desc("PRIORITY_SCORE"), F.asc("STOCK_COVER_DAYS"), F.asc("STORE"))
+        ps.equal_split(have)
     )
-    total = F.sum("REPLEN_QTY").over(ps.per_sku())
-    return df.withColumn("TOTAL_DEMAND", total).withColumn(
-        "FINAL_REPLEN_QTY", F.when((F.col("TOTAL_DEMAND") > have) & (have > 0), shared).otherwise(need)
+    short = (F.col("TOTAL_DEMAND") > have) & (have > 0)
+    return (
+        ps.with_place(df, F.desc("PRIORITY_SCORE"), F.asc("STOCK_COVER_DAYS"), F.asc("STORE"))
+        .withColumn("TOTAL_DEMAND", F.sum("REPLEN_QTY").over(ps.per_sku()))
+        .withColumn("FINAL_REPLEN_QTY", F.when(short, shared).otherwise(need))
+        .drop("__place")
     )

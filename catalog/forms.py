@@ -513,8 +513,8 @@ def _(t):
     ),
 )
 def _(t):
-    split = plan_steps.equal_split(F.col("WAREHOUSE_STOCK"), F.desc("u"), F.asc("STORE"))
-    return shares(t).select("STORE", "SKU", split.alias("units"))
+    placed = plan_steps.with_place(shares(t), F.desc("u"), F.asc("STORE"))
+    return placed.select("STORE", "SKU", plan_steps.equal_split(F.col("WAREHOUSE_STOCK")).alias("units"))
 
 
 # --- set operations ----------------------------------------------------------

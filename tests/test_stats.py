@@ -56,3 +56,8 @@ def test_constant_column_scores_50(spark):
     assert ranked.p.tolist() == [0.5] * 3
     scored = stats.minmax_score(df, {"x": ("a", True), "y": ("b", False)}).toPandas()
     assert scored.x.tolist() == [50.0] * 3 and sorted(scored.y) == [0.0, 50.0, 100.0]
+
+
+def test_approximate_quantiles_are_close(spark, data):
+    got = stats.quantiles(spark.createDataFrame(data), {"q": ("v", 0.9)}, count_as="n", accuracy=10000).first()
+    assert got.n == len(data) and abs(got.q - data.v.quantile(0.9)) < 1.0
