@@ -37,10 +37,18 @@ class Testbed:
             _SCHEMAS[self.dir, name] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_SCHEMAS[self.dir, name]).parquet(path)
 
-    def _lines(self) -> DataFrame:
-        li, o = self.table("lineitem"), self.table("orders")
+    def _lines(self, *columns: str) -> DataFrame:
+        """Line items with the order date and the store of the bill."""
+        li = self.table("lineitem").select("l_orderkey", "l_partkey", *columns)
+        cores = self.spark.sparkContext.defaultParallelism
+        if len(li.inputFiles()) < cores:
+            # One small input file would keep all that follows in one task.
+            li = li.repartition(cores)
+        o = self.table("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("BILL_DATE"))
         c, n = self.table("customer"), self.table("nation")
-        stores = c.join(n, c.c_nationkey == n.n_nationkey)
+        stores = c.join(n, c.c_nationkey == n.n_nationkey).select(
+            "c_custkey", "n_nationkey", self._store().alias("STORE"), F.col("n_name").alias("STORE_NAME")
+        )
         return li.join(o, li.l_orderkey == o.o_orderkey).join(stores, o.o_custkey == stores.c_custkey)
 
     @staticmethod
@@ -85,28 +93,34 @@ class Testbed:
         return self._derived("stock", self._stock)
 
     def _bills(self) -> DataFrame:
-        p = self.table("part")
-        x = self._lines()
+        p = self.table("part").select(
+            "p_partkey",
+            F.col("p_partkey").cast("string").alias("SKU"),
+            *self._item_columns(),
+            F.col("p_retailprice").alias("RSP"),
+            (self._brand_no() % 5 == 0).alias("fifth"),
+        )
+        x = self._lines("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
         x = x.join(p, x.l_partkey == p.p_partkey)
 
         def money(c: Column) -> Column:
             return c.cast("decimal(18,4)")
 
-        price, disc = F.col("l_extendedprice"), F.col("l_discount")
-        void = (F.col("l_returnflag") == "R") | ((F.col("l_returnflag") == "A") & (self._brand_no() % 5 == 0))
+        price, disc, flag = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_returnflag")
+        void = (flag == "R") | ((flag == "A") & F.col("fifth"))
         return x.select(
-            F.col("o_orderdate").cast("date").alias("BILL_DATE"),
+            "BILL_DATE",
             F.col("l_orderkey").alias("BILL_NO"),
-            self._store().alias("STORE"),
-            F.col("n_name").alias("STORE_NAME"),
-            F.col("l_partkey").cast("string").alias("SKU"),
+            "STORE",
+            "STORE_NAME",
+            "SKU",
             F.col("l_quantity").alias("BILL_QUANTITY"),
-            *self._item_columns(),
+            *["STYLE", "COLOR", "SIZE", "CATEGORY", "DEPARTMENT"],
             money(price).alias("GROSS_AMOUNT"),
             money(price * (1 - disc)).alias("NET_AMOUNT"),
             money(price * disc).alias("ITEM_DISCOUNT_AMOUNT"),
             money(price * F.col("l_tax")).alias("PROMO_AMOUNT"),
-            F.col("p_retailprice").alias("RSP"),
+            "RSP",
             F.when(void, "Y").otherwise("N").alias("VOID_STATUS"),
         )
 
@@ -127,13 +141,13 @@ class Testbed:
         )
 
     def _stock(self) -> DataFrame:
-        pairs = self._lines().select("n_nationkey", "n_name", "l_partkey").distinct()
+        pairs = self._lines().select("n_nationkey", "STORE", "STORE_NAME", "l_partkey").distinct()
         v = (F.col("n_nationkey") * 7 + F.col("l_partkey") * 13) % 11
         return pairs.select(
             F.col("l_partkey").cast("string").alias("SKU"),
             F.when(v < 2, 0).otherwise(v).cast("double").alias("STOCK"),
-            self._store().alias("STORE"),
-            F.col("n_name").alias("STORE_NAME"),
+            "STORE",
+            "STORE_NAME",
         )
 
     @property

@@ -14,16 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _CONF = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a temporary folder is
-    set as that value only where none is configured (single-machine tests)."""
-    base = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
+    """This application's folder below spark.checkpoint.dir. Where none is set, a local
+    session (a test) gets a temporary folder; a cluster has to name one."""
+    sc = spark.sparkContext
+    base = spark.conf.get(_CONF, None) or sc.getConf().get(_CONF)
     if not base:
-        base = tempfile.mkdtemp(prefix="aislebrook-")
-        spark.conf.set(_CONF, base)
-    return f"{base.rstrip('/')}/aislebrook-{spark.sparkContext.applicationId}"
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {_CONF} to a folder that all executors share")
+        if sc.applicationId not in _LOCAL:
+            _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="aislebrook-")
+        base = _LOCAL[sc.applicationId]
+    return f"{base.rstrip('/')}/aislebrook-{sc.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

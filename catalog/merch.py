@@ -264,24 +264,33 @@ def _(t):
     return weekly.weekly_forecast(t.bills)
 
 
+LEVELS = {0.75: "0.841", 0.875: "(1.036 + 1.282) / 2", 0.95: "1.645", 0.9625: "(1.645 + 1.96) / 2", 0.999: "2.326"}
+
+
 @query(
     "m11_z_value",
     q(
         BILLS,
-        """p AS (SELECT i, 0.75 + i * 0.025 AS level FROM (SELECT unnest(range(11)) AS i))
-SELECT i AS step, level, CASE WHEN level <= 0.8 THEN 0.841 WHEN level <= 0.85 THEN 0.841 + (level - 0.8) / 0.05 * (1.036 - 0.841)
-  WHEN level <= 0.9 THEN 1.036 + (level - 0.85) / 0.05 * (1.282 - 1.036) WHEN level <= 0.95 THEN 1.282 + (level - 0.9) / 0.05 * (1.645 - 1.282)
-  WHEN level <= 0.975 THEN 1.645 + (level - 0.95) / 0.025 * (1.96 - 1.645) ELSE 2.326 END AS z,
-  (SELECT sum(BILL_QUANTITY) FROM bills) AS units
-FROM p""",
-        f="level z units",
+        f"{WEEKLY}, lv AS ("
+        + " UNION ALL ".join(f"SELECT CAST({p} AS DOUBLE) AS level, CAST({z} AS DOUBLE) AS z" for p, z in LEVELS.items())
+        + """)
+SELECT level, SKU, ceil(round(sd * 2.0 * z, 6)) AS safety_stock_units,
+  ceil(round(f * 4 + sd * 2.0 * z, 6)) AS reorder_point_units FROM fc, lv""",
+        f="level",
+        i="safety_stock_units reorder_point_units",
     ),
 )
 def _(t):
-    """z of eleven service levels, applied beside the total units of the table."""
-    levels = [(i, 0.75 + i * 0.025, weekly.z_value(round(0.75 + i * 0.025, 6))) for i in range(11)]
-    frame = t.spark.createDataFrame(levels, "step bigint, level double, z double")
-    return frame.withColumn("units", t.bills.agg(F.sum("BILL_QUANTITY").alias("u")).scalar())
+    """Safety stock and reorder point of every SKU at service levels in, between and
+    beyond the table."""
+    forecast = shared(t, "forecast", lambda: weekly.weekly_forecast(t.bills))
+    parts = [
+        weekly.reorder_recommendations(forecast, service_level=p).select(
+            F.lit(p).alias("level"), "SKU", "safety_stock_units", "reorder_point_units"
+        )
+        for p in LEVELS
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query(

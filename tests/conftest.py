@@ -21,6 +21,10 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from aislebrook.sources.scratch import remove_scratch, scratch_root
+
+    remove_scratch(s)
+    assert not os.path.exists(scratch_root(s))
     s.stop()
 
 

@@ -1,3 +1,4 @@
+import tempfile
 from datetime import date
 
 import pytest
@@ -109,6 +110,27 @@ def test_plan_file_has_known_columns_first_and_no_giveaways(spark, tmp_path):
 
 def test_scratch_is_below_the_configured_folder(spark):
     root = scratch.scratch_root(spark)
-    assert root.startswith(spark.conf.get("spark.checkpoint.dir"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert root.startswith(named or tempfile.gettempdir())
     df = scratch.materialize(spark.range(3).toDF("n"))
     assert df.count() == 3 and all(root in f for f in df.inputFiles())
+
+
+class _Session:
+    """Just what scratch_root asks of a session without the setting."""
+
+    def __init__(self, master):
+        self.conf = self.sparkContext = self
+        self.master, self.applicationId = master, "app-1"
+
+    def get(self, key, default=None):
+        return default
+
+    def getConf(self):
+        return self
+
+
+def test_without_the_setting_only_local_sessions_get_a_folder():
+    assert scratch.scratch_root(_Session("local[2]")) == scratch.scratch_root(_Session("local[2]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_root(_Session("yarn"))
