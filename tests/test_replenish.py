@@ -245,3 +245,29 @@ def test_similar_products_match_brute_force(spark):
                 scored.append((-score, c[0]))
         want += [(n[0], r + 1, c, -s) for r, (s, c) in enumerate(sorted(scored)[:3])]
     assert got == sorted(want, key=lambda t: tuple((x is None, str(x)) for x in t))
+
+
+def test_a_pair_with_a_third_of_all_lines(spark):
+    """One pair holds a third of the lines; the plan still has one row per pair and the
+    same velocity as pandas."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    n = 3000
+    hot = rng.random(n) < 0.34
+    stores = np.where(hot, "S0", [f"S{i}" for i in rng.integers(0, 8, n)])
+    skus = np.where(hot, "k0", [f"k{i}" for i in rng.integers(0, 40, n)])
+    lines = [(str(s), str(k), int(a), int(q)) for s, k, a, q in zip(stores, skus, rng.integers(0, 90, n), rng.integers(1, 6, n))]
+    df = sales(spark, lines)
+    plan = plans.base_plan(
+        df,
+        stock(spark, [(f"S{i}", f"k{j}", (i + j) % 3) for i in range(8) for j in range(40)]),
+        warehouse(spark, [(f"k{j}", 5 * j) for j in range(40)]),
+        master(spark, [(f"k{j}", "ST", "RED", "M") for j in range(40)]),
+    ).toPandas()
+    assert len(plan) == 320 and not plan.duplicated(["STORE", "SKU"]).any()
+    want = df.toPandas().groupby(["STORE", "SKU"]).QUANTITY.sum() / 90
+    got = plan[plan.DAILY_SALES > 0].set_index(["STORE", "SKU"]).DAILY_SALES
+    assert got.sort_index().to_dict() == pytest.approx(want.sort_index().to_dict())
+    short = plan[plan.TOTAL_DEMAND > plan.WAREHOUSE_STOCK]
+    assert (short.groupby("SKU").FINAL_REPLEN_QTY.sum() <= short.groupby("SKU").WAREHOUSE_STOCK.first()).all()
