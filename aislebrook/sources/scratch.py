@@ -6,7 +6,6 @@ size, so Spark's broadcast decisions on it rest on a measured figure.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,20 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _CONF = "spark.checkpoint.dir"
-_LOCAL: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir. Where none is set, a local
-    session (a test) gets a temporary folder; a cluster has to name one."""
+    """This application's folder below spark.checkpoint.dir, or below the warehouse where
+    that is not set. Executors have to share either."""
     sc = spark.sparkContext
-    base = spark.conf.get(_CONF, None) or sc.getConf().get(_CONF)
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(f"set {_CONF} to a folder that all executors share")
-        if sc.applicationId not in _LOCAL:
-            _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="aislebrook-")
-        base = _LOCAL[sc.applicationId]
+    base = sc.getConf().get(_CONF) or spark.conf.get(_CONF, "") or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/aislebrook-{sc.applicationId}"
 
 
