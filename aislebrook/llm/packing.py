@@ -1,8 +1,8 @@
 """Packing documents into sequences by Karmarkar-Karp multiway differencing.
 
-A document's ids, with an end id, are cut into whole windows and a rest; the rest is cut
-into pieces of a bounded length. The pieces of a group of documents are then set against
-each other: every piece begins as a partial partition with one filled window; the two
+A document's ids, with an end id, are cut into whole windows and a rest. Rests stay whole
+but for one document in some, whose rest is cut into small pieces that level the windows.
+The pieces of a group of documents are then set against each other: every piece begins as a partial partition with one filled window; the two
 partial partitions with the largest imbalance merge, the fullest window of one onto the
 emptiest of the other, until one partition is left. Its windows are near-equal. Where
 the fullest exceeds the capacity, the number of windows rises and the group is set anew.
@@ -27,7 +27,9 @@ from .common import field, named, slices
 from .wordtokens import encoder
 
 GROUP_TOKENS = 1 << 20
-PIECE_TOKENS = 256
+# One document in this many gives its rest as pieces of FILL_TOKENS.
+FILL_EVERY = 16
+FILL_TOKENS = 16
 # Sequences a task may number, and so the share of an id that tells the task.
 PER_TASK = 40
 
@@ -103,7 +105,8 @@ def pack(
     key: str = "doc_id",
     capacity: int = 2048,
     end_id: int = 1,
-    piece_tokens: int = PIECE_TOKENS,
+    fill_every: int = FILL_EVERY,
+    fill_tokens: int = FILL_TOKENS,
     group_tokens: int = GROUP_TOKENS,
 ) -> DataFrame:
     """One row per piece: the key column, start (ids of its document before it), length,
@@ -125,7 +128,7 @@ def pack(
         sequence = TaskContext.get().partitionId() << PER_TASK
         whole: list[tuple] = []  # key, start, length, ids, doc_tokens, sequence, offset
         rests: list[tuple] = []  # key, start, length, ids, doc_tokens
-        waiting = 0
+        waiting = documents = 0
 
         def batch_of(rows):
             columns = list(zip(*rows))
@@ -151,7 +154,8 @@ def pack(
                 for k, ids in zip(part.column(0).to_pylist(), encode(part.column(1)).texts()):
                     ids += end
                     n = len(ids) // 4
-                    windows, pieces = cuts(n, capacity, piece_tokens)
+                    windows, pieces = cuts(n, capacity, capacity if documents % fill_every else fill_tokens)
+                    documents += bool(pieces)
                     for a, m in windows:
                         whole.append((k, a, m, ids[4 * a : 4 * (a + m)], n, sequence, 0))
                         sequence += 1
@@ -160,7 +164,7 @@ def pack(
                         waiting += m
                     if waiting >= group_tokens:
                         yield packed()
-                        waiting = 0
+                        waiting = documents = 0
                     if len(whole) >= 256:
                         yield batch_of(whole)
                         whole.clear()

@@ -80,13 +80,18 @@ def masks(radius: int, seed: int, bits: int = 64) -> list[int]:
     return made
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; of signed numbers, numpy would count those of the absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _local_links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, smallest member of its component) of distinct fingerprints that link."""
     n = len(codes)
     label = np.arange(n)
     near = []
     for i in range(0, n, 256):
-        some = np.bitwise_count(codes[i : i + 256, None] ^ codes[None, :]) <= radius
+        some = _apart(codes[i : i + 256, None], codes[None, :]) <= radius
         a, b = np.nonzero(some)
         a = a + i
         keep = b < a
@@ -149,7 +154,7 @@ def _solved(members: DataFrame, radius: int) -> DataFrame:
         left, right = [], []
         for s in np.unique(size[size <= 8]):  # buckets of one small size at once
             rows = first[size == s][:, None] + np.arange(s)
-            near = np.bitwise_count(codes[rows][:, :, None] ^ codes[rows][:, None, :]) <= radius
+            near = _apart(codes[rows][:, :, None], codes[rows][:, None, :]) <= radius
             k, i, j = np.nonzero(near)
             keep = j < i
             left.append(codes[rows[k[keep], i[keep]]])
