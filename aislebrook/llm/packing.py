@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import field, named, slices
 from .wordtokens import encoder
 
-GROUP_TOKENS = 1 << 20
+GROUP_TOKENS = 1 << 19
 # One document in this many gives its rest as pieces of FILL_TOKENS.
 FILL_EVERY = 16
 FILL_TOKENS = 16

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import os
-import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +23,10 @@ LONGEST_REMEMBERED = 64
 # Runs given to the library at a time.
 AT_ONCE = 20_000
 
-# Composed letters whose normal form is themselves and whose lower case is one letter,
-# then marks that no rule of the vocabulary joins to a letter.
-LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+# Composed letters whose normal form is themselves and whose lower case is one letter.
+LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+# Marks that no rule of the vocabulary joins to a letter before them.
+MARKS = ".,;:!?"
 
 # The steps of a vocabulary that drops white space and never looks over it.
 BLANK_FREE = {
@@ -69,38 +70,47 @@ class Words:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = Sequence([])
         self.plain.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _encoded(self, runs: list[str], plain: bool = False) -> list[bytes]:
         library = self.plain if plain else self.library
-        return [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(runs, add_special_tokens=False)]
-
-    def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        """The packed ids of runs not known so far. A run of Latin letters and closing
-        marks is its lower-case word and its marks, which are remembered apart."""
-        new, words, marks = {}, self.words, {}
-        simple, rest = [], []
-        for r in runs:
-            text = r.decode()
-            m = LATIN.fullmatch(text)
-            if m:
-                simple.append((r, m[1].lower(), m[2]))
-            else:
-                rest.append((r, text))
-        wanted = list({w for _, w, _ in simple if w not in words})
-        if len(words) + len(wanted) > REMEMBERED:
-            words.clear()
-            wanted = list({w for _, w, _ in simple})
-        for some in (wanted[i : i + AT_ONCE] for i in range(0, len(wanted), AT_ONCE)):
-            words.update(zip(some, self._encoded(some, plain=True), strict=True))
-        closing = list({m for _, _, m in simple if m})
-        marks.update(zip(closing, self._encoded(closing) if closing else [], strict=True))
-        marks[""] = b""
-        new.update((r, words[w] + marks[m]) for r, w, m in simple)
-        for some in (rest[i : i + AT_ONCE] for i in range(0, len(rest), AT_ONCE)):
-            new.update(zip([r for r, _ in some], self._encoded([t for _, t in some]), strict=True))
-        return new
+        made = []
+        for i in range(0, len(runs), AT_ONCE):
+            made += [array("I", e.ids).tobytes() for e in library.encode_batch_fast(runs[i : i + AT_ONCE], add_special_tokens=False)]
+        return made
+
+    def _learn(self, runs: pa.Array) -> list[bytes]:
+        """The packed ids of runs. A run of Latin letters and closing marks is its
+        lower-case word and its marks, which are remembered apart."""
+        bare = pc.utf8_rtrim(runs, MARKS)
+        latin = pc.match_substring_regex(bare, LATIN)
+        out = np.empty(len(runs), object)
+        simple = latin.to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~simple)
+        out[rest] = self._encoded(runs.take(pa.array(rest)).to_pylist())
+        at = np.flatnonzero(simple)
+        word = pc.dictionary_encode(pc.utf8_lower(bare.filter(latin)))
+        words = word.dictionary.to_numpy(zero_copy_only=False)
+        ids = np.empty(len(words), object)
+        ids[:] = list(map(self.words.get, words))
+        new = np.flatnonzero(np.equal(ids, None))
+        made = self._encoded(words[new].tolist(), plain=True)
+        ids[new] = made
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+        self.words.update(zip(words[new].tolist(), made))
+        size = pc.subtract(pc.utf8_length(runs.filter(latin)), pc.utf8_length(bare.filter(latin))).to_numpy()
+        out[at] = ids[word.indices.to_numpy()]
+        marked = at[size > 0]
+        if len(marked):
+            # What follows the word: a few distinct strings of marks.
+            some = runs.take(pa.array(marked)).to_pylist()
+            marks = [r[-n:] for r, n in zip(some, size[size > 0].tolist())]
+            distinct = list(set(marks))
+            known = dict(zip(distinct, self._encoded(distinct)))
+            out[marked] = [a + known[m] for a, m in zip(out[marked].tolist(), marks)]
+        return out.tolist()
 
     def encode(self, texts: pa.Array) -> Ragged:
         """Ids of each text of a string column as little-endian unsigned 32-bit integers;
@@ -109,15 +119,18 @@ class Words:
             ids = [self._encoded([x])[0] if x else b"" for x in texts.to_pylist()]
             return Ragged(np.arange(len(ids)), np.arange(len(ids) + 1), ids)
         runs = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = pc.dictionary_encode(runs.flatten().cast(pa.binary()))
-        distinct = coded.dictionary.to_pylist()
-        ids = list(map(self.known.get, distinct))
-        new = self._learn([r for r, x in zip(distinct, ids) if x is None])
-        if new:
-            ids = [new[r] if x is None else x for r, x in zip(distinct, ids)]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-            self.known.update((r, x) for r, x in new.items() if len(r) <= LONGEST_REMEMBERED)
+        coded = pc.dictionary_encode(runs.flatten())
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        known = self.known
+        ids = list(map(known.get, distinct))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            new = self._learn(coded.dictionary.take(pa.array(missing)))
+            for i, x in zip(missing, new):
+                ids[i] = x
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+            known.update((r, x) for r, x in zip(distinct[missing], new) if len(r) <= LONGEST_REMEMBERED)
         edges = runs.offsets.to_numpy().astype(np.int64)
         return Ragged(coded.indices.to_numpy(), edges - edges[0], ids)
 
