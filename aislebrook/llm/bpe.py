@@ -27,12 +27,18 @@ from pyspark.sql import types as T
 
 from .common import Ragged, annotate, field
 
-# Matches, and parts of texts between blanks, that a worker remembers before it begins anew.
-REMEMBERED_PIECES = 600_000
-REMEMBERED_UNITS = 800_000
-# A blank beside white space of any kind.
+# Matches that a worker remembers before it begins anew.
+REMEMBERED = 350_000
+# Pairs of tokens that it remembers.
+PAIRS = 250_000
+# White space of any kind beside a blank or line end.
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-DOUBLE_BLANK = f"{_WHITE} | {_WHITE}"
+TOUCHING = rf"{_WHITE}[ \n]|[ \n]{_WHITE}"
+# Letters that every edition of Unicode has, and marks: after a blank, a match each.
+LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+MARKS = ".,;:!?"
+# Bytes of texts worked on at a time.
+SLICE = 3 << 20
 # A longer one is encoded whenever it comes up, and not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -86,6 +92,8 @@ class Codec:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.words = {r: w for w, r in self.ranks.items()}
+        self.joined: dict[int, int] = {}
+        self.ones = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.twos = np.full(1 << 16, -1, np.int64)
         for w, r in self.ranks.items():
             if len(w) == 2:
@@ -93,128 +101,168 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece. Pieces lie in one buffer with a gap between them."""
-        ranks, queue = self.ranks.get, self.queue
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each piece. Pieces lie in one buffer with a gap between them."""
+        queue, buckets = self.queue, self.queue.buckets
         push = queue.push
         data = b"\0".join(pieces) + b"\0"
         size = len(data)
         after = list(range(1, size + 2))
         before = list(range(-1, size))
-        ends = (np.cumsum([len(x) + 1 for x in pieces]) - 1).tolist()
+        ends = np.cumsum([len(x) + 1 for x in pieces]) - 1
         place = np.frombuffer(data, np.uint8).astype(np.int64)
+        token = self.ones[place]
+        token[ends] = -1
+        token = token.tolist()
         start = np.append(self.twos[place[:-1] << 8 | place[1:]], [-1, -1])
         start[ends] = -1
-        start[np.array(ends, np.int64) - 1] = -1  # a piece's last byte; pieces are not empty
+        start[ends - 1] = -1  # a piece's last byte; pieces are not empty
         pair = start.tolist()
-        for end in ends:
-            after[end] = before[end + 1] = -1
+        for end in ends.tolist():
+            before[end + 1] = -1
         order = np.argsort(start, kind="stable")
-        at = int(np.searchsorted(start[order], 0))
-        order = order[at:]
+        order = order[np.searchsorted(start[order], 0) :]
         cuts = np.flatnonzero(np.diff(start[order])) + 1
         for group in np.split(order, cuts) if len(order) else []:
             held = group.tolist()
             push(pair[held[0]], held[0])
-            queue.buckets[pair[held[0]]].extend(held[1:])
+            buckets[pair[held[0]]] += held[1:]
+        joined, join = self.joined, self._join
         while (rank := queue.first()) >= 0:
             waiting = queue.take(rank)
             if len(waiting) > 1:
                 waiting.sort()
-            for k, i in enumerate(waiting):
+            k = 0
+            for i in waiting:
+                k += 1
                 if pair[i] != rank:
                     continue
                 gone = after[i]
-                end = after[gone]
-                after[i] = end
+                end = after[i] = after[gone]
                 before[end] = i
-                pair[gone] = pair[i] = -1
-                lower = False
-                if after[end] >= 0:
-                    new = ranks(data[i : after[end]])
-                    if new is not None:
-                        pair[i] = new
-                        push(new, i)
-                        lower = new < rank
+                token[i] = rank
+                token[gone] = -2
+                pair[gone] = -1
+                new = -1
+                right = token[end]
+                if right >= 0:
+                    key = rank << 20 | right
+                    new = joined[key] if key in joined else join(key)
+                    if new >= 0:
+                        if (held := buckets[new]) is None:
+                            push(new, i)
+                        else:
+                            held.append(i)
+                pair[i] = new
+                lower = 0 <= new < rank
                 left = before[i]
                 if left >= 0:
-                    new = ranks(data[left:end])
-                    if new is None:
-                        pair[left] = -1
-                    else:
-                        pair[left] = new
-                        push(new, left)
+                    key = token[left] << 20 | rank
+                    new = joined[key] if key in joined else join(key)
+                    pair[left] = new
+                    if new >= 0:
+                        if (held := buckets[new]) is None:
+                            push(new, left)
+                        else:
+                            held.append(left)
                         lower = lower or new < rank
                 if lower:
-                    for j in waiting[k + 1 :]:
+                    for j in waiting[k:]:
                         push(rank, j)
                     break
-        out, at = [], 0
-        known = self.ranks
-        for end in ends:
-            ids = []
-            while at < end:
-                stop = after[at]
-                ids.append(known[data[at:stop]])
-                at = stop
-            out.append(ids)
-            at = end + 1
-        return out
-
-    def _packed(self, pieces: set[str]) -> dict[str, bytes]:
+        if len(joined) > PAIRS:
+            joined.clear()
+        ids = np.array(token[:size], np.int64)
+        keep = ids != -2
+        ids = ids[keep]
+        edges = np.flatnonzero(ids == -1)
+        packed = ids.astype("<u4").tobytes()
+        return [packed[4 * a : 4 * b] for a, b in zip([0, *(edges[:-1] + 1).tolist()], edges.tolist())]
+
+    def _join(self, key: int) -> int:
+        """The rank of two neighbours, -1 if their bytes are no token; remembered."""
+        rank = self.joined[key] = self.ranks.get(self.words[key >> 20] + self.words[key & 0xFFFFF], -1)
+        return rank
+
+    def _packed(self, pieces: list[str]) -> dict[str, bytes]:
         """The packed ids of matches of the pattern."""
-        memory, new, rest = self.pieces, {}, []
-        for p in pieces:
-            x = memory.get(p)
-            if x is None:
-                b = p.encode()
-                r = self.ranks.get(b)
-                if r is None:
-                    rest.append((p, b))
-                    continue
-                x = r.to_bytes(4, "little")
-            new[p] = x
+        memory = self.pieces
+        ids = dict(zip(pieces, map(memory.get, pieces)))
+        rest = []
+        for p in [p for p, x in ids.items() if x is None]:
+            b = p.encode()
+            r = self.ranks.get(b)
+            if r is None:
+                rest.append((p, b))
+            else:
+                ids[p] = r.to_bytes(4, "little")
         if rest:
-            made = {p: np.array(ids, "<u4").tobytes() for (p, _), ids in zip(rest, self.merge([b for _, b in rest]), strict=True)}
-            if len(memory) > REMEMBERED_PIECES:
+            made = dict(zip([p for p, _ in rest], self.merge([b for _, b in rest]), strict=True))
+            if len(memory) + len(made) > REMEMBERED:
                 memory.clear()
             memory.update((p, x) for p, x in made.items() if len(p) <= LONGEST_REMEMBERED)
-            new.update(made)
-        return new
+            ids.update(made)
+        return ids
 
     def encode(self, texts: pa.Array) -> Ragged:
         """Ids of each text of a string column as little-endian unsigned 32-bit integers;
         a null text has none.
 
-        Where every blank of a text stands between other characters, a match may begin
-        with a blank but never reaches over one, so what follows a blank is a part of its
-        own. A text with a blank beside other white space is one part."""
+        Where every blank and line end of a text stands between other characters, a match
+        may begin with a blank but never reaches over one, and a line end is a match: both
+        begin a part of their own. A text where they touch other white space is one part."""
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, DOUBLE_BLANK) if self.blanks else pa.array([True] * len(texts))
-        parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        whole = pc.match_substring_regex(texts, TOUCHING) if self.blanks else pa.array([True] * len(texts))
+        apart = pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \n")
+        parts = pc.split_pattern(apart, " ")
         coded = pc.dictionary_encode(parts.flatten())
-        distinct = coded.dictionary.to_pylist()
         edges = parts.offsets.to_numpy().astype(np.int64)
         edges = edges - edges[0]
         codes = coded.indices.to_numpy().astype(np.int64)
-        # No blank precedes the first part of a text: it is looked up under its own name.
-        first = [" " + (texts[i].as_py() if alone else distinct[codes[edges[i]]]) for i, alone in enumerate(whole.to_pylist())]
-        codes[edges[:-1]] = len(distinct) + np.arange(len(first))
-        distinct += first
-        memory = self.units
-        ids = list(map(memory.get, distinct))
-        missing = {u for u, x in zip(distinct, ids) if x is None}
-        if missing:
-            cut = {u: self.split(u[1:] if u.startswith(" ") else " " + u) for u in missing}
-            packed = self._packed(set().union(*cut.values())).__getitem__
-            new = {u: b"".join(map(packed, pieces)) for u, pieces in cut.items()}
-            ids = [new[u] if x is None else x for u, x in zip(distinct, ids)]
-            if len(memory) + len(new) > REMEMBERED_UNITS:
-                memory.clear()
-            memory.update((u, x) for u, x in new.items() if len(u) <= LONGEST_REMEMBERED)
-        return Ragged(codes, edges, ids)
+        # No blank precedes the first part of a text.
+        alone = whole.to_numpy(zero_copy_only=False)
+        first = coded.dictionary.take(pa.array(codes[edges[:-1]])).to_pylist()
+        first = [texts[i].as_py() if alone[i] else first[i] for i in range(len(first))]
+        codes[edges[:-1]] = len(coded.dictionary) + np.arange(len(first))
+        return Ragged(codes, edges, self._units(coded.dictionary) + self._cut(first))
+
+    def _units(self, units: pa.Array) -> list[bytes]:
+        """The packed ids of parts that a blank precedes, or that begin with a line end.
+        Most are a word and closing marks, which are two matches."""
+        line = pc.starts_with(units, "\n")
+        shown = pc.utf8_slice_codeunits(units, 1)
+        shown = pc.if_else(line, shown, units)
+        bare = pc.utf8_rtrim(shown, MARKS)
+        simple = pc.match_substring_regex(bare, LATIN)
+        out = np.empty(len(units), object)
+        rest = pa.array(np.flatnonzero(~simple.to_numpy(zero_copy_only=False)))
+        real = pc.binary_join_element_wise(pc.if_else(line, "", " "), units, "")
+        out[rest.to_numpy()] = self._cut(real.take(rest).to_pylist())
+        at = np.flatnonzero(simple.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return out.tolist()
+        word = pc.dictionary_encode(pc.binary_join_element_wise(pc.if_else(line, "", " "), bare, "").filter(simple))
+        words = word.dictionary.to_numpy(zero_copy_only=False)
+        ids = np.empty(len(words), object)
+        packed = self._packed(words.tolist())
+        ids[:] = [packed[w] for w in words]
+        out[at] = ids[word.indices.to_numpy()]
+        begins = np.flatnonzero(pc.and_(line, simple).to_numpy(zero_copy_only=False))
+        end = self._cut(["\n"])[0]
+        out[begins] = [end + x for x in out[begins].tolist()]
+        size = pc.subtract(pc.utf8_length(shown), pc.utf8_length(bare)).to_numpy()
+        marked = at[size[at] > 0]
+        marks = [u[-n:] for u, n in zip(units.take(pa.array(marked)).to_pylist(), size[marked].tolist())]
+        known = self._packed(list(set(marks)))
+        out[marked] = [x + known[m] for x, m in zip(out[marked].tolist(), marks)]
+        return out.tolist()
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of texts, cut by the pattern."""
+        cut = [self.split(t) for t in texts]
+        packed = self._packed(list(set().union(*cut))).__getitem__
+        return [b"".join(map(packed, pieces)) for pieces in cut]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -236,7 +284,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: lis
         made = codec(path, pattern).encode(texts)
         return [pa.array(made.texts(), pa.binary()), pa.array(made.counts(), pa.int64())]
 
-    return annotate(df, [text], [field("token_ids", T.BinaryType()), field("n_tokens", T.LongType())], compute, keep)
+    return annotate(df, [text], [field("token_ids", T.BinaryType()), field("n_tokens", T.LongType())], compute, keep, SLICE)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids") -> DataFrame:

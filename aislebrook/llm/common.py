@@ -41,7 +41,7 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(i, step)
 
 
-def annotate(df: DataFrame, inputs: list[str], fields: list[T.StructField], compute: Callable, keep: list[str] | None = None) -> DataFrame:
+def annotate(df: DataFrame, inputs: list[str], fields: list[T.StructField], compute: Callable, keep: list[str] | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """df (or its columns `keep`) with `fields` appended, which compute(*arrays of the
     input columns) returns as Arrow arrays, piece by piece. Rows stay in their
     partition. A column of df with the name of a new field gives way to it, unless it
@@ -55,7 +55,7 @@ def annotate(df: DataFrame, inputs: list[str], fields: list[T.StructField], comp
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most):
                 made = compute(*[part.column(n + i) for i in range(len(held))])
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n)] + made, names=names)
 
