@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from .common import Ragged, annotate, field
 
 # Matches that a worker remembers before it begins anew.
-REMEMBERED = 350_000
+REMEMBERED = 600_000
 # Pairs of tokens that it remembers.
-PAIRS = 250_000
+PAIRS = 500_000
 # White space of any kind beside a blank or line end.
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TOUCHING = rf"{_WHITE}[ \n]|[ \n]{_WHITE}"
@@ -38,7 +38,7 @@ TOUCHING = rf"{_WHITE}[ \n]|[ \n]{_WHITE}"
 LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 MARKS = ".,;:!?"
 # Bytes of texts worked on at a time.
-SLICE = 3 << 20
+SLICE = 4 << 20
 # A longer one is encoded whenever it comes up, and not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -274,17 +274,21 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df (or its columns `keep`) with `token_ids` (binary: little-endian unsigned 32-bit ids) and `n_tokens`
-    (long) of every whole text. A null text counts as empty and has no ids; repeated
-    rows each get theirs; an empty table stays empty. Columns of these two names in df
-    are replaced, all others are kept."""
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, back: bool = False) -> DataFrame:
+    """df (or its columns `keep`) with `token_ids` (binary: little-endian unsigned 32-bit
+    ids) and `n_tokens` (long) of every whole text, and with `back` also `decoded`, as
+    decode() gives it, without sending the ids to a second worker. A null text counts as
+    empty and has no ids; repeated rows each get theirs; an empty table stays empty.
+    Columns of these names in df are replaced, all others are kept."""
 
     def compute(texts):
         made = codec(path, pattern).encode(texts)
-        return [pa.array(made.texts(), pa.binary()), pa.array(made.counts(), pa.int64())]
+        ids = made.texts()
+        columns = [pa.array(ids, pa.binary()), pa.array(made.counts(), pa.int64())]
+        return columns + ([pa.array(map(codec(path, pattern).decode, ids), pa.binary())] if back else [])
 
-    return annotate(df, [text], [field("token_ids", T.BinaryType()), field("n_tokens", T.LongType())], compute, keep, SLICE)
+    new = [field("token_ids", T.BinaryType()), field("n_tokens", T.LongType())] + ([field("decoded", T.BinaryType())] if back else [])
+    return annotate(df, [text], new, compute, keep, SLICE)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids") -> DataFrame:

@@ -43,7 +43,7 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
 
 def annotate(df: DataFrame, inputs: list[str], fields: list[T.StructField], compute: Callable, keep: list[str] | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """df (or its columns `keep`) with `fields` appended, which compute(*arrays of the
-    input columns) returns as Arrow arrays, piece by piece. Rows stay in their
+    input columns) returns as Arrow arrays, for about `most` bytes of rows at a time. Rows stay in their
     partition. A column of df with the name of a new field gives way to it, unless it
     is an input: then it is read first."""
     held = [f"in_{i}" for i in range(len(inputs))]

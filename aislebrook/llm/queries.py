@@ -66,9 +66,8 @@ def warc_assembly(spark, sf_dir):
 @query("op3_byte_bpe")
 def byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, BYTE_BPE, public_tokenizers.PATTERN, keep=["doc_id"])
-    decoded = bpe.decode(encoded, BYTE_BPE, public_tokenizers.PATTERN)
-    return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs, BYTE_BPE, public_tokenizers.PATTERN, keep=["doc_id"], back=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op4_quality_rules")
