@@ -90,11 +90,11 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         F.coalesce(named("html"), F.lit("")).alias("html"),
         F.monotonically_increasing_id().alias("row"),
     )
-    rows = rows.withColumn("content", F.sha2(F.col("html"), 256))
+    rows = rows.withColumns({"content": F.sha2(F.col("html"), 256), "digest": F.sha1("html")})
     first = rows.groupBy("content").agg(F.max(F.struct("page_id", "row")).alias("first"))
     rows = rows.join(first, "content")
     again = (F.col("first.row") != F.col("row")) & (F.octet_length("html") >= least_bytes)
-    digest = F.concat(F.lit("sha1:"), base32_of_hex(F.sha1("html")))
+    digest = F.concat(F.lit("sha1:"), base32_of_hex(F.col("digest")))
     response, request = _urn("response", F.col("row")), _urn("request", F.col("row"))
     body = F.when(again, F.lit("")).otherwise(F.col("html"))
     http = F.concat(
@@ -229,6 +229,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, RECORD)
 
 
+def index_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all archives without their payloads, written once."""
+    return materialize(read_archives(spark, path).drop("payload"), "index")
+
+
 def _owners(records: DataFrame) -> DataFrame:
     """(record_id, capture_id) of the requests and metadata that belong to a capture; the
     smallest capture where there are several. Follows links from record to record as far
@@ -254,19 +259,20 @@ def _owners(records: DataFrame) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: its own columns, requests and metadata as arrays of structs
+    """One row per capture from records (RECORD, with or without payload; read several
+    times, so a written index of the archives is best): its own columns, requests and metadata as arrays of structs
     ordered by record id, and part (0, 1, ... where there are more than NESTED of them;
     the capture's columns repeat). Requests and metadata that no link ties to a capture
     come as rows of their own, with null record_id. Repeated records repeat; a record
     without id is a capture of its own or, if no capture, untied."""
     owners = _owners(records)
-    light = ["record_id", "record_type", "target_uri", "date", "fields", "payload"]
+    light = [c for c in ("record_id", "record_type", "target_uri", "date", "fields", "payload") if c in records.columns]
     rest = records.where(~F.col("record_type").isin(*CAPTURES)).select(*light).join(owners, "record_id", "left")
     counts = owners.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NESTED)
     rest = rest.join(counts, "capture_id", "left")
     whole = F.xxhash64("record_id")
     part = F.when(F.col("capture_id").isNull(), whole).otherwise(F.pmod(whole, F.ceil(F.coalesce("n", F.lit(1)) / NESTED)))
-    nested = F.sort_array(F.collect_list(F.struct("record_id", "record_type", "target_uri", "date", "fields", "payload")))
+    nested = F.sort_array(F.collect_list(F.struct(*light)))
     groups = rest.groupBy("capture_id", part.alias("part")).agg(nested.alias("all"))
     groups = groups.select(
         "capture_id",
