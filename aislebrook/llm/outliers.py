@@ -207,14 +207,36 @@ def _grouped(rows: DataFrame) -> DataFrame:
     )
 
 
+def _reach(bins: DataFrame, keys: list[str], share: Column) -> DataFrame:
+    """By keys, the first bin up to which the share of n lies. A group has as many bins
+    as its values have steps, which rows don't add to."""
+    total = bins.groupBy(*keys).agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("all"))
+    reached = F.aggregate(
+        "all",
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("bin")),
+        lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), F.when(a["n"] < F.ceil(share * F.col("total")), b["bin"]).otherwise(a["bin"]).alias("bin")),
+    )["bin"]
+    return total.select(*keys, reached.alias("bin"))
+
+
+def _medians(rows: DataFrame, values: list[Column]) -> DataFrame:
+    """(group, m): the medians of the values by group, to an eighth of a floor."""
+    steps = F.array(*[F.floor(v / (FLOORS[i] / 8)).cast("int") for i, v in enumerate(values)])
+    each = rows.select(*_GROUP, F.posexplode(steps).alias("dim", "bin"))
+    found = _reach(each.groupBy(*_GROUP, "dim", "bin").agg(F.count(F.lit(1)).alias("n")), [*_GROUP, "dim"], F.lit(0.5))
+    width = F.element_at(F.array(*[F.lit(f / 8) for f in FLOORS]), F.col("dim") + 1)
+    listed = found.groupBy(*_GROUP).agg(F.sort_array(F.collect_list(F.struct("dim", ((F.col("bin") + 0.5) * width).alias("v")))).alias("all"))
+    return materialize(listed.select(*_GROUP, F.col("all.v").alias("m")), "medians")
+
+
 def estimate(rows: DataFrame, share: float = SHARE, steps: int = STEPS, tail: float = TAIL) -> DataFrame:
     """(g_lang, g_source, center, inverse) by minimum covariance determinant from rows
     (g_lang, g_source, x array<double>). Starts: 0 the median with each dimension's
     median deviation, 1 the mean and covariance of the nearest half by it, both by group."""
-    median = rows.groupBy(*_GROUP).agg(F.array(*[F.percentile_approx(x, 0.5, 10000) for x in _x()]).alias("center"))
-    away = _joined(rows, median, _GROUP).groupBy(*_GROUP, "center").agg(
-        *[F.percentile_approx(F.abs(_x()[i] - F.col("center")[i]), 0.5, 10000).alias(f"d{i}") for i in range(DIMENSIONS)]
-    )
+    median = _medians(rows, _x()).withColumnRenamed("m", "center")
+    away = _joined(rows, median, _GROUP)
+    spread = _medians(away, [F.abs(_x()[i] - F.col("center")[i]) for i in range(DIMENSIONS)])
+    away = median.join(spread, _GROUP).select(*_GROUP, "center", *[F.col("m")[i].alias(f"d{i}") for i in range(DIMENSIONS)])
     scale = [F.pow(1.4826 * F.col(f"d{i}"), F.lit(2)) + FLOORS[i] ** 2 for i in range(DIMENSIONS)]
     diagonal = F.array(*[1 / scale[i] if i == j else F.lit(0.0) for i, j in _PAIRS])
     whole = away.select(*_GROUP, F.lit(0).alias("start"), "center", diagonal.alias("inverse"), F.lit(0.0).alias("logdet"))
@@ -225,14 +247,7 @@ def estimate(rows: DataFrame, share: float = SHARE, steps: int = STEPS, tail: fl
         near = _joined(rows, fit, _GROUP).withColumn("bin", _bin(_distance(_x(), F.col("center"), F.col("inverse"))))
         bins = near.groupBy(*_GROUP, "start", "bin").agg(*_moments())
         bins = materialize(bins, "bins")
-        total = bins.groupBy(*_GROUP, "start").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("all"))
-        # A group has at most some hundred bins; the first ones that hold the share count.
-        reached = F.aggregate(
-            "all",
-            F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("bin")),
-            lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), F.when(a["n"] < F.ceil(part * F.col("total")), b["bin"]).otherwise(a["bin"]).alias("bin")),
-        )["bin"]
-        cut = total.select(*_GROUP, "start", reached.alias("cut"))
+        cut = _reach(bins.select(*_GROUP, "start", "bin", "n"), [*_GROUP, "start"], part).withColumnRenamed("bin", "cut")
         inner = bins.join(cut, [*_GROUP, "start"]).where("bin <= cut")
         sums = inner.groupBy(*_GROUP, "start").agg(*[F.sum(c).alias(c) for c in bins.columns if c not in (*_GROUP, "start", "bin")])
         fit = materialize(_fits(sums, factor), "fit")
