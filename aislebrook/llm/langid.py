@@ -217,7 +217,7 @@ class Model:
         size = np.where(ends - begins > 1, ends - begins, 0)
         bits = np.zeros((len(texts), len(self.langs)))
         full = np.flatnonzero(size)
-        if len(full):
+        if len(full) and self.langs:
             cost = self.cost(points)
             cuts = np.stack([begins[full], ends[full]], axis=1).ravel()
             bits[full] = np.add.reduceat(cost, cuts, axis=0, dtype=np.float64)[::2] / size[full, None]
