@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 
 from .common import Ragged
 
-# Runs a worker remembers before it begins anew; a longer run is not remembered.
-REMEMBERED = 800_000
+# Runs, and words, that a worker remembers before it begins anew; a longer run is not remembered.
+REMEMBERED = 300_000
+REMEMBERED_WORDS = 600_000
 LONGEST_REMEMBERED = 64
 # Runs given to the library at a time.
 AT_ONCE = 20_000
@@ -97,7 +98,7 @@ class Words:
         new = np.flatnonzero(np.equal(ids, None))
         made = self._encoded(words[new].tolist(), plain=True)
         ids[new] = made
-        if len(self.words) + len(new) > REMEMBERED:
+        if len(self.words) + len(new) > REMEMBERED_WORDS:
             self.words.clear()
         self.words.update(zip(words[new].tolist(), made))
         size = pc.subtract(pc.utf8_length(runs.filter(latin)), pc.utf8_length(bare.filter(latin))).to_numpy()
