@@ -56,6 +56,7 @@ class ReplenishParams:
     trend       None for a constant factor of 1, "observed" for the sales trend
     as_of       planning date; the latest sale when None
     cap_to_warehouse  keep completion steps within what is left in the warehouse row
+    class_limits       "quantile", or "fixed" for the fixed ABC and velocity limits
     quantile_accuracy  None for exact class limits, else as in percentile_approx
     """
 
@@ -72,6 +73,7 @@ class ReplenishParams:
     unit_price: float = 100.0
     exception_styles: tuple[str, ...] = EXCEPTION_STYLES
     cap_to_warehouse: bool = False
+    class_limits: str = "quantile"
     quantile_accuracy: int | None = None
 
     @property

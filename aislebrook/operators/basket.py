@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
@@ -61,14 +62,31 @@ def frequent_itemsets(
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.1, min_lift: float = 1.0) -> DataFrame:
     """Every split of every itemset into antecedents and consequents, with support,
-    confidence, lift, leverage and conviction. itemsets should be a written table."""
-    masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2), F.size("items")).cast("long") - 2)
-    splits = itemsets.where(F.size("items") >= 2).select("items", "freq", "bills", F.explode(masks).alias("mask"))
-
-    def members(wanted: int):
-        return F.filter("items", lambda _, i: F.getbit(F.col("mask"), i) == wanted)
-
-    splits = splits.withColumn("antecedents", members(1)).withColumn("consequents", members(0))
+    confidence, lift, leverage and conviction. itemsets should be a written table.
+
+    Consequents grow by one item at a time: moving an item to them only lowers the
+    confidence, so a split that falls short is not grown, and no itemset is expanded into
+    all its subsets at once."""
+    size = F.size("items")
+    frequent = itemsets.select(F.col("items").alias("antecedents"), F.col("freq").alias("fa"))
+    largest = itemsets.agg(F.max(size)).first()[0] or 0
+    grown = itemsets.where(size >= 2).select("items", "freq", "bills", F.array().cast("array<int>").alias("moved"))
+    levels = []
+    for level in range(1, largest):
+        last = F.coalesce(F.try_element_at("moved", F.lit(-1)), F.lit(-1))
+        more = F.when(last + 1 < size, F.sequence(last + 1, size - 1)).otherwise(F.array().cast("array<int>"))
+        grown = grown.where(size > level).select("items", "freq", "bills", "moved", F.explode(more).alias("next"))
+        grown = grown.withColumn("moved", F.array_append("moved", F.col("next"))).drop("next")
+        rest = F.filter("items", lambda _, i: ~F.array_contains("moved", i))
+        grown = grown.withColumn("antecedents", rest).join(frequent, "antecedents")
+        grown = materialize(grown.where(F.col("freq") / F.col("fa") >= min_confidence).drop("antecedents", "fa"), "rules")
+        if grown.isEmpty():
+            break
+        levels.append(grown)
+    none = itemsets.where(F.lit(False)).select("items", "freq", "bills", F.array().cast("array<int>").alias("moved"))
+    splits = reduce(DataFrame.union, levels, none)
+    splits = splits.withColumn("antecedents", F.filter("items", lambda _, i: ~F.array_contains("moved", i)))
+    splits = splits.withColumn("consequents", F.filter("items", lambda _, i: F.array_contains("moved", i)))
     known = itemsets.select(F.col("items").alias("k"), F.col("freq").alias("f"))
     a = known.toDF("antecedents", "fa")
     c = known.toDF("consequents", "fc")

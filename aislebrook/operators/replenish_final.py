@@ -116,20 +116,20 @@ def with_gender(df: DataFrame, style_master: DataFrame | None) -> DataFrame:
 
 
 def with_classes(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> DataFrame:
-    """ABC_CLASS on sales value (q0.9, q0.7) and VELOCITY_CLASS (q0.7, q0.3); fixed
-    limits with ten rows or fewer. df should be a written table."""
+    """ABC_CLASS on sales value (q0.9, q0.7) and VELOCITY_CLASS (q0.7, q0.3), or
+    by fixed limits, as p.class_limits says. df should be a written table."""
     priced = "UNIT_PRICE" in df.columns
     price = F.col("UNIT_PRICE") if priced else F.lit(p.unit_price)
     df = df.withColumn("SALES_VALUE", F.col("DAILY_SALES") * price)
     # With one price for all, the limits of the value are those of the velocity times it.
     column = "SALES_VALUE" if priced else "DAILY_SALES"
     spec = {"medium": ("DAILY_SALES", 0.3), "fast": ("DAILY_SALES", 0.7), "b": (column, 0.7), "a": (column, 0.9)}
-    cuts = scalars(quantiles(df, spec, count_as="n", accuracy=p.quantile_accuracy))
+    cuts = F.lit(None) if p.class_limits == "fixed" else scalars(quantiles(df, spec, accuracy=p.quantile_accuracy))
     scale = 1.0 if priced else p.unit_price
-    many = F.col("cuts.n") > 10
+    fixed = p.class_limits == "fixed"
 
-    def cut(name: str, small: float, scale: float = 1.0) -> Column:
-        return F.when(many, F.col(f"cuts.{name}") * scale).otherwise(F.lit(small))
+    def cut(name: str, limit: float, scale: float = 1.0) -> Column:
+        return F.lit(limit) if fixed else F.col(f"cuts.{name}") * scale
 
     value, speed = F.col("SALES_VALUE"), F.col("DAILY_SALES")
     abc = F.when(value >= cut("a", 200.0, scale), "A").when(value >= cut("b", 50.0, scale), "B").otherwise("C")

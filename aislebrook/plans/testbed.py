@@ -40,10 +40,6 @@ class Testbed:
     def _lines(self, *columns: str) -> DataFrame:
         """Line items with the order date and the store of the bill."""
         li = self.table("lineitem").select("l_orderkey", "l_partkey", *columns)
-        cores = self.spark.sparkContext.defaultParallelism
-        if len(li.inputFiles()) < cores:
-            # One small input file would keep all that follows in one task.
-            li = li.repartition(cores)
         o = self.table("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("BILL_DATE"))
         c, n = self.table("customer"), self.table("nation")
         stores = c.join(n, c.c_nationkey == n.n_nationkey).select(
@@ -55,10 +51,6 @@ class Testbed:
     def _store() -> Column:
         return F.concat(F.lit("ST"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"))
 
-    @staticmethod
-    def _store() -> Column:
-        return F.concat(F.lit("ST"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"))
-
     @property
     def sales(self) -> DataFrame:
         return self.bills.select(

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import as_date, strip
+from ..functions.text import as_date, as_number, strip
 from ..operators.plan_views import PLAN_COLUMNS, records
 
 # Cell texts read as missing.
@@ -18,19 +18,39 @@ NA_CELLS = [
 
 def csv_scan(spark: SparkSession, paths: str | list[str], *, infer: bool = False, names: list[str] | None = None) -> DataFrame:
     """CSV with a header; every column as text with NA cells NULL. `names` declares the
-    header (no look at the files); `infer` lets Spark derive the types of clean files."""
+    header (no look at the files); `infer` then types each column in which all other
+    cells are numbers: bigint if they are whole and none is missing, else double."""
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
-    if infer:
-        return reader.option("inferSchema", True).option("nullValue", "NA").csv(paths)
     if names:
         reader = reader.schema(", ".join(f"`{n}` string" for n in names))
     df = reader.csv(paths)
-    return df.select(*[F.when(F.col(f"`{c}`").isin(NA_CELLS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    df = df.select(*[F.when(F.col(f"`{c}`").isin(NA_CELLS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return _typed(df) if infer else df
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    if not df.columns:
+        return df
+    seen = []
+    for i, c in enumerate(df.columns):
+        x = F.trim(F.col(f"`{c}`"))
+        whole = x.rlike(r"^[-+]?\d+$") & x.try_cast("bigint").isNotNull()
+        seen += [F.count(x).alias(f"n{i}"), F.count_if(whole).alias(f"w{i}"), F.count(as_number(x)).alias(f"d{i}")]
+    found = df.agg(F.count(F.lit(1)).alias("rows"), *seen).first()
+
+    def typed(i: int, c: str):
+        x = F.col(f"`{c}`")
+        if not found[f"n{i}"] or found[f"d{i}"] < found[f"n{i}"]:
+            return x
+        whole = found[f"w{i}"] == found["rows"]
+        return (F.trim(x).cast("bigint") if whole else as_number(x)).alias(c)
+
+    return df.select(*[typed(i, c) for i, c in enumerate(df.columns)])
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A file or folder by its extension: CSV, else Parquet."""
-    return csv_scan(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
+    """A file or folder by its extension: CSV with typed numbers, else Parquet."""
+    return csv_scan(spark, path, infer=True) if path.endswith(".csv") else spark.read.parquet(path)
 
 
 def path_scan(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:

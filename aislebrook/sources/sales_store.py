@@ -1,11 +1,16 @@
 """Append-only sales table with an upload history.
 
-Rows live in Parquet, partitioned by sale month and batch.  A batch replaces only
-its own partitions, so writing it again after a failure changes nothing.
+Rows live in Parquet, partitioned by sale month, upload and version. An upload is a batch
+number of one origin; delivering it again writes a new version, and readers take the
+version that the history names. So uploads of different origins never meet, a corrected
+delivery leaves no rows of the first, and a write that fails half-way is not seen.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +27,10 @@ class SalesStore:
         self.spark = spark
         self.sales_path, self.history_path = f"{root}/sales", f"{root}/history"
 
-    def append(self, df: DataFrame, source: str, batch: int, kind: str = "sales") -> None:
+    def append(self, df: DataFrame, source: str, batch: int, kind: str = "sales", origin: str | None = None) -> None:
         """Store one batch and note it in the history. Columns the store does not know
-        are left out, columns the batch lacks are NULL."""
+        are left out, columns the batch lacks are NULL. `source` is the file name to note;
+        `origin`, by default the source, says whose batch numbers these are."""
         columns = {c.lower(): c for c in df.columns}
         fields = [f.strip().split(" ", 1) for f in SALES.split(",")]
         rows = df.select(
@@ -34,26 +40,25 @@ class SalesStore:
                 if n != "created_at"
             ]
         )
-        rows = rows.withColumn("created_at", F.current_timestamp())
-        rows = rows.withColumn("sale_month", F.date_format("date", "yyyy-MM")).withColumn("batch", F.lit(batch))
-        self._replace(rows, self.sales_path, "sale_month", "batch")
-        stored = self.spark.read.parquet(self.sales_path).where(F.col("batch") == batch)
+        upload = f"{hashlib.sha256((origin or source).encode()).hexdigest()[:16]}-{batch}"
+        version = uuid.uuid4().hex
+        rows = rows.withColumns({"created_at": F.current_timestamp(), "batch": F.lit(batch).cast("bigint")})
+        rows = rows.withColumns({"sale_month": F.date_format("date", "yyyy-MM"), "upload": F.lit(upload), "version": F.lit(version)})
+        # Rebalanced by month, so that a month is a few large files and a busy one is split.
+        rows.hint("rebalance", F.col("sale_month")).write.mode("append").partitionBy("sale_month", "upload", "version").parquet(self.sales_path)
+        stored = self._stored().where((F.col("upload") == upload) & (F.col("version") == version))
         note = stored.agg(F.count(F.lit(1)).alias("rows_count")).select(
+            F.lit(batch).cast("bigint").alias("batch"),
             F.lit(kind).alias("type"),
             F.lit(source).alias("filename"),
             "rows_count",
             F.lit(len(df.columns)).alias("columns_count"),
             F.current_timestamp().alias("upload_date"),
             F.lit("completed").alias("status"),
-            F.lit(batch).alias("batch"),
+            F.lit(version).alias("version"),
+            F.lit(upload).alias("upload"),
         )
-        self._replace(note, self.history_path, "batch")
-
-    @staticmethod
-    def _replace(df: DataFrame, path: str, *by: str) -> None:
-        # Rebalanced by partition, so that a month is a few large files and a busy one is split.
-        rows = df.hint("rebalance", *[F.col(c) for c in by])
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        note.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload").parquet(self.history_path)
 
     def _read(self, path: str, schema: str) -> DataFrame:
         try:
@@ -63,8 +68,15 @@ class SalesStore:
                 return self.spark.createDataFrame([], schema)
             raise
 
+    def _stored(self) -> DataFrame:
+        return self._read(self.sales_path, SALES + ", batch bigint, sale_month string, upload string, version string")
+
     def rows(self) -> DataFrame:
-        return self._read(self.sales_path, SALES + ", sale_month string, batch bigint")
+        """The rows of the newest version of every upload."""
+        named = self._read(self.history_path, HISTORY + ", version string, upload string").select("upload", "version")
+        return self._stored().join(named, ["upload", "version"], "left_semi").drop("upload", "version").select(
+            *[f.strip().split(" ")[0] for f in SALES.split(",")], "sale_month", "batch"
+        )
 
     def read_all(self) -> DataFrame:
         """All rows by date. The further columns let the sort split a very busy date."""

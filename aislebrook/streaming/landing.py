@@ -14,10 +14,15 @@ from ..sources.sales_store import SalesStore
 STORE_COLUMNS = {"AMOUNT": ["net_amount", "net amount", "amount"], "BILL_NO": ["bill_no", "bill no", "bill number"]}
 
 
-def ingest_batch(store: SalesStore, raw: DataFrame, batch: int, source: str = "landing") -> None:
-    """Clean one batch of raw sales and store it under its batch number. The number
-    names the partitions, so a batch that is delivered again replaces itself."""
-    store.append(clean_sales(raw, keep=STORE_COLUMNS), f"{source}-{batch}", batch)
+def ingest_batch(store: SalesStore, raw: DataFrame, batch: int, source: str = "landing", origin: str | None = None) -> None:
+    """Clean one batch of raw sales and store it as the origin's batch of this number, so
+    a batch that is delivered again replaces itself and no other origin's."""
+    store.append(clean_sales(raw, keep=STORE_COLUMNS), f"{source}-{batch}", batch, origin=origin or source)
+
+
+def stream_origin(query_id: str) -> str:
+    """Whose batch numbers a landing stream's are."""
+    return f"landing {query_id}"
 
 
 def landing_ingest(
@@ -31,8 +36,13 @@ def landing_ingest(
         .schema(", ".join(f"`{n}` string" for n in names))
         .csv(landing)
     )
+    def ingest(df: DataFrame, batch: int) -> None:
+        # The query's id lies in its checkpoint: a new checkpoint counts batches anew.
+        query = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        ingest_batch(store, df, batch, origin=stream_origin(query))
+
     return (
-        raw.writeStream.foreachBatch(lambda df, batch: ingest_batch(store, df, batch))
+        raw.writeStream.foreachBatch(ingest)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

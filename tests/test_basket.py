@@ -88,3 +88,17 @@ def test_report_with_metadata(lines):
     assert set(report) == {"basket_stats", "style_frequent_itemsets", "style_association_rules", "style_common_pairs"}
     r = report["style_association_rules"].first()
     assert r.antecedent_CATEGORY == " + ".join("C" + i for i in r.antecedents)
+
+
+def test_rules_of_a_long_itemset_grow_by_level(spark):
+    import itertools
+
+    from aislebrook.operators.basket import association_rules
+
+    items = [f"i{k:02d}" for k in range(14)]
+    rows = [(list(c), 10 if len(c) > 1 else 100, 1000) for n in (1, 2) for c in itertools.combinations(items, n)]
+    long = [f"j{k:02d}" for k in range(40)]
+    rows += [(long, 5, 1000)] + [([x for x in long if x != y], 50, 1000) for y in long] + [([y], 50, 1000) for y in long]
+    table = spark.createDataFrame(rows, "items array<string>, freq bigint, bills bigint")
+    got = association_rules(table, min_confidence=0.1, min_lift=0.0).collect()
+    assert len(got) == 14 * 13 + 40

@@ -134,7 +134,7 @@ def test_attributes_fall_back_to_the_code(spark):
 
 def test_classes_use_fixed_limits_for_ten_rows_or_fewer(spark):
     small = spark.createDataFrame([(2.0,), (0.6,), (0.2,), (0.05,)], "DAILY_SALES double")
-    got = rows(replenish_final.with_classes(small), "DAILY_SALES", "ABC_CLASS", "VELOCITY_CLASS")
+    got = rows(replenish_final.with_classes(small, ReplenishParams(class_limits="fixed")), "DAILY_SALES", "ABC_CLASS", "VELOCITY_CLASS")
     assert got == [(0.05, "C", "Slow"), (0.2, "C", "Medium"), (0.6, "B", "Fast"), (2.0, "A", "Fast")]
 
 

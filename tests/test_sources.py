@@ -6,7 +6,7 @@ from conftest import rows
 
 from aislebrook.sources import readers, scratch, snapshots
 from aislebrook.sources.sales_store import SalesStore, merge_batches
-from aislebrook.streaming.landing import ingest_batch, landing_ingest
+from aislebrook.streaming.landing import ingest_batch, landing_ingest, stream_origin
 
 HEADER = "Store Code,EBO NAME,SKU,Bill Date,Bill Quantity,Net Amount,Bill No\n"
 
@@ -84,7 +84,9 @@ def test_landing_stream_is_replay_safe(spark, tmp_path):
     names = HEADER.strip().split(",")
 
     def run():
-        landing_ingest(spark, str(landing), names, store, offsets).awaitTermination()
+        query = landing_ingest(spark, str(landing), names, store, offsets)
+        query.awaitTermination()
+        return query.id
 
     lot(landing, "a.csv", "s1,Main,x,2025-01-02,2,10,1", "s1,Main,y,bad,2,10,2")
     run()
@@ -93,12 +95,15 @@ def test_landing_stream_is_replay_safe(spark, tmp_path):
     run()
     assert stored(store) == once
     lot(landing, "b.csv", "s2,Side,x,2025-02-02,1,5,3")
-    run()
+    query = run()
     twice = stored(store)
     assert len(twice) == 2 and store.history().count() == 2
     # The second batch is delivered again, as after a failure before its offsets were noted.
-    ingest_batch(store, readers.csv_scan(spark, str(landing / "b.csv")), 1)
+    ingest_batch(store, readers.csv_scan(spark, str(landing / "b.csv")), 1, origin=stream_origin(query))
     assert stored(store) == twice and store.history().count() == 2
+    # Batch 1 of something else is not this stream's.
+    ingest_batch(store, readers.csv_scan(spark, str(landing / "b.csv")), 1, source="upload")
+    assert len(stored(store)) == 3 and store.history().count() == 3
 
 
 def test_plan_file_has_known_columns_first_and_no_giveaways(spark, tmp_path):
@@ -119,18 +124,39 @@ def test_scratch_is_below_the_configured_folder(spark):
 class _Session:
     """Just what scratch_root asks of a session without the setting."""
 
-    def __init__(self, master):
+    def __init__(self):
         self.conf = self.sparkContext = self
-        self.master, self.applicationId = master, "app-1"
+        self.applicationId = "app-1"
 
     def get(self, key, default=None):
-        return default
+        return "/shared/warehouse/" if key == "spark.sql.warehouse.dir" else default
 
     def getConf(self):
         return self
 
 
-def test_without_the_setting_only_local_sessions_get_a_folder():
-    assert scratch.scratch_root(_Session("local[2]")) == scratch.scratch_root(_Session("local[2]"))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch.scratch_root(_Session("yarn"))
+def test_without_the_setting_scratch_lies_below_the_warehouse():
+    assert scratch.scratch_root(_Session()) == "/shared/warehouse/aislebrook-app-1"
+
+
+def test_csv_numbers_are_typed_whatever_stands_for_missing(spark, tmp_path):
+    cells = [c for c in readers.NA_CELLS if c]
+    (tmp_path / "a.csv").write_text("whole,some,text\n" + "".join(f"{i},{c},x{i}\n{i},1.5,\n" for i, c in enumerate(cells)))
+    df = readers.csv_scan(spark, str(tmp_path / "a.csv"), infer=True)
+    assert dict(df.dtypes) == {"whole": "bigint", "some": "double", "text": "string"}
+    assert df.where("some is null").count() == len(cells)
+    (tmp_path / "s.csv").write_text("date,store,sku,quantity\n2024-01-05,A,k,3\n2024-01-06,B,l,\n")
+    got = readers.path_scan(spark, {"sales": str(tmp_path / "s.csv")})["sales"]
+    assert sorted(r.QUANTITY for r in got.collect()) == [0.0, 3.0]
+
+
+def test_uploads_of_different_origins_do_not_meet_and_corrections_replace(spark, tmp_path):
+    store = SalesStore(spark, str(tmp_path / "store"))
+    lines = spark.createDataFrame([("2024-01-05", "A", "k", 1.0), ("2024-01-06", "A", "l", 2.0)], "date string, store string, sku string, quantity double")
+    store.append(lines, "mail.csv", 1)
+    store.append(lines.limit(1), "landing-1", 1)
+    assert store.rows().count() == 3 and store.history().count() == 2
+    # The same upload with its dates moved to another month leaves nothing of the first.
+    store.append(lines.selectExpr("'2024-02-01' as date", "store", "sku", "quantity"), "mail.csv", 1)
+    assert sorted(str(r.date) for r in store.rows().collect()) == ["2024-01-05", "2024-02-01", "2024-02-01"]
+    assert store.history().count() == 2
