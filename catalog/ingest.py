@@ -14,7 +14,7 @@ from aislebrook.operators import cleaning, plan_views
 from aislebrook.sources import readers, snapshots
 from aislebrook.sources.sales_store import SalesStore, merge_batches
 from aislebrook.sources.scratch import scratch_path
-from aislebrook.streaming.landing import ingest_attachments, ingest_batch, landing_ingest
+from aislebrook.streaming.landing import ingest_attachments, ingest_batch, landing_ingest, stream_origin
 
 from .registry import query, shared
 from .replenish import BASE_SQL, base_plan
@@ -664,7 +664,8 @@ def _(t):
         lot.write.mode("append").option("header", True).option("ignoreTrailingWhiteSpace", False).option(
             "ignoreLeadingWhiteSpace", False
         ).csv(landing)
-        landing_ingest(spark, landing, raw.columns, store, checkpoint).awaitTermination()
-    ingest_batch(store, raw.where(number % 2 == 1), 1)
+        query = landing_ingest(spark, landing, raw.columns, store, checkpoint)
+        query.awaitTermination()
+    ingest_batch(store, raw.where(number % 2 == 1), 1, origin=stream_origin(query.id))
     return by_month(store.rows())
 
