@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
 
-# Below this checked number of distinct values one bucket is enough.
-SINGLE_BUCKET_VALUES = 100_000
 _FAN = 32  # buckets = _FAN * _FAN
 
 
@@ -42,10 +40,9 @@ def ratio(num: Column, den: Column, default: float | None = None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(float(default)))
 
 
-def _placed_values(df: DataFrame, columns: list[str], keys: list[str]) -> tuple[DataFrame, bool]:
-    """keys, __m (index of the column), __v, __n (rows with that value), and whether
-    the values are few; if not, also __b, the range bucket of __v. NULL and NaN are
-    left out."""
+def _placed_values(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """keys, __m (index of the column), __v, __n (rows with that value) and __b, the
+    range bucket of __v. NULL and NaN are left out."""
     cells = [F.struct(F.lit(i).alias("__m"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]
     rows = df.select(*keys, F.explode(F.array(*cells)).alias("__cell")).select(*keys, "__cell.*")
     counts = materialize(
@@ -54,8 +51,6 @@ def _placed_values(df: DataFrame, columns: list[str], keys: list[str]) -> tuple[
         .agg(F.count(F.lit(1)).alias("__n")),
         "values",
     )
-    if counts.count() <= SINGLE_BUCKET_VALUES:
-        return counts, True
     n = _FAN * _FAN
     fine = F.percentile_approx("__v", [i / n for i in range(1, n)], 10 * n)
     splits = scalars(
@@ -66,13 +61,12 @@ def _placed_values(df: DataFrame, columns: list[str], keys: list[str]) -> tuple[
     block = F.size(F.filter("__s.coarse", lambda s: s < F.col("__v")))
     near = F.slice("__s.fine", F.col("__c") * _FAN + 1, F.lit(_FAN))
     inner = F.size(F.filter(near, lambda s: s < F.col("__v")))
-    placed = (
+    return (
         counts.withColumn("__s", splits)
         .withColumn("__c", block)
         .withColumn("__b", F.col("__c") * _FAN + inner)
         .drop("__s", "__c")
     )
-    return placed, False
 
 
 def _bucket_totals(placed: DataFrame, by: list[str]) -> DataFrame:
@@ -99,19 +93,7 @@ def _ranked_values(df: DataFrame, columns: list[str], keys: list[str], wanted: C
     smaller, __total rows and __distinct values of the group. `wanted` keeps only the
     buckets for which it holds, in terms of __before, __bn and __total."""
     by = [*keys, "__m"]
-    placed, few = _placed_values(df, columns, keys)
-    if few:
-        whole = Window.partitionBy(*by)
-        before = whole.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-        return placed.select(
-            *by,
-            "__v",
-            "__n",
-            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__below"),
-            F.count("__n").over(before).alias("__dbelow"),
-            F.sum("__n").over(whole).alias("__total"),
-            F.count("__n").over(whole).alias("__distinct"),
-        )
+    placed = _placed_values(df, columns, keys)
     totals = _bucket_totals(placed, by)
     if wanted is not None:
         totals = totals.where(wanted)

@@ -10,8 +10,8 @@ from ..sources.scratch import materialize
 from . import plan_steps as ps
 from .windows import recent
 
-# Most styles any store may be recommended; also bounds the per-store ranking.
-MOST_STYLES = 20
+# The most styles for a high, good, average and weak store, for `caps`.
+STYLE_CAPS = (20, 15, 10, 8)
 
 
 def style_metrics(
@@ -130,10 +130,14 @@ def _best_first() -> "Window":
 
 
 def store_recommendations(
-    metrics: DataFrame, names: DataFrame | None = None, threshold: float = 60.0
+    metrics: DataFrame,
+    names: DataFrame | None = None,
+    threshold: float = 60.0,
+    caps: tuple[int, int, int, int] | None = None,
 ) -> DataFrame:
     """Per store: efficient styles, category, recommended style count and sales focus.
-    metrics should be a written table."""
+    `caps` bounds the count for high, good, average and weak stores (STYLE_CAPS, say);
+    without it a store may be recommended all its styles. metrics should be a written table."""
     good = F.col("STYLE_EFFICIENCY_SCORE") >= threshold
 
     def mean_good(c: str):
@@ -170,13 +174,14 @@ def store_recommendations(
         .when(middling, F.greatest(eff - 1, one))
         .otherwise(F.greatest(F.floor(eff / 2), one))
     )
-    cap = F.when(high, MOST_STYLES).when(fair, 15).when(middling, 10).otherwise(8)
-    per = per.withColumn("STORE_CATEGORY", category).withColumn(
-        "RECOMMENDED_STYLES", F.greatest(one, F.least(wish, F.least(cap.cast("long"), n)))
-    )
+    most = n
+    if caps is not None:
+        cap = F.when(high, caps[0]).when(fair, caps[1]).when(middling, caps[2]).otherwise(caps[3])
+        most = F.least(cap.cast("long"), n)
+    per = per.withColumn("STORE_CATEGORY", category).withColumn("RECOMMENDED_STYLES", F.greatest(one, F.least(wish, most)))
     per = materialize(per, "stores")
 
-    best = metrics.where(good).withColumn("place", F.row_number().over(_best_first())).where(F.col("place") <= MOST_STYLES)
+    best = metrics.where(good).withColumn("place", F.row_number().over(_best_first()))
     focus = (
         best.join(per.select("STORE", "RECOMMENDED_STYLES"), "STORE")
         .where(F.col("place") <= F.col("RECOMMENDED_STYLES"))
@@ -212,7 +217,6 @@ def style_recommendations(metrics: DataFrame, stores: DataFrame) -> DataFrame:
     """The recommended number of best styles for every store, one row per style."""
     return (
         metrics.withColumn("RANK", F.row_number().over(_best_first()))
-        .where(F.col("RANK") <= MOST_STYLES)
         .join(stores.select("STORE", "STORE_CATEGORY", "RECOMMENDED_STYLES"), "STORE")
         .where(F.col("RANK") <= F.col("RECOMMENDED_STYLES"))
         .select(

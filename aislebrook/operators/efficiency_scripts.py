@@ -180,16 +180,18 @@ def rank_efficiency(
 
 
 TIERS = ["Star Performer", "Strong Performer", "Average Performer", "Weak Performer", "Poor Performer"]
-LEAST_STYLES, MOST_STYLES = 20, 150
+# Fewest and most styles of a store, for `bounds`.
+STYLE_BOUNDS = (20, 150)
 
 
 def _best() -> "Window":
     return Window.partitionBy("STORE").orderBy(F.desc("EFFICIENCY_SCORE"), F.asc("STYLE"))
 
 
-def optimal_style_count(styles: DataFrame) -> DataFrame:
-    """Per store: stars + strong + a share of the average ones, within 20-150, and the
-    revenue the best that many keep. styles should be a written table."""
+def optimal_style_count(styles: DataFrame, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """Per store: stars + strong + a share of the average ones, and the revenue the best
+    that many keep. `bounds` (STYLE_BOUNDS, say) are the fewest and most styles; without
+    them the count is as it comes. styles should be a written table."""
     tier = F.col("PERFORMANCE_TIER")
     per = styles.groupBy("STORE").agg(
         F.min("STORE_NAME").alias("STORE_NAME"),
@@ -203,7 +205,9 @@ def optimal_style_count(styles: DataFrame) -> DataFrame:
     kept = F.col("STAR_PERFORMERS") + F.col("STRONG_PERFORMERS") + F.floor(
         stable(F.col("AVERAGE_PERFORMERS") * share, 12)
     )
-    optimal = F.greatest(F.lit(LEAST_STYLES).cast("long"), F.least(F.lit(MOST_STYLES).cast("long"), kept))
+    optimal = kept
+    if bounds is not None:
+        optimal = F.greatest(F.lit(bounds[0]).cast("long"), F.least(F.lit(bounds[1]).cast("long"), kept))
     per = materialize(
         per.withColumn("OPTIMAL_STYLES", optimal)
         .withColumn("STYLE_REDUCTION", F.col("CURRENT_STYLES") - F.col("OPTIMAL_STYLES"))
@@ -230,7 +234,6 @@ def recommended_portfolio(styles: DataFrame, stores: DataFrame) -> DataFrame:
     """The best OPTIMAL_STYLES styles of every store."""
     return (
         styles.withColumn("RANK", F.row_number().over(_best()))
-        .where(F.col("RANK") <= MOST_STYLES)
         .join(stores.select("STORE", "OPTIMAL_STYLES"), "STORE")
         .where(F.col("RANK") <= F.col("OPTIMAL_STYLES"))
         .drop("OPTIMAL_STYLES")

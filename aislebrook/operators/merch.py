@@ -122,9 +122,12 @@ def monthly_series(df: DataFrame) -> DataFrame:
     )
 
 
-def monthly_pivot(series: DataFrame, styles: list[str]) -> DataFrame:
-    """Month x style units with 0 where nothing sold, for the given styles."""
-    return series.groupBy("month").pivot("STYLE", styles).sum("units_sold").na.fill(0.0, styles)
+def monthly_pivot(series: DataFrame, styles: list[str], other: str = "OTHER") -> DataFrame:
+    """Month x style units with 0 where nothing sold: a column for each given style and
+    one, `other`, for all the rest."""
+    columns = [*styles, other]
+    name = F.when(F.col("STYLE").isin(styles), F.col("STYLE")).otherwise(other)
+    return series.withColumn("STYLE", name).groupBy("month").pivot("STYLE", columns).sum("units_sold").na.fill(0.0, columns)
 
 
 def first_sale(sales: DataFrame, date_col: str = "BILL_DATE") -> DataFrame:

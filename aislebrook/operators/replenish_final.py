@@ -50,26 +50,30 @@ def sku_universe(vel: DataFrame, stock: DataFrame, warehouse: DataFrame) -> Data
     )
 
 
-def store_sku_grid(stock: DataFrame, skus: DataFrame, chunk: int = 1024, salts: int = 64) -> DataFrame:
+def store_sku_grid(stock: DataFrame, skus: DataFrame, chunk: int = 1024, skus_per_key: int = 4096) -> DataFrame:
     """Every stock store with every SKU.
 
     Stores are packed into arrays of about `chunk`, and each SKU row meets the
     arrays through an equality join on (chunk, salt), so the grid needs no cross
-    join and no list of all stores, and its rows spread over all tasks.
+    join and no list of all stores. One join key takes about `skus_per_key` SKUs, so
+    the keys grow with the SKUs and the stores are repeated once per that many.
     """
     stores = stock.where(F.col("STORE").isNotNull()).select("STORE").distinct()
     chunks = stores.agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("c")).scalar()
     n = F.greatest(chunks, F.lit(1))
+    salts = F.greatest(skus.agg(F.ceil(F.count(F.lit(1)) / skus_per_key).cast("int")).scalar(), F.lit(1))
     packs = (
         stores.withColumn("chunk", F.pmod(F.xxhash64("STORE"), n).cast("int"))
         .groupBy("chunk")
         .agg(F.collect_list("STORE").alias("stores"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .withColumn("salts", salts)
+        .select("chunk", "stores", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     )
     return (
         skus.withColumn("n", n)
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .withColumn("salt", F.pmod(F.xxhash64("SKU"), F.lit(salts)).cast("int"))
+        .withColumn("salts", salts)
+        .withColumn("salt", F.pmod(F.xxhash64("SKU"), F.col("salts")).cast("int"))
         .join(packs, ["chunk", "salt"])
         .select(F.explode("stores").alias("STORE"), "SKU")
     )

@@ -30,9 +30,12 @@ def allocate_remainder(df: DataFrame) -> DataFrame:
     return df.withColumn("OPTIMIZED_QTY", got).drop("share", "base", "part")
 
 
-def round_to_packs(df: DataFrame, qty: str = "REPLEN_QTY", pack: int = 6, moq: int = 2, most: int = 100) -> DataFrame:
-    """Whole packs within [moq, most], no more than the warehouse holds; under the MOQ nothing."""
-    packs = F.least(F.greatest(stable_ceil(F.col(qty) / pack) * pack, F.lit(float(moq))), F.lit(float(most)))
+def round_to_packs(df: DataFrame, qty: str = "REPLEN_QTY", pack: int = 6, moq: int = 2, most: int | None = None) -> DataFrame:
+    """Whole packs of at least moq and, where it is given, at most `most`; no more than the
+    warehouse holds; under the MOQ nothing."""
+    packs = F.greatest(stable_ceil(F.col(qty) / pack) * pack, F.lit(float(moq)))
+    if most is not None:
+        packs = F.least(packs, F.lit(float(most)))
     got = F.least(F.when(F.col(qty) > 0, packs).otherwise(0.0), F.col("WAREHOUSE_STOCK"))
     return df.withColumn("FINAL_REPLEN_QTY", F.when(got < moq, 0.0).otherwise(got))
 

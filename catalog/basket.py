@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from aislebrook.operators import basket, cleaning
@@ -175,6 +177,13 @@ def _(t):
     return basket.basket_sizes(t.bills)
 
 
+# The same expressions once more for SKUs, under names of their own.
+_LEVEL_NAMES = r"\b(bi|nb|s[1-4]|fi|b[2-4]|sets|splits|sided|metered|rules|pairs)\b"
+PAIRS = "pairs AS (SELECT x.i AS a, y.i AS b, count(*) AS f FROM bi x JOIN bi y ON x.b = y.b AND x.i < y.i GROUP BY 1, 2)"
+SKU_LEVEL = re.sub(
+    _LEVEL_NAMES, r"sku_\1", f"{SETS.format(item='SKU', src='oct', s='0.01')}, {RULES.format(conf='0.1', lift='1.0')},\n{PAIRS}"
+)
+
 OCT = """oct AS (
   SELECT b.* FROM bills b JOIN style_master g ON b.STYLE = g.STYLE
   WHERE NET_AMOUNT > 0 AND GENDER <> 'FREEBIES' AND BILL_DATE >= DATE '1998-10-01' AND BILL_DATE < DATE '1998-11-01')"""
@@ -186,22 +195,29 @@ OCT = """oct AS (
         BILLS_ALL,
         f"""{OCT}, {SETS.format(item="STYLE", src="oct", s="0.01")}, {RULES.format(conf='0.1', lift='1.0')},
 {SIZES.format(src="oct")},
-pairs AS (SELECT x.i AS a, y.i AS b, count(*) AS f FROM bi x JOIN bi y ON x.b = y.b AND x.i < y.i GROUP BY 1, 2)
+{PAIRS},
+{SKU_LEVEL}
 SELECT 'basket_stats' AS "table", count(*) AS rows, sum(value) AS total FROM sizes
 UNION ALL SELECT 'style_frequent_itemsets', count(*), sum(freq) FROM sets
 UNION ALL SELECT 'style_association_rules', count(*), sum(lift) FROM rules
-UNION ALL SELECT 'style_common_pairs', count(*), sum(f) FROM pairs""",
+UNION ALL SELECT 'style_common_pairs', count(*), sum(f) FROM pairs
+UNION ALL SELECT 'sku_frequent_itemsets', count(*), sum(freq) FROM sku_sets
+UNION ALL SELECT 'sku_association_rules', count(*), sum(lift) FROM sku_rules
+UNION ALL SELECT 'sku_common_pairs', count(*), sum(f) FROM sku_pairs""",
         f="total",
     ),
 )
 def _(t):
     lines = cleaning.enrich_basket(t.bills, t.sku_attributes.select("SKU"), t.style_master, "1998-10")
-    report = basket_report(lines, levels={"style": ("STYLE", ["CATEGORY", "DEPARTMENT"])})
+    report = basket_report(lines)
     measures = {
         "basket_stats": "value",
         "style_frequent_itemsets": "freq",
         "style_association_rules": "lift",
         "style_common_pairs": "frequency",
+        "sku_frequent_itemsets": "freq",
+        "sku_association_rules": "lift",
+        "sku_common_pairs": "frequency",
     }
     out = None
     for name, column in measures.items():

@@ -149,13 +149,15 @@ def _(t):
 @query(
     "q02_duplicate_count",
     q(
-        "s AS (SELECT l_partkey, l_quantity, l_discount FROM lineitem)",
-        "SELECT sum(n - 1) AS duplicate_rows FROM (SELECT count(*) AS n FROM s GROUP BY ALL)",
+        "s AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1)",
+        "SELECT (SELECT count(*) FROM s) - (SELECT count(*) FROM (SELECT DISTINCT * FROM s)) AS duplicate_rows",
         i="duplicate_rows",
-    ).replace("GROUP BY ALL", "GROUP BY l_partkey, l_quantity, l_discount"),
+    ),
 )
 def _(t):
-    return qa.duplicate_count(t.table("lineitem").select("l_partkey", "l_quantity", "l_discount"))
+    # All lines, and every first line once more.
+    lines = t.table("lineitem")
+    return qa.duplicate_count(lines.union(lines.where("l_linenumber = 1")))
 
 
 def _raw_text(t):
@@ -196,8 +198,10 @@ def _(t):
     return qa.mixed_types(_raw_text(t))
 
 
-MAPPING = """a AS (SELECT STORE, min(STORE_NAME) AS n, count(*) AS c FROM sales WHERE STORE <> 'ST007' GROUP BY 1),
-b AS (SELECT STORE, min(STORE_NAME) AS n, count(*) AS c FROM stock WHERE STORE <> 'ST003' GROUP BY 1),
+MAPPING = """a AS (SELECT STORE, min(STORE_NAME) AS n, count(*) AS c FROM
+  (SELECT STORE, STORE_NAME FROM sales UNION ALL SELECT 'ST900', 'NEW' FROM nation) w GROUP BY 1),
+b AS (SELECT STORE, min(STORE_NAME) AS n, count(*) AS c FROM
+  (SELECT STORE, STORE_NAME FROM stock UNION ALL SELECT 'ST901', 'OLD' FROM region) w GROUP BY 1),
 mapping AS (
   SELECT coalesce(a.STORE, b.STORE) AS Store_Code, coalesce(a.n, 'NOT FOUND') AS Sales_Name, coalesce(b.n, 'NOT FOUND') AS Stock_Name,
     CASE WHEN a.STORE IS NULL THEN 'Stock Only' WHEN b.STORE IS NULL THEN 'Sales Only' ELSE 'Matched' END AS Status,
@@ -206,7 +210,12 @@ mapping AS (
 
 
 def _mapping(t):
-    return qa.store_mapping(t.sales.where("STORE <> 'ST007'"), t.stock.where("STORE <> 'ST003'"))
+    # A made-up store on either side, so that all three states occur.
+    def and_one(df, other: str, store: str, name: str):
+        more = t.table(other).select(F.lit(store).alias("STORE"), F.lit(name).alias("STORE_NAME"))
+        return df.select("STORE", "STORE_NAME").union(more)
+
+    return qa.store_mapping(and_one(t.sales, "nation", "ST900", "NEW"), and_one(t.stock, "region", "ST901", "OLD"))
 
 
 @query("q06_store_mapping", q(ALL, f"{MAPPING} SELECT * FROM mapping"))
@@ -261,7 +270,8 @@ def _(t):
     "q09_sku_coverage",
     q(
         ALL,
-        """a AS (SELECT DISTINCT SKU FROM sales WHERE DATE > (SELECT max(DATE) FROM sales) - 90), b AS (SELECT DISTINCT SKU FROM stock),
+        """a AS (SELECT DISTINCT SKU FROM sales),
+b AS (SELECT SKU FROM stock UNION SELECT 'NEW' || SKU FROM warehouse WHERE WAREHOUSE_STOCK > 30),
 c AS (SELECT a.SKU AS x, b.SKU AS y FROM a FULL JOIN b ON a.SKU = b.SKU)
 SELECT count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS common_skus, count(*) AS all_skus,
   count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) / count(*) * 100 AS coverage_pct FROM c""",
@@ -269,7 +279,9 @@ SELECT count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS common_skus, c
     ),
 )
 def _(t):
-    return qa.sku_coverage(recent(t.sales, 90), t.stock)
+    # Made-up SKUs that are held and never sold.
+    new = t.warehouse.where("WAREHOUSE_STOCK > 30").select(F.concat(F.lit("NEW"), "SKU").alias("SKU"))
+    return qa.sku_coverage(t.sales, t.stock.select("SKU").union(new))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from aislebrook.operators import demand, priority
 
 from .registry import query
@@ -119,8 +121,11 @@ def _(t):
     q(
         f"{SALES}, {MASTERS}",
         f"""{RECENT},
-items AS (SELECT a.SKU, a.STYLE, g.GENDER, a.CATEGORY FROM sku_attributes a LEFT JOIN style_master g ON a.STYLE = g.STYLE),
-sold AS (SELECT DISTINCT SKU FROM recent),
+listed AS (
+  SELECT SKU, STYLE, CATEGORY FROM sku_attributes
+  UNION ALL SELECT 'NEW' || SKU, STYLE, CATEGORY FROM sku_attributes WHERE SIZE = 'XS'),
+items AS (SELECT a.SKU, a.STYLE, g.GENDER, a.CATEGORY FROM listed a LEFT JOIN style_master g ON a.STYLE = g.STYLE),
+sold AS (SELECT DISTINCT SKU FROM sales),
 scored AS (
   SELECT n.SKU, c.SKU AS SIMILAR_SKU,
     CASE WHEN n.STYLE = c.STYLE THEN 3 ELSE 0 END + CASE WHEN n.GENDER = c.GENDER THEN 2 ELSE 0 END
@@ -135,10 +140,10 @@ SELECT * FROM ranked WHERE RANK <= 3""",
     ),
 )
 def _(t):
-    from aislebrook.operators.windows import recent
-
-    items = t.sku_attributes.join(t.style_master, "STYLE", "left")
-    return demand.similar_products(items, recent(t.sales, 90), 3)
+    # A made-up SKU that never sold beside each one of size XS.
+    own = t.sku_attributes
+    new = own.where("SIZE = 'XS'").withColumn("SKU", F.concat(F.lit("NEW"), "SKU"))
+    return demand.similar_products(own.union(new).join(t.style_master, "STYLE", "left"), t.sales, 3)
 
 
 PRIORITY = """ss AS (SELECT STORE, sum(QUANTITY) AS q FROM recent GROUP BY 1),

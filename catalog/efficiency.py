@@ -73,6 +73,8 @@ def _(t):
     return ef.style_metrics(t.sales, t.stock, t.sku_master, t.warehouse, t.style_master, DAYS)
 
 
+CAPPED = "least(n, CASE category WHEN 'High Performer' THEN 20 WHEN 'Good Performer' THEN 15 WHEN 'Average Performer' THEN 10 ELSE 8 END)"
+
 E02 = f"""{E01},
 agg AS (
   SELECT STORE, count(*) AS n, count(*) FILTER (WHERE score >= 40) AS eff, sum(ts) AS ts, sum(st) AS st,
@@ -89,7 +91,7 @@ rec AS (
   SELECT *, CAST(greatest(1, least(
     CASE category WHEN 'High Performer' THEN least(eff + 2, n) WHEN 'Good Performer' THEN eff
       WHEN 'Average Performer' THEN greatest(eff - 1, 1) ELSE greatest(eff // 2, 1) END,
-    least(n, CASE category WHEN 'High Performer' THEN 20 WHEN 'Good Performer' THEN 15 WHEN 'Average Performer' THEN 10 ELSE 8 END)
+    n
   )) AS BIGINT) AS recommended FROM cat),
 focus AS (
   SELECT m.STORE, sum(ts) AS f FROM (
@@ -119,6 +121,20 @@ def _(t):
     return ef.store_recommendations(metrics(t), plan_steps.store_names(t.sales, t.stock), THRESHOLD)
 
 
+@query(
+    "e02_store_recommendations_capped",
+    q(
+        ALL,
+        E02.replace("END,\n    n\n  ))", f"END, {CAPPED}))")
+        + " SELECT STORE, STORE_CATEGORY, RECOMMENDED_STYLES, PROJECTED_SALES_FOCUS_PCT FROM store_recs",
+        f="PROJECTED_SALES_FOCUS_PCT",
+    ),
+)
+def _(t):
+    out = ef.store_recommendations(metrics(t), threshold=THRESHOLD, caps=ef.STYLE_CAPS)
+    return out.select("STORE", "STORE_CATEGORY", "RECOMMENDED_STYLES", "PROJECTED_SALES_FOCUS_PCT")
+
+
 E03 = f"""{E02},
 picked AS (
   SELECT m.STORE, r.STORE_CATEGORY, m.STYLE AS RECOMMENDED_STYLE, rn AS RANK, round(score, 2) AS EFFICIENCY_SCORE,
@@ -467,8 +483,8 @@ o0 AS (
     count(*) FILTER (WHERE tier = 'Weak Performer') AS weak, count(*) FILTER (WHERE tier = 'Poor Performer') AS poor
   FROM tiered GROUP BY 1),
 o1 AS (
-  SELECT *, CAST(greatest(20, least(150, star + strong
-    + floor(round(aver * CASE WHEN e >= 50 THEN 0.7 WHEN e >= 30 THEN 0.5 ELSE 0.3 END, 9)))) AS BIGINT) AS opt FROM o0),
+  SELECT *, CAST(star + strong
+    + floor(round(aver * CASE WHEN e >= 50 THEN 0.7 WHEN e >= 30 THEN 0.5 ELSE 0.3 END, 9)) AS BIGINT) AS opt FROM o0),
 port AS (
   SELECT t.*, rn AS RANK FROM (SELECT *, row_number() OVER (PARTITION BY STORE ORDER BY score DESC, STYLE) AS rn FROM tiered) t
   JOIN o1 ON t.STORE = o1.STORE WHERE rn <= opt),
@@ -479,8 +495,8 @@ opt_stores AS (
     opt AS OPTIMAL_STYLES, n - opt AS STYLE_REDUCTION, (n - opt) / n * 100 AS REDUCTION_PERCENTAGE,
     CASE WHEN e >= 50 THEN 'Optimize & Expand' WHEN e >= 30 THEN 'Focus & Improve' ELSE 'Radical Optimization' END
       AS STRATEGY_CATEGORY,
-    k / rev * 100 AS ESTIMATED_REVENUE_RETENTION
-  FROM o1 JOIN kept ON o1.STORE = kept.STORE)"""
+    coalesce(k / rev, 0) * 100 AS ESTIMATED_REVENUE_RETENTION
+  FROM o1 LEFT JOIN kept ON o1.STORE = kept.STORE)"""
 
 
 def optimal_stores(t):
@@ -499,6 +515,20 @@ def _(t):
     return es.optimal_style_count(ranked_styles(t))
 
 
+@query(
+    "e12_optimal_style_count_bounded",
+    q(
+        STYLE_SALES,
+        E12.replace("CAST(star + strong", "greatest(20, least(150, CAST(star + strong").replace("AS BIGINT) AS opt", "AS BIGINT))) AS opt")
+        + " SELECT STORE, OPTIMAL_STYLES, STYLE_REDUCTION, ESTIMATED_REVENUE_RETENTION FROM opt_stores",
+        f="ESTIMATED_REVENUE_RETENTION",
+    ),
+)
+def _(t):
+    out = es.optimal_style_count(ranked_styles(t), es.STYLE_BOUNDS)
+    return out.select("STORE", "OPTIMAL_STYLES", "STYLE_REDUCTION", "ESTIMATED_REVENUE_RETENTION")
+
+
 @query(
     "e12_recommended_portfolio",
     q(

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from aislebrook.functions.stats import month_of, quantiles, ratio, stable, with_dense_rank_desc, with_percent_ranks
 from aislebrook.operators import plan_steps, replenish_final
 from aislebrook.operators.demand import velocity_simple
-from aislebrook.operators.windows import recent
 from aislebrook.sources.scratch import materialize
 
 from .registry import query
@@ -23,6 +22,15 @@ def by_sku(t):
     return t.sales.groupBy("SKU").agg(F.sum("QUANTITY").alias("units"))
 
 
+# The master with a made-up SKU, never sold, beside each of its own.
+WITH_NEW = "items AS (SELECT SKU, STYLE FROM sku_master UNION ALL SELECT 'NEW' || SKU, STYLE FROM sku_master)"
+
+
+def with_new(t):
+    own = t.sku_master.select("SKU", "STYLE")
+    return own.union(own.withColumn("SKU", F.concat(F.lit("NEW"), "SKU")))
+
+
 # --- joins -------------------------------------------------------------------
 
 
@@ -32,13 +40,12 @@ def by_sku(t):
         ALL,
         f"""{BY_SKU}
 SELECT b.SKU, units, STYLE, GENDER, WAREHOUSE_STOCK FROM by_sku b LEFT JOIN sku_master m USING (SKU)
-LEFT JOIN style_master g USING (STYLE) LEFT JOIN (SELECT * FROM warehouse WHERE WAREHOUSE_STOCK > 0) w ON b.SKU = w.SKU""",
+LEFT JOIN style_master g USING (STYLE) LEFT JOIN warehouse w ON b.SKU = w.SKU""",
         f="units WAREHOUSE_STOCK",
     ),
 )
 def _(t):
-    held = t.warehouse.where("WAREHOUSE_STOCK > 0")
-    out = by_sku(t).join(t.sku_master, "SKU", "left").join(t.style_master, "STYLE", "left").join(held, "SKU", "left")
+    out = by_sku(t).join(t.sku_master, "SKU", "left").join(t.style_master, "STYLE", "left").join(t.warehouse, "SKU", "left")
     return out.select("SKU", "units", "STYLE", "GENDER", "WAREHOUSE_STOCK")
 
 
@@ -47,14 +54,14 @@ def _(t):
     q(
         ALL,
         """v AS (SELECT STORE, SKU, sum(QUANTITY) / 90.0 AS d FROM sales WHERE DATE > (SELECT max(DATE) FROM sales) - 90 GROUP BY 1, 2),
-k AS (SELECT STORE, SKU, STOCK FROM stock WHERE STOCK > 4)
+k AS (SELECT STORE, SKU, STOCK FROM stock)
 SELECT coalesce(v.STORE, k.STORE) AS STORE, coalesce(v.SKU, k.SKU) AS SKU, coalesce(d, 0) AS DAILY_SALES, coalesce(STOCK, 0) AS STOCK
 FROM v FULL JOIN k ON v.STORE = k.STORE AND v.SKU = k.SKU""",
         f="DAILY_SALES STOCK",
     ),
 )
 def _(t):
-    return plan_steps.pairs(velocity_simple(t.sales, 90), t.stock.where("STOCK > 4"))
+    return plan_steps.pairs(velocity_simple(t.sales, 90), t.stock)
 
 
 @query(
@@ -81,11 +88,10 @@ def _(t):
 
 @query(
     "j05_semi_join",
-    q(ALL, "SELECT SKU, STYLE FROM sku_master WHERE SKU IN (SELECT SKU FROM sales WHERE DATE > DATE '2001-06-01')"),
+    q(ALL, f"{WITH_NEW} SELECT SKU, STYLE FROM items WHERE SKU IN (SELECT SKU FROM sales)"),
 )
 def _(t):
-    sold = t.sales.where("DATE > DATE '2001-06-01'").select("SKU")
-    return t.sku_master.select("SKU", "STYLE").join(sold, "SKU", "left_semi")
+    return with_new(t).join(t.sales.select("SKU"), "SKU", "left_semi")
 
 
 @query(
@@ -244,39 +250,41 @@ def _(t):
     return p.join(total, "STORE").select("STORE", "STYLE", "units", ratio(F.col("units"), F.col("total")).alias("share"))
 
 
+# The departments with a column of their own; the others share one.
+DEPARTMENTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
+PIVOTED = [*DEPARTMENTS, "OTHER"]
+NAMED = f"CASE WHEN DEPARTMENT IN ({', '.join(map(repr, DEPARTMENTS))}) THEN DEPARTMENT ELSE 'OTHER' END"
+
+
+def _named_departments(t):
+    return t.bills.withColumn("DEPARTMENT", F.expr(NAMED))
+
+
 @query(
     "a08_pivot",
     q(
         BILLS,
         "SELECT strftime(BILL_DATE, '%Y-%m') AS month, "
-        + ", ".join(
-            f"coalesce(sum(BILL_QUANTITY) FILTER (WHERE DEPARTMENT = '{d}'), 0) AS {d}"
-            for d in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-        )
+        + ", ".join(f"coalesce(sum(BILL_QUANTITY) FILTER (WHERE {NAMED} = '{d}'), 0) AS {d}" for d in PIVOTED)
         + " FROM bills GROUP BY 1",
-        f="ECONOMY LARGE MEDIUM PROMO SMALL STANDARD",
+        f=" ".join(PIVOTED),
     ),
 )
 def _(t):
-    cols = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    return t.bills.groupBy(month_of("BILL_DATE").alias("month")).pivot("DEPARTMENT", cols).sum("BILL_QUANTITY").na.fill(0.0, cols)
-
-
-DEPARTMENTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+    lines = _named_departments(t).groupBy(month_of("BILL_DATE").alias("month"))
+    return lines.pivot("DEPARTMENT", PIVOTED).sum("BILL_QUANTITY").na.fill(0.0, PIVOTED)
 
 
 @query(
     "a09_crosstab",
     q(
         BILLS,
-        "SELECT BILL_NO, "
-        + ", ".join(f"CAST(bool_or(DEPARTMENT = '{d}') AS BIGINT) AS {d}" for d in DEPARTMENTS)
-        + " FROM bills GROUP BY 1",
+        "SELECT BILL_NO, " + ", ".join(f"CAST(bool_or({NAMED} = '{d}') AS BIGINT) AS {d}" for d in PIVOTED) + " FROM bills GROUP BY 1",
     ),
 )
 def _(t):
-    present = t.bills.select("BILL_NO", "DEPARTMENT").distinct()
-    return present.groupBy("BILL_NO").pivot("DEPARTMENT", DEPARTMENTS).count().na.fill(0, DEPARTMENTS)
+    present = _named_departments(t).select("BILL_NO", "DEPARTMENT").distinct()
+    return present.groupBy("BILL_NO").pivot("DEPARTMENT", PIVOTED).count().na.fill(0, PIVOTED)
 
 
 @query("a10_value_counts", q(BILLS, "SELECT SIZE, count(*) AS n FROM bills GROUP BY 1"))
@@ -491,17 +499,9 @@ def _(t):
     return by_sku(t).orderBy(F.desc("units"), "SKU").limit(25)
 
 
-@query(
-    "w11_multi_key_sort",
-    q(
-        BILLS,
-        f"{TOTALS}, o AS (SELECT *, row_number() OVER (PARTITION BY STORE ORDER BY units DESC, STYLE) AS place FROM p) SELECT * FROM o",
-        f="units",
-    ),
-)
+@query("w11_multi_key_sort", q(BILLS, f"{TOTALS} SELECT * FROM p ORDER BY STORE, units DESC, STYLE", f="units"))
 def _(t):
-    order = Window.partitionBy("STORE").orderBy(F.desc("units"), F.asc("STYLE"))
-    return store_styles(t).withColumn("place", F.row_number().over(order)).orderBy("STORE", F.desc("units"), "STYLE")
+    return store_styles(t).orderBy("STORE", F.desc("units"), "STYLE")
 
 
 @query(
@@ -521,36 +521,33 @@ def _(t):
 
 
 def _skus(t):
-    early = t.sales.where("DATE < DATE '1995-03-01'").select("SKU").distinct()
-    late = recent(t.sales, 60).select("SKU").distinct()
-    return early, late
+    return with_new(t).select("SKU").distinct(), t.sales.select("SKU").distinct()
 
 
-SETS = """early AS (SELECT DISTINCT SKU FROM sales WHERE DATE < DATE '1995-03-01'),
-late AS (SELECT DISTINCT SKU FROM sales WHERE DATE > (SELECT max(DATE) FROM sales) - 60)"""
+SETS = f"{WITH_NEW}, listed AS (SELECT DISTINCT SKU FROM items), sold AS (SELECT DISTINCT SKU FROM sales)"
 
 
-@query("x01_union_all", q(SALES, f"{SETS}, u AS (SELECT SKU FROM early UNION ALL SELECT SKU FROM late) SELECT * FROM u"))
+@query("x01_union_all", q(ALL, f"{SETS}, u AS (SELECT SKU FROM listed UNION ALL SELECT SKU FROM sold) SELECT * FROM u"))
 def _(t):
     return reduce(lambda a, b: a.unionByName(b), _skus(t))
 
 
-@query("x02_union_distinct", q(SALES, f"{SETS}, u AS (SELECT SKU FROM early UNION SELECT SKU FROM late) SELECT * FROM u"))
+@query("x02_union_distinct", q(ALL, f"{SETS}, u AS (SELECT SKU FROM listed UNION SELECT SKU FROM sold) SELECT * FROM u"))
 def _(t):
-    early, late = _skus(t)
-    return early.union(late).distinct()
+    listed, sold = _skus(t)
+    return listed.union(sold).distinct()
 
 
-@query("x03_intersect", q(SALES, f"{SETS}, u AS (SELECT SKU FROM early INTERSECT SELECT SKU FROM late) SELECT * FROM u"))
+@query("x03_intersect", q(ALL, f"{SETS}, u AS (SELECT SKU FROM listed INTERSECT SELECT SKU FROM sold) SELECT * FROM u"))
 def _(t):
-    early, late = _skus(t)
-    return early.intersect(late)
+    listed, sold = _skus(t)
+    return listed.intersect(sold)
 
 
-@query("x04_except", q(SALES, f"{SETS}, u AS (SELECT SKU FROM early EXCEPT SELECT SKU FROM late) SELECT * FROM u"))
+@query("x04_except", q(ALL, f"{SETS}, u AS (SELECT SKU FROM listed EXCEPT SELECT SKU FROM sold) SELECT * FROM u"))
 def _(t):
-    early, late = _skus(t)
-    return early.subtract(late)
+    listed, sold = _skus(t)
+    return listed.subtract(sold)
 
 
 @query("x05_distinct_by_subset", q(BILLS, "SELECT STYLE, min(CATEGORY) AS CATEGORY, min(DEPARTMENT) AS DEPARTMENT FROM bills GROUP BY 1"))
@@ -562,16 +559,19 @@ def _(t):
     "x06_array_set_operations",
     q(
         BILLS_ALL,
-        """m AS (SELECT STYLE, COLOR, list_sort(list(DISTINCT SIZE)) AS avail FROM sku_master GROUP BY 1, 2),
-s AS (SELECT STYLE, COLOR, list_sort(list(DISTINCT SIZE)) AS sold FROM bills WHERE BILL_DATE >= DATE '2001-06-01' GROUP BY 1, 2)
+        """m AS (SELECT STYLE, COLOR, list_sort(list(DISTINCT SIZE)) AS avail FROM
+  (SELECT STYLE, COLOR, SIZE FROM sku_master UNION ALL SELECT STYLE, COLOR, '6XL' FROM sku_master) w GROUP BY 1, 2),
+s AS (SELECT STYLE, COLOR, list_sort(list(DISTINCT SIZE)) AS sold FROM bills GROUP BY 1, 2)
 SELECT m.STYLE, m.COLOR, array_to_string(list_sort(list_filter(avail, lambda x: NOT list_contains(coalesce(sold, []), x))), ',') AS missing,
   len(avail) AS total, list_has_any(avail, ['2XL', '3XL', '4XL', '5XL']) AS plus
 FROM m LEFT JOIN s ON m.STYLE = s.STYLE AND m.COLOR = s.COLOR""",
     ),
 )
 def _(t):
-    avail = t.sku_master.groupBy("STYLE", "COLOR").agg(F.collect_set("SIZE").alias("avail"))
-    sold = t.bills.where("BILL_DATE >= DATE '2001-06-01'").groupBy("STYLE", "COLOR").agg(F.collect_set("SIZE").alias("sold"))
+    own = t.sku_master.select("STYLE", "COLOR", "SIZE")
+    # A made-up size that never sold.
+    avail = own.union(own.withColumn("SIZE", F.lit("6XL"))).groupBy("STYLE", "COLOR").agg(F.collect_set("SIZE").alias("avail"))
+    sold = t.bills.groupBy("STYLE", "COLOR").agg(F.collect_set("SIZE").alias("sold"))
     gone = F.array_except("avail", F.coalesce("sold", F.array().cast("array<string>")))
     plus = F.array(*map(F.lit, ["2XL", "3XL", "4XL", "5XL"]))
     return avail.join(sold, ["STYLE", "COLOR"], "left").select(

@@ -108,13 +108,15 @@ def _(t):
         """SELECT lower(STORE) AS "Store Code", 'sku  ' || SKU AS "Item SKU",
   CASE WHEN BILL_NO % 7 = 0 OR BILL_NO % 11 = 0 THEN NULL ELSE BILL_DATE END AS "Bill Date",
   CASE WHEN BILL_NO % 13 = 0 THEN 0 WHEN BILL_NO % 17 = 0 THEN -3 ELSE BILL_QUANTITY END AS "Bill Quantity",
-  CASE WHEN BILL_NO % 23 = 0 AND BILL_NO % 19 <> 0 THEN NULL ELSE 'given' END AS "Rate" FROM bills""",
+  CASE WHEN BILL_NO % 19 = 0 THEN 0 WHEN BILL_NO % 23 = 0 THEN NULL ELSE RSP END AS "Rate", lower(STORE_NAME) AS "EBO NAME",
+  CAST(BILL_NO AS VARCHAR) AS "Bill No" FROM bills""",
+        f="Rate",
     ),
 )
 def _(t):
     out = cleaning.coerce_types(raw_sales(t))
-    given = F.when(F.col("Rate").isNotNull(), "given").alias("Rate")
-    return out.select("`Store Code`", "`Item SKU`", "`Bill Date`", "`Bill Quantity`", given)
+    # The rate stays text; as a number it does not depend on how an engine prints doubles.
+    return out.withColumn("Rate", F.col("Rate").cast("double"))
 
 
 @query(

@@ -255,7 +255,7 @@ def _(t):
         ALL,
         f"""{BASE_SQL},
 packed AS (
-  SELECT *, least(CASE WHEN REPLEN_QTY > 0 THEN least(greatest(ceil(round(REPLEN_QTY / 6, 6)) * 6, 2), 100) ELSE 0 END,
+  SELECT *, least(CASE WHEN REPLEN_QTY > 0 THEN greatest(ceil(round(REPLEN_QTY / 6, 6)) * 6, 2) ELSE 0 END,
     WAREHOUSE_STOCK) AS pq FROM base_plan)
 SELECT STORE, SKU, WAREHOUSE_STOCK, REPLEN_QTY, CASE WHEN pq < 2 THEN 0 ELSE pq END AS FINAL_REPLEN_QTY FROM packed""",
         f="WAREHOUSE_STOCK REPLEN_QTY FINAL_REPLEN_QTY",

@@ -26,13 +26,17 @@ def test_store_categories_and_caps(spark):
     lines += [("good", f"a{i}", 5, 1, 65) for i in range(30)]
     lines += [("mean", f"a{i}", 5, 1, 65 if i < 12 else 20) for i in range(30)]
     lines += [("poor", "a", 5, 1, 10), ("poor", "b", 5, 1, 10)]
-    got = {r.STORE: r for r in ef.store_recommendations(metrics(spark, lines)).collect()}
+    capped = ef.store_recommendations(metrics(spark, lines), caps=ef.STYLE_CAPS)
+    got = {r.STORE: r for r in capped.collect()}
     assert [got[s].STORE_CATEGORY for s in ("high", "good", "mean", "poor")] == ef.CATEGORIES
     assert [got[s].RECOMMENDED_STYLES for s in ("high", "good", "mean", "poor")] == [20, 15, 10, 1]
     # A store without any efficient style.
     assert (got["poor"].CURRENT_EFFICIENT_STYLES, got["poor"].AVG_EFFICIENCY_SCORE, got["poor"].PROJECTED_SALES_FOCUS_PCT) == (0, 0.0, 0.0)
-    recs = ef.style_recommendations(metrics(spark, lines), ef.store_recommendations(metrics(spark, lines)))
+    recs = ef.style_recommendations(metrics(spark, lines), capped)
     assert dict(rows(recs.groupBy("STORE").count())) == {"high": 20, "good": 15, "mean": 10, "poor": 1}
+    # Without caps nothing bounds the counts but the store's own styles.
+    recs = ef.style_recommendations(metrics(spark, lines), ef.store_recommendations(metrics(spark, lines)))
+    assert dict(rows(recs.groupBy("STORE").count())) == {"high": 30, "good": 30, "mean": 11, "poor": 1}
 
 
 def test_metrics_of_one_sided_stores(spark):
@@ -69,9 +73,11 @@ def test_rank_analysis_bounds(spark):
     assert styles.where("EFFICIENCY_SCORE < 0 OR EFFICIENCY_SCORE > 100").count() == 0
     mean = styles.agg(F.avg("REVENUE_SCORE")).first()[0]
     assert mean == pytest.approx(31 / 60 * 100)
-    store = es.optimal_style_count(styles).first()
+    store = es.optimal_style_count(styles, es.STYLE_BOUNDS).first()
     assert 20 <= store.OPTIMAL_STYLES <= 30 and 0 < store.ESTIMATED_REVENUE_RETENTION <= 100
-    assert es.recommended_portfolio(styles, es.optimal_style_count(styles)).count() == store.OPTIMAL_STYLES
+    assert es.recommended_portfolio(styles, es.optimal_style_count(styles, es.STYLE_BOUNDS)).count() == store.OPTIMAL_STYLES
+    free = es.optimal_style_count(styles).first()
+    assert free.OPTIMAL_STYLES == free.STAR_PERFORMERS + free.STRONG_PERFORMERS + int(free.AVERAGE_PERFORMERS * (0.7 if free.EFFICIENCY_SCORE >= 50 else 0.5))
 
 
 def test_minmax_analysis_constant_columns(spark):

@@ -186,7 +186,7 @@ def test_completion_passes(spark):
 def test_grid_is_every_store_with_every_sku(spark, chunk):
     st = stock(spark, [(f"S{i}", "x", 1) for i in range(7)])
     skus = spark.createDataFrame([(f"k{i}",) for i in range(5)], "SKU string")
-    got = rows(replenish_final.store_sku_grid(st, skus, chunk, salts=3))
+    got = rows(replenish_final.store_sku_grid(st, skus, chunk, skus_per_key=2))
     assert got == sorted((f"S{i}", f"k{j}") for i in range(7) for j in range(5))
 
 
@@ -206,7 +206,8 @@ def test_variants(spark):
     got = {(s, k): q for s, k, q in rows(replenish_variants.allocate_priority(df), "STORE", "SKU", "FINAL_REPLEN_QTY")}
     assert got == {("A", "s"): 3.0, ("B", "s"): 3.0, ("A", "z"): 2.0, ("A", "o"): 2.0}
     packs = spark.createDataFrame([(1.0, 50.0), (7.0, 50.0), (7.0, 9.0), (200.0, 500.0), (5.0, 1.0), (0.0, 9.0)], "REPLEN_QTY double, WAREHOUSE_STOCK double")
-    assert [r.FINAL_REPLEN_QTY for r in replenish_variants.round_to_packs(packs).collect()] == [6.0, 12.0, 9.0, 100.0, 0.0, 0.0]
+    assert [r.FINAL_REPLEN_QTY for r in replenish_variants.round_to_packs(packs, most=100).collect()] == [6.0, 12.0, 9.0, 100.0, 0.0, 0.0]
+    assert [r.FINAL_REPLEN_QTY for r in replenish_variants.round_to_packs(packs).collect()] == [6.0, 12.0, 9.0, 204.0, 0.0, 0.0]
 
 
 def test_cover_and_need(spark):

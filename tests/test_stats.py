@@ -5,12 +5,6 @@ import pytest
 from aislebrook.functions import stats
 
 
-@pytest.fixture(params=["one bucket", "many buckets"])
-def path(request, monkeypatch):
-    if request.param == "many buckets":
-        monkeypatch.setattr(stats, "SINGLE_BUCKET_VALUES", 0)
-
-
 @pytest.fixture(scope="module")
 def data():
     rng = np.random.default_rng(3)
@@ -21,14 +15,14 @@ def data():
     return pd.DataFrame({"k": k, "v": v})
 
 
-def test_quantiles_match_pandas(spark, data, path):
+def test_quantiles_match_pandas(spark, data):
     df = spark.createDataFrame(data)
     got = stats.quantiles(df, {"a": ("v", 0.3), "b": ("v", 0.5), "c": ("v", 1.0)}, count_as="n").first()
     want = data.v.quantile([0.3, 0.5, 1.0]).tolist()
     assert [got.a, got.b, got.c] == pytest.approx(want) and got.n == len(data)
 
 
-def test_quantiles_per_key(spark, data, path):
+def test_quantiles_per_key(spark, data):
     got = stats.quantiles(spark.createDataFrame(data), {"q": ("v", 0.25)}, ["k"]).toPandas().set_index("k").q
     want = data.groupby("k").v.quantile(0.25)
     pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False)
@@ -39,7 +33,7 @@ def test_quantiles_of_nothing(spark):
     assert got.q is None and got.n == 0
 
 
-def test_percent_and_dense_rank_match_pandas(spark, data, path):
+def test_percent_and_dense_rank_match_pandas(spark, data):
     df = spark.createDataFrame(data.reset_index())
     got = stats.with_percent_ranks(df, {"v": "p"}, keys=["k"])
     got = stats.with_dense_rank_desc(got, "v", "d").toPandas().set_index("index").sort_index()
