@@ -54,7 +54,8 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
 
 
 def store_names(sales: DataFrame, stock: DataFrame) -> DataFrame:
-    """One name per store, the sales name before the stock name."""
+    """One name per store, the sales name before the stock name. Give the sales of the
+    planning window: older lines need not be read for names."""
     parts = [
         df.where(F.col("STORE_NAME").isNotNull()).groupBy("STORE").agg(F.min("STORE_NAME").alias(n))
         for df, n in ((sales, "a"), (stock, "b"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import ReplenishParams
 from . import plan_steps as ps
+from .windows import recent
 
 
 def _sku_stock(warehouse: DataFrame, sku_master: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def needs(
     return (
         df.join(priority.select("STORE", "PRIORITY_SCORE"), "STORE", "left")
         .withColumn("PRIORITY_SCORE", F.coalesce("PRIORITY_SCORE", F.lit(0.0)))
-        .join(ps.store_names(sales, stock), "STORE", "left")
+        .join(ps.store_names(recent(sales, p.period_days, as_of=p.as_of), stock), "STORE", "left")
     )
 
 

@@ -116,6 +116,18 @@ def with_gender(df: DataFrame, style_master: DataFrame | None) -> DataFrame:
     )
 
 
+def sku_facts(
+    skus: DataFrame, sku_master: DataFrame, warehouse: DataFrame, style_master: DataFrame | None = None
+) -> DataFrame:
+    """One row per SKU of `skus`: attributes, gender and warehouse stock. Built on the
+    SKU dimension, so that the pairs are shuffled by SKU once and never by STYLE, where
+    UNKNOWN may own much of them."""
+    facts = with_gender(with_attributes(skus, sku_master), style_master)
+    return facts.join(ps.warehouse_by_sku(warehouse), "SKU", "left").withColumn(
+        "WAREHOUSE_STOCK", F.coalesce("WAREHOUSE_STOCK", F.lit(0.0))
+    )
+
+
 # --- forecast ----------------------------------------------------------------
 
 

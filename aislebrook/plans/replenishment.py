@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..operators import plan_steps as ps
 from ..operators import replenish_base as base
 from ..operators import replenish_final as final
 from ..operators.priority import store_priority
+from ..operators.windows import recent
 from ..sources.scratch import materialize
 
 
@@ -44,22 +46,23 @@ def final_pairs(
     stock: DataFrame,
     warehouse: DataFrame,
     sku_master: DataFrame,
+    style_master: DataFrame | None = None,
     params: ReplenishParams = ReplenishParams(),
 ) -> DataFrame:
-    """Velocity, stock, attributes, warehouse stock and cover per pair, written once."""
+    """Velocity, stock, attributes, gender, warehouse stock and cover per pair, written once."""
     p = with_planning_date(sales, params)
     vel = ps.velocity(sales, p)
     rows = ps.pairs(vel, stock)
+    # Every SKU a pair may have; the warehouse adds its own in the universe.
+    parts = [recent(sales, p.period_days, as_of=p.as_of), stock, *([warehouse] if p.mode == "universe" else [])]
+    skus = reduce(DataFrame.union, [x.select("SKU") for x in parts]).where(F.col("SKU").isNotNull()).distinct()
     if p.mode == "universe":
         grid = final.store_sku_grid(stock, final.sku_universe(vel, stock, warehouse))
         zero = F.lit(0.0)
         rows = grid.join(rows, ["STORE", "SKU"], "left").withColumns(
             {"DAILY_SALES": F.coalesce("DAILY_SALES", zero), "STOCK": F.coalesce("STOCK", zero)}
         )
-    rows = final.with_attributes(rows, sku_master)
-    rows = rows.join(ps.warehouse_by_sku(warehouse), "SKU", "left").withColumn(
-        "WAREHOUSE_STOCK", F.coalesce("WAREHOUSE_STOCK", F.lit(0.0))
-    )
+    rows = rows.join(final.sku_facts(skus, sku_master, warehouse, style_master), "SKU")
     return materialize(ps.with_stock_cover(rows), "pairs")
 
 
@@ -67,18 +70,17 @@ def final_needs(
     pairs: DataFrame,
     sales: DataFrame,
     stock: DataFrame,
-    style_master: DataFrame | None,
     params: ReplenishParams = ReplenishParams(),
 ) -> DataFrame:
-    """Classes, forecast, need, priority, names and gender on written pairs."""
+    """Classes, forecast, need, priority and names on written pairs."""
     p = with_planning_date(sales, params)
     rows = ps.with_need(_forecast(pairs, sales, p), p)
     priority = store_priority(sales, stock, p.period_days, p.as_of).select("STORE", "PRIORITY_SCORE")
     rows = rows.join(priority, "STORE", "left").withColumn(
         "PRIORITY_SCORE", F.coalesce("PRIORITY_SCORE", F.lit(0.0))
     )
-    rows = rows.join(ps.store_names(sales, stock), "STORE", "left")
-    return materialize(final.with_importance(final.with_gender(rows, style_master)), "needs")
+    rows = rows.join(ps.store_names(recent(sales, p.period_days, as_of=p.as_of), stock), "STORE", "left")
+    return materialize(final.with_importance(rows), "needs")
 
 
 def _forecast(pairs: DataFrame, sales: DataFrame, p: ReplenishParams) -> DataFrame:
@@ -96,7 +98,7 @@ def final_allocated(
 ) -> DataFrame:
     """The plan after allocation and size completion, before the closing filter."""
     p = with_planning_date(sales, params)
-    rows = final_needs(final_pairs(sales, stock, warehouse, sku_master, p), sales, stock, style_master, p)
+    rows = final_needs(final_pairs(sales, stock, warehouse, sku_master, style_master, p), sales, stock, p)
     rows = rows.join(final.size_set_bonus(rows), ["STORE", "STYLE", "COLOR"], "left").join(
         final.store_scores(rows), "STORE", "left"
     )

@@ -10,6 +10,7 @@ from ..operators import efficiency as ef
 from ..operators import efficiency_scripts as es
 from ..operators import plan_steps as ps
 from ..operators.quality import required_tables
+from ..operators.windows import recent
 from ..sources.scratch import materialize
 
 
@@ -26,7 +27,8 @@ def style_report(tables: dict[str, DataFrame], days: int = 90, threshold: float
         ),
         "style_metrics",
     )
-    stores = materialize(ef.store_recommendations(metrics, ps.store_names(sales, stock), threshold), "stores")
+    names = ps.store_names(recent(sales, days, as_of=as_of), stock)
+    stores = materialize(ef.store_recommendations(metrics, names, threshold), "stores")
     shown = metrics.withColumns({c: F.round(stable(F.col(c)), 2) for c, t in metrics.dtypes if t == "double"})
     label = F.concat("STORE", F.lit(" - "), F.coalesce("STORE_NAME", F.lit("")))
     return {

@@ -6,31 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.scratch import WrittenOnce
-
 # Sizes in order; a part's size number modulo 9 picks one.
 SIZES = ["XS", "S", "M", "L", "XL", "2XL", "3XL", "4XL", "5XL"]
 
 
-_DERIVED = WrittenOnce()
 _SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
 class Testbed:
-    """Tables of one scale factor.
-
-    Bill lines and stock are joined from the test tables once per application and
-    written to the shared folder; the rest are lazy views.
-    """
+    """Tables of one scale factor, all of them lazy views: a query reads the columns and
+    rows it needs from the given tables."""
 
     __test__ = False
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
-    def _derived(self, name: str, build) -> DataFrame:
-        return _DERIVED.get(self.spark, (self.dir, name), build)
-
     def table(self, name: str) -> DataFrame:
         path = f"{self.dir}/{name}.parquet"
         if (self.dir, name) not in _SCHEMAS:
@@ -78,13 +69,6 @@ class Testbed:
     @property
     def bills(self) -> DataFrame:
         """Bill lines with item attributes and money columns."""
-        return self._derived("bills", self._bills)
-
-    @property
-    def stock(self) -> DataFrame:
-        return self._derived("stock", self._stock)
-
-    def _bills(self) -> DataFrame:
         p = self.table("part").select(
             "p_partkey",
             F.col("p_partkey").cast("string").alias("SKU"),
@@ -132,7 +116,8 @@ class Testbed:
             "NET_AMOUNT",
         )
 
-    def _stock(self) -> DataFrame:
+    @property
+    def stock(self) -> DataFrame:
         pairs = self._lines().select("n_nationkey", "STORE", "STORE_NAME", "l_partkey").distinct()
         v = (F.col("n_nationkey") * 7 + F.col("l_partkey") * 13) % 11
         return pairs.select(

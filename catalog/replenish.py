@@ -473,13 +473,13 @@ FINAL_NUMBERS = (
 
 def final_pairs(t):
     return shared(
-        t, "final_pairs", lambda: plans.final_pairs(t.sales, t.stock, t.warehouse, t.sku_master, FINAL)
+        t, "final_pairs", lambda: plans.final_pairs(t.sales, t.stock, t.warehouse, t.sku_master, t.style_master, FINAL)
     )
 
 
 def final_needs(t):
     return shared(
-        t, "final_needs", lambda: plans.final_needs(final_pairs(t), t.sales, t.stock, t.style_master, FINAL)
+        t, "final_needs", lambda: plans.final_needs(final_pairs(t), t.sales, t.stock, FINAL)
     )
 
 
