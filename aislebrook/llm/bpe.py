@@ -16,7 +16,6 @@ a match of a million bytes costs per byte what a short one does.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Ragged, annotate, field
+from .common import Ragged, annotate, field, remembered
 
 # Matches that a worker remembers before it begins anew.
 REMEMBERED = 600_000
@@ -268,10 +267,9 @@ class Codec:
         return b"".join(map(self.words.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each worker process; its memory lasts over batches and tasks."""
-    return Codec(path, pattern)
+    """The codec of a worker process; its memory lasts over batches and tasks."""
+    return remembered((path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, back: bool = False) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,25 @@ from pyspark.sql import types as T
 
 SLICE_BYTES = 8 << 20
 
+_REMEMBERED: dict[tuple, Any] = {}
+
+
+def remembered(key: tuple, build: Callable[[], Any]):
+    """The one vocabulary that a worker process remembers over batches and tasks;
+    another one takes its place."""
+    if key not in _REMEMBERED:
+        forget()
+        _REMEMBERED[key] = build()
+    return _REMEMBERED[key]
+
+
+def forget() -> None:
+    """Give back what a worker remembers of a stage that is over."""
+    if _REMEMBERED:
+        _REMEMBERED.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
 
 def named(name: str) -> Column:
     """The column of exactly this name, dots and blanks included."""

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, field, named, slices, without
+from .common import annotate, field, forget, named, slices, without
 
 ORDER = 4  # four points of 16 bits are one 64-bit key
 # An n-gram that makes up less than this share of a language's n-grams is left out.
@@ -115,6 +115,7 @@ def _counted(texts: DataFrame, order: int) -> DataFrame:
                     [pa.array([lang] * len(some), pa.string()), pa.array(some.view(np.int64)), pa.array(n[i : i + (1 << 16)])], names=["lang", "gram", "n"]
                 )
 
+        forget()
         for batch in batches:
             for part in slices(batch, _SLICE):
                 by_lang: dict[str, list[str]] = {}
@@ -297,6 +298,7 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        forget()
         model = shared.value
         code = {x: i for i, x in enumerate(model.langs)}
         sums = np.zeros((len(model.langs), 5))
@@ -348,6 +350,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", most_deviations: f
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts):
+        forget()
         model = shared.value
         made = [model.entropies(x) for x in shares([x or "" for x in texts.to_pylist()], _SLICE)]
         size, bits = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])

@@ -9,13 +9,12 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import Ragged
+from .common import Ragged, remembered
 
 # Runs, and words, that a worker remembers before it begins anew; a longer run is not remembered.
 REMEMBERED = 300_000
@@ -150,7 +149,6 @@ class Pieces:
         return Ragged(np.arange(len(ids)), np.arange(len(ids) + 1), ids)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str):
-    """One encoder for each worker process and file: .json by tokenizers, .model by sentencepiece."""
-    return Pieces(path) if path.endswith(".model") else Words(path)
+    """The encoder of a worker process for a file: .json by tokenizers, .model by sentencepiece."""
+    return remembered((path,), lambda: Pieces(path) if path.endswith(".model") else Words(path))
