@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislebrook.operators import efficiency as ef
 from aislebrook.operators import efficiency_scripts as es
 from aislebrook.operators import plan_steps
+from aislebrook.plans.style_report import rank_report, style_report
 
 from .registry import query, shared
 from .sqlbase import ALL, STYLE_SALES, q
@@ -579,3 +583,47 @@ FROM opt_stores""",
 )
 def _(t):
     return es.optimal_summary(optimal_stores(t))
+
+
+def _tables(report, measures):
+    """Rows and a sum for some tables of a report."""
+    parts = [
+        report[name].agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(column).cast("double")).alias("total")).select(
+            F.lit(name).alias("table"), "rows", "total"
+        )
+        for name, column in measures.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "e03_style_report",
+    q(
+        ALL,
+        f"""{E03}
+SELECT 'Store_Recommendations' AS "table", count(*) AS rows, sum(TOTAL_SALES) AS total FROM store_recs
+UNION ALL SELECT 'Style_Performance', count(*), sum(ts) FROM metrics
+UNION ALL SELECT 'Detailed_Style_Recs', count(*), sum(TOTAL_SALES) FROM picked""",
+        f="total",
+    ),
+)
+def _(t):
+    tables = {"sales": t.sales, "stock": t.stock, "warehouse": t.warehouse, "sku_master": t.sku_master, "style_master": t.style_master}
+    measures = {"Store_Recommendations": "TOTAL_SALES", "Style_Performance": "TOTAL_SALES", "Detailed_Style_Recs": "TOTAL_SALES"}
+    return _tables(style_report(tables, DAYS, THRESHOLD), measures)
+
+
+@query(
+    "e12_rank_report",
+    q(
+        STYLE_SALES,
+        f"""{E12}
+SELECT 'Store_Recommendations' AS "table", count(*) AS rows, sum(OPTIMAL_STYLES) AS total FROM opt_stores
+UNION ALL SELECT 'Style_Analysis', count(*), sum(rev) FROM tiered
+UNION ALL SELECT 'Recommended_Portfolio', count(*), sum(RANK) FROM port""",
+        f="total",
+    ),
+)
+def _(t):
+    report = rank_report(t.style_sales, style_stock(t), style_warehouse(t), DAYS)
+    return _tables(report, {"Store_Recommendations": "OPTIMAL_STYLES", "Style_Analysis": "TOTAL_REVENUE", "Recommended_Portfolio": "RANK"})
