@@ -1,11 +1,12 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Texts become lower-case letters with one blank for every run of anything else. Character
-n-grams of the order are counted per language over all training texts; what a language
-uses less often than a share of its n-grams is left out, which bounds a model's size by
-1 / share whatever the corpus. Lower orders use continuation counts, the highest one its
-own. Estimated probabilities, all interpolation done, lie in arrays sorted by n-gram
-hash, one column per language; an n-gram that no language has falls to the next order.
+n-grams of the order are counted per language over all training texts, and none is left
+out. Lower orders use continuation counts, the highest one its own; counts of counts,
+context totals and interpolated probabilities are Spark tables in the shared folder. The
+probabilities, one column per language, reach the workers in parts of bounded size,
+sorted by n-gram hash. The driver holds one part at a time, a worker as many as fit its
+allowance. An n-gram that no language has falls to the next order.
 
 A text's language has the lowest cross-entropy per character. A share of the training
 texts is not counted but calibrates: it gives each language the mean and spread of the
@@ -16,21 +17,25 @@ too many deviations above what its language's texts have, or when it has no lett
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aislebrook.sources.scratch import materialize
+
 from .common import annotate, field, forget, named, slices, without
 
 ORDER = 4  # four points of 16 bits are one 64-bit key
-# An n-gram that makes up less than this share of a language's n-grams is left out.
-LEAST_SHARE = 1e-6
+# Bytes of n-grams and costs in one part of a table, and in the parts that a worker keeps.
+PART_BYTES = 32 << 20
+HELD_BYTES = 128 << 20
 # Deviations above the mean cross-entropy of a language's own texts.
 MOST_DEVIATIONS = 8.0
 UNKNOWN = "und"
@@ -177,12 +182,41 @@ class Table:
         return place
 
 
+@dataclass
+class Parts:
+    """A table of any size, dealt by n-gram modulo the number of parts, each shared on its
+    own. `held` tells whether a worker keeps its parts or reads each again when needed."""
+
+    shared: list[Broadcast]
+    langs: int
+    held: bool
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the keys it has, the costs of those)."""
+        hit = np.zeros(len(keys), bool)
+        costs = np.zeros((len(keys), self.langs), np.float32)
+        of = keys.view(np.int64) % len(self.shared)
+        for i, part in enumerate(self.shared):
+            at = np.flatnonzero(of == i)
+            if not len(at):
+                continue
+            table = part.value
+            place = table.find(keys[at])
+            found = place >= 0
+            hit[at[found]] = True
+            costs[at[found]] = table.costs[place[found]]
+            if not self.held:
+                del table
+                part.__dict__.pop("_value", None)
+        return hit, costs[hit]
+
+
 @dataclass
 class Model:
     order: int
     langs: list[str]
-    tables: list[Table]  # by order, from 1
-    contexts: list[Table]  # by order: bits of the weight that a context gives the next order
+    tables: list[Parts]  # by order, from 1
+    contexts: list[Parts]  # by order: bits of the weight that a context gives the next order
     floor: np.ndarray  # bits of a character that no text has
     mean: np.ndarray  # of a language's own cross-entropies
     spread: np.ndarray  # squared deviations: between texts, and per character
@@ -197,15 +231,13 @@ class Model:
         for order in range(self.order, 0, -1):
             able = todo >= order - 1
             at = todo if able.all() else todo[able]
-            place = self.tables[order - 1].find(_keys(points, None if len(at) == n - order + 1 else at, order))
-            hit = place >= 0
-            out[at[hit] - 1] += self.tables[order - 1].costs[place[hit]]
+            hit, costs = self.tables[order - 1].look(_keys(points, None if len(at) == n - order + 1 else at, order))
+            out[at[hit] - 1] += costs
             missed = at[~hit]
             if order > 1:
                 # What the context leaves to shorter ones.
-                place = self.contexts[order - 1].find(_keys(points, missed - 1, order - 1))
-                seen = place >= 0
-                out[missed[seen] - 1] += self.contexts[order - 1].costs[place[seen]]
+                seen, costs = self.contexts[order - 1].look(_keys(points, missed - 1, order - 1))
+                out[missed[seen] - 1] += costs
             todo = missed if able.all() else np.sort(np.concatenate([todo[~able], missed]))
             if not len(todo):
                 break
@@ -225,39 +257,76 @@ class Model:
         return size, bits
 
 
-def estimate(langs: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray, order: int) -> Model:
-    """Interpolated Kneser-Ney from counts of the highest order: lang is an index into
-    langs, gram a packed key. Each order has one discount, n1 / (n1 + 2 n2)."""
-    grams, row = np.unique(gram, return_inverse=True)
-    n = np.zeros((len(grams), len(langs)))
-    n[row, lang] = count
-    levels = {order: (grams, n)}
+def _each(langs: list[str], value: Callable[[int], Column]) -> Column:
+    return F.array(*[value(i) for i in range(len(langs))])
+
+
+def _parts_of(rows: int, most: int) -> int:
+    """A number of parts of at most about `most` rows that deals packed n-grams evenly: 1
+    or a prime that does not divide 2^16 - 1."""
+    n = -(-rows // most)
+    if n <= 1:
+        return 1
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)) or 65535 % n == 0:
+        n += 1
+    return n
+
+
+def _dealt(table: DataFrame, langs: int, room: int, part_bytes: int) -> tuple[Parts, int]:
+    """A written table (gram, costs array<float>) in shared parts, and its bytes."""
+    rows, width = table.count(), 8 + 4 * langs
+    n = _parts_of(rows, max(1, part_bytes // width))
+    shared = []
+    for i in range(n):
+        part = table if n == 1 else table.where(F.pmod("gram", F.lit(n)) == i)
+        found = part.select("gram", "costs").toArrow().combine_chunks()
+        keys = found["gram"].to_numpy().view(np.uint64)
+        costs = found["costs"].combine_chunks()
+        flat = costs.flatten() if found.num_rows else pa.array([], pa.float32())
+        shared.append(table.sparkSession.sparkContext.broadcast(Table.of(keys, flat.to_numpy().reshape(-1, langs))))
+    return Parts(shared, langs, rows * width <= room), rows * width
+
+
+def estimate(counted: DataFrame, order: int, part_bytes: int = PART_BYTES, held_bytes: int = HELD_BYTES) -> Model:
+    """Interpolated Kneser-Ney from counts (lang, gram, n) of the highest order, gram a
+    packed key. Each order has one discount, n1 / (n1 + 2 n2)."""
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    if not langs:
+        return Model(order, [], [], [], np.empty(0), np.empty(0), np.empty((2, 0)))
+    n = F.col("n")
+    wide = counted.groupBy("gram").agg(_each(langs, lambda i: F.sum(F.when(F.col("lang") == langs[i], n).otherwise(0))).alias("n"))
+    levels = {order: materialize(wide, "grams")}
     for k in range(order - 1, 0, -1):
-        above, counted = levels[k + 1]
-        grams, to = np.unique(above & np.uint64((1 << (16 * k)) - 1), return_inverse=True)
-        made = np.zeros((len(grams), len(langs)))
-        np.add.at(made, to, (counted > 0).astype(float))
-        levels[k] = (grams, made)
-    alphabet = len(levels[1][0])
-    tables, weights, below, lower = [], [], None, None
+        ends = levels[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("gram"))
+        levels[k] = materialize(ends.agg(_each(langs, lambda i: F.sum((n[i] > 0).cast("long"))).alias("n")), "grams")
+    tables, weights, below, room = [], [], None, held_bytes
     for k in range(1, order + 1):
-        grams, counted = levels[k]
-        once, twice = (counted == 1).sum(0), (counted == 2).sum(0)
-        discount = np.clip(np.where(once > 0, once / np.maximum(1, once + 2 * twice), 0.5), 0.1, 0.9)
-        contexts, context = np.unique(grams >> np.uint64(16), return_inverse=True)
-        total, kinds = np.zeros((len(contexts), len(langs))), np.zeros((len(contexts), len(langs)))
-        np.add.at(total, context, counted)
-        np.add.at(kinds, context, (counted > 0).astype(float))
-        base = 1 / (alphabet + 1) if k == 1 else below[np.searchsorted(lower, grams & np.uint64((1 << (16 * (k - 1))) - 1))]
-        t = total[context]
-        share = discount * kinds[context] / np.maximum(t, 1e-12)
-        left = discount * kinds / np.maximum(total, 1e-12)
-        weights.append(Table.of(contexts, -np.log2(np.where(total > 0, left, 1.0)).astype(np.float32)))
-        below = np.where(t > 0, np.maximum(counted - discount, 0) / np.maximum(t, 1e-12) + share * base, base)
-        lower = grams
-        tables.append(Table.of(grams, -np.log2(below).astype(np.float32)))
+        once, twice = levels[k].agg(_each(langs, lambda i: F.sum((n[i] == 1).cast("long"))), _each(langs, lambda i: F.sum((n[i] == 2).cast("long")))).first()
+        once, twice = np.array(once), np.array(twice)
+        discount = np.clip(np.where(once > 0, once / np.maximum(1, once + 2 * twice), 0.5), 0.1, 0.9).tolist()
+        sums = [_each(langs, lambda i: F.sum(n[i])).alias("total"), _each(langs, lambda i: F.sum((n[i] > 0).cast("long"))).alias("kinds")]
+        total, kinds, base = F.col("total"), F.col("kinds"), F.col("base")
         if k == 1:
-            floor = -np.log2(np.where(t[0] > 0, share[0], 1.0) / (alphabet + 1)).astype(np.float32)
+            # One context, the empty one, as constants.
+            rows, *whole = levels[1].agg(F.count(F.lit(1)), *sums).first()
+            given = levels[1].select("*", *[F.lit(x).alias(c) for c, x in zip(("total", "kinds"), whole)], F.array_repeat(F.lit(1 / (rows + 1)), len(langs)).alias("base"))
+            left = [d * b / a if a else 1.0 for d, a, b in zip(discount, *whole)]
+            floor = -np.log2(np.array(left) / (rows + 1)).astype(np.float32)
+            weights.append(None)
+        else:
+            before = F.shiftrightunsigned("gram", 16)
+            contexts = materialize(levels[k].groupBy(before.alias("context")).agg(*sums), "contexts")
+            given = levels[k].withColumn("context", before).withColumn("end", F.col("gram").bitwiseAND(F.lit((1 << (16 * (k - 1))) - 1)))
+            given = given.join(contexts, "context").join(below.select(F.col("gram").alias("end"), F.col("p").alias("base")), "end")
+            cost = _each(langs, lambda i: F.when(total[i] > 0, -F.log2(discount[i] * kinds[i] / total[i])).otherwise(0.0)).cast("array<float>")
+            made, size = _dealt(materialize(contexts.select(F.col("context").alias("gram"), cost.alias("costs")), "weights"), len(langs), room, part_bytes)
+            weights.append(made)
+            room -= size if made.held else 0
+        p = _each(langs, lambda i: F.when(total[i] > 0, (F.greatest(n[i] - discount[i], F.lit(0.0)) + discount[i] * kinds[i] * base[i]) / total[i]).otherwise(base[i]))
+        below = materialize(given.select("gram", p.alias("p")), "shares")
+        made, size = _dealt(below.select("gram", F.transform("p", lambda x: -F.log2(x)).cast("array<float>").alias("costs")), len(langs), room, part_bytes)
+        tables.append(made)
+        room -= size if made.held else 0
     return Model(order, langs, tables, weights, floor, np.zeros(len(langs)), np.ones((2, len(langs))))
 
 
@@ -272,34 +341,28 @@ def shares(texts: list[str], most: int) -> Iterator[list[str]]:
     yield texts[begin:]
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", calibration: Column | None = None, order: int = ORDER, least_share: float = LEAST_SHARE) -> Model:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", calibration: Column | None = None, order: int = ORDER) -> Model:
     """A model from all rows of df that have a text and a language. Rows where
     `calibration` holds calibrate it, the others are counted; without it, a quarter by
-    the text's hash. The driver gathers at most 1 / least_share n-grams per language."""
+    the text's hash. The model has every n-gram of the rows that are counted."""
     rows = df.where(named(text).isNotNull() & named(lang).isNotNull()).select(
         named(lang).cast("string").alias("lang"),
         named(text).alias("text"),
         (F.pmod(F.xxhash64(named(text)), F.lit(4)) == 0 if calibration is None else F.coalesce(calibration, F.lit(False))).alias("aside"),
     )
-    counted = _counted(rows.where("not aside").select("lang", "text"), order)
-    total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counted.join(total, "lang").where(F.col("n") >= F.lit(least_share) * F.col("total"))
-    found = kept.select("lang", "gram", "n").toArrow().sort_by("lang")
-    if not found.num_rows:
-        return Model(order, [], [], [], np.empty(0), np.empty(0), np.empty((2, 0)))
-    names, code = np.unique(found["lang"].to_numpy(), return_inverse=True)
-    model = estimate([str(x) for x in names], code, found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy(), order)
+    counted = materialize(_counted(rows.where("not aside").select("lang", "text"), order), "counts")
+    model = estimate(counted, order)
+    if not model.langs:
+        return model
     return calibrate(model, rows.where("aside").select("lang", "text"))
 
 
 def calibrate(model: Model, rows: DataFrame) -> Model:
     """Means and spreads by language, and the temperature with the least loss, from sums
     over all rows (lang, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         forget()
-        model = shared.value
         code = {x: i for i, x in enumerate(model.langs)}
         sums = np.zeros((len(model.langs), 5))
         loss = np.zeros(len(_TEMPERATURES))
@@ -347,11 +410,9 @@ def identify(df: DataFrame, model: Model, text: str = "text", most_deviations: f
     of lang_pred; 0 for `und`), cross_entropy (bits per character, null for `und`) and
     rejected. Equal cross-entropies go to the language that comes first by name. Nothing
     but the text is looked at; columns of df with the new names are replaced."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts):
         forget()
-        model = shared.value
         made = [model.entropies(x) for x in shares([x or "" for x in texts.to_pylist()], _SLICE)]
         size, bits = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
         some = size > 0 if model.langs else np.zeros(len(size), bool)

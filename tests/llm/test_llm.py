@@ -166,6 +166,46 @@ def test_language_models_are_distributions_and_find_held_out_languages(spark, pr
     assert kept.columns == df.columns and kept.where("doc_id >= 9000").count() == 0
 
 
+def test_language_models_keep_rare_grams_and_are_brute_force(spark):
+    """More than a million n-grams of one language, some of them seen once or twice, in
+    whole tables and in many parts that are read again each time."""
+    texts = [("xx", "tan ber sol " * 9000)] * 12 + [("xx", "quz quz jex"), ("xx", "vok ber"), ("yy", "lla os de lla"), ("yy", "jex os")]
+    df = spark.createDataFrame(texts, "lang string, text string")
+    counts = {"xx": Counter(), "yy": Counter()}
+    for lang, text in texts:
+        line = " " + text.strip() + " "
+        counts[lang].update(line[i : i + 4] for i in range(len(line) - 3))
+    assert sum(counts["xx"].values()) > 1_200_000
+    levels = {}
+    for lang, c in counts.items():
+        levels[lang] = {4: c}
+        for k in (3, 2, 1):
+            levels[lang][k] = Counter(g[1:] for g in levels[lang][k + 1])
+    alphabet = len({g for lang in levels for g in levels[lang][1]})
+
+    def chance(lang, gram):
+        if not gram:
+            return 1 / (alphabet + 1)
+        c = levels[lang][len(gram)]
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1), 0.9)
+        after = [v for g, v in c.items() if g[:-1] == gram[:-1]]
+        lower = chance(lang, gram[1:])
+        return (max(c[gram] - d, 0) + d * len(after) * lower) / sum(after) if after else lower
+
+    def parted():
+        model = langid.estimate(materialize(langid._counted(df, 4), "counts"), 4, part_bytes=200, held_bytes=0)
+        assert len(model.tables[3].shared) > 3 and not model.tables[3].held
+        return model
+
+    for model in (build() for build in (lambda: langid.train(df, calibration=F.lit(False)), parted)):
+        assert model.langs == ["xx", "yy"]
+        for gram in ["tan ", " quz", "quz ", "uz j", "jex ", " vok", "vok ", "k be", "lla ", "a os", "zzzz", "n qu", "jeta", " xyz"]:
+            cost = model.cost(np.array([ord(c) for c in gram], np.uint16))[-1]
+            want = [-np.log2(chance(lang, gram)) for lang in model.langs]
+            assert np.allclose(cost, want, atol=1e-3), gram
+
+
 def test_labellers_find_junk_and_keep_prose(spark, prose):
     rng = random.Random(6)
     junk = [" ".join(rng.choice(["tan", "sol"]) + rng.choice(["###", "%%%"]) for _ in range(80)) for _ in range(15)]
