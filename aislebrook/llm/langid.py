@@ -9,10 +9,13 @@ sorted by n-gram hash. The driver holds one part at a time, a worker as many as
 allowance. An n-gram that no language has falls to the next order.
 
 A text's language has the lowest cross-entropy per character. A share of the training
-texts is not counted but calibrates: it gives each language the mean and spread of the
+texts is not counted but calibrates: it gives each language the centre and spread of the
 cross-entropy of its own texts, and the temperature that turns differences of
-log-likelihood into a probability. A text is rejected when its best cross-entropy lies
-too many deviations above what its language's texts have, or when it has no letter.
+log-likelihood into a probability. Centre and spread are quantiles, read off histograms
+over all calibration texts, so junk among them moves neither as long as it is less than a
+fifth of a language's texts. Languages with few texts share one spread. A text is rejected
+when its best cross-entropy lies too many deviations above what its language's texts have,
+or when it has no letter.
 """
 
 from __future__ import annotations
@@ -36,8 +39,15 @@ ORDER = 4  # four points of 16 bits are one 64-bit key
 # Bytes of n-grams and costs in one part of a table, and in the parts that a worker keeps.
 PART_BYTES = 32 << 20
 HELD_BYTES = 128 << 20
-# Deviations above the mean cross-entropy of a language's own texts.
+# Deviations above the median cross-entropy of a language's own texts.
 MOST_DEVIATIONS = 8.0
+# The deviation is read off at this share of the texts, which is so many normal deviations
+# above the median.
+UPPER_SHARE, UPPER_NORMAL = 0.8, 0.8416
+# Languages with fewer calibration texts share the spread of all such languages.
+LEAST_TEXTS = 30
+# Steps of the histograms to the bit.
+_STEPS = 64
 UNKNOWN = "und"
 _TEMPERATURES = np.round(np.geomspace(1e-3, 1.0, 25), 6)
 _EDGE = 1
@@ -218,7 +228,7 @@ class Model:
     tables: list[Parts]  # by order, from 1
     contexts: list[Parts]  # by order: bits of the weight that a context gives the next order
     floor: np.ndarray  # bits of a character that no text has
-    mean: np.ndarray  # of a language's own cross-entropies
+    center: np.ndarray  # median of a language's own cross-entropies
     spread: np.ndarray  # squared deviations: between texts, and per character
     temperature: float = 1.0
 
@@ -357,14 +367,36 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", calibration: Co
     return calibrate(model, rows.where("aside").select("lang", "text"))
 
 
+def _quantile(bins: dict[int, int], share: float) -> float:
+    """The middle of the step up to which the share of the counts lies."""
+    left = share * sum(bins.values())
+    for x in sorted(bins):
+        left -= bins[x]
+        if left <= 0:
+            break
+    return (x + 0.5) / _STEPS
+
+
+def _spread(bins: dict[int, int], center: float, rate: float) -> tuple[float, float]:
+    """Squared deviations of a histogram, whose texts have 1 / size of `rate` on average:
+    between texts, and per character. Half of the variance is laid on the length: short
+    texts spread more."""
+    var = max(((_quantile(bins, UPPER_SHARE) - center) / UPPER_NORMAL) ** 2, 1e-4)
+    return var, max(var / (2 * rate), 1.0)
+
+
 def calibrate(model: Model, rows: DataFrame) -> Model:
-    """Means and spreads by language, and the temperature with the least loss, from sums
-    over all rows (lang, text)."""
+    """Centres and spreads by language, and the temperature with the least loss, from
+    histograms and sums over all rows (lang, text). Languages with fewer than LEAST_TEXTS
+    texts share the spread of their texts around each one's own median, or where these
+    are too few as well, that of all languages; one without any text has their highest
+    centre. Only a table without any calibration text rejects nothing but texts without
+    letters."""
 
     def run(batches):
         forget()
         code = {x: i for i, x in enumerate(model.langs)}
-        sums = np.zeros((len(model.langs), 5))
+        held: dict[tuple[int, int], list[float]] = {}
         loss = np.zeros(len(_TEMPERATURES))
         for batch in batches:
             for part in slices(batch, _SLICE):
@@ -372,35 +404,49 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
                 size, bits = model.entropies([t for _, t in known])
                 for (a, _), n, row in zip(known, size.tolist(), bits):
                     if n:
-                        x = row[a]
-                        sums[a] += (1, x, x * x, 1 / n, n)
+                        sums = held.setdefault((a, int(row[a] * _STEPS)), [0, 0.0])
+                        sums[0] += 1
+                        sums[1] += 1 / n
                         for i, t in enumerate(_TEMPERATURES):
                             z = -t * n * (row - row.min())
                             loss[i] += np.log(np.exp(z).sum()) - z[a]
-        rows = [(model.langs[i], *x) for i, x in enumerate(sums.tolist())] + [(f"\0{i:02d}", x, 0, 0, 0, 0) for i, x in enumerate(loss.tolist())]
-        columns = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string())] + [pa.array([float(v) for v in c], pa.float64()) for c in columns[1:]], names=list("kabcde"))
-
-    # One row per language and temperature from each task, summed before the driver reads.
-    made = rows.mapInArrow(run, "k string, a double, b double, c double, d double, e double")
-    sums = {r["k"]: r for r in made.groupBy("k").agg(*[F.sum(c).alias(c) for c in "abcde"]).collect()}
-    mean, spread = [], []
-    for lang in model.langs:
-        r = sums.get(lang)
-        n = r["a"] if r else 0
-        if n < 2:
-            mean.append(np.inf)
-            spread.append((1.0, 1.0))
-            continue
-        m = r["b"] / n
-        mean.append(m)
-        # Half of the variance is laid on the length: short texts spread more.
-        var = max(r["c"] / n - m * m, 1e-4)
-        spread.append((var, max(var / (2 * r["d"] / n), 1.0)))
-    model.mean = np.array(mean)
-    model.spread = np.array(spread).T
-    loss = [sums[k]["a"] for k in sorted(x for x in sums if x.startswith("\0"))]
-    model.temperature = float(_TEMPERATURES[int(np.argmin(loss))]) if loss else 1.0
+        # Temperatures have code -1.
+        found = [(a, x, n, r) for (a, x), (n, r) in held.items()] + [(-1, i, 0, x) for i, x in enumerate(loss.tolist())]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["lang", "bin", "n", "x"])
+
+    # A language has as many steps as its cross-entropies reach, which rows don't add to.
+    made = rows.mapInArrow(run, "lang int, bin int, n bigint, x double")
+    bins: list[dict[int, int]] = [{} for _ in model.langs]
+    rates, loss = np.zeros(len(model.langs)), {}
+    for r in made.groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect():
+        if r["lang"] < 0:
+            loss[r["bin"]] = r["x"]
+        else:
+            bins[r["lang"]][r["bin"]] = r["n"]
+            rates[r["lang"]] += r["x"]
+    texts = np.array([sum(b.values()) for b in bins])
+    centers = [_quantile(b, 0.5) if b else None for b in bins]
+
+    def pooled(langs: list[int]) -> tuple[float, float]:
+        away: dict[int, int] = {}
+        for i in langs:
+            for x, n in bins[i].items():
+                at = x - int(centers[i] * _STEPS)
+                away[at] = away.get(at, 0) + n
+        return _spread(away, _quantile(away, 0.5), rates[langs].sum() / texts[langs].sum())
+
+    some = np.flatnonzero(texts).tolist()
+    small = [i for i in some if texts[i] < LEAST_TEXTS]
+    if some:
+        shared = pooled(small if texts[small].sum() >= LEAST_TEXTS else some)
+        spread = [_spread(bins[i], centers[i], rates[i] / texts[i]) if texts[i] >= LEAST_TEXTS else shared for i in range(len(bins))]
+        highest = max(centers[i] for i in some)
+        model.center = np.array([highest if c is None else c for c in centers])
+        model.spread = np.array(spread).T
+    else:
+        model.center = np.full(len(bins), np.inf)
+    model.temperature = float(_TEMPERATURES[min(loss, key=lambda i: (loss[i], i))]) if loss else 1.0
     return model
 
 
@@ -423,7 +469,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", most_deviations: f
             best = bits.argmin(axis=1)
             low = bits[np.arange(len(bits)), best]
             odds = 1 / np.exp(np.maximum(-model.temperature * size[:, None] * (bits - low[:, None]), -700)).sum(axis=1)
-            limit = model.mean[best] + most_deviations * np.sqrt(model.spread[0][best] + model.spread[1][best] / np.maximum(size, 1))
+            limit = model.center[best] + most_deviations * np.sqrt(model.spread[0][best] + model.spread[1][best] / np.maximum(size, 1))
         names = [model.langs[i] if ok else UNKNOWN for i, ok in zip(best, some)]
         return [
             pa.array(names, pa.string()),

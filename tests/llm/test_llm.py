@@ -206,6 +206,26 @@ def test_language_models_keep_rare_grams_and_are_brute_force(spark):
             assert np.allclose(cost, want, atol=1e-3), gram
 
 
+def test_gibberish_among_the_calibration_texts_goes_and_small_languages_reject(spark, prose):
+    """Eight per cent of a language's texts are random letters, and a third language has
+    too few texts for a limit of its own."""
+    rng = random.Random(10)
+    noise = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzéñ") for _ in range(rng.randint(2, 9))) for _ in range(120))
+    rows = [(i, t, lang) for i, t, lang, _ in prose]
+    rows += [(1000 + i, noise(), "xx") for i in range(10)]
+    few = [" ".join(rng.choice(["жук", "дом", "лес", "река"]) for _ in range(100)) for _ in range(6)]
+    rows += [(2000 + i, t, "zz") for i, t in enumerate(few)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    aside = F.col("doc_id") % 2 == 0
+    # Both languages calibrate with half of their texts: those of xx are odd.
+    model = langid.train(df.withColumn("doc_id", F.expr("doc_id div 2")), calibration=aside)
+    assert np.isfinite(model.center).all()
+    odd = spark.createDataFrame([(3000, "".join(rng.choice("абвгдежзиклмнопрст") for _ in range(600)), None)], df.schema)
+    got = {r.doc_id: r.rejected for r in langid.identify(df.union(odd), model).collect()}
+    assert all(got[1000 + i] for i in range(10)) and got[3000]
+    assert not any(r for i, r in got.items() if i < 1000 or 2000 <= i < 3000)
+
+
 def test_labellers_find_junk_and_keep_prose(spark, prose):
     rng = random.Random(6)
     junk = [" ".join(rng.choice(["tan", "sol"]) + rng.choice(["###", "%%%"]) for _ in range(80)) for _ in range(15)]
