@@ -38,8 +38,11 @@ STEPS = 6
 # Groups with fewer rows count among their language's other sources, and such languages
 # among each other: a covariance of as many dimensions needs that many rows.
 LEAST_ROWS = 50
-# Least standard deviation by dimension, in the transformed units.
-FLOORS = [0.05, 0.10, 0.15, 0.15, 0.50]
+# Least standard deviation by dimension, in the transformed units; an estimate above it
+# stays as it is. By the texts' resolution: in a text that hardly passes the base rules,
+# one symbol, one line of eight words that comes twice, or the chance that lies in the
+# mean length of 100 words is no reason for a rejection.
+FLOORS = [0.05, 0.035, 0.07, 0.11, 0.05]
 DIMENSIONS = len(FLOORS)
 _LINE_BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -155,7 +158,7 @@ def _moments() -> list[Column]:
 
 def _fits(sums: DataFrame, factor: float) -> DataFrame:
     """Mean and inverse covariance of each group and start from its sums."""
-    floor = np.array(FLOORS) ** 2
+    floor = np.array(FLOORS)
     columns = ["g_lang", "g_source", "start", "n"] + [f"s{i}" for i in range(DIMENSIONS)] + [f"q{i}{j}" for i, j in _PAIRS]
 
     def run(batches):
@@ -167,7 +170,9 @@ def _fits(sums: DataFrame, factor: float) -> DataFrame:
                 cov = np.empty((DIMENSIONS, DIMENSIONS))
                 for (i, j), q in zip(_PAIRS, r[1 + DIMENSIONS :]):
                     cov[i, j] = cov[j, i] = q / n - mean[i] * mean[j]
-                cov = factor * cov + np.diag(floor)
+                # Only directions in which the group hardly varies, measured in floors, are widened.
+                values, axes = np.linalg.eigh(factor * cov / np.outer(floor, floor))
+                cov = (axes * np.maximum(values, 1.0)) @ axes.T * np.outer(floor, floor)
                 inverse = np.linalg.inv(cov)
                 centers.append(mean.tolist())
                 inverses.append([float(inverse[i, j]) for i, j in _PAIRS])
@@ -237,7 +242,7 @@ def estimate(rows: DataFrame, share: float = SHARE, steps: int = STEPS, tail: fl
     away = _joined(rows, median, _GROUP)
     spread = _medians(away, [F.abs(_x()[i] - F.col("center")[i]) for i in range(DIMENSIONS)])
     away = median.join(spread, _GROUP).select(*_GROUP, "center", *[F.col("m")[i].alias(f"d{i}") for i in range(DIMENSIONS)])
-    scale = [F.pow(1.4826 * F.col(f"d{i}"), F.lit(2)) + FLOORS[i] ** 2 for i in range(DIMENSIONS)]
+    scale = [F.greatest(F.pow(1.4826 * F.col(f"d{i}"), F.lit(2)), F.lit(FLOORS[i] ** 2)) for i in range(DIMENSIONS)]
     diagonal = F.array(*[1 / scale[i] if i == j else F.lit(0.0) for i, j in _PAIRS])
     whole = away.select(*_GROUP, F.lit(0).alias("start"), "center", diagonal.alias("inverse"), F.lit(0.0).alias("logdet"))
     fit = materialize(whole.union(whole.withColumn("start", F.lit(1))), "fit")

@@ -142,6 +142,21 @@ def test_statistics_against_brute_force_and_outliers_go(spark, prose):
     assert outliers.judge(df.limit(0)).count() == 0
 
 
+def test_repetition_alone_goes_in_a_clean_group(spark, prose):
+    """Texts with 40 to 45 % repeated words, which the base rule lets pass."""
+    rows = []
+    for i, text, lang, source in prose:
+        words = text.split()
+        rows.append((i, text, lang, source))
+        if i < 20:
+            unique = [f"{w}{j}" for j, w in enumerate((words * 3)[:112])]
+            rows.append((1000 + i, " ".join(unique + ["tan ber sol solin"] * 21), lang, source))
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    heavy = [got[1000 + i] for i in range(20)]
+    assert all(0.40 <= r.n_repeat_words / r.n_words <= 0.45 and not r.base_failed and not r.kept for r in heavy)
+    assert sum(got[i].kept for i in range(240)) >= 0.99 * 240
+
+
 def test_chi_square_quantiles():
     # Published quantiles.
     assert abs(outliers.chi_square_quantile(0.95, 5) - 11.0705) < 1e-3
