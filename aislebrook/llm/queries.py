@@ -102,7 +102,7 @@ def simhash_groups(spark, sf_dir):
 @query("op8_sharding")
 def shards(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    dealt = sharding.shuffle(docs, 40, seed=20240229, staged=False)
+    dealt = sharding.shuffle(docs, 40, seed=20240229)
     text = F.coalesce(F.col("text"), F.lit(""))
     return dealt.select(
         "doc_id",

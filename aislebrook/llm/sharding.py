@@ -105,47 +105,46 @@ def matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("node").alias("part"), ends.alias("ends"))
 
 
-def shuffle(df: DataFrame, shards: int, seed: int = 0, staged: bool = True, task_rows: int = TASK_ROWS) -> DataFrame:
+def shuffle(df: DataFrame, shards: int, seed: int = 0, task_rows: int = TASK_ROWS) -> DataFrame:
     """df with shard (int, 0 to shards - 1) and slot (long, gapless from 0 in its shard),
     every order of all rows equally likely for a random seed. Shards differ by one row at
     most; with fewer rows than shards the first ones have a row each.
 
     Any columns, null or repeated rows, texts of any length: rows are only moved. An empty
     table gives no rows; columns of df with the two new names are replaced. df is read
-    three times and has to have the same partitions each time: a table scan has (pass
-    staged=False); anything else is written first. Rows that a changed partition would
-    leave without a shard make the job fail."""
+    once: its rows are written in their partitions' random orders, with partition and
+    place, and every pass takes these from there. A row without a shard makes the job fail."""
     own = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     df = df.select(*[named(c) for c in own])
-    if staged:
-        df = materialize(df, "staged")
     names = {}
     for n in ("order", "place", "part", "ends", "bucket", "before", "task", "mix"):
         names[n] = fresh(df, f"{n}_")
     order, place, part, ends, bucket, before, task, mix = (names[n] for n in names)
 
-    counts = df.select(F.spark_partition_id().cast("long").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    # How a table is split can differ from one read to the next, so numbers are stored.
+    numbered = df.withColumn(order, F.rand(seed)).sortWithinPartitions(order).drop(order)
+    numbered = numbered.withColumn(place, F.monotonically_increasing_id()).withColumn(part, F.shiftright(place, 33))
+    numbered = materialize(numbered, "numbered")
+    counts = numbered.groupBy(named(part).alias("part")).agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "partitions")
     rows = counts.agg(F.sum("n")).first()[0] or 0
     dealt = materialize(matrix(counts, shards, seed), "matrix").select(F.col("part").alias(part), F.col("ends").alias(ends))
     buckets = max(1, -(-rows // (shards * task_rows)))
 
     def placed(source: DataFrame) -> DataFrame:
-        local = source.withColumn(order, F.rand(seed)).sortWithinPartitions(order).drop(order)
-        local = local.withColumn(place, F.monotonically_increasing_id()).withColumn(part, F.shiftright(place, 33))
         at = F.col(place).bitwiseAND(F.lit(_PLACE))
         to = F.size(F.filter(F.col(ends), lambda e: e <= at))
-        to = F.when(to < shards, to).otherwise(F.raise_error(F.lit("the table's partitions changed while it was read")).cast("int"))
+        to = F.when(to < shards, to).otherwise(F.raise_error(F.lit("a row has no place in the matrix")).cast("int"))
         second = uniform(F.lit(seed + 1), F.col(place))
-        found = local.join(dealt, part).withColumn("shard", to).withColumn(mix, second)
+        found = source.join(dealt, part, "left").withColumn("shard", to).withColumn(mix, second)
         return found.withColumn(bucket, F.floor(F.col(mix) * buckets).cast("long")).drop(ends, part)
 
     # The light pass: rows by shard and bucket, without the table's columns.
-    sizes = placed(df.select()).groupBy("shard", bucket).agg(F.count(F.lit(1)).alias("n"))
+    sizes = placed(numbered.select(place, part)).groupBy("shard", bucket).agg(F.count(F.lit(1)).alias("n"))
     up_to = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     # One row per bucket here; a shard has as many as it needs tasks.
     begins = materialize(sizes.select("shard", bucket, F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias(before)), "buckets")
     inside = Window.partitionBy("shard", bucket).orderBy(mix, place)
-    ranked = placed(df).withColumn(task, F.row_number().over(inside))
+    ranked = placed(numbered).withColumn(task, F.row_number().over(inside))
     out = ranked.join(begins, ["shard", bucket])
     return out.select(*[named(c) for c in own], "shard", (F.col(before) + F.col(task) - 1).alias("slot"))

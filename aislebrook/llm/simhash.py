@@ -221,11 +221,11 @@ def hex16(code: Column) -> Column:
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """df, a table scan, with one row of each component: the one with the smallest key,
-    the first read of those that share it. A row with a null key stays only where its
-    component has no other."""
+    """df with one row of each component: the one with the smallest key, the first read of
+    those that share it. A row with a null key stays only where its component has no
+    other. df is read once, and its rows are written with their numbers."""
     row = fresh(df, "row")
-    numbered = df.withColumn(row, F.monotonically_increasing_id())
+    numbered = materialize(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
     rows = numbered.select(named(row).alias("r"), named(key).alias("k"), named(text).alias("t"))
     rows = materialize(fingerprints(rows, "t", shingle).select("r", "k", "simhash"), "simhash")
     order = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "r")).alias("best")

@@ -324,6 +324,36 @@ def test_shards_are_exact_and_whole(spark):
     assert sorted(r.shard for r in sharding.shuffle(df.limit(3), 9).collect()) == [0, 1, 2]
 
 
+def test_rows_stay_whole_when_a_table_is_split_otherwise_in_the_next_read(spark, monkeypatch):
+    """Splits follow a setting here, as they follow the executors on a cluster."""
+    path, key = scratch_path(spark, "files"), "spark.sql.files.maxPartitionBytes"
+    docs(spark, [f"text number {i} of its own kind {i * i}" for i in range(120)]).repartition(24).write.parquet(path)
+    whole = spark.conf.get(key)
+
+    def changing(table, label="table"):
+        made = materialize(table, label)
+        spark.conf.set(key, "2k" if spark.conf.get(key) == whole else whole)
+        return made
+
+    try:
+        for module in (sharding, simhash):
+            monkeypatch.setattr(module, "materialize", changing)
+        for first in (whole, "2k"):
+            spark.conf.set(key, first)
+            got = sharding.shuffle(spark.read.parquet(path), 7, seed=3, task_rows=10).collect()
+            assert sorted(r.doc_id for r in got) == list(range(120))
+            by = {}
+            for r in got:
+                by.setdefault(r.shard, []).append(r.slot)
+            assert all(sorted(x) == list(range(len(x))) for x in by.values()) and {len(x) for x in by.values()} == {17, 18}
+            spark.conf.set(key, first)
+            made = simhash.one_of_each(spark.read.parquet(path), radius=0)
+            spark.conf.set(key, "2k" if first == whole else whole)
+            assert sorted(r.doc_id for r in made.collect()) == list(range(120))
+    finally:
+        spark.conf.set(key, whole)
+
+
 def test_communication_matrix_follows_its_law(spark):
     """Mean and variance of a hypergeometric count over many uniform numbers."""
     total, good, drawn, n = 200, 60, 50, 4000
