@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aislebrook.sources.scratch import scratch_path
 
-from . import bpe, langid, outliers, packing, sharding, simhash, tokencache, topk, warc, weaklabels
+from . import bpe, crosspolytope, langid, maxsketch, outliers, packing, periodic, sharding, simhash, tokencache, topk, warc, weaklabels
 from .common import fold
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -134,3 +134,81 @@ def token_counts(spark, sf_dir):
 )
 def nearest(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): with h = crc32(doc_id) and g = h div 10, every tenth document
+    repeats its words from word g % n on, at a distance that leaves 3 + g % 8 periods."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    g = ((h - h % 10) / 10).cast("long")
+
+    def repeated(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(words, lambda x, i: F.get(words, at(i.cast("long")))), " ")).otherwise(F.col("text"))
+
+    words = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    # The words are found once, as the one element that the lambda takes.
+    text = F.when((h % 10 == 0) & F.col("text").isNotNull(), F.element_at(F.transform(words, repeated), 1)).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark, sf_dir):
+    found = periodic.find_runs(planted(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    top = periodic.longest(F.col("runs"))
+    exponent = F.floor(1000 * top["length"] / top["period"]).cast("long")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        exponent.alias("exponent_milli"),
+        F.sha2(periodic.listing(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op12_embedding_groups",
+    """
+    WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    w AS (SELECT *, sqrt(list_inner_product(e, e)) AS s FROM v WHERE e IS NOT NULL AND len(e) > 0
+          AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.r AS a, b.r AS b, b.vec_id FROM w a JOIN w b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) >= 0.9 * a.s * b.s),
+    near(a, b) AS (SELECT a, b FROM l UNION SELECT near.a, l.b FROM near JOIN l ON near.b = l.a),
+    low AS (SELECT near.a, min(v.vec_id) AS vec_id FROM near JOIN v ON v.r = near.b GROUP BY near.a),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+    SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(low.vec_id, v.vec_id)) AS component_id,
+           v.vec_id <= coalesce(low.vec_id, v.vec_id) AS kept
+    FROM v LEFT JOIN low ON v.r = low.a LEFT JOIN n ON v.r = n.a""",
+)
+def embedding_groups(spark, sf_dir):
+    return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+    d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY ALL),
+    c AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM d),
+    w AS (SELECT term, floor(1000 * ln((2 * max(nn) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY term),
+    m AS (SELECT doc_id, 100 - 90 + ((90 * n * nn) // ll) AS m FROM d, c),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+          FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+    r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+    SELECT * FROM r WHERE rank <= 10""",
+)
+def lexical_search(spark, sf_dir):
+    return maxsketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
