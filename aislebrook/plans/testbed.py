@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.files import Files
+
 # Sizes in order; a part's size number modulo 9 picks one.
 SIZES = ["XS", "S", "M", "L", "XL", "2XL", "3XL", "4XL", "5XL"]
 
 
-_SCHEMAS: dict[tuple[str, str], StructType] = {}
+# Schemas by table and what its folder lists: a table rewritten at its path is read anew.
+_SCHEMAS: dict[tuple, StructType] = {}
 
 
 class Testbed:
@@ -24,9 +27,15 @@ class Testbed:
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.dir}/{name}.parquet"
-        if (self.dir, name) not in _SCHEMAS:
-            _SCHEMAS[self.dir, name] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[self.dir, name]).parquet(path)
+        key = (path, Files(self.spark).listing(path))
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+    @property
+    def state(self) -> tuple:
+        """What names the tables as they are now."""
+        return (self.dir, Files(self.spark).listing(self.dir))
 
     def _lines(self, *columns: str) -> DataFrame:
         """Line items with the order date and the store of the bill."""

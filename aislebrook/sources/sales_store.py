@@ -1,31 +1,61 @@
-"""Append-only sales table with an upload history.
+"""Sales table with an upload history, month statistics and a merged view.
 
-Rows live in Parquet, partitioned by sale month, upload and version. An upload is a batch
-number of one origin; delivering it again writes a new version, and readers take the
-version that the history names. So uploads of different origins never meet, a corrected
-delivery leaves no rows of the first, and a write that fails half-way is not seen.
+Rows lie in Parquet, partitioned by sale month, upload and version. An upload is a batch
+number of one origin; delivering it again writes a new version. A commit is one small
+file in the log that says which pieces (month, upload, version) came and which went, with
+each piece's row count, dates and units. Its appearance is the commit: a write that fails
+half-way is not seen, and a reader takes the log as it is when the read is planned, so
+later commits do not change what it reads.
+
+* The summary and the history come from the log alone.
+* `merge()` keeps a second table with the newest batch per key. It rewrites the months
+  that commits since the last merge touched, and there it works out anew only the keys
+  that they hold.
+* `compact()` deletes what commits have taken away longer ago than readers may need, and
+  writes the log anew as one commit.
+
+Appends, merges and compactions of one store follow each other; readers come at any time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import Files
+from .scratch import materialize
+
 SALES = "date date, store string, sku string, quantity double, amount double, bill_no string, created_at timestamp"
 HISTORY = "batch bigint, type string, filename string, rows_count bigint, columns_count int, upload_date timestamp, status string"
+PIECES = ", batch bigint, sale_month string, upload string, version string"
+# What a commit says: a piece of the rows or of the merged table, an upload, a merge (its
+# `rows` is the last commit that it took in), a commit that stands for all before it.
+LOG = (
+    "seq bigint, at timestamp, kind string, added boolean, sale_month string, upload string, version string, rows bigint,"
+    " first date, last date, units double, batch bigint, type string, filename string, columns_count int, status string"
+)
+ROWS, MERGED, UPLOAD, MERGE, WHOLE = "rows", "merged", "upload", "merge", "whole"
+UNDATED = "undated"
 
 # Which stored lines a newer one replaces.
 UPDATE_KEY = ["date", "store", "sku", "bill_no"]
 
 
+def _names(schema: str) -> list[str]:
+    return [f.strip().split(" ")[0] for f in schema.strip(", ").split(",")]
+
+
 class SalesStore:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.sales_path, self.history_path = f"{root}/sales", f"{root}/history"
+        self.spark, self.root = spark, root
+        self.sales_path, self.merged_path, self.log_path = f"{root}/sales", f"{root}/merged", f"{root}/commits"
+
+    # --- writing -------------------------------------------------------------
 
     def append(self, df: DataFrame, source: str, batch: int, kind: str = "sales", origin: str | None = None) -> None:
         """Store one batch and note it in the history. Columns the store does not know
@@ -43,22 +73,113 @@ class SalesStore:
         upload = f"{hashlib.sha256((origin or source).encode()).hexdigest()[:16]}-{batch}"
         version = uuid.uuid4().hex
         rows = rows.withColumns({"created_at": F.current_timestamp(), "batch": F.lit(batch).cast("bigint")})
-        rows = rows.withColumns({"sale_month": F.date_format("date", "yyyy-MM"), "upload": F.lit(upload), "version": F.lit(version)})
+        rows = rows.withColumns({"sale_month": self._month(), "upload": F.lit(upload), "version": F.lit(version)})
+        log = self._log()
+        went = self._live(log, ROWS).where(F.col("upload") == upload)
+        self._write(rows, self.sales_path, ["sale_month", "upload", "version"])
+        pieces = self._measured(self._stored(self.sales_path).where((F.col("upload") == upload) & (F.col("version") == version)), ROWS)
+        note = pieces.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).withColumns(
+            {
+                "kind": F.lit(UPLOAD),
+                "added": F.lit(True),
+                "upload": F.lit(upload),
+                "version": F.lit(version),
+                "batch": F.lit(batch),
+                "type": F.lit(kind),
+                "filename": F.lit(source),
+                "columns_count": F.lit(len(df.columns)),
+                "status": F.lit("completed"),
+            }
+        )
+        self._commit(log, pieces, went, note)
+
+    def merge(self) -> list[str]:
+        """Bring the merged table up to date; the months that were rewritten."""
+        log = self._log()
+        merged = log.where(F.col("kind") == MERGE).agg(F.max("rows")).first()[0] or 0
+        changed = self._changed(log, merged)
+        touched = changed.groupBy("sale_month").agg(F.max("seq").alias("seq")).collect()  # one row per month
+        if not touched:
+            return []
+        months = sorted(r["sale_month"] for r in touched)
+        here = F.col("sale_month").isin(months)
+        pieces = changed.select("sale_month", "upload", "version").distinct()
+        keys = self._stored(self.sales_path).where(here).join(pieces, ["sale_month", "upload", "version"], "left_semi")
+        keys = materialize(keys.select("sale_month", *UPDATE_KEY).distinct(), "keys")
+        version = uuid.uuid4().hex
+        stay = _same_key(self._live_rows(log, MERGED, here), keys, "left_anti")
+        anew = merge_batches(_same_key(self._live_rows(log, ROWS, here), keys, "left_semi"), "update", ["sale_month", *UPDATE_KEY])
+        columns = [*_names(SALES), "batch", "sale_month"]
+        rows = stay.select(*columns).unionByName(anew.select(*columns)).withColumns({"upload": F.lit(MERGED), "version": F.lit(version)})
+        self._write(rows, self.merged_path, ["sale_month", "upload", "version"])
+        made = self._measured(self._stored(self.merged_path).where(F.col("version") == version), MERGED)
+        went = self._live(log, MERGED).where(here)
+        seen = max(r["seq"] for r in touched)
+        note = self.spark.range(1).select(F.lit(MERGE).alias("kind"), F.lit(True).alias("added"), F.lit(seen).alias("rows"))
+        self._commit(log, made, went, note)
+        return months
+
+    def compact(self, grace_seconds: float = 7 * 24 * 3600) -> int:
+        """Delete the pieces that a commit took away more than `grace_seconds` ago, and
+        leave the log as one commit with what is live, what went later, and the merges'
+        state. A read that was planned within that time still finds its files. Returns the
+        number of folders deleted. Pieces that the next merge still has to look at stay."""
+        log = self._log()
+        before = [unquote(f) for f in log.inputFiles()]
+        if not before:
+            return 0
+        old = F.col("at") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(grace_seconds)))
+        merged = log.where(F.col("kind") == MERGE).agg(F.max("rows")).first()[0]
+        keyed = ["kind", "sale_month", "upload", "version"]
+        last = log.where(F.col("kind").isin(ROWS, MERGED)).groupBy(*keyed).agg(F.max_by("added", "seq").alias("added"), F.max("seq").alias("seq"), F.max_by("at", "seq").alias("at"))
+        # Before the first merge there is no merged table that would need to see what went.
+        pending = (F.col("kind") == ROWS) & (F.col("seq") > merged) if merged is not None else F.lit(False)
+        gone = last.where(~F.col("added") & old & ~pending)
+        folders = [(r["kind"], f"sale_month={r['sale_month']}/upload={r['upload']}/version={r['version']}") for r in gone.toLocalIterator()]
+        kept = log.where(F.col("kind").isin(ROWS, MERGED)).join(gone, keyed, "left_anti")
+        notes = log.where(F.col("kind").isin(UPLOAD, MERGE))
+        newest = notes.groupBy("kind", "upload").agg(F.max_by(F.struct(*log.columns), "seq").alias("x")).select("x.*")
+        whole = self.spark.range(1).select(F.lit(WHOLE).alias("kind"))
+        top = log.agg(F.max("seq")).scalar()
+        whole = whole.withColumns({"seq": top, "at": F.current_timestamp(), "added": F.lit(True)})
+        # One file, so that the log changes over at one moment; its rows keep their numbers.
+        out = self._as_log(kept).unionByName(self._as_log(newest)).unionByName(self._as_log(whole))
+        out.coalesce(1).write.mode("append").parquet(self.log_path)
+        files = Files(self.spark)
+        for kind, folder in folders:
+            files.delete(f"{self.sales_path if kind == ROWS else self.merged_path}/{folder}")
+        # Older commits go once no reader can have planned on them.
+        for path in before:
+            if files.age(path) >= grace_seconds:
+                files.delete(path, recursive=False)
+        return len(folders)
+
+    @staticmethod
+    def _month() -> Column:
+        return F.coalesce(F.date_format("date", "yyyy-MM"), F.lit(UNDATED))
+
+    def _write(self, rows: DataFrame, path: str, by: list[str]) -> None:
         # Rebalanced by month, so that a month is a few large files and a busy one is split.
-        rows.hint("rebalance", F.col("sale_month")).write.mode("append").partitionBy("sale_month", "upload", "version").parquet(self.sales_path)
-        stored = self._stored().where((F.col("upload") == upload) & (F.col("version") == version))
-        note = stored.agg(F.count(F.lit(1)).alias("rows_count")).select(
-            F.lit(batch).cast("bigint").alias("batch"),
-            F.lit(kind).alias("type"),
-            F.lit(source).alias("filename"),
-            "rows_count",
-            F.lit(len(df.columns)).alias("columns_count"),
-            F.current_timestamp().alias("upload_date"),
-            F.lit("completed").alias("status"),
-            F.lit(version).alias("version"),
-            F.lit(upload).alias("upload"),
+        rows.hint("rebalance", F.col("sale_month")).write.mode("append").partitionBy(*by).parquet(path)
+
+    def _measured(self, rows: DataFrame, kind: str) -> DataFrame:
+        """The pieces that rows lie in, with their additive statistics."""
+        per = rows.groupBy("sale_month", "upload", "version").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum("quantity").alias("units")
         )
-        note.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload").parquet(self.history_path)
+        return materialize(per.withColumns({"kind": F.lit(kind), "added": F.lit(True)}), "pieces")
+
+    def _as_log(self, df: DataFrame) -> DataFrame:
+        kinds = dict(f.strip().split(" ") for f in LOG.split(","))
+        return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
+
+    def _commit(self, log: DataFrame, came: DataFrame, went: DataFrame, note: DataFrame) -> None:
+        went = went.withColumn("added", F.lit(False))
+        entries = self._as_log(came).unionByName(self._as_log(went)).unionByName(self._as_log(note))
+        seq = F.coalesce(log.agg(F.max("seq")).scalar(), F.lit(0)) + 1
+        entries.withColumns({"seq": seq, "at": F.current_timestamp()}).coalesce(1).write.mode("append").parquet(self.log_path)
+
+    # --- reading -------------------------------------------------------------
 
     def _read(self, path: str, schema: str) -> DataFrame:
         try:
@@ -68,34 +189,76 @@ class SalesStore:
                 return self.spark.createDataFrame([], schema)
             raise
 
-    def _stored(self) -> DataFrame:
-        return self._read(self.sales_path, SALES + ", batch bigint, sale_month string, upload string, version string")
+    def _log(self) -> DataFrame:
+        """The commits as they are now. Entries that a compaction repeats are equal."""
+        return self._read(self.log_path, LOG).distinct()
+
+    def _stored(self, path: str) -> DataFrame:
+        return self._read(path, SALES + PIECES)
+
+    @staticmethod
+    def _live(log: DataFrame, kind: str) -> DataFrame:
+        """The pieces of a kind that have come and not gone, with their statistics."""
+        facts = ["rows", "first", "last", "units"]
+        last = log.where(F.col("kind") == kind).groupBy("kind", "sale_month", "upload", "version").agg(
+            F.max_by("added", "seq").alias("added"), *[F.max(c).alias(c) for c in facts]
+        )
+        return last.where("added")
+
+    @staticmethod
+    def _changed(log: DataFrame, seq: int) -> DataFrame:
+        return log.where((F.col("kind") == ROWS) & (F.col("seq") > seq))
+
+    def _live_rows(self, log: DataFrame, kind: str, where: Column | None = None) -> DataFrame:
+        """Rows of the live pieces. The log was listed before the files, so every piece it
+        names is there."""
+        stored = self._stored(self.sales_path if kind == ROWS else self.merged_path)
+        live = self._live(log, kind).select("sale_month", "upload", "version")
+        if where is not None:
+            stored, live = stored.where(where), live.where(where)
+        return stored.join(live, ["sale_month", "upload", "version"], "left_semi").drop("upload", "version")
 
     def rows(self) -> DataFrame:
         """The rows of the newest version of every upload."""
-        named = self._read(self.history_path, HISTORY + ", version string, upload string").select("upload", "version")
-        return self._stored().join(named, ["upload", "version"], "left_semi").drop("upload", "version").select(
-            *[f.strip().split(" ")[0] for f in SALES.split(",")], "sale_month", "batch"
-        )
+        return self._live_rows(self._log(), ROWS).select(*_names(SALES), "sale_month", "batch")
 
     def read_all(self) -> DataFrame:
         """All rows by date. The further columns let the sort split a very busy date."""
         return self.rows().orderBy("date", "store", "sku", "bill_no")
 
+    def month_statistics(self) -> DataFrame:
+        """sale_month, rows, first, last and units, from the log."""
+        live = self._live(self._log(), ROWS)
+        return live.groupBy("sale_month").agg(F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("units").alias("units"))
+
     def summary(self) -> DataFrame:
-        """Row count, first and last date; 'N/A' when there are none."""
+        """Row count, first and last date, 'N/A' when there are none; no row is read."""
         none = F.lit("N/A")
-        return self.rows().agg(
-            F.count(F.lit(1)).alias("total_rows"),
-            F.coalesce(F.min("date").cast("string"), none).alias("min_date"),
-            F.coalesce(F.max("date").cast("string"), none).alias("max_date"),
+        return self._live(self._log(), ROWS).agg(
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
+            F.coalesce(F.min("first").cast("string"), none).alias("min_date"),
+            F.coalesce(F.max("last").cast("string"), none).alias("max_date"),
         )
 
     def merged(self, how: str = "append") -> DataFrame:
-        return merge_batches(self.rows().drop("sale_month"), how)
+        """append: all rows; dedupe: without exact repeats; update: the newest batch per
+        key, from the merged table and, for months that changed after the last merge, from
+        their rows."""
+        if how != "update":
+            return merge_batches(self.rows().drop("sale_month"), how)
+        log = self._log()
+        seen = F.coalesce(log.where(F.col("kind") == MERGE).agg(F.max("rows")).scalar(), F.lit(0))
+        late = log.where((F.col("kind") == ROWS) & (F.col("seq") > seen)).select("sale_month").distinct()
+        done = self._live_rows(log, MERGED).join(late, "sale_month", "left_anti")
+        anew = merge_batches(self._live_rows(log, ROWS).join(late, "sale_month", "left_semi"), "update")
+        columns = [*_names(SALES), "batch"]
+        return done.select(*columns).unionByName(anew.select(*columns))
 
     def history(self) -> DataFrame:
-        return self._read(self.history_path, HISTORY)
+        newest = self._log().where(F.col("kind") == UPLOAD).groupBy("upload").agg(F.max_by(F.struct(*_names(LOG)), "seq").alias("x"))
+        return newest.select(
+            "x.batch", "x.type", "x.filename", F.col("x.rows").alias("rows_count"), "x.columns_count", F.col("x.at").alias("upload_date"), "x.status"
+        )
 
     def latest_uploads(self) -> DataFrame:
         """Uploads, rows and the newest file per type."""
@@ -113,6 +276,15 @@ class SalesStore:
         )
 
 
+def _same_key(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """rows with (left_semi) or without (left_anti) a key in `keys`; NULL equals NULL."""
+    k = keys.select(*[F.col(c).alias(f"__{c}") for c in keys.columns])
+    on = F.lit(True)
+    for c in keys.columns:
+        on &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(k, on, how)
+
+
 def merge_batches(rows: DataFrame, how: str, key: list[str] | None = None, batch: str = "batch") -> DataFrame:
     """append: all rows; update: rows of the newest batch per key; dedupe: without
     exact repeats (batch and load time aside).
@@ -135,4 +307,3 @@ def merge_batches(rows: DataFrame, how: str, key: list[str] | None = None, batch
             on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
         return rows.join(newest, on, "left_semi")
     raise ValueError(f"unknown merge: {how}")
-

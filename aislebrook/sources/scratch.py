@@ -12,14 +12,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from .files import Files
+
 _CONF = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, or below the warehouse where
-    that is not set. Executors have to share either."""
+    that is not set. Executors have to share either: on a cluster a warehouse that lies on
+    the driver's own disk is refused."""
     sc = spark.sparkContext
-    base = sc.getConf().get(_CONF) or spark.conf.get(_CONF, "") or spark.conf.get("spark.sql.warehouse.dir")
+    base = sc.getConf().get(_CONF) or spark.conf.get(_CONF, "")
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        one_machine = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        if not one_machine and (base.startswith("file:") or "://" not in base):
+            raise RuntimeError(f"set {_CONF} to a folder that all executors share: {base} is local to one machine")
     return f"{base.rstrip('/')}/aislebrook-{sc.applicationId}"
 
 
@@ -57,5 +65,4 @@ class WrittenOnce:
 
 def remove_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    Files(spark).delete(scratch_root(spark))

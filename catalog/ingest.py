@@ -431,6 +431,29 @@ def _(t):
     return units.withColumn("central", central).withColumn("datasets", F.lit(len(tables)))
 
 
+@query(
+    "i05_snapshot_versions",
+    q(
+        ALL,
+        """SELECT 'first' AS reader, count(*) AS rows, sum(STOCK) AS units FROM stock
+UNION ALL SELECT 'second', count(*), sum(STOCK + 1) FROM stock WHERE STOCK > 0""",
+        f="units",
+    ),
+)
+def _(t):
+    """A reader keeps the snapshot that it opened while another one is published."""
+    root = scratch_path(t.spark, "snapshot")
+    snapshots.write_snapshot({"stock": t.stock}, root, "2025-11-03T00:00:00")
+    first = snapshots.read_snapshot(t.spark, root)["stock"]
+    snapshots.write_snapshot({"stock": t.stock.where("STOCK > 0").withColumn("STOCK", F.col("STOCK") + 1)}, root, "2025-11-04T00:00:00")
+    second = snapshots.read_snapshot(t.spark, root)["stock"]
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("rows"), F.sum("STOCK").alias("units")).select(F.lit(name).alias("reader"), "rows", "units")
+        for name, df in (("first", first), ("second", second))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "i06_snapshot_info",
     q(
@@ -444,32 +467,40 @@ def _(t):
     return info.select("datasets", "total_rows", (F.col("total_size_mb") > 0).alias("sized"), "last_updated")
 
 
-_STORES: dict[tuple[str, str], SalesStore] = {}
+_STORES: dict[tuple, SalesStore] = {}
 
 
 def filled_store(t) -> SalesStore:
     """Two uploads: bills up to 1998, then bills from 1998 on with 1998 corrected; the
-    second is delivered twice. Filled once per application."""
-    key = (t.spark.sparkContext.applicationId, t.dir)
+    second is delivered twice, and the merged table made in between and after. Filled once
+    per application."""
+    key = (t.spark.sparkContext.applicationId, t.state)
     if key not in _STORES:
         _STORES[key] = _fill_store(t)
     return _STORES[key]
 
 
-def _fill_store(t) -> SalesStore:
-    store = SalesStore(t.spark, scratch_path(t.spark, "store"))
-    lines = t.bills.select(
+def store_lines(t):
+    return t.bills.select(
         F.col("BILL_DATE").alias("date"),
         F.col("STORE").alias("store"),
         F.col("SKU").alias("sku"),
         F.col("BILL_QUANTITY").alias("quantity"),
         F.col("NET_AMOUNT").alias("amount"),
         F.col("BILL_NO").cast("string").alias("bill_no"),
+        month_of("BILL_DATE").alias("sale_month"),
     )
+
+
+def _fill_store(t) -> SalesStore:
+    store = SalesStore(t.spark, scratch_path(t.spark, "store"))
+    lines = store_lines(t).drop("sale_month")
     store.append(lines.where("date < DATE '1999-01-01'"), "first.csv", 1)
     again = lines.where("date >= DATE '1998-01-01'").withColumn("quantity", F.col("quantity") + 1)
     store.append(again, "second.csv", 2)
+    store.merge()
     store.append(again, "second.csv", 2)
+    store.merge()
     return store
 
 
@@ -525,6 +556,65 @@ def _(t):
     return rows.groupBy(month_of("date").alias("month")).agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"))
 
 
+@query(
+    "i10_update_one_month",
+    q(
+        BILLS,
+        f"""{STORED},
+third AS (SELECT * FROM stored UNION ALL SELECT BILL_DATE, STORE, SKU, BILL_QUANTITY + 2, CAST(NET_AMOUNT AS DOUBLE), BILL_NO, 3 FROM bills
+  WHERE strftime(BILL_DATE, '%Y-%m') = '1998-03' AND BILL_NO % 2 = 0),
+m AS (SELECT *, max(batch) OVER (PARTITION BY date, store, sku, bill_no) AS newest FROM third)
+SELECT strftime(date, '%Y-%m') AS month, count(*) AS lines, sum(quantity) AS units, strftime(date, '%Y-%m') = '1998-03' AS rewritten
+FROM m WHERE batch = newest GROUP BY 1, 4""",
+        f="units",
+    ),
+)
+def _(t):
+    """A third upload corrects half of the bills of one month: the merge rewrites that month."""
+    store = _fill_store(t)
+    lines = store_lines(t).where((F.col("sale_month") == "1998-03") & (F.col("bill_no").cast("long") % 2 == 0)).drop("sale_month")
+    store.append(lines.withColumn("quantity", F.col("quantity") + 2), "third.csv", 3)
+    months = store.merge()
+    rows = store.merged("update").groupBy(month_of("date").alias("month")).agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"))
+    return rows.withColumn("rewritten", F.col("month").isin(months))
+
+
+@query(
+    "i09_month_statistics",
+    q(
+        BILLS,
+        f"""{STORED} SELECT strftime(date, '%Y-%m') AS sale_month, count(*) AS rows, min(date) AS first, max(date) AS last, sum(quantity) AS units
+FROM stored GROUP BY 1""",
+        f="units",
+    ),
+)
+def _(t):
+    return filled_store(t).month_statistics()
+
+
+@query(
+    "i07_compacted_store",
+    q(
+        BILLS,
+        f"""{STORED} SELECT batch, count(*) AS lines, sum(quantity) AS units,
+  (SELECT count(DISTINCT strftime(date, '%Y-%m')) FROM stored WHERE batch = 2) AS folders FROM stored GROUP BY 1""",
+        f="units",
+        i="batch",
+    ),
+)
+def _(t):
+    """Compaction deletes the folders of the second upload's first delivery."""
+    store = SalesStore(t.spark, scratch_path(t.spark, "store"))
+    lines = store_lines(t).drop("sale_month")
+    again = lines.where("date >= DATE '1998-01-01'").withColumn("quantity", F.col("quantity") + 1)
+    store.append(lines.where("date < DATE '1999-01-01'"), "first.csv", 1)
+    store.append(again, "second.csv", 2)
+    store.append(again, "second.csv", 2)
+    folders = store.compact(grace_seconds=0)
+    per = store.rows().groupBy("batch").agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"))
+    return per.withColumn("folders", F.lit(folders))
+
+
 @query(
     "i10_merge_dedupe",
     q(

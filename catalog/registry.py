@@ -43,5 +43,5 @@ def query(name: str, sql: str | None = None):
 
 def shared(t: Testbed, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table that several queries read (the finished plan, say), written once per
-    application and scale factor."""
-    return _SHARED.get(t.spark, (t.dir, name), build)
+    application and state of the given tables."""
+    return _SHARED.get(t.spark, (t.state, name), build)

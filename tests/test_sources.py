@@ -3,7 +3,9 @@ from datetime import date
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from aislebrook.plans.testbed import Testbed
 from aislebrook.sources import readers, scratch, snapshots
 from aislebrook.sources.sales_store import SalesStore, merge_batches
 from aislebrook.streaming.landing import ingest_batch, landing_ingest, stream_origin
@@ -52,6 +54,26 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert snapshots.snapshot_details(spark, root).first()["bytes"] > 0
 
 
+def test_a_failing_snapshot_leaves_the_one_before(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    a = spark.createDataFrame([(1,), (2,)], "n int")
+    snapshots.write_snapshot({"a": a, "b": a}, root, "t1")
+    reader = snapshots.read_snapshot(spark, root)
+    bad = a.select(F.raise_error(F.lit("no")).cast("int").alias("n"))
+    with pytest.raises(Exception, match="no"):
+        snapshots.write_snapshot({"a": a.where("n = 1"), "b": bad}, root, "t2")
+    back = snapshots.read_snapshot(spark, root)
+    assert rows(back["a"]) == rows(back["b"]) == [(1,), (2,)] and snapshots.snapshot_info(spark, root).first().last_updated == "t1"
+    snapshots.write_snapshot({"a": a.where("n = 1")}, root, "t3")
+    assert list(snapshots.read_snapshot(spark, root)) == ["a"] and rows(reader["b"]) == [(1,), (2,)]
+    info = snapshots.snapshot_info(spark, root).first()
+    assert (info.datasets, info.total_rows, info.last_updated) == (1, 1, "t3")
+    assert snapshots.drop_superseded(spark, root) == 1
+    assert rows(snapshots.read_snapshot(spark, root)["a"]) == [(1,)]
+    snapshots.write_snapshot({"a": a.where("n > 5")}, root, "t4")
+    assert snapshots.read_snapshot(spark, root) == {}
+
+
 def test_empty_store(spark, tmp_path):
     store = SalesStore(spark, str(tmp_path))
     assert rows(store.summary()) == [(0, "N/A", "N/A")] and store.history().count() == 0
@@ -78,6 +100,86 @@ def test_append_update_dedupe(spark, tmp_path):
         merge_batches(store.rows(), "other")
 
 
+def files_of(path):
+    return {str(f) for f in path.rglob("*.parquet")}
+
+
+def test_an_update_of_one_month_rewrites_that_month(spark, tmp_path):
+    store = SalesStore(spark, str(tmp_path))
+    assert store.merge() == [] and store.merged("update").count() == 0
+    days = [date(2025, m, 5) for m in (1, 2, 3)]
+    store.append(batch(spark, *[(d, "A", s, 1.0, "1") for d in days for s in "xy"], (None, "A", "x", 9.0, None)), "one", 1)
+    before_merge = rows(store.merged("update"), "date", "sku", "quantity")
+    assert store.merge() == ["2025-01", "2025-02", "2025-03", "undated"] and store.merge() == []
+    assert rows(store.merged("update"), "date", "sku", "quantity") == before_merge
+    merged = tmp_path / "merged"
+    before = files_of(merged)
+    store.append(batch(spark, (days[1], "A", "x", 5.0, "1"), (days[1], "A", "z", 2.0, None), (days[1], "A", "z", 3.0, None)), "two", 2)
+    want = rows(merge_batches(store.rows(), "update"), "date", "sku", "quantity")
+    assert rows(store.merged("update"), "date", "sku", "quantity") == want  # not merged yet
+    assert store.merge() == ["2025-02"]
+    new = files_of(merged) - before
+    assert before <= files_of(merged) and new and all("sale_month=2025-02" in f for f in new)
+    assert rows(store.merged("update"), "date", "sku", "quantity") == want
+    # Corrections move a line to another month, and an older batch does not win.
+    store.append(batch(spark, (days[2], "A", "x", 6.0, "1")), "two", 2)
+    store.append(batch(spark, *[(d, "A", "x", 7.0, "1") for d in days]), "one", 1)
+    assert store.merge() == ["2025-01", "2025-02", "2025-03", "undated"]
+    want = rows(merge_batches(store.rows(), "update"), "date", "sku", "quantity")
+    assert rows(store.merged("update"), "date", "sku", "quantity") == want
+    assert [q for _, s, q in want if s == "x"] == [7.0, 7.0, 6.0]
+
+
+def test_summary_reads_no_rows(spark, tmp_path):
+    store = SalesStore(spark, str(tmp_path))
+    store.append(batch(spark, (date(2025, 1, 2), "A", "x", 2.0, "1"), (date(2025, 3, 1), "A", "y", 1.0, None), (None, "A", "y", 1.0, None)), "one", 1)
+    store.append(batch(spark, (date(2024, 1, 2), "A", "x", 2.0, "1")), "two", 1)
+    assert rows(store.summary()) == [(4, "2024-01-02", "2025-03-01")]
+    assert [r[:2] for r in rows(store.month_statistics())] == [("2024-01", 1), ("2025-01", 1), ("2025-03", 1), ("undated", 1)]
+    for df in (store.summary(), store.month_statistics(), store.history()):
+        assert not any("/sales/" in f for f in df.inputFiles())
+
+
+def test_compaction_bounds_files_and_leaves_readers_theirs(spark, tmp_path):
+    store = SalesStore(spark, str(tmp_path))
+    assert store.compact() == 0
+    one = batch(spark, *[(date(2025, m, 2), "A", "x", 1.0, str(m)) for m in (1, 2, 3)])
+    for i in range(10):
+        store.append(one.withColumn("QUANTITY", F.lit(float(i))), "same", 1)
+        if i == 4:
+            store.merge()
+    store.append(one, "other", 2)
+    reader = store.rows()
+    want, told = rows(store.rows(), "date", "quantity", "batch"), rows(store.history(), "batch", "rows_count")
+    assert len(files_of(tmp_path / "sales")) == 33
+    assert store.compact(grace_seconds=3600) == 0 and len(files_of(tmp_path / "sales")) == 33
+    store.merge()
+    assert store.compact(grace_seconds=3600) == 0
+    assert rows(reader, "date", "quantity", "batch") == want
+    assert store.compact(grace_seconds=0) == 9 * 3 + 3
+    assert len(files_of(tmp_path / "sales")) == 6 and len(files_of(tmp_path / "commits")) == 1
+    assert rows(store.rows(), "date", "quantity", "batch") == want
+    assert rows(store.history(), "batch", "rows_count") == told
+    assert rows(store.merged("update"), "date", "quantity") == [(date(2025, m, 2), 1.0) for m in (1, 2, 3)]
+    assert store.merge() == [] and store.compact(grace_seconds=0) == 0
+    store.append(one.limit(1), "other", 2)
+    assert store.merge() == ["2025-01", "2025-02", "2025-03"] and store.merged("update").count() == 3
+
+
+def test_a_write_that_fails_is_not_seen(spark, tmp_path, monkeypatch):
+    store = SalesStore(spark, str(tmp_path))
+    one = batch(spark, (date(2025, 1, 2), "A", "x", 1.0, "1"))
+    store.append(one, "same", 1)
+
+    def fails(*_):
+        raise RuntimeError("gone")
+
+    monkeypatch.setattr(store, "_commit", fails)
+    with pytest.raises(RuntimeError):
+        store.append(one.withColumn("QUANTITY", F.lit(5.0)), "same", 1)
+    assert rows(store.rows(), "quantity") == [(1.0,)] and rows(store.summary()) == [(1, "2025-01-02", "2025-01-02")]
+
+
 def test_landing_stream_is_replay_safe(spark, tmp_path):
     store = SalesStore(spark, str(tmp_path / "store"))
     landing, offsets = tmp_path / "landing", str(tmp_path / "offsets")
@@ -124,12 +226,12 @@ def test_scratch_is_below_the_configured_folder(spark):
 class _Session:
     """Just what scratch_root asks of a session without the setting."""
 
-    def __init__(self):
+    def __init__(self, warehouse="/shared/warehouse/", master="local[2]"):
         self.conf = self.sparkContext = self
-        self.applicationId = "app-1"
+        self.applicationId, self.warehouse, self.master = "app-1", warehouse, master
 
     def get(self, key, default=None):
-        return "/shared/warehouse/" if key == "spark.sql.warehouse.dir" else default
+        return self.warehouse if key == "spark.sql.warehouse.dir" else default
 
     def getConf(self):
         return self
@@ -137,6 +239,23 @@ class _Session:
 
 def test_without_the_setting_scratch_lies_below_the_warehouse():
     assert scratch.scratch_root(_Session()) == "/shared/warehouse/aislebrook-app-1"
+    assert scratch.scratch_root(_Session("hdfs://n/w", "yarn")) == "hdfs://n/w/aislebrook-app-1"
+
+
+@pytest.mark.parametrize("warehouse", ["/home/x/spark-warehouse", "file:/home/x/spark-warehouse"])
+@pytest.mark.parametrize("master", ["yarn", "spark://h:7077", "local-cluster[2,1,1024]"])
+def test_a_cluster_without_a_shared_folder_is_told_so(warehouse, master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_root(_Session(warehouse, master))
+
+
+def test_tables_rewritten_at_their_path_are_read_anew(spark, tmp_path):
+    t = Testbed(spark, str(tmp_path))
+    spark.range(3).write.parquet(f"{tmp_path}/part.parquet")
+    assert t.table("part").columns == ["id"]
+    before = t.state
+    spark.range(2).selectExpr("id AS n", "id AS m").write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    assert t.table("part").columns == ["n", "m"] and t.state != before
 
 
 def test_csv_numbers_are_typed_whatever_stands_for_missing(spark, tmp_path):
