@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import month_of, quantiles, ratio, scalars, stable, with_dense_rank_desc
+from ..functions.stats import month_of, quantiles, ratio, rolling_sum, scalars, stable, with_dense_rank_desc
 from ..sources.scratch import materialize
 
 
@@ -80,7 +80,7 @@ def reason_flags(kpis: DataFrame, hhi: DataFrame, within: tuple[str, ...] = ())
         "med_discount": ("discount_pct", 0.5),
         "med_hhi": ("size_hhi", 0.5),
     }
-    limits = quantiles(df, medians, within)
+    limits = quantiles(df, medians, within, written=True)
     if within:
         spread = df.groupBy(*within).agg(F.stddev_pop("velocity_units_per_week").alias("sd"))
         df = df.join(limits, within).join(spread, within)
@@ -185,12 +185,11 @@ def style_daily(df: DataFrame) -> DataFrame:
         .groupBy("STYLE", "BILL_DATE")
         .agg(F.sum("BILL_QUANTITY").alias("units"))
     )
-    day = F.unix_date("BILL_DATE")
-    week = Window.partitionBy("STYLE").orderBy(day).rangeBetween(-6, 0)
     in_month = Window.partitionBy("STYLE", F.trunc("BILL_DATE", "MM"))
-    rows = daily.withColumn("week_units", F.sum("units").over(week)).withColumn(
+    rows = rolling_sum(daily, ["STYLE"], "BILL_DATE", "units", "week_units").withColumn(
         "month_units", F.sum("units").over(in_month)
     )
+    day = F.unix_date("BILL_DATE")
     per = rows.groupBy("STYLE").agg(
         F.min("BILL_DATE").alias("first_sale"),
         F.max("BILL_DATE").alias("last_sale"),

@@ -140,7 +140,7 @@ def with_classes(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> DataF
     # With one price for all, the limits of the value are those of the velocity times it.
     column = "SALES_VALUE" if priced else "DAILY_SALES"
     spec = {"medium": ("DAILY_SALES", 0.3), "fast": ("DAILY_SALES", 0.7), "b": (column, 0.7), "a": (column, 0.9)}
-    cuts = F.lit(None) if p.class_limits == "fixed" else scalars(quantiles(df, spec, accuracy=p.quantile_accuracy))
+    cuts = F.lit(None) if p.class_limits == "fixed" else scalars(quantiles(df, spec, accuracy=p.quantile_accuracy, written=True))
     scale = 1.0 if priced else p.unit_price
     fixed = p.class_limits == "fixed"
 

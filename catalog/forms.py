@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from aislebrook.functions.stats import month_of, quantiles, ratio, stable, with_dense_rank_desc, with_percent_ranks
+from aislebrook.functions.stats import longest_gap, month_of, quantiles, ratio, rolling_sum, stable, with_dense_rank_desc, with_percent_ranks
 from aislebrook.operators import plan_steps, replenish_final
 from aislebrook.operators.demand import velocity_simple
 from aislebrook.sources.scratch import materialize
@@ -399,8 +399,7 @@ SELECT *, sum(units) OVER (PARTITION BY STORE ORDER BY DATE RANGE BETWEEN INTERV
 )
 def _(t):
     daily = t.sales.groupBy("STORE", "DATE").agg(F.sum("QUANTITY").alias("units"))
-    week = Window.partitionBy("STORE").orderBy(F.unix_date("DATE")).rangeBetween(-6, 0)
-    return daily.withColumn("week_units", F.sum("units").over(week))
+    return rolling_sum(daily, ["STORE"], "DATE", "units", "week_units")
 
 
 @query(
@@ -439,10 +438,7 @@ SELECT SKU, coalesce(max(gap), 0) AS longest_gap FROM g GROUP BY 1""",
     ),
 )
 def _(t):
-    days = t.sales.select("SKU", "DATE").distinct()
-    before = F.lag("DATE").over(Window.partitionBy("SKU").orderBy("DATE"))
-    gaps = days.withColumn("gap", F.datediff("DATE", before) - 1)
-    return gaps.groupBy("SKU").agg(F.coalesce(F.max("gap"), F.lit(0)).alias("longest_gap"))
+    return t.sales.groupBy("SKU").agg(longest_gap(F.col("DATE")).alias("longest_gap"))
 
 
 @query(
