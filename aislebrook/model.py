@@ -55,7 +55,7 @@ class ReplenishParams:
     completion  "full", "simple" or "none" size-set completion
     trend       None for a constant factor of 1, "observed" for the sales trend
     as_of       planning date; the latest sale when None
-    cap_to_warehouse  keep completion steps within what is left in the warehouse row
+    cap_to_warehouse  completion steps share, by priority, what allocation leaves of a SKU's warehouse stock
     class_limits       "quantile", or "fixed" for the fixed ABC and velocity limits
     quantile_accuracy  None for exact class limits, else as in percentile_approx
     """

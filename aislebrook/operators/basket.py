@@ -142,22 +142,32 @@ def with_rule_metadata(rules: DataFrame, df: DataFrame, item: str, meta_cols: li
     return out
 
 
+# Pair hashes that are counted before pairs are; the hashes that reach a support are
+# broadcast, so this bounds them as well.
+PAIR_HASHES = 1 << 20
+
+
 def common_pairs(
-    df: DataFrame, item: str = "SKU", bill: str = "BILL_NO", min_count: int = 1, block_items: int = 256
+    df: DataFrame, item: str = "SKU", bill: str = "BILL_NO", min_count: int = 1, block_items: int = 256, pair_hashes: int = PAIR_HASHES
 ) -> DataFrame:
     """Bills that hold both items, for every unordered item pair seen in at least
     min_count bills.
 
-    Bills with the same items are counted as one basket with a weight, so the pairs
-    of a common basket are formed once.  With min_count > 1 items seen in fewer bills
-    are dropped before.  A basket of more than block_items items is cut into blocks,
-    and blocks meet on (bill, block, block), so the pairs of one huge bill come from
-    many small joins.
+    Bills with the same items are counted as one basket with a weight, so the pairs of a
+    common basket are formed once. Without a support every pair is the result: baskets of
+    more than block_items items are cut into blocks, and blocks meet on (bill, block,
+    block), so the pairs of one huge bill come from many small joins.
+
+    With min_count > 1 items seen in fewer bills are dropped, and pairs are counted twice:
+    first by hash, then only those whose hash reaches the support are shuffled. Baskets of
+    more than block_items items are not expanded for the pairs of the others: these look
+    themselves up there, and only items that long baskets hold often enough among
+    themselves form pairs in them.
     """
     items = materialize(basket_items(df, item, bill), "basket_items")
     if min_count > 1:
         common = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-        items = items.join(common.select("item"), "item", "left_semi")
+        items = materialize(items.join(common.select("item"), "item", "left_semi"), "common_items")
     # A 128-bit fingerprint of the item set, from aggregates that need no array.
     marks = items.groupBy("bill").agg(
         F.count(F.lit(1)).alias("n"),
@@ -170,17 +180,49 @@ def common_pairs(
         .agg(F.min("bill").alias("bill"), F.count(F.lit(1)).alias("weight"))
         .select("bill", "weight", F.ceil(F.col("n") / block_items).cast("int").alias("blocks"))
     )
-    placed = items.join(kinds, "bill").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    if min_count > 1:
+        found = _supported_pairs(items, materialize(kinds, "kinds"), min_count, block_items, pair_hashes)
+    else:
+        found = _pairs_in(items.join(kinds, "bill")).groupBy("item1", "item2").agg(F.sum("weight").alias("frequency"))
+    return found.orderBy(F.desc("frequency"), "item1", "item2")
+
+
+def _pairs_in(baskets: DataFrame, *carried: str) -> DataFrame:
+    """item1 < item2 with the weight and `carried` (as name1, name2) of all pairs within
+    (bill, item, weight, blocks)."""
+    placed = baskets.withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.select("bill", "weight", F.col("item").alias("item1"), F.col("block").alias("b1"), every.alias("b2"))
-    right = placed.select("bill", F.col("item").alias("item2"), F.col("block").alias("b2"), every.alias("b1"))
-    pairs = left.join(right, ["bill", "b1", "b2"]).where(F.col("item1") < F.col("item2"))
-    return (
-        pairs.groupBy("item1", "item2")
-        .agg(F.sum("weight").alias("frequency"))
-        .where(F.col("frequency") >= min_count)
-        .orderBy(F.desc("frequency"), "item1", "item2")
-    )
+    left = placed.select("bill", "weight", F.col("item").alias("item1"), *[F.col(c).alias(f"{c}1") for c in carried], F.col("block").alias("b1"), every.alias("b2"))
+    right = placed.select("bill", F.col("item").alias("item2"), *[F.col(c).alias(f"{c}2") for c in carried], F.col("block").alias("b2"), every.alias("b1"))
+    return left.join(right, ["bill", "b1", "b2"]).where(F.col("item1") < F.col("item2"))
+
+
+def _reaching(pairs: DataFrame, least: int, pair_hashes: int) -> DataFrame:
+    """pairs with `reaches`: true unless all pairs of their hash together are too few.
+    The counts of the hashes are the only thing that is shuffled for it."""
+    of = F.pmod(F.xxhash64("item1", "item2"), F.lit(pair_hashes)).cast("int")
+    often = pairs.groupBy(of.alias("hash")).agg(F.sum("weight").alias("n")).where(F.col("n") >= least)
+    often = materialize(often.select("hash", F.lit(True).alias("reaches")), "pair_hashes")
+    return pairs.withColumn("hash", of).join(F.broadcast(often), "hash", "left").withColumn("reaches", F.coalesce("reaches", F.lit(False))).drop("hash")
+
+
+def _supported_pairs(items: DataFrame, kinds: DataFrame, least: int, block_items: int, pair_hashes: int) -> DataFrame:
+    """(item1, item2, frequency) of the pairs in at least `least` of the weighted baskets."""
+    long = materialize(items.join(kinds.where("blocks > 1"), "bill"), "long_baskets")
+    # What long baskets can add to a pair of this item.
+    weight = long.groupBy("item").agg(F.sum("weight").alias("long"))
+    short = items.join(kinds.where("blocks = 1"), "bill").join(weight, "item", "left").withColumn("long", F.coalesce("long", F.lit(0)))
+    pairs = _reaching(_pairs_in(short, "long"), least, pair_hashes).withColumn("more", F.least("long1", "long2"))
+    known = pairs.where(F.col("reaches") | (F.col("more") > 0)).groupBy("item1", "item2").agg(F.sum("weight").alias("short"), F.max("more").alias("more"))
+    known = materialize(known.where(F.col("short") + F.col("more") >= least), "pairs")
+    one, two = (long.select("bill", "weight", F.col("item").alias(n)) for n in ("item1", "item2"))
+    looked = known.where("more > 0").select("item1", "item2").join(one, "item1").join(two.drop("weight"), ["bill", "item2"])
+    looked = looked.groupBy("item1", "item2").agg(F.sum("weight").alias("extra"))
+    both = known.join(looked, ["item1", "item2"], "left").select("item1", "item2", (F.col("short") + F.coalesce("extra", F.lit(0))).alias("frequency"))
+    # Pairs of long baskets alone.
+    often = long.join(weight.where(F.col("long") >= least).select("item"), "item", "left_semi")
+    alone = _reaching(_pairs_in(often), least, pair_hashes).where("reaches").groupBy("item1", "item2").agg(F.sum("weight").alias("frequency"))
+    return both.unionByName(alone.join(known, ["item1", "item2"], "left_anti")).where(F.col("frequency") >= least)
 
 
 def basket_sizes(df: DataFrame, bill: str = "BILL_NO") -> DataFrame:

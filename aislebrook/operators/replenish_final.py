@@ -3,7 +3,7 @@ size-set completion and the closing filter."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles, ratio, scalars, stable
@@ -280,10 +280,20 @@ def size_sets(spark, size_master: DataFrame | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "SIZE string, SIZE_SET string, MIN_SIZES_REQUIRED int")
 
 
+def _within_stock(pick: Column, want: Column) -> Column:
+    """What each picked row gets of what the plan leaves of its SKU's warehouse stock: the
+    stores' wants are served by priority until it is used up."""
+    left = F.col("WAREHOUSE_STOCK") - F.sum("FINAL_REPLEN_QTY").over(ps.per_sku())
+    line = ps.per_sku().orderBy(F.desc_nulls_last("PRIORITY_SCORE"), "STORE").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(pick, want).otherwise(0.0)).over(line), F.lit(0.0))
+    return F.when(pick, F.greatest(F.lit(0.0), F.least(want, left - before))).otherwise(0.0)
+
+
 def complete_sizes(df: DataFrame, sets: DataFrame, p: ReplenishParams = ReplenishParams()) -> DataFrame:
     """First completion pass: the MOQ for rows that got nothing though the warehouse
     has stock, in high-priority stores ("simple": > 0.7; "full": > 0.5 and a size
-    that belongs to a set)."""
+    that belongs to a set). With `cap_to_warehouse` no more than the warehouse has left
+    for all stores of the SKU, by priority."""
     df = df.withColumn("SIZE_SET_ALLOCATION", F.lit(0.0))
     if p.completion == "none":
         return df
@@ -297,13 +307,14 @@ def complete_sizes(df: DataFrame, sets: DataFrame, p: ReplenishParams = Replenis
         remark = "Priority size completion"
     moq = F.lit(float(p.moq))
     if p.cap_to_warehouse:
-        moq = F.least(moq, F.col("WAREHOUSE_STOCK"))
+        df = df.withColumn("pick", pick).withColumn("granted", _within_stock(F.col("pick"), moq))
+        pick, moq = F.col("granted") > 0, F.col("granted")
     return (
         df.withColumn("pick", pick)
         .withColumn("FINAL_REPLEN_QTY", F.when(F.col("pick"), moq).otherwise(F.col("FINAL_REPLEN_QTY")))
         .withColumn("SIZE_SET_ALLOCATION", F.when(F.col("pick"), moq).otherwise(F.col("SIZE_SET_ALLOCATION")))
         .withColumn("REMARKS", F.when(F.col("pick"), remark).otherwise(F.col("REMARKS")))
-        .drop("pick", "in_set")
+        .drop("pick", "in_set", "granted")
     )
 
 
@@ -334,8 +345,9 @@ def set_analysis(df: DataFrame) -> DataFrame:
 
 
 def complete_sets(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> DataFrame:
-    """Second pass: min(MOQ, warehouse) for the missing sizes of incomplete sets.
-    df should be a written table."""
+    """Second pass: min(MOQ, warehouse) for the missing sizes of incomplete sets; with
+    `cap_to_warehouse` min(MOQ, what the warehouse has left for all stores of the SKU), by
+    priority. df should be a written table."""
     keys = ["STORE", "STYLE", "COLOR"]
     sizes = _size_level(df)
     least = F.when(F.bool_or(F.col("SIZE").isin(PLUS_SIZES)), 3).otherwise(4)
@@ -349,21 +361,20 @@ def complete_sets(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> Data
         *keys, "SIZE", F.lit(True).alias("gap")
     )
     pick = F.coalesce("gap", F.lit(False)) & (F.col("WAREHOUSE_STOCK") > 0) & (F.col("FINAL_REPLEN_QTY") == 0)
+    df = df.join(gaps, [*keys, "SIZE"], "left")
+    want = F.least(F.lit(float(p.moq)), F.col("WAREHOUSE_STOCK"))
+    if p.cap_to_warehouse:
+        df = df.withColumn("pick", pick).withColumn("granted", _within_stock(F.col("pick"), want))
+        pick, want = F.col("granted") > 0, F.col("granted")
     return (
-        df.join(gaps, [*keys, "SIZE"], "left")
-        .withColumn("pick", pick)
-        .withColumn(
-            "FINAL_REPLEN_QTY",
-            F.when(F.col("pick"), F.least(F.lit(float(p.moq)), F.col("WAREHOUSE_STOCK"))).otherwise(
-                F.col("FINAL_REPLEN_QTY")
-            ),
-        )
+        df.withColumn("pick", pick)
+        .withColumn("FINAL_REPLEN_QTY", F.when(F.col("pick"), want).otherwise(F.col("FINAL_REPLEN_QTY")))
         .withColumn("SIZE_SET_ALLOCATION", F.when(F.col("pick"), 1.0).otherwise(F.col("SIZE_SET_ALLOCATION")))
         .withColumn(
             "REMARKS",
             F.when(F.col("pick"), F.concat("REMARKS", F.lit("; Size set completion"))).otherwise(F.col("REMARKS")),
         )
-        .drop("pick", "gap")
+        .drop("pick", "gap", "granted")
     )
 
 

@@ -62,6 +62,10 @@ class WrittenOnce:
         path, schema = self._known[full]
         return spark.read.schema(schema).parquet(path)
 
+    def clear(self) -> None:
+        """Build every table anew when it is next asked for."""
+        self._known.clear()
+
 
 def remove_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once its results are written."""

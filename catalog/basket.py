@@ -157,6 +157,11 @@ def _(t):
     return basket.common_pairs(t.bills, "SKU")
 
 
+@query("b05_common_pairs_support", q(BILLS, PAIRS.format(item="SKU") + " HAVING count(*) >= 2"))
+def _(t):
+    return basket.common_pairs(t.bills, "SKU", min_count=2)
+
+
 @query("b05_common_pairs_style", q(BILLS, PAIRS.format(item="STYLE")))
 def _(t):
     return basket.common_pairs(t.bills, "STYLE")
@@ -208,8 +213,26 @@ UNION ALL SELECT 'sku_common_pairs', count(*), sum(f) FROM sku_pairs""",
     ),
 )
 def _(t):
+    return report_totals(t)
+
+
+@query(
+    "b07_basket_report_support",
+    q(
+        BILLS_ALL,
+        f"""{OCT}, {PAIRS.replace("bi x JOIN bi y", "(SELECT DISTINCT BILL_NO AS b, STYLE AS i FROM oct) x JOIN (SELECT DISTINCT BILL_NO AS b, STYLE AS i FROM oct) y")}
+SELECT 'style_common_pairs' AS "table", count(*) AS rows, sum(f) AS total FROM pairs WHERE f >= 3""",
+        f="total",
+    ),
+)
+def _(t):
+    return report_totals(t, min_pairs=3).where("table = 'style_common_pairs'")
+
+
+def report_totals(t, **options):
+    """Rows and a sum of every table of the basket report on one month."""
     lines = cleaning.enrich_basket(t.bills, t.sku_attributes.select("SKU"), t.style_master, "1998-10")
-    report = basket_report(lines)
+    report = basket_report(lines, **options)
     measures = {
         "basket_stats": "value",
         "style_frequent_itemsets": "freq",

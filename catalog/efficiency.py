@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from aislebrook.operators import efficiency as ef
 from aislebrook.operators import efficiency_scripts as es
 from aislebrook.operators import plan_steps
-from aislebrook.plans.style_report import rank_report, style_report
+from aislebrook.plans.style_report import minmax_report, rank_report, style_report
 
 from .registry import query, shared
 from .sqlbase import ALL, STYLE_SALES, q
@@ -613,6 +613,33 @@ def _(t):
     return _tables(style_report(tables, DAYS, THRESHOLD), measures)
 
 
+@query(
+    "e10_minmax_report",
+    q(
+        STYLE_SALES,
+        f"""{E10}
+SELECT 'Store_Recommendations' AS "table", count(*) AS rows, sum(TOTAL_REVENUE) AS total FROM mm_stores
+UNION ALL SELECT 'Style_Performance', count(*), sum(score) FROM eff
+UNION ALL SELECT 'Top_Performing_Styles', count(*), sum(rev) FROM (SELECT * FROM eff ORDER BY score DESC, STORE, STYLE LIMIT 50) best
+UNION ALL SELECT 'Summary_Statistics', 1, sum(TOTAL_SALES_QTY) FROM mm_stores
+UNION ALL SELECT 'Stores_Needing_Attention', count(*), sum(CHANGE) FROM mm_stores WHERE CHANGE < -5""",
+        f="total",
+    ),
+)
+def _(t):
+    report = minmax_report(t.style_sales, style_stock(t), DAYS)
+    return _tables(
+        report,
+        {
+            "Store_Recommendations": "TOTAL_REVENUE",
+            "Style_Performance": "EFFICIENCY_SCORE",
+            "Top_Performing_Styles": "TOTAL_REVENUE",
+            "Summary_Statistics": "total_sales_qty",
+            "Stores_Needing_Attention": "CHANGE",
+        },
+    )
+
+
 @query(
     "e12_rank_report",
     q(

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from aislebrook.operators import merch, weekly
+from aislebrook.plans.gender_report import gender_report
 
 from .registry import query, shared
 from .sqlbase import BILLS, BILLS_ALL, q
@@ -342,3 +343,83 @@ SELECT GENDER, count(*) AS total_styles, sum(u) AS total_units, sum(rev) AS tota
 )
 def _(t):
     return merch.gender_totals(gender_flags(t))
+
+
+START = "1996-01-01"
+
+
+def _gender_tables_sql(gender: str) -> str:
+    """Rows and a sum of every table of one gender; `gendered` holds its lines, `flags` its styles."""
+    tag, lines, styles = gender.lower(), f"(SELECT * FROM gendered WHERE GENDER = '{gender}') bl", f"(SELECT * FROM flags WHERE GENDER = '{gender}') fl"
+
+    def row(name: str, total: str, src: str) -> str:
+        return f"SELECT '{tag}_{name}' AS \"table\", count(*) AS rows, CAST(sum(CAST({total} AS DECIMAL(24,4))) AS DOUBLE) AS total FROM {src}"
+
+    series = f"SELECT STYLE, strftime(BILL_DATE, '%Y-%m') AS month, sum(BILL_QUANTITY) AS u, CAST(sum(NET_AMOUNT) AS DOUBLE) AS r FROM {lines} GROUP BY 1, 2"
+    forecast = f"(WITH {WEEKLY.replace('FROM bills', f'FROM {lines}')} SELECT *, ceil(round(f * 12 + sd * 2.0 * 1.645, 6)) AS upto FROM fc) fcs"
+    parts = [
+        row("raw", "BILL_QUANTITY", lines),
+        row("style_metrics", "u", styles),
+        row("top20", "rev", f"(SELECT * FROM {styles} ORDER BY rev DESC, STYLE LIMIT 20) x"),
+        row("bottom20", "rev", f"(SELECT * FROM {styles} ORDER BY rev, STYLE LIMIT 20) x"),
+        row("reasons", "void_rate", styles),
+        row("ts_monthly", "u", f"({series}) x"),
+        row("demand_forecast", "f", forecast),
+        row("reorder_reco", "upto", forecast),
+        row("department", "r", f"(SELECT DEPARTMENT, sum(NET_AMOUNT) AS r FROM {lines} GROUP BY 1) x"),
+        row("category", "r", f"(SELECT CATEGORY, sum(NET_AMOUNT) AS r FROM {lines} GROUP BY 1) x"),
+        row("style_daily", "n", f"(SELECT STYLE, max(BILL_DATE) - min(BILL_DATE) + 1 AS n FROM {lines} GROUP BY 1) x"),
+    ]
+    for key, plural in (("STYLE", "styles"), ("SKU", "skus")):
+        agg = (
+            f"(SELECT {key} AS k, sum(BILL_QUANTITY) AS u, CAST(sum(NET_AMOUNT) AS DOUBLE) AS r, "
+            f"CAST(sum(NET_AMOUNT) AS DOUBLE) / sum(BILL_QUANTITY) AS asp FROM {lines} GROUP BY 1) g"
+        )
+        parts += [row(f"top_{plural}_by_{name}", c, f"(SELECT * FROM {agg} ORDER BY {c} DESC, k LIMIT 100) x") for name, c in (("units", "u"), ("revenue", "r"), ("asp", "asp"))]
+    for name, c in (("revenue", "r"), ("units", "u")):
+        place = f"SELECT *, row_number() OVER (PARTITION BY month ORDER BY {c} DESC, STYLE) AS n FROM ({series}) y"
+        parts.append(row(f"monthly_by_{name}", c, f"(SELECT * FROM ({place}) z WHERE n <= 20) x"))
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "m14_gender_report",
+    q(
+        BILLS_ALL,
+        GENDER_SQL.replace("WHERE GENDER IN", f"WHERE BILL_DATE >= DATE '{START}' AND GENDER IN")
+        + f""",
+every AS (
+  SELECT 'summary' AS "table", count(DISTINCT GENDER) AS rows, CAST(sum(CAST(rev AS DECIMAL(24,4))) AS DOUBLE) AS total FROM flags
+  UNION ALL {_gender_tables_sql("WOMEN")} UNION ALL {_gender_tables_sql("BOYS")})
+SELECT * FROM every""",
+        f="total",
+    ),
+)
+def _(t):
+    """Rows and a sum of all tables of the gender report."""
+    report = gender_report(t.bills, t.sku_attributes, t.style_master, START)
+    measures = {"summary": "total_revenue"}
+    per = {
+        "raw": "BILL_QUANTITY",
+        "style_metrics": "units_sold",
+        "top20": "revenue",
+        "bottom20": "revenue",
+        "reasons": "void_rate",
+        "ts_monthly": "units_sold",
+        "demand_forecast": "forecast_weekly",
+        "reorder_reco": "order_up_to_units",
+        "department": "revenue",
+        "category": "revenue",
+        "style_daily": "days_between",
+        "monthly_by_revenue": "revenue",
+        "monthly_by_units": "units_sold",
+    }
+    per |= {f"top_{k}_by_{n}": c for k in ("styles", "skus") for n, c in (("units", "units_sold"), ("revenue", "revenue"), ("asp", "asp"))}
+    measures |= {f"{g}_{name}": column for g in ("women", "boys") for name, column in per.items()}
+    if set(measures) != set(report):
+        raise ValueError(f"tables without a measure: {set(measures) ^ set(report)}")
+    parts = [
+        report[name].agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(column).cast("decimal(24,4)")).alias("total")).select(F.lit(name).alias("table"), "rows", "total")
+        for name, column in measures.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aislebrook.functions.stats import month_of
@@ -9,6 +10,7 @@ from aislebrook.model import ReplenishParams
 from aislebrook.operators import demand, plan_steps, plan_views, replenish_base, replenish_final, replenish_variants
 from aislebrook.operators.priority import store_priority
 from aislebrook.plans import replenishment as plans
+from aislebrook.sources.scratch import materialize
 
 from .demand import D01, PRIORITY
 from .registry import query, shared
@@ -612,6 +614,74 @@ def _(t):
     return replenish_final.size_sets(t.spark, t.size_master)
 
 
+@query(
+    "r20_default_size_sets",
+    q(
+        ALL,
+        f"""{ALLOC_SQL},
+own AS (SELECT * FROM (VALUES ('S','Regular',4),('M','Regular',4),('L','Regular',4),('XL','Regular',4),('2XL','Regular',4),
+  ('3XL','Plus',3),('4XL','Plus',3),('5XL','Plus',3)) v(SIZE, SIZE_SET, least)),
+{_pass1("pr > 0.5 AND SIZE IN (SELECT SIZE FROM own)", "Priority size completion")}
+SELECT c1.SIZE, SIZE_SET, least AS MIN_SIZES_REQUIRED, count(*) AS rows, count(*) FILTER (WHERE ssa > 0) AS completed, sum(fin) AS units
+FROM c1 LEFT JOIN own ON c1.SIZE = own.SIZE GROUP BY 1, 2, 3""",
+        f="units",
+        i="MIN_SIZES_REQUIRED",
+    ),
+)
+def _(t):
+    """Size completion without a size master."""
+    sets = replenish_final.size_sets(t.spark)
+    out = replenish_final.complete_sizes(replenish_final.allocate(with_factors(t), FINAL), sets, FINAL)
+    out = out.select("SIZE", "FINAL_REPLEN_QTY", "SIZE_SET_ALLOCATION").join(sets, "SIZE", "left")
+    return out.groupBy("SIZE", "SIZE_SET", "MIN_SIZES_REQUIRED").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("SIZE_SET_ALLOCATION") > 0).alias("completed"), F.sum("FINAL_REPLEN_QTY").alias("units")
+    )
+
+
+@query(
+    "r21_capped_completion",
+    q(
+        ALL,
+        f"""{ALLOC_SQL},
+cap_p1 AS (SELECT *, fin = 0 AND W > 0 AND pr > 0.5 AND SIZE IN (SELECT SIZE FROM size_master) AS pick FROM f2),
+cap_g1 AS (
+  SELECT *, CASE WHEN pick THEN greatest(0, least(2, W - sum(fin) OVER (PARTITION BY SKU)
+    - coalesce(sum(CASE WHEN pick THEN 2 ELSE 0 END) OVER (PARTITION BY SKU ORDER BY pr DESC, STORE ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))
+    ELSE 0 END AS g FROM cap_p1),
+c1 AS (
+  SELECT * REPLACE (CASE WHEN g > 0 THEN g ELSE fin END AS fin, CASE WHEN g > 0 THEN 'Priority size completion' ELSE rem END AS rem),
+    g AS ssa FROM cap_g1),
+{SETS_SQL.format(src="c1")},
+missing AS (
+  SELECT l.STORE, l.STYLE, l.COLOR, l.SIZE FROM lvl l
+  JOIN sets s ON l.STORE = s.STORE AND l.STYLE = s.STYLE AND l.COLOR = s.COLOR WHERE NOT ok AND have < least),
+cap_p2 AS (
+  SELECT p.*, (m.SIZE IS NOT NULL AND W > 0 AND fin = 0) AS pick2
+  FROM c1 p LEFT JOIN missing m ON p.STORE = m.STORE AND p.STYLE = m.STYLE AND p.COLOR = m.COLOR AND p.SIZE = m.SIZE),
+cap_g2 AS (
+  SELECT *, CASE WHEN pick2 THEN greatest(0, least(least(2, W), W - sum(fin) OVER (PARTITION BY SKU)
+    - coalesce(sum(CASE WHEN pick2 THEN least(2, W) ELSE 0 END) OVER (PARTITION BY SKU ORDER BY pr DESC, STORE ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))
+    ELSE 0 END AS h FROM cap_p2),
+c2 AS (
+  SELECT * REPLACE (CASE WHEN h > 0 THEN h ELSE fin END AS fin, CASE WHEN h > 0 THEN rem || '; Size set completion' ELSE rem END AS rem,
+    CASE WHEN h > 0 THEN 1 ELSE ssa END AS ssa) FROM cap_g2)
+SELECT STORE, SKU, fin AS FINAL_REPLEN_QTY, ssa AS SIZE_SET_ALLOCATION, rem AS REMARKS,
+  sum(fin) OVER (PARTITION BY SKU) <= greatest(W, 0) AS within_stock FROM c2""",
+        f="FINAL_REPLEN_QTY SIZE_SET_ALLOCATION",
+    ),
+)
+def _(t):
+    """Both completion passes share what the warehouse has left."""
+    from dataclasses import replace
+
+    p = replace(FINAL, cap_to_warehouse=True)
+    rows = replenish_final.allocate(with_factors(t), p)
+    rows = replenish_final.complete_sizes(rows, replenish_final.size_sets(t.spark, t.size_master), p)
+    out = replenish_final.complete_sets(materialize(rows, "allocated"), p)
+    used = F.sum("FINAL_REPLEN_QTY").over(Window.partitionBy("SKU")) <= F.greatest("WAREHOUSE_STOCK", F.lit(0.0))
+    return out.select("STORE", "SKU", "FINAL_REPLEN_QTY", "SIZE_SET_ALLOCATION", "REMARKS", used.alias("within_stock"))
+
+
 @query(
     "r21_size_completion_simple",
     q(

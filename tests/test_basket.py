@@ -3,6 +3,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from aislebrook.operators import basket
 from aislebrook.plans.basket_report import basket_report
@@ -70,6 +71,29 @@ def test_pairs_match_brute_force(bills, lines, block, least):
     assert got == {p: n for p, n in want.items() if n >= least}
 
 
+@pytest.mark.parametrize("least", [2, 3, 30])
+def test_hashes_that_collide_lose_no_pair(bills, lines, least):
+    want = {}
+    for items in bills.values():
+        for p in combinations(items, 2):
+            want[p] = want.get(p, 0) + 1
+    got = {(r.item1, r.item2): r.frequency for r in basket.common_pairs(lines, "STYLE", min_count=least, block_items=4, pair_hashes=7).collect()}
+    assert got == {p: n for p, n in want.items() if n >= least}
+
+
+def test_one_bill_of_fifty_thousand_items(spark):
+    n = 50_000
+    huge = spark.range(n).selectExpr("-1L AS BILL_NO", "CAST(id AS STRING) AS SKU")
+    small = spark.range(n).selectExpr("id DIV 2 AS BILL_NO", "CAST(id AS STRING) AS SKU")
+    twins = spark.range(600).selectExpr("-2L AS BILL_NO", "CAST(id + 100000 AS STRING) AS SKU")
+    lines = huge.union(small).union(twins).union(twins.selectExpr("-3L", "SKU"))
+    got = basket.common_pairs(lines, "SKU", min_count=2)
+    per = {r.frequency: r.n for r in got.groupBy("frequency").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Each pair of a small bill is in the huge one as well; the twins have all their pairs twice.
+    assert per == {2: n // 2 + 600 * 599 // 2}
+    assert got.where("CAST(item1 AS INT) DIV 2 = CAST(item2 AS INT) DIV 2").count() >= n // 2
+
+
 def test_basket_sizes_count_lines(spark):
     df = spark.createDataFrame([(1,), (2,), (2,), (3,), (3,), (3,), (4,)], "BILL_NO int")
     got = dict(rows(basket.basket_sizes(df)))

@@ -8,6 +8,7 @@ from aislebrook.model import ReplenishParams
 from aislebrook.operators import demand, plan_steps, plan_views, replenish_base, replenish_final, replenish_variants
 from aislebrook.operators.priority import store_priority
 from aislebrook.plans import replenishment as plans
+from aislebrook.sources.scratch import materialize
 
 DAY = date(2025, 3, 31)
 
@@ -155,8 +156,8 @@ def test_final_filter_and_counts(spark):
 
 def set_rows(spark, sizes):
     return spark.createDataFrame(
-        [("A", "S1", "RED", z, float(st), float(fin), float(w), 0.6, "") for z, st, fin, w in sizes],
-        "STORE string, STYLE string, COLOR string, SIZE string, STOCK double, FINAL_REPLEN_QTY double, "
+        [("A", f"S1-{z}", "S1", "RED", z, float(st), float(fin), float(w), 0.6, "") for z, st, fin, w in sizes],
+        "STORE string, SKU string, STYLE string, COLOR string, SIZE string, STOCK double, FINAL_REPLEN_QTY double, "
         "WAREHOUSE_STOCK double, PRIORITY_SCORE double, REMARKS string",
     )
 
@@ -182,6 +183,47 @@ def test_completion_passes(spark):
     assert replenish_final.complete_sizes(set_rows(spark, [("S", 0, 0, 1)]), replenish_final.size_sets(spark), cap).first().FINAL_REPLEN_QTY == 1.0
 
 
+def test_capped_completion_never_exceeds_the_stock_of_a_sku(spark):
+    import random
+
+    rng = random.Random(8)
+    data = []
+    for k in range(60):
+        left = rng.randint(0, 9)
+        for store in range(rng.randint(1, 8)):
+            final = rng.choice([0, 0, 0, 1]) if left else 0
+            data.append((f"s{store}", f"k{k}", "T", "C", rng.choice(["S", "M", "L", "2XL"]), 0.0, float(final), float(left + 8), rng.choice([0.4, 0.6, 0.6, 0.9]), ""))
+    by_sku = {}
+    for r in data:
+        by_sku.setdefault(r[1], []).append(r)
+    data = [(*r[:7], float(max(sum(x[6] for x in by_sku[r[1]]), int(r[7]) % 9)), *r[8:]) for r in data]
+    df = spark.createDataFrame(
+        data, "STORE string, SKU string, STYLE string, COLOR string, SIZE string, STOCK double, FINAL_REPLEN_QTY double, WAREHOUSE_STOCK double, PRIORITY_SCORE double, REMARKS string"
+    )
+    cap = ReplenishParams(cap_to_warehouse=True)
+    one = materialize(replenish_final.complete_sizes(df, replenish_final.size_sets(spark), cap))
+    two = replenish_final.complete_sets(one, cap)
+    for out in (one, two):
+        used, stock = {}, {}
+        for r in out.collect():
+            used[r.SKU] = used.get(r.SKU, 0) + r.FINAL_REPLEN_QTY
+            stock[r.SKU] = max(stock.get(r.SKU, 0), r.WAREHOUSE_STOCK)
+        assert all(used[k] <= stock[k] for k in used)
+    # By priority, then store; what is left serves the first in line.
+    want = {}
+    for k, group in by_sku.items():
+        group = [r for r in data if r[1] == k]
+        left = max(r[7] for r in group) - sum(r[6] for r in group)
+        for r in sorted(group, key=lambda r: (-r[8], r[0])):
+            pick = r[6] == 0 and r[7] > 0 and r[8] > 0.5
+            want[r[0], k] = r[6] + (max(0.0, min(2.0, left)) if pick else 0.0)
+            left -= 2.0 if pick else 0.0
+    # Rows of one SKU share their stock here.
+    same = {k for k, g in by_sku.items() if len({r[7] for r in data if r[1] == k}) == 1}
+    got = {(r.STORE, r.SKU): r.FINAL_REPLEN_QTY for r in one.collect()}
+    assert same and all(got[s, k] == q for (s, k), q in want.items() if k in same)
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 1024])
 def test_grid_is_every_store_with_every_sku(spark, chunk):
     st = stock(spark, [(f"S{i}", "x", 1) for i in range(7)])
