@@ -27,6 +27,8 @@ from .common import fresh, named
 TASK_ROWS = 1000
 # Standard deviations around the mode beyond which probabilities are nil in doubles.
 WIDTH = 12
+# Levels of the tree of partitions that a node takes at a time.
+LEVELS = 5
 _PLACE = (1 << 33) - 1  # of a row in its partition, in monotonically_increasing_id
 
 
@@ -35,38 +37,45 @@ def uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def _step(k: Column, total: Column, good: Column, drawn: Column) -> Column:
-    """P(k + 1) / P(k) of the hypergeometric law."""
-    return (good - k) * (drawn - k) / ((k + 1) * (total - good - drawn + k + 1))
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
     """How many of `drawn` rows out of `total` are among `good` ones, by inversion at u:
     probabilities follow from each other by their ratios, within WIDTH deviations of the
     mode, where everything that a double can tell from nil lies."""
-    total, good, drawn = total.cast("double"), good.cast("double"), drawn.cast("double")
-    rest = F.greatest(total - 1, F.lit(1.0))
-    share = good / F.greatest(total, F.lit(1.0))
-    spread = F.sqrt(drawn * share * (1 - share) * (total - drawn) / rest)
-    reach = F.ceil(WIDTH * spread + 20)
-    mode = F.floor((drawn + 1) * (good + 1) / (total + 2))
-    low = F.greatest(F.lit(0.0), drawn - (total - good), mode - reach).cast("long")
-    high = F.least(drawn, good, mode + reach).cast("long")
-    ks = F.sequence(low, high)
-    sums = F.aggregate(
-        ks,
-        F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum")),
-        lambda a, k: F.struct((a["w"] * _step(k.cast("double"), total, good, drawn)).alias("w"), (a["sum"] + a["w"]).alias("sum")),
-    )["sum"]
-    return F.aggregate(
-        ks,
-        F.struct(F.lit(1.0).alias("w"), (u * sums).alias("left"), low.alias("k")),
-        lambda a, k: F.struct(
-            (a["w"] * _step(k.cast("double"), total, good, drawn)).alias("w"),
-            (a["left"] - a["w"]).alias("left"),
-            F.when(a["left"] > 0, k).otherwise(a["k"]).alias("k"),
-        ),
-    )["k"]
+    given = F.struct(total.cast("double").alias("t"), good.cast("double").alias("g"), drawn.cast("double").alias("d"), u.alias("u"))
+
+    def around(p: Column) -> Column:
+        share = p["g"] / F.greatest(p["t"], F.lit(1.0))
+        spread = F.sqrt(p["d"] * share * (1 - share) * (p["t"] - p["d"]) / F.greatest(p["t"] - 1, F.lit(1.0)))
+        return F.struct(
+            F.floor((p["d"] + 1) * (p["g"] + 1) / (p["t"] + 2)).alias("mode"), F.ceil(WIDTH * spread + 10).alias("reach"), (p["t"] - p["g"] - p["d"]).alias("c")
+        )
+
+    def drawn_at(p: Column, m: Column, ks: Column) -> Column:
+        def after(w: Column, k: Column) -> Column:
+            """The weight of k + 1 from that of k."""
+            return w * (p["g"] - k) * (p["d"] - k) / ((k + 1.0) * (m["c"] + k + 1.0))
+
+        sums = F.aggregate(
+            ks, F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum")), lambda a, k: F.struct(after(a["w"], k).alias("w"), (a["sum"] + a["w"]).alias("sum"))
+        )["sum"]
+        return F.aggregate(
+            ks,
+            F.struct(F.lit(1.0).alias("w"), (p["u"] * sums).alias("left"), ks[0].alias("k")),
+            lambda a, k: F.struct(after(a["w"], k).alias("w"), (a["left"] - a["w"]).alias("left"), F.when(a["left"] > 0, k).otherwise(a["k"]).alias("k")),
+        )["k"]
+
+    def by_inversion(p: Column, m: Column) -> Column:
+        low = F.greatest(F.lit(0.0), -m["c"], m["mode"] - m["reach"]).cast("long")
+        high = F.least(p["d"], p["g"], m["mode"] + m["reach"]).cast("long")
+        # Where there is one outcome, nothing is drawn.
+        return F.when(low == high, low).otherwise(_let(F.transform(F.sequence(low, high), lambda k: k.cast("double")), lambda ks: drawn_at(p, m, ks)).cast("long"))
+
+    return _let(given, lambda p: _let(around(p), lambda m: by_inversion(p, m)))
 
 
 def _first_half(room: Column, rows: Column, seed: int, node: Column) -> Column:
@@ -75,7 +84,7 @@ def _first_half(room: Column, rows: Column, seed: int, node: Column) -> Column:
 
     def draw(a: Column, s: Column) -> Column:
         x = hypergeometric(a["total"], s["room"], a["rows"], uniform(F.lit(seed), node, s["shard"]))
-        return F.transform(F.array(x), lambda n: F.struct((a["total"] - s["room"]).alias("total"), (a["rows"] - n).alias("rows"), F.concat(a["out"], F.array(n)).alias("out")))[0]
+        return _let(x, lambda n: F.struct((a["total"] - s["room"]).alias("total"), (a["rows"] - n).alias("rows"), F.concat(a["out"], F.array(n)).alias("out")))
 
     each = F.transform(room, lambda x, i: F.struct(x.alias("room"), i.alias("shard")))
     return F.aggregate(each, start, draw)["out"]
@@ -83,24 +92,38 @@ def _first_half(room: Column, rows: Column, seed: int, node: Column) -> Column:
 
 def matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
     """(part, ends array<bigint>): ends[s] is how many rows of the partition go to shards
-    up to s. counts is (part, n), one row per partition; shards differ by one row at most."""
+    up to s. counts is (part, n), one row per partition; shards differ by one row at most.
+
+    A node of the tree is a row: what is left in each shard for the partitions below it.
+    Nodes take LEVELS levels at a time, with the rows of the 2^LEVELS nodes that far below
+    in an array; between these steps they are dealt out anew, so that nothing is wider than
+    the shards or those nodes, however many partitions there are."""
+    spark = counts.sparkSession
     held = counts.agg(F.max("part").alias("last"), F.sum("n").alias("rows")).first()
     if held["rows"] is None:
         return counts.select("part", F.array().cast("array<bigint>").alias("ends"))
     levels = int(held["last"]).bit_length()
-    by_part = counts.agg(F.map_from_entries(F.collect_list(F.struct(F.col("part").cast("int"), F.col("n").cast("long")))).alias("n"))
-    n = F.transform(F.sequence(F.lit(0), F.lit((1 << levels) - 1)), lambda i: F.coalesce(F.try_element_at("n", i.cast("int")), F.lit(0).cast("long")))
     room = F.array(*[F.lit(held["rows"] // shards + (s < held["rows"] % shards)).cast("long") for s in range(shards)])
-    nodes = by_part.select(F.lit(0).cast("long").alias("node"), n.alias("n"), room.alias("room"))
-    for level in range(levels):
-        half = 1 << (levels - level - 1)
-        if level == 4:
-            nodes = nodes.repartition("node")
-        rows = F.aggregate(F.slice("n", 1, half), F.lit(0).cast("long"), lambda a, x: a + x)
-        nodes = nodes.withColumn("first", _first_half(F.col("room"), rows, seed, F.col("node") + (1 << level)))
-        left = F.struct((2 * F.col("node")).alias("node"), F.slice("n", 1, half).alias("n"), F.col("first").alias("room"))
-        right = F.struct((2 * F.col("node") + 1).alias("node"), F.slice("n", half + 1, half).alias("n"), F.zip_with("room", "first", lambda a, b: a - b).alias("room"))
-        nodes = nodes.select(F.explode(F.array(left, right)).alias("x")).select("x.*")
+    nodes = spark.range(1).select(F.lit(0).cast("long").alias("node"), room.alias("room"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for top in range(0, levels, LEVELS):
+        depth = min(LEVELS, levels - top)
+        child = F.shiftright("part", levels - top - depth)
+        below = counts.groupBy(child.alias("child")).agg(F.sum("n").cast("long").alias("n"))
+        below = below.groupBy(F.shiftright("child", depth).alias("node")).agg(
+            F.map_from_entries(F.collect_list(F.struct(F.col("child").bitwiseAND(F.lit((1 << depth) - 1)).cast("int"), F.col("n")))).alias("at")
+        )
+        n = F.transform(F.sequence(F.lit(0), F.lit((1 << depth) - 1)), lambda i: F.coalesce(F.try_element_at("at", i.cast("int")), F.lit(0).cast("long")))
+        # Nodes without rows end here. The draws are the work, not the bytes: no merging of small tasks.
+        nodes = nodes.join(below, "node").repartition(tasks, "node").select("node", n.alias("n"), "room")
+        for level in range(top, top + depth):
+            half = 1 << (top + depth - level - 1)
+            rows = F.aggregate(F.slice("n", 1, half), F.lit(0).cast("long"), lambda a, x: a + x)
+            nodes = nodes.withColumn("first", _first_half(F.col("room"), rows, seed, F.col("node") + (1 << level)))
+            left = F.struct((2 * F.col("node")).alias("node"), F.slice("n", 1, half).alias("n"), F.col("first").alias("room"))
+            right = F.struct((2 * F.col("node") + 1).alias("node"), F.slice("n", half + 1, half).alias("n"), F.zip_with("room", "first", lambda a, b: a - b).alias("room"))
+            nodes = nodes.select(F.explode(F.array(left, right)).alias("x")).select("x.*").where(F.exists("n", lambda x: x > 0))
+        nodes = materialize(nodes.select("node", "room"), "nodes")
     ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: F.aggregate(F.slice("room", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
     return nodes.select(F.col("node").alias("part"), ends.alias("ends"))
 
