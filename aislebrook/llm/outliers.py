@@ -2,25 +2,29 @@
 
 Statistics of the rows that pass the base rules are transformed to nearly symmetric
 numbers. For every language and source, the minimum-covariance-determinant estimate
-finds the share of rows whose covariance has the least determinant: from deterministic
-starts, rows are ordered by their Mahalanobis distance, the nearest share gives the next
-mean and covariance, and so on. The best start's estimate is reweighted once, and rows
-further away than a chi-square quantile are rejected.
-
-All rows take part. Statistics are written once; each step sums moments per group
-map-side, and where a group's share ends is read off a histogram of its distances, so a
-group that holds a third of all rows is a few rows of sums in every shuffle.
+finds the half of the rows whose covariance has the least determinant, so that nearly half
+of a group may be bad: from several deterministic starts, rows are ordered by their
+Mahalanobis distance, the nearest half gives the next mean and covariance, and so on until
+the determinant settles. The best start's estimate is reweighted once, and rows further
+away than a chi-square quantile are rejected.
+
+All rows take part. Statistics are written once; each step sums moments per group and
+narrow bin of distance map-side, and of the bin in which the half ends the part that is
+missing counts, so the half has its exact weight and a group that holds a third of all
+rows is a few rows of sums in every shuffle.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from aislebrook.sources.scratch import materialize
 
@@ -29,14 +33,16 @@ from .common import annotate, field, named, utf8
 # Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-# Share of a group that the estimate rests on.
-SHARE = 0.75
+# Share of a group that the estimate rests on; the rest may be bad.
+SHARE = 0.5
 # Chance that a row of a normal group is rejected.
 TAIL = 1e-4
-# Concentration steps; each can only lower the determinant.
-STEPS = 6
+# Concentration goes on until the logarithm of the determinant moves less than this, in
+# most cases for some ten steps; a start that has not settled after STEPS counts as it is.
+SETTLED = 1e-5
+STEPS = 60
 # Groups with fewer rows count among their language's other sources, and such languages
-# among each other: a covariance of as many dimensions needs that many rows.
+# among each other: ten rows to a dimension.
 LEAST_ROWS = 50
 # Least standard deviation by dimension, in the transformed units; an estimate above it
 # stays as it is. By the texts' resolution: in a text that hardly passes the base rules,
@@ -140,8 +146,8 @@ def _distance(x: list[Column], center: Column, inverse: Column) -> Column:
 
 
 def _bin(distance: Column) -> Column:
-    """Sixteen bins to the octave."""
-    return F.floor(16 * F.log2(F.greatest(distance, F.lit(1e-9)))).cast("int")
+    """Sixty-four bins to the octave."""
+    return F.floor(64 * F.log2(F.greatest(distance, F.lit(1e-9)))).cast("int")
 
 
 def _x() -> list[Column]:
@@ -193,14 +199,14 @@ def _joined(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(small, on)
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
+def _grouped(rows: DataFrame, least_rows: int) -> DataFrame:
     """rows (lang, source, ...) with their group: their language and source, or where that
     has too few rows, the small sources of the language together (source null), or all
     such of small languages (both null)."""
     sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") >= LEAST_ROWS).select("lang", "source", F.lit(True).alias("own"))
-    rest = sizes.where(F.col("n") < LEAST_ROWS).groupBy("lang").agg(F.sum("n").alias("n"))
-    langs = rest.where(F.col("n") >= LEAST_ROWS).select("lang", F.lit(True).alias("pooled"))
+    large = sizes.where(F.col("n") >= least_rows).select("lang", "source", F.lit(True).alias("own"))
+    rest = sizes.where(F.col("n") < least_rows).groupBy("lang").agg(F.sum("n").alias("n"))
+    langs = rest.where(F.col("n") >= least_rows).select("lang", F.lit(True).alias("pooled"))
     places = materialize(sizes.select("lang", "source").join(large, ["lang", "source"], "left").join(langs, "lang", "left"), "groups")
     made = rows.join(places, ["lang", "source"])
     own, pooled = F.coalesce("own", F.lit(False)), F.coalesce("pooled", F.lit(False))
@@ -234,28 +240,69 @@ def _medians(rows: DataFrame, values: list[Column]) -> DataFrame:
     return materialize(listed.select(*_GROUP, F.col("all.v").alias("m")), "medians")
 
 
-def estimate(rows: DataFrame, share: float = SHARE, steps: int = STEPS, tail: float = TAIL) -> DataFrame:
-    """(g_lang, g_source, center, inverse) by minimum covariance determinant from rows
-    (g_lang, g_source, x array<double>). Starts: 0 the median with each dimension's
-    median deviation, 1 the mean and covariance of the nearest half by it, both by group."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """The fits to begin with, around each group's medians in units of its median
+    deviations: 0 without correlations, 1 with those of the values bent by tanh, 2 with
+    those of the directions that rows lie in."""
     median = _medians(rows, _x()).withColumnRenamed("m", "center")
     away = _joined(rows, median, _GROUP)
     spread = _medians(away, [F.abs(_x()[i] - F.col("center")[i]) for i in range(DIMENSIONS)])
-    away = median.join(spread, _GROUP).select(*_GROUP, "center", *[F.col("m")[i].alias(f"d{i}") for i in range(DIMENSIONS)])
-    scale = [F.greatest(F.pow(1.4826 * F.col(f"d{i}"), F.lit(2)), F.lit(FLOORS[i] ** 2)) for i in range(DIMENSIONS)]
-    diagonal = F.array(*[1 / scale[i] if i == j else F.lit(0.0) for i, j in _PAIRS])
-    whole = away.select(*_GROUP, F.lit(0).alias("start"), "center", diagonal.alias("inverse"), F.lit(0.0).alias("logdet"))
-    fit = materialize(whole.union(whole.withColumn("start", F.lit(1))), "fit")
+    scale = F.array(*[F.greatest(1.4826 * F.col("m")[i], F.lit(FLOORS[i])) for i in range(DIMENSIONS)])
+    known = materialize(median.join(spread, _GROUP).select(*_GROUP, "center", scale.alias("scale")), "scales")
+    z = [(_x()[i] - F.col("center")[i]) / F.col("scale")[i] for i in range(DIMENSIONS)]
+    length = F.sqrt(sum((c * c for c in z), F.lit(1e-12)))
+    bent, unit = F.array(*[F.tanh(c) for c in z]), F.array(*[c / length for c in z])
+    each = F.explode(F.array(F.struct(F.lit(1).alias("start"), bent.alias("y")), F.struct(F.lit(2).alias("start"), unit.alias("y"))))
+    each = _joined(rows, known, _GROUP).select(*_GROUP, each.alias("e")).select(*_GROUP, "e.*")
+    products = [F.sum(F.col("y")[i] * F.col("y")[j]).alias(f"q{i}{j}") for i, j in _PAIRS]
+    sums = each.groupBy(*_GROUP, "start").agg(*products)
+    alone = known.select(*_GROUP, F.lit(0).alias("start"), *[F.lit(float(i == j)).alias(f"q{i}{j}") for i, j in _PAIRS])
+    sums = alone.unionByName(sums).join(known, _GROUP).select(*_GROUP, "start", "center", "scale", *[f"q{i}{j}" for i, j in _PAIRS])
+
+    def run(batches):
+        for b in batches:
+            inverses = []
+            for r in zip(*[b.column(i).to_pylist() for i in range(4, 5 + len(_PAIRS))]):
+                shape = np.empty((DIMENSIONS, DIMENSIONS))
+                for (i, j), q in zip(_PAIRS, r[1:]):
+                    shape[i, j] = shape[j, i] = q
+                size = np.sqrt(np.maximum(np.diag(shape), 1e-12))
+                values, axes = np.linalg.eigh(shape / np.outer(size, size))
+                inverse = (axes / np.maximum(values, 0.05)) @ axes.T / np.outer(r[0], r[0])
+                inverses.append([float(inverse[i, j]) for i, j in _PAIRS])
+            dets = pa.array([1e300] * b.num_rows, pa.float64())
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(inverses, pa.list_(pa.float64())), dets], names=[*_GROUP, "start", "center", "inverse", "logdet"])
+
+    return materialize(sums.mapInArrow(run, _FIT), "starts")
+
+
+def _concentrated(rows: DataFrame, fit: DataFrame, share: float, factor: float) -> DataFrame:
+    """The fits of the share of each group's rows that is nearest by the given ones."""
+    near = _joined(rows, fit, _GROUP).withColumn("bin", _bin(_distance(_x(), F.col("center"), F.col("inverse"))))
+    bins = near.groupBy(*_GROUP, "start", "bin").agg(*_moments())
+    group = Window.partitionBy(*_GROUP, "start")  # its bins, some thousands at most
+    before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = (share * F.sum("n").over(group) - before) / F.col("n")
+    inner = bins.withColumn("part", F.least(F.lit(1.0), part)).where("part > 0")
+    sums = inner.groupBy(*_GROUP, "start").agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in bins.columns if c not in (*_GROUP, "start", "bin")])
+    return _fits(sums, factor)
+
+
+def estimate(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+    """(g_lang, g_source, center, inverse) by minimum covariance determinant from rows
+    (g_lang, g_source, x array<double>), a written table."""
     factor = _consistency(share)
-    for step in range(steps):
-        part = F.when((F.col("start") == 1) & F.lit(step == 0), F.lit(0.5)).otherwise(F.lit(share))
-        near = _joined(rows, fit, _GROUP).withColumn("bin", _bin(_distance(_x(), F.col("center"), F.col("inverse"))))
-        bins = near.groupBy(*_GROUP, "start", "bin").agg(*_moments())
-        bins = materialize(bins, "bins")
-        cut = _reach(bins.select(*_GROUP, "start", "bin", "n"), [*_GROUP, "start"], part).withColumnRenamed("bin", "cut")
-        inner = bins.join(cut, [*_GROUP, "start"]).where("bin <= cut")
-        sums = inner.groupBy(*_GROUP, "start").agg(*[F.sum(c).alias(c) for c in bins.columns if c not in (*_GROUP, "start", "bin")])
-        fit = materialize(_fits(sums, factor), "fit")
+    active, done = _starts(rows), []
+    for _ in range(steps):
+        before = active.select(*_GROUP, "start", F.col("logdet").alias("before"))
+        moved = _concentrated(rows, active, share, factor).join(before, [*_GROUP, "start"])
+        settled = F.abs(F.col("logdet") - F.col("before")) <= SETTLED
+        moved = materialize(moved.withColumn("settled", settled).drop("before"), "fit")
+        done.append(moved.where("settled").drop("settled"))
+        active = moved.where("not settled").drop("settled")
+        if active.isEmpty():
+            break
+    fit = reduce(DataFrame.unionByName, [*done, active])
     best = fit.groupBy(*_GROUP).agg(F.min(F.struct("logdet", "start", "center", "inverse")).alias("b")).select(*_GROUP, F.col("b.center").alias("center"), F.col("b.inverse").alias("inverse"))
     # One reweighting step: the moments of all rows within the usual 97.5 % distance.
     near = _joined(rows, materialize(best, "fit"), _GROUP).where(_distance(_x(), F.col("center"), F.col("inverse")) <= chi_square_quantile(0.975, DIMENSIONS))
@@ -263,17 +310,28 @@ def estimate(rows: DataFrame, share: float = SHARE, steps: int = STEPS, tail: fl
     return materialize(_fits(sums, _consistency(0.975)).select(*_GROUP, "center", "inverse"), "fit")
 
 
-def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None, share: float = SHARE, tail: float = TAIL) -> DataFrame:
+def judge(
+    df: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    source: str = "source",
+    keep: list[str] | None = None,
+    share: float = SHARE,
+    tail: float = TAIL,
+    least_rows: int = LEAST_ROWS,
+) -> DataFrame:
     """df (or its columns `keep`) with the five statistics, base_failed, distance (squared,
-    null where base_failed) and kept.
+    null where base_failed), judged_with and kept.
 
     Null languages and sources are groups of their own, as are empty ones; null and empty
-    texts fail the base rules; repeated rows each count; an empty table stays empty. A
-    group too small for an estimate is judged with the others of its language, or of all
-    small languages; where even these are too few, no row is rejected by distance.
-    Columns of df with the new names are replaced."""
+    texts fail the base rules; repeated rows each count; rows at equal distances are judged
+    alike; an empty table stays empty. A group of fewer than `least_rows` rows is judged
+    with the other small ones of its language, or of all languages; judged_with says which
+    it was: source, language or all. Where all of these together are fewer rows than the
+    estimate has to have, twice the dimensions and two, judged_with is null and no row is
+    rejected by distance. Columns of df with the new names are replaced."""
     kept = df.columns if keep is None else keep
-    made = [*STATISTICS, "base_failed", "distance", "kept"]
+    made = [*STATISTICS, "base_failed", "distance", "judged_with", "kept"]
     kept = [c for c in kept if c.lower() not in made]
     held = [f"c{i}" for i in range(len(kept))]
     plain = df.select(
@@ -285,10 +343,11 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     rows = statistics(plain, keep=[*held, "lang", "source"])
     rows = materialize(rows.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))), "statistics")
     vector = F.array(*transformed()).alias("x")
-    passed = materialize(_grouped(rows.where("not base_failed").select("lang", "source", vector)).select("lang", "source", *_GROUP, "x"), "vectors")
-    fit = estimate(passed.select(*_GROUP, "x"), share, tail=tail)
-    enough = passed.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
-    of = passed.select("lang", "source", *_GROUP).distinct().join(enough.join(fit, _GROUP), _GROUP).select("lang", "source", "center", "inverse")
+    passed = materialize(_grouped(rows.where("not base_failed").select("lang", "source", vector), least_rows).select("lang", "source", *_GROUP, "x"), "vectors")
+    fit = estimate(passed.select(*_GROUP, "x"), share)
+    enough = passed.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(least_rows, 2 * (DIMENSIONS + 1)))
+    how = F.when(F.col("g_source") != "*", "source").when(F.col("g_lang") != "*", "language").otherwise("all")
+    of = passed.select("lang", "source", *_GROUP).distinct().join(enough.join(fit, _GROUP), _GROUP).select("lang", "source", "center", "inverse", how.alias("judged_with"))
     out = rows.withColumn("x", vector).join(materialize(of, "fit"), ["lang", "source"], "left")
     distance = F.when(~F.col("base_failed"), _distance(_x(), F.col("center"), F.col("inverse")))
     out = out.withColumn("distance", distance)
