@@ -116,9 +116,15 @@ def shards(spark, sf_dir):
 
 
 @query("op9_token_counts")
-def token_counts(spark, sf_dir):
+def token_counts(spark, sf_dir, cache: str | None = None):
+    """Counts through the cache at folder `cache`. Without one, a new cache is filled with
+    a quarter of the table first, as by an earlier run; the whole table then finds these
+    there and encodes the rest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tokencache.count_tokens(docs, scratch_path(spark, "token-counts"), WORD_BPE)
+    if cache is None:
+        cache = scratch_path(spark, "token-counts")
+        tokencache.count_tokens(docs.where(fold(F.col("doc_id"), 4) == 0), cache, WORD_BPE)
+    counted = tokencache.count_tokens(docs, cache, WORD_BPE)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 

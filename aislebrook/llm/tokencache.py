@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, field, named, without
+from .common import annotate, field, fresh, named, without
 from .wordtokens import encoder
 
 CACHE = T.StructType(
@@ -54,7 +54,8 @@ def count_tokens(df: DataFrame, cache: str, path: str, text: str = "text") -> Da
     result is read; an append that is lost half-way leaves no row, one that is repeated
     only a row that reads the same. A null text counts as empty; repeated rows each get
     their count; an empty table stays empty; columns of df with the two new names are
-    replaced."""
+    replaced. A digest that many rows share is split in the last join: the cache reaches
+    it in an exchange of its own, so adaptive execution may cut both sides."""
     spark = df.sparkSession
     version = tokenizer_version(path)
     blank_free = path.endswith(".json") and encoder(path).by_run
@@ -67,6 +68,9 @@ def count_tokens(df: DataFrame, cache: str, path: str, text: str = "text") -> Da
 
     counted = annotate(missing, ["content"], [field("n_tokens", T.LongType())], compute, keep=["digest"])
     counted.select(F.col("digest").alias("content_digest"), F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
-    rest = without(df, ["n_bytes", "n_tokens", "digest"]) if text.lower() not in ("n_bytes", "n_tokens", "digest") else df
-    rows = rest.withColumns({"n_bytes": F.octet_length(F.coalesce(named(text), F.lit(""))).cast("long"), "digest": digest})
-    return rows.join(read_cache(spark, cache, version), "digest", "left").drop("digest")
+    key = fresh(df, "digest_")
+    kept = without(df, ["n_bytes", "n_tokens"]).columns
+    n_bytes = F.octet_length(F.coalesce(named(text), F.lit(""))).cast("long")
+    rows = df.select(*[named(c) for c in kept], n_bytes.alias("n_bytes"), digest.alias(key))
+    known = read_cache(spark, cache, version).withColumnRenamed("digest", key).hint("rebalance")
+    return rows.join(known, key, "left").drop(key)

@@ -25,6 +25,8 @@ from .common import named
 # Vectors of a bucket, queries of a block.
 BUCKET = 4096
 BLOCK = 512
+# Blocks that a copy of the longest bucket serves in the first pass.
+FIRST_BLOCKS = 4
 # Lengths within one bucket class differ by this factor at most.
 RATIO = 1.1
 # From this cosine on, coordinates prune.
@@ -153,7 +155,10 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vect
     none = asked.withColumn("least", F.lit(float("-inf")))
     longest = first.join(sizes, ["dims", "class"]).select("dims", "class", "shares")
     start = buckets.where("share = 0").join(longest.select("dims", "class"), ["dims", "class"])
-    seeds = _matched(_packed(none, ["dims", "block"], ("qids", "queries"), ("least",)).join(start, "dims"), k)
+    # The longest bucket goes to some blocks at a time: one vector length may be the whole table.
+    some = blocks.select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / FIRST_BLOCKS))).alias("salt"))
+    first_blocks = _packed(none, ["dims", "block"], ("qids", "queries"), ("least",)).withColumn("salt", F.floor(F.col("block") / FIRST_BLOCKS))
+    seeds = _matched(first_blocks.join(start.join(some, "dims"), ["dims", "salt"]), k)
     least = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
     known = asked.join(least, asked.id == least.query_id, "left")
     known = known.select("dims", "block", "id", "v", "norm", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("least"))

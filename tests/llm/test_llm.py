@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from aislebrook.llm import bpe, langid, outliers, packing, sharding, simhash, tokencache, topk, warc, weaklabels
+from aislebrook.llm import bpe, langid, outliers, packing, queries, sharding, simhash, tokencache, topk, warc, weaklabels
 from aislebrook.sources.scratch import materialize, scratch_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -83,6 +83,25 @@ def test_token_counts_come_from_the_cache(spark):
     assert tokencache.count_tokens(df.limit(0), cache, WORDS).count() == 0
 
 
+def test_token_counts_of_a_second_run_come_from_the_cache(spark, tmp_path):
+    texts = ODD + ["hot text of many rows"] * 400 + [f"word{i % 50} and more" for i in range(200)]
+    rows = docs(spark, texts).withColumn("digest", F.lit("own")).withColumn("N_BYTES", F.lit("x"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    cache = str(tmp_path / "cache")
+    build = queries.QUERIES["op9_token_counts"]
+    first = sorted(map(tuple, build(spark, str(tmp_path), cache).collect()))
+    stored = sorted(map(tuple, spark.read.parquet(cache).collect()))
+    assert sorted(map(tuple, build(spark, str(tmp_path), cache).collect())) == first
+    assert sorted(map(tuple, spark.read.parquet(cache).collect())) == stored
+    assert sorted(map(tuple, build(spark, str(tmp_path)).collect())) == first  # a cache that holds a part
+    # What is stored is what is read.
+    other = str(tmp_path / "other")
+    spark.read.parquet(cache).withColumn("n_tokens", F.col("n_tokens") + 5000).write.parquet(other)
+    assert [r[2] for r in sorted(map(tuple, build(spark, str(tmp_path), other).collect()))] == [r[2] + 5000 for r in first]
+    out = tokencache.count_tokens(rows, cache, WORDS)
+    assert out.columns == ["doc_id", "text", "digest", "n_bytes", "n_tokens"] and out.where("digest = 'own'").count() == len(texts)
+
+
 def test_every_id_is_in_one_piece(spark):
     from tokenizers import Tokenizer
 
