@@ -57,7 +57,7 @@ def quality_classifier(spark, sf_dir):
 def warc_assembly(spark, sf_dir):
     archives = scratch_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), archives)
-    captures = warc.assemble(warc.index_archives(spark, archives)).withColumn("page_id", warc.field_of(F.col("metadata"), "page_id").cast("long"))
+    captures = warc.assemble_archives(spark, archives).withColumn("page_id", warc.field_of(F.col("metadata"), "page_id").cast("long"))
     whole = warc.resolve(captures, ["page_id", "payload_bytes", "payload_digest"])
     refers = F.when(F.col("record_type") == "revisit", F.col("full_page_id")).alias("refers_to")
     return whole.select("page_id", F.col("full_payload_bytes").alias("payload_bytes"), F.col("full_payload_digest").alias("payload_digest"), "record_type", refers)

@@ -3,12 +3,14 @@
 A capture is a response or revisit record with its request and metadata records, which
 name it as concurrent. Archives are text that Spark's own writer puts down (a record of
 UTF-8 payload is text, and the record separator its line separator), one gzip file for a
-bounded number of records, so that any task can read any archive whole.
+bounded number of records and bytes, so that any task can read any archive whole.
 
 Assembly takes records from any archives in any order: a request or metadata record
 belongs to the capture that it names, that names it, or that a record near it belongs
-to. Links are joined without payloads; a capture with very many records comes in several
-rows, each of a bounded number.
+to. Records that link to nothing outside their archive, and that nothing outside links
+to, are joined by the task that reads the archive, with their payloads; all others are
+joined as tables, links without payloads first. A capture with very many records comes in
+several rows, each of a bounded number.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import base64
 import gzip
 import hashlib
 import io
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +30,9 @@ from aislebrook.sources.scratch import materialize
 
 from .common import field, named
 
-# Records of one archive file.
-RECORDS_PER_FILE = 6000
+# Records of one archive file by the bytes of a payload, up to each limit: three records
+# to a page, some 128 MB of pages to a file, or one page.
+RECORDS_PER_FILE = {64 << 10: 6000, 1 << 20: 375, 1 << 62: 3}
 # Requests and metadata of one capture that one row nests.
 NESTED = 1000
 _CRLF = "\r\n"
@@ -71,35 +75,65 @@ def _record(kind, record_id: Column, headers: list[tuple[str, Column]], block: C
     return F.concat(F.concat_ws(_CRLF, *lines), F.lit(_CRLF * 2), block)
 
 
-def _urn(kind: str, row: Column) -> Column:
-    h = F.md5(F.concat(F.lit(kind + ":"), row.cast("string")))
+def _urn(kind: str, *key: Column) -> Column:
+    texts = [F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("")) for k in key]
+    h = F.md5(F.concat_ws("\n", F.lit(kind), *texts))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write the rows of pages (page_id, url, html; a table scan) as captures to folder path.
+    """Write the rows of pages (page_id, url, html) as captures to folder path.
 
     Of rows with equal payloads of at least least_bytes bytes, the one with the largest
-    page_id (the last read of equal ones) is written as response, the others as revisits
-    of it. A null html is an empty payload; a null url leaves out the target; a null
-    page_id is smaller than any; repeated rows each make a capture."""
+    page_id, then url, is written as response, the others as revisits of it. A null html is
+    an empty payload; a null url leaves out the target; a null page_id is smaller than any;
+    rows that repeat in all three each make a capture, and one of them the response.
+    Records are named after what their rows hold, so a pages table may be split differently
+    each time that it is read. Empty tables give an empty folder."""
     rows = pages.select(
         named("page_id").alias("page_id"),
         F.replace(F.replace(named("url").cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"),
         F.coalesce(named("html"), F.lit("")).alias("html"),
-        F.monotonically_increasing_id().alias("row"),
     )
-    rows = rows.withColumns({"content": F.sha2(F.col("html"), 256), "digest": F.sha1("html")})
-    first = rows.groupBy("content").agg(F.max(F.struct("page_id", "row")).alias("first"))
-    rows = rows.join(first, "content")
-    again = (F.col("first.row") != F.col("row")) & (F.octet_length("html") >= least_bytes)
+    rows = rows.withColumns({"content": F.sha2(F.col("html"), 256), "size": F.octet_length("html")})
+    kinds = rows.groupBy("content", "page_id", "url").agg(F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
+    first = kinds.groupBy("content").agg(F.max(F.struct("page_id", "url")).alias("first"), F.max("copies").alias("most"), F.max("size").alias("bytes"))
+    first = materialize(first, "payloads")
+    largest, repeated = first.agg(F.max("bytes"), F.max("most")).first()
+    low = -1
+    for high, records in RECORDS_PER_FILE.items():
+        if largest is not None and largest > low:
+            _write_records(rows.where((F.col("size") > low) & (F.col("size") <= high)), first, repeated > 1, path, records, least_bytes, date)
+        low = high
+    if largest is None:
+        pages.sparkSession.createDataFrame([], "value string").write.text(path)
+
+
+def _write_records(rows: DataFrame, first: DataFrame, repeated: bool, path: str, per_file: int, least_bytes: int, date: str) -> None:
+    rows = rows.withColumn("digest", F.sha1("html"))
+    known = first.select("content", "first", "most")
+    some = rows.join(known.where("most = 1") if repeated else known, "content").withColumn("copy", F.lit(0).cast("long"))
+    if repeated:
+        same = rows.join(known.where("most > 1"), "content").groupBy("content", "page_id", "url")
+        each = same.agg(*[F.first(c).alias(c) for c in ("html", "size", "digest", "first", "most")], F.count(F.lit(1)).alias("n"))
+        each = each.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        some = some.unionByName(each.drop("n"))
+    _records(some, least_bytes, date).write.mode("append").option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+
+
+def _records(rows: DataFrame, least_bytes: int, date: str) -> DataFrame:
+    """The records of rows (page_id, url, html, content, digest, copy, first) as text."""
+    own = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url")) & (F.col("copy") == 0)
+    again = ~own & (F.col("size") >= least_bytes)
     digest = F.concat(F.lit("sha1:"), base32_of_hex(F.col("digest")))
-    response, request = _urn("response", F.col("row")), _urn("request", F.col("row"))
+    row = [F.col(c) for c in ("content", "page_id", "url", "copy")]
+    original = [F.col("content"), F.col("first.page_id"), F.col("first.url"), F.lit(0)]
+    response, request = _urn("response", *row), _urn("request", *row)
     body = F.when(again, F.lit("")).otherwise(F.col("html"))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "),
-        F.octet_length("html").cast("string"),
+        F.col("size").cast("string"),
         F.lit(_CRLF * 2),
         body,
     )
@@ -115,7 +149,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
                 ("WARC-Concurrent-To", request),
                 ("WARC-Payload-Digest", digest),
                 ("WARC-Profile", F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-                ("WARC-Refers-To", F.when(again, _urn("response", F.col("first.row")))),
+                ("WARC-Refers-To", F.when(again, _urn("response", *original))),
                 ("Content-Type", F.lit("application/http; msgtype=response")),
             ],
             http,
@@ -123,13 +157,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         _record(F.lit("request"), request, [*common, ("Content-Type", F.lit("application/http; msgtype=request"))], asked),
         _record(
             F.lit("metadata"),
-            _urn("metadata", F.col("row")),
+            _urn("metadata", *row),
             [*common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))],
             F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(_CRLF)),
         ),
     )
-    out = rows.select(F.explode(records).alias("value"))
-    out.write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    return rows.select(F.explode(records).alias("value"))
 
 
 def _header(lines: bytes) -> dict[str, list[str]]:
@@ -190,43 +223,149 @@ def parse(stream, name: str = ""):
         )
 
 
+_FIELD = pa.struct([("name", pa.string()), ("value", pa.string())])
+_KINDS = [
+    *[pa.field(n, pa.string()) for n in RECORD.names[:5]],
+    pa.field("concurrent_to", pa.list_(pa.string())),
+    *[pa.field(n, pa.string()) for n in RECORD.names[6:9]],
+    pa.field("payload_bytes", pa.int64()),
+    pa.field("fields", pa.list_(_FIELD)),
+    pa.field("payload", pa.binary()),
+]
+# What a capture nests of a request or metadata record.
+LIGHT = ["record_id", "record_type", "target_uri", "date", "fields", "payload", "concurrent_to"]
+_PLACES = [RECORD.names.index(c) for c in LIGHT]
+_NESTED = T.ArrayType(T.StructType([RECORD[c] for c in LIGHT]))
+
+
+def _streams(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """The records of each archive of a batch (path, content)."""
+    for i in range(batch.num_rows):
+        content = batch.column(1)[i].as_buffer()
+        raw = pa.BufferReader(content)
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2].to_pybytes() == b"\x1f\x8b" else io.BufferedReader(raw)
+        yield parse(stream, batch.column(0)[i].as_py())
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    """rows in batches of a bounded number and size."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if total > 4 << 20 or len(held) >= 2000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held), schema)], schema=schema)
+            held, total = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held), schema)], schema=schema)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below path, plain or gzip, by record or as a whole.
     payload is the body of an HTTP message, else the block; its digest and size are
     taken of the bytes read, stated_digest is the header's."""
 
     def run(batches):
-        kinds = pa.schema(
-            [
-                *[pa.field(n, pa.string()) for n in RECORD.names[:5]],
-                pa.field("concurrent_to", pa.list_(pa.string())),
-                *[pa.field(n, pa.string()) for n in RECORD.names[6:9]],
-                pa.field("payload_bytes", pa.int64()),
-                pa.field("fields", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))),
-                pa.field("payload", pa.binary()),
-            ]
-        )
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
+        for batch in batches:
+            for records in _streams(batch):
+                yield from _batches(records, pa.schema(_KINDS), lambda r: r[9])
+
+    return _files(spark, path).mapInArrow(run, RECORD)
+
+
+def transactions(records: list[tuple]) -> Iterator[tuple[tuple, list | None, list | None, bool]]:
+    """(record, requests, metadata, whole) of one archive's records. A set of linked
+    records is whole if all that they link to is among them and none is there twice: its
+    captures come with what they nest. The records of other sets come one by one, not
+    whole, as do those that no capture has."""
+    place: dict[str, int] = {}
+    twice = set()
+    for i, r in enumerate(records):
+        if r[0] is not None and place.setdefault(r[0], i) != i:
+            twice.add(r[0])
+    root = list(range(len(records)))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    broken = set()
+    near: dict[int, set[int]] = {}
+    for i, r in enumerate(records):
+        if r[0] is None:
+            continue
+        if r[0] in twice:
+            broken.add(i)
+        for other in r[5]:
+            j = place.get(other)
+            if j is None or other in twice:
+                broken.add(i)
+            elif i != j:
+                near.setdefault(i, set()).add(j)
+                near.setdefault(j, set()).add(i)
+                root[top(i)] = top(j)
+    broken = {top(i) for i in broken}
+    sets: dict[int, list[int]] = {}
+    for i in range(len(records)):
+        sets.setdefault(top(i), []).append(i)
+    for name, some in sets.items():
+        captures = [i for i in some if records[i][1] in CAPTURES]
+        if name in broken or not captures or len(some) - len(captures) > NESTED:
+            for i in some:
+                yield records[i], None, None, False
+            continue
+        # Level by level, as links lead: the smallest capture of those reached before.
+        owner = {i: records[i][0] for i in captures}
+        front = captures
+        while front:
+            reached = {j for i in front for j in near.get(i, ()) if j not in owner}
+            new = {j: min(owner[i] for i in near[j] if i in owner) for j in reached}
+            owner |= new
+            front = list(new)
+        for i in captures:
+            mine = sorted((records[j] for j in some if j not in captures and owner[j] == records[i][0]), key=lambda r: r[0])
+            nested = [[tuple(r[k] for k in _PLACES) for r in mine if (r[1] == "request") is wanted] for wanted in (True, False)]
+            yield records[i], *(nested if mine else (None, None)), True
+
+
+def assemble_archives(spark: SparkSession, path: str) -> DataFrame:
+    """One row per capture of all archives below path, as `assemble` gives them from the
+    records, bodies included. The task that reads an archive joins what lies together
+    there; sets of records that reach into other archives, or whose records another archive
+    holds as well, go through `assemble`. What was read is written once. An empty folder
+    gives no rows."""
+    light = pa.struct([_KINDS[k] for k in _PLACES])
+    schema = pa.schema([*_KINDS, pa.field("requests", pa.list_(light)), pa.field("metadata", pa.list_(light)), pa.field("whole", pa.bool_())])
 
+    def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                content = batch.column(1)[i].as_buffer()
-                raw = pa.BufferReader(content)
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2].to_pybytes() == b"\x1f\x8b" else io.BufferedReader(raw)
-                rows, size = [], 0
-                for record in parse(stream, batch.column(0)[i].as_py()):
-                    rows.append(record)
-                    size += record[9]
-                    if size > 4 << 20 or len(rows) >= 2000:
-                        yield batch_of(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield batch_of(rows)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, RECORD)
+            for records in _streams(batch):
+                made = ((*r, *([None if x is None else [dict(zip(LIGHT, t)) for t in x] for x in nested]), whole) for r, *nested, whole in transactions(list(records)))
+                yield from _batches(made, schema, lambda r: r[9])
+
+    kinds = T.StructType([*RECORD, field("requests", _NESTED), field("metadata", _NESTED), field("whole", T.BooleanType())])
+    read = materialize(_files(spark, path).mapInArrow(run, kinds), "transactions")
+    whole, rest = read.where("whole").drop("whole"), read.where("not whole").select(*RECORD.names)
+    nested = F.concat(*[F.coalesce(F.col(c), F.array().cast(_NESTED)) for c in ("requests", "metadata")])
+    members = whole.select("record_id", F.explode(F.concat(F.array("record_id"), F.transform(nested, lambda r: r["record_id"]))).alias("member"))
+    alone = rest.select(F.lit(None).cast("string").alias("record_id"), F.explode(F.concat(F.array("record_id"), "concurrent_to")).alias("member")).distinct()
+    # Sets that a record of another archive links to, or that another archive holds as well.
+    touched = members.unionByName(alone).where("member is not null").groupBy("member").agg(F.count(F.lit(1)).alias("n"), F.collect_set("record_id").alias("ids")).where("n > 1")
+    touched = materialize(touched.select(F.explode("ids").alias("record_id")).distinct(), "touched")
+    captures = whole.drop("fields").withColumn("part", F.lit(0).cast("long"))
+    if rest.isEmpty() and touched.isEmpty():
+        return captures
+    reopened = whole.join(touched, "record_id", "left_semi")
+    inner = reopened.select(F.explode(nested).alias("r")).select("r.*")
+    again = reopened.select(*RECORD.names).unionByName(inner, allowMissingColumns=True)
+    others = assemble(materialize(rest.unionByName(again.select(*RECORD.names)), "records"))
+    return captures.join(touched, "record_id", "left_anti").unionByName(others, allowMissingColumns=True)
 
 
 def index_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -266,7 +405,7 @@ def assemble(records: DataFrame) -> DataFrame:
     come as rows of their own, with null record_id. Repeated records repeat; a record
     without id is a capture of its own or, if no capture, untied."""
     owners = _owners(records)
-    light = [c for c in ("record_id", "record_type", "target_uri", "date", "fields", "payload") if c in records.columns]
+    light = [c for c in LIGHT if c in records.columns]
     rest = records.where(~F.col("record_type").isin(*CAPTURES)).select(*light).join(owners, "record_id", "left")
     counts = owners.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NESTED)
     rest = rest.join(counts, "capture_id", "left")
