@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -32,6 +33,9 @@ def forget() -> None:
         _REMEMBERED.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:  # the allocator keeps what Python frees
+            trim(0)
 
 
 def named(name: str) -> Column:
