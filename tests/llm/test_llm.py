@@ -450,6 +450,21 @@ def test_top_k_is_brute_force(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_leaves_out_null_ids_and_deals_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    monkeypatch.setattr(topk, "FIRST_BLOCKS", 3)
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(120, 6)).tolist()
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(None, [9.0] * 6), (None, None)]
+    df = materialize(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vectors")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 3 == 0).collect()}
+    q = np.floor(256 * np.array(vectors))
+    assert len(got) == 40 * 5
+    for i in range(0, 120, 3):
+        best = sorted((-int(q[i] @ q[j]), j) for j in range(120) if j != i)[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
+
+
 def test_high_cosines_are_pruned_by_coordinates_without_loss():
     rng = np.random.default_rng(9)
     unit = rng.normal(size=(2000, 8))
@@ -479,4 +494,4 @@ def test_pipeline_stages_keep_the_columns_and_the_clean_documents(spark, prose,
 def test_registered_names():
     from aislebrook.llm.queries import QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
