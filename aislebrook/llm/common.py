@@ -66,11 +66,14 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(i, step)
 
 
-def annotate(df: DataFrame, inputs: list[str], fields: list[T.StructField], compute: Callable, keep: list[str] | None = None, most: int = SLICE_BYTES) -> DataFrame:
+def annotate(
+    df: DataFrame, inputs: list[str], fields: list[T.StructField], compute: Callable | None, keep: list[str] | None = None, most: int = SLICE_BYTES, pieces: Callable | None = None
+) -> DataFrame:
     """df (or its columns `keep`) with `fields` appended, which compute(*arrays of the
     input columns) returns as Arrow arrays, for about `most` bytes of rows at a time. Rows stay in their
     partition. A column of df with the name of a new field gives way to it, unless it
-    is an input: then it is read first."""
+    is an input: then it is read first. pieces(batches, number of the first input's
+    column) may cut the rows otherwise; it yields rows and the compute for them."""
     held = [f"in_{i}" for i in range(len(inputs))]
     carried = [c for c in (df.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in fields}]
     source = df.select(*[named(c) for c in carried], *[named(c).alias(h) for c, h in zip(inputs, held, strict=True)])
@@ -79,10 +82,10 @@ def annotate(df: DataFrame, inputs: list[str], fields: list[T.StructField], comp
     names = [f.name for f in schema]
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, most):
-                made = compute(*[part.column(n + i) for i in range(len(held))])
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n)] + made, names=names)
+        cut = ((part, compute) for batch in batches for part in slices(batch, most)) if pieces is None else pieces(batches, n)
+        for part, computed in cut:
+            made = computed(*[part.column(n + i) for i in range(len(held))])
+            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n)] + made, names=names)
 
     return source.mapInArrow(run, schema)
 

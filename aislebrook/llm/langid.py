@@ -5,8 +5,10 @@ n-grams of the order are counted per language over all training texts, and none
 out. Lower orders use continuation counts, the highest one its own; counts of counts,
 context totals and interpolated probabilities are Spark tables in the shared folder. The
 probabilities, one column per language, reach the workers in parts of bounded size,
-sorted by n-gram hash. The driver holds one part at a time, a worker as many as fit its
-allowance. An n-gram that no language has falls to the next order.
+sorted by n-gram hash. The driver holds one part at a time. A worker keeps a model that
+fits its allowance; of a larger one it gathers texts until what they need fills the
+allowance, reads every part once for all of them, and keeps that. An n-gram that no
+language has falls to the next order.
 
 A text's language has the lowest cross-entropy per character. A share of the training
 texts is not counted but calibrates: it gives each language the centre and spread of the
@@ -20,9 +22,9 @@ or when it has no letter.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,14 @@ from pyspark.sql import types as T
 
 from aislebrook.sources.scratch import materialize
 
-from .common import annotate, field, forget, named, slices, without
+from .common import SLICE_BYTES, annotate, field, forget, named, slices, without
 
 ORDER = 4  # four points of 16 bits are one 64-bit key
-# Bytes of n-grams and costs in one part of a table, and in the parts that a worker keeps.
+# Bytes of n-grams and costs in one part of a table, and in what a worker keeps of all
+# tables; bytes of texts that one reading of the parts serves at most.
 PART_BYTES = 32 << 20
 HELD_BYTES = 128 << 20
+GATHER_BYTES = 64 << 20
 # Deviations above the median cross-entropy of a language's own texts.
 MOST_DEVIATIONS = 8.0
 # The deviation is read off at this share of the texts, which is so many normal deviations
@@ -46,6 +50,8 @@ MOST_DEVIATIONS = 8.0
 UPPER_SHARE, UPPER_NORMAL = 0.8, 0.8416
 # Languages with fewer calibration texts share the spread of all such languages.
 LEAST_TEXTS = 30
+# N-grams of all languages together that a task counts before it passes them on.
+COUNTED = 1 << 21
 # Steps of the histograms to the bit.
 _STEPS = 64
 UNKNOWN = "und"
@@ -131,6 +137,7 @@ def _counted(texts: DataFrame, order: int) -> DataFrame:
                 )
 
         forget()
+        total = 0
         for batch in batches:
             for part in slices(batch, _SLICE):
                 by_lang: dict[str, list[str]] = {}
@@ -145,9 +152,13 @@ def _counted(texts: DataFrame, order: int) -> DataFrame:
                     np.add.at(steps, np.maximum(begins, ends - order + 2), -1)
                     keys = keys[(np.cumsum(steps) > 0)[: len(keys)]]
                     if len(keys):
+                        total -= len(held[lang][0]) if lang in held else 0
                         add(lang, *np.unique(keys, return_counts=True))
-                        if len(held[lang][0]) > 1 << 20:
-                            yield from out(lang)
+                        total += len(held[lang][0])
+                        while total > COUNTED:
+                            most = max(held, key=lambda x: len(held[x][0]))
+                            total -= len(held[most][0])
+                            yield from out(most)
         for lang in list(held):
             yield from out(lang)
 
@@ -192,12 +203,19 @@ class Table:
         return place
 
 
+@dataclass
+class Own:
+    """A table of this worker, read as a shared one is."""
+
+    value: Table
+
+
 @dataclass
 class Parts:
     """A table of any size, dealt by n-gram modulo the number of parts, each shared on its
-    own. `held` tells whether a worker keeps its parts or reads each again when needed."""
+    own. `held` tells whether a worker keeps its parts or gives each back when it is read."""
 
-    shared: list[Broadcast]
+    shared: list[Broadcast | Own]
     langs: int
     held: bool
 
@@ -254,6 +272,37 @@ class Model:
         out[todo - 1] += self.floor
         return out
 
+    @property
+    def held(self) -> bool:
+        """Whether a worker keeps all of the model."""
+        return all(p.held for p in (*self.tables, *self.contexts) if p)
+
+    def excerpt(self, grams: np.ndarray) -> Model:
+        """The same model for texts whose n-grams of the order are `grams`, texts' ends
+        included: what they need of each part, which is read once."""
+        tables: list = [None] * self.order
+        contexts: list = [None] * self.order
+
+        def own(parts: Parts, keys: np.ndarray) -> tuple[np.ndarray, Parts]:
+            hit, costs = parts.look(keys)
+            return hit, Parts([Own(Table.of(keys[hit], costs))], parts.langs, True)
+
+        keys = grams
+        for k in range(self.order, 0, -1):
+            hit, tables[k - 1] = own(self.tables[k - 1], keys)
+            if k > 1:
+                missed = keys[~hit]
+                _, contexts[k - 1] = own(self.contexts[k - 1], np.unique(missed >> np.uint64(16)))
+                keys = np.unique(missed & np.uint64((1 << (16 * (k - 1))) - 1))
+        return replace(self, tables=tables, contexts=contexts)
+
+    def needed(self, texts: list[str]) -> np.ndarray:
+        """The n-grams of the order in texts, each once. Blanks before the first text
+        stand for what a text in front of it would end in."""
+        points, _, _ = stream(texts)
+        lead = np.full(self.order - 1, 32, np.uint16)
+        return np.unique(_keys(np.concatenate([lead, points]), None, self.order))
+
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(characters, bits per character by language) of texts; 0 characters: no letter."""
         points, begins, ends = stream(texts)
@@ -267,6 +316,30 @@ class Model:
         return size, bits
 
 
+def readings(model: Model, batches: Iterable[pa.RecordBatch], column: int, most: int = _SLICE) -> Iterator[tuple[pa.RecordBatch, Model]]:
+    """Pieces of the batches, of about `most` bytes, and the model to score the texts in
+    `column` by: the model itself where a worker keeps it, else an excerpt that serves
+    all pieces gathered until their needs fill HELD_BYTES or they hold GATHER_BYTES."""
+    waiting: list[pa.RecordBatch] = []
+    need, size = np.empty(0, np.uint64), 0
+    for batch in batches:
+        for part in slices(batch, most):
+            if model.held:
+                yield part, model
+                continue
+            waiting.append(part)
+            size += part.nbytes
+            for texts in shares([x or "" for x in part.column(column).to_pylist()], _SLICE):
+                need = np.union1d(need, model.needed(texts))
+            if size >= GATHER_BYTES or len(need) * (8 + 4 * len(model.langs)) >= HELD_BYTES:
+                some = model.excerpt(need)
+                yield from ((part, some) for part in waiting)
+                waiting, need, size = [], np.empty(0, np.uint64), 0
+    if waiting:
+        some = model.excerpt(need)
+        yield from ((part, some) for part in waiting)
+
+
 def _each(langs: list[str], value: Callable[[int], Column]) -> Column:
     return F.array(*[value(i) for i in range(len(langs))])
 
@@ -351,10 +424,11 @@ def shares(texts: list[str], most: int) -> Iterator[list[str]]:
     yield texts[begin:]
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", calibration: Column | None = None, order: int = ORDER) -> Model:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", calibration: Column | None = None, order: int = ORDER, least_texts: int = LEAST_TEXTS) -> Model:
     """A model from all rows of df that have a text and a language. Rows where
     `calibration` holds calibrate it, the others are counted; without it, a quarter by
-    the text's hash. The model has every n-gram of the rows that are counted."""
+    the text's hash. The model has every n-gram of the rows that are counted. Languages
+    with fewer calibration texts than `least_texts` share a spread, see calibrate()."""
     rows = df.where(named(text).isNotNull() & named(lang).isNotNull()).select(
         named(lang).cast("string").alias("lang"),
         named(text).alias("text"),
@@ -364,7 +438,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", calibration: Co
     model = estimate(counted, order)
     if not model.langs:
         return model
-    return calibrate(model, rows.where("aside").select("lang", "text"))
+    return calibrate(model, rows.where("aside").select("lang", "text"), least_texts)
 
 
 def _quantile(bins: dict[int, int], share: float) -> float:
@@ -385,9 +459,9 @@ def _spread(bins: dict[int, int], center: float, rate: float) -> tuple[float, fl
     return var, max(var / (2 * rate), 1.0)
 
 
-def calibrate(model: Model, rows: DataFrame) -> Model:
+def calibrate(model: Model, rows: DataFrame, least_texts: int = LEAST_TEXTS) -> Model:
     """Centres and spreads by language, and the temperature with the least loss, from
-    histograms and sums over all rows (lang, text). Languages with fewer than LEAST_TEXTS
+    histograms and sums over all rows (lang, text). Languages with fewer than `least_texts`
     texts share the spread of their texts around each one's own median, or where these
     are too few as well, that of all languages; one without any text has their highest
     centre. Only a table without any calibration text rejects nothing but texts without
@@ -398,18 +472,17 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
         code = {x: i for i, x in enumerate(model.langs)}
         held: dict[tuple[int, int], list[float]] = {}
         loss = np.zeros(len(_TEMPERATURES))
-        for batch in batches:
-            for part in slices(batch, _SLICE):
-                known = [(code[a], t) for a, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if a in code]
-                size, bits = model.entropies([t for _, t in known])
-                for (a, _), n, row in zip(known, size.tolist(), bits):
-                    if n:
-                        sums = held.setdefault((a, int(row[a] * _STEPS)), [0, 0.0])
-                        sums[0] += 1
-                        sums[1] += 1 / n
-                        for i, t in enumerate(_TEMPERATURES):
-                            z = -t * n * (row - row.min())
-                            loss[i] += np.log(np.exp(z).sum()) - z[a]
+        for part, scorer in readings(model, batches, 1):
+            known = [(code[a], t) for a, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if a in code]
+            size, bits = scorer.entropies([t for _, t in known])
+            for (a, _), n, row in zip(known, size.tolist(), bits):
+                if n:
+                    sums = held.setdefault((a, int(row[a] * _STEPS)), [0, 0.0])
+                    sums[0] += 1
+                    sums[1] += 1 / n
+                    for i, t in enumerate(_TEMPERATURES):
+                        z = -t * n * (row - row.min())
+                        loss[i] += np.log(np.exp(z).sum()) - z[a]
         # Temperatures have code -1.
         found = [(a, x, n, r) for (a, x), (n, r) in held.items()] + [(-1, i, 0, x) for i, x in enumerate(loss.tolist())]
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64())
@@ -437,10 +510,10 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
         return _spread(away, _quantile(away, 0.5), rates[langs].sum() / texts[langs].sum())
 
     some = np.flatnonzero(texts).tolist()
-    small = [i for i in some if texts[i] < LEAST_TEXTS]
+    small = [i for i in some if texts[i] < least_texts]
     if some:
-        shared = pooled(small if texts[small].sum() >= LEAST_TEXTS else some)
-        spread = [_spread(bins[i], centers[i], rates[i] / texts[i]) if texts[i] >= LEAST_TEXTS else shared for i in range(len(bins))]
+        shared = pooled(small if texts[small].sum() >= least_texts else some)
+        spread = [_spread(bins[i], centers[i], rates[i] / texts[i]) if texts[i] >= least_texts else shared for i in range(len(bins))]
         highest = max(centers[i] for i in some)
         model.center = np.array([highest if c is None else c for c in centers])
         model.spread = np.array(spread).T
@@ -457,9 +530,12 @@ def identify(df: DataFrame, model: Model, text: str = "text", most_deviations: f
     rejected. Equal cross-entropies go to the language that comes first by name. Nothing
     but the text is looked at; columns of df with the new names are replaced."""
 
-    def compute(texts):
+    def pieces(batches, column):
         forget()
-        made = [model.entropies(x) for x in shares([x or "" for x in texts.to_pylist()], _SLICE)]
+        return ((part, partial(compute, scorer)) for part, scorer in readings(model, batches, column, SLICE_BYTES))
+
+    def compute(scorer, texts):
+        made = [scorer.entropies(x) for x in shares([x or "" for x in texts.to_pylist()], _SLICE)]
         size, bits = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
         some = size > 0 if model.langs else np.zeros(len(size), bool)
         if not model.langs:
@@ -479,7 +555,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", most_deviations: f
         ]
 
     new = [field("lang_pred", T.StringType()), field("score", T.DoubleType()), field("cross_entropy", T.DoubleType()), field("rejected", T.BooleanType())]
-    return annotate(df, [text], new, compute, keep)
+    return annotate(df, [text], new, None, keep, pieces=pieces)
 
 
 def keep_identified(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

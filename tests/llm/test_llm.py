@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,6 +241,51 @@ def test_language_models_keep_rare_grams_and_are_brute_force(spark):
             assert np.allclose(cost, want, atol=1e-3), gram
 
 
+def test_a_model_beyond_the_allowance_scores_alike_and_is_read_once_for_many_texts(spark, prose, monkeypatch):
+    df = docs(spark, [t for _, t, _, _ in prose] + ODD, lang=[x for _, _, x, _ in prose] + ["xx"] * len(ODD))
+    counted = materialize(langid._counted(df.where("text is not null").select("lang", "text"), 4), "counts")
+    whole = langid.estimate(counted, 4)
+    parted = langid.estimate(counted, 4, part_bytes=1000, held_bytes=0)
+    assert whole.held and not parted.held and len(parted.tables[3].shared) > 3
+    rows = df.where("text is not null").select("lang", "text")
+    for model in (whole, parted):
+        langid.calibrate(model, rows)
+    assert whole.temperature == parted.temperature and np.array_equal(whole.center, parted.center) and np.array_equal(whole.spread, parted.spread)
+    for bounds in ({}, {"GATHER_BYTES": 1}, {"HELD_BYTES": 1}):
+        with monkeypatch.context() as patch:
+            for name, value in bounds.items():
+                patch.setattr(langid, name, value)
+            batch = pa.RecordBatch.from_pydict({"text": [t for _, t, _, _ in prose] + ODD})
+            parts = list(langid.readings(parted, iter([batch, batch]), 0, most=20_000))
+            scorers = {id(m) for _, m in parts}
+            assert len(parts) > 10 and len(scorers) == (len(parts) if bounds else 1) and all(m.held for _, m in parts)
+            for part, scorer in parts:
+                texts = [x or "" for x in part.column(0).to_pylist()]
+                for a, b in zip(whole.entropies(texts), scorer.entropies(texts)):
+                    assert np.array_equal(a, b)
+    got, want = ({r.doc_id: r for r in langid.identify(df, m).collect()} for m in (parted, whole))
+    assert got == want and len(got) == df.count()
+
+
+def test_counts_of_many_languages_are_passed_on_in_time(spark, monkeypatch):
+    monkeypatch.setattr(langid, "COUNTED", 50)
+    texts = [(f"l{i % 9}", f"abc{chr(97 + i % 26)}def ghi{chr(97 + i % 7)}") for i in range(200)] * 2
+    want = Counter((lang, f" {t} "[j : j + 4]) for lang, t in texts for j in range(len(t) - 1))
+    got = langid._counted(spark.createDataFrame(texts, "lang string, text string"), 4).collect()
+    key = lambda g: sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(g))
+    assert {(r.lang, r.gram): r.n for r in got} == {(lang, key(g)): n for (lang, g), n in want.items()}
+
+
+def test_texts_of_tied_languages_and_very_long_ones(spark):
+    """Two languages of equal texts tie, and the first by name is named; a text longer
+    than a slice is scored whole."""
+    df = docs(spark, ["tan ber sol in the "] * 8 + ["lla os de que "] * 4, lang=["b", "a"] * 4 + ["c"] * 4)
+    model = langid.train(df, calibration=F.lit(False))
+    long = ["tan ber sol in the " * 300_000, "tan ber sol", None]
+    got = [r.lang_pred for r in langid.identify(docs(spark, long), model).orderBy("doc_id").collect()]
+    assert got == ["a", "a", "und"]
+
+
 def test_gibberish_among_the_calibration_texts_goes_and_small_languages_reject(spark, prose):
     """Eight per cent of a language's texts are random letters, and a third language has
     too few texts for a limit of its own."""
