@@ -1,7 +1,8 @@
 """Packing documents into sequences by Karmarkar-Karp multiway differencing.
 
 A document's ids, with an end id, are cut into whole windows and a rest. Rests stay whole
-but for one document in some, whose rest is cut into small pieces that level the windows.
+but for one document in some, whose rest is cut into pieces that level the windows: each
+is half of what is left, within limits, so that some are large and few, and some small.
 The pieces of a group of documents are then set against each other: every piece begins as a partial partition with one filled window; the two
 partial partitions with the largest imbalance merge, the fullest window of one onto the
 emptiest of the other, until one partition is left. Its windows are near-equal. Where
@@ -27,9 +28,10 @@ from .common import field, named, slices
 from .wordtokens import encoder
 
 GROUP_TOKENS = 1 << 19
-# One document in this many gives its rest as pieces of FILL_TOKENS.
+# One document in this many gives its rest as pieces, of MOST_FILL ids down to LEAST_FILL.
 FILL_EVERY = 16
-FILL_TOKENS = 16
+MOST_FILL = 64
+LEAST_FILL = 4
 # Sequences a task may number, and so the share of an id that tells the task.
 PER_TASK = 40
 
@@ -88,14 +90,26 @@ def partition(sizes: list[int], capacity: int) -> list[list[int]]:
         windows += max(1, over // capacity)
 
 
-def cuts(n: int, capacity: int, piece: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(start, length) of the whole windows of a document of n ids, and of the pieces of
-    its rest, which differ by one id at most."""
-    whole = n // capacity
-    rest = n - whole * capacity
-    parts = -(-rest // piece)
-    edges = [whole * capacity + rest * i // parts for i in range(parts + 1)] if parts else []
-    return [(i * capacity, capacity) for i in range(whole)], [(a, b - a) for a, b in zip(edges, edges[1:])]
+def halves(n: int, most: int, least: int) -> list[int]:
+    """Lengths that add up to n: each is half of what is left, rounded down, but `most`
+    at most and `least` at least; the last one is what is left."""
+    made = []
+    while n > 0:
+        step = min(n, max(least, min(most, n // 2)))
+        made.append(step)
+        n -= step
+    return made
+
+
+def cuts(n: int, capacity: int, whole: bool, most: int = MOST_FILL, least: int = LEAST_FILL) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(start, length) of the full windows of a document of n ids, and of its rest, in one
+    piece if `whole`, else in pieces of `most` ids down to `least`."""
+    windows, rest = divmod(n, capacity)
+    pieces, start = [], windows * capacity
+    for m in [rest] if whole and rest else halves(rest, most, least):
+        pieces.append((start, m))
+        start += m
+    return [(i * capacity, capacity) for i in range(windows)], pieces
 
 
 def pack(
@@ -106,7 +120,8 @@ def pack(
     capacity: int = 2048,
     end_id: int = 1,
     fill_every: int = FILL_EVERY,
-    fill_tokens: int = FILL_TOKENS,
+    most_fill: int = MOST_FILL,
+    least_fill: int = LEAST_FILL,
     group_tokens: int = GROUP_TOKENS,
 ) -> DataFrame:
     """One row per piece: the key column, start (ids of its document before it), length,
@@ -154,7 +169,7 @@ def pack(
                 for k, ids in zip(part.column(0).to_pylist(), encode(part.column(1)).texts()):
                     ids += end
                     n = len(ids) // 4
-                    windows, pieces = cuts(n, capacity, capacity if documents % fill_every else fill_tokens)
+                    windows, pieces = cuts(n, capacity, documents % fill_every > 0, most_fill, least_fill)
                     documents += bool(pieces)
                     for a, m in windows:
                         whole.append((k, a, m, ids[4 * a : 4 * (a + m)], n, sequence, 0))

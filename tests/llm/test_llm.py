@@ -129,6 +129,36 @@ def test_every_id_is_in_one_piece(spark):
     assert packing.pack(df.limit(0), WORDS).count() == 0
 
 
+def test_pieces_of_null_and_repeated_keys(spark):
+    """Every row is packed, whatever its key; other columns of the result's names are not read."""
+    texts = ["be gamma " * 40, "be gamma " * 40, None, "alpha"]
+    rows = [(None, texts[0], "x", 1), (7, texts[1], "x", 2), (7, texts[2], "x", 3), (None, texts[3], "x", 4)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, LENGTH string, sequence_id int").coalesce(1)
+    got = packing.pack(df, WORDS).collect()
+    one = {r.doc_id: r for r in packing.pack(docs(spark, texts), WORDS, fill_every=1 << 30).collect()}
+    assert {k: sum(r.length for r in got if r.doc_id == k) for k in (None, 7)} == {
+        None: 3 * (one[0].doc_tokens + one[3].doc_tokens),
+        7: 3 * (one[1].doc_tokens + one[2].doc_tokens),
+    }
+    assert sum(r.start == 0 for r in got) == 12
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:]))
+
+
+def test_rests_are_halved_between_the_limits_and_level_the_windows():
+    for n in (0, 1, 3, 4, 5, 63, 64, 130, 2047):
+        made = packing.halves(n, 64, 4)
+        assert sum(made) == n and all(x <= 64 for x in made) and all(x >= 4 for x in made[:-1])
+        for whole in (True, False):
+            windows, pieces = packing.cuts(4096 + n, 2048, whole)
+            ends = [a + m for a, m in windows + pieces]
+            assert [a for a, _ in windows + pieces] == [0, *ends[:-1]] and ends[-1] == 4096 + n
+            assert not whole or len(pieces) == bool(n)
+    rng = random.Random(12)
+    rests = [m for i in range(1200) for _, m in packing.cuts(int(rng.lognormvariate(6, 1)) + 1, 2048, i % 16 > 0)[1]]
+    assert sum(rests) / 2048 <= len(packing.partition(rests, 2048)) <= sum(rests) / 2048 + 2
+
+
 def test_differencing_is_even_and_the_window_count_rises():
     rng = random.Random(4)
     sizes = [rng.randint(1, 60) for _ in range(2000)]
@@ -376,6 +406,16 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_very_long_texts_and_their_copies_are_near_duplicates(spark):
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400_000)]
+    other = list(words)
+    other[1000] = "changed"
+    texts = [" ".join(words), "short text of its own", "\n".join(words).upper(), " ".join(other), "w " * 300_000]
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i].component_id for i in range(5)] == [0, 1, 0, 0, 4] and got[0].fingerprint == got[2].fingerprint
+
+
 def test_shards_are_exact_and_whole(spark):
     df = docs(spark, (ODD * 30)[:350]).withColumn("slot", F.lit(1)).repartition(7)
     got = sharding.shuffle(df, 9, seed=3, task_rows=10).collect()
@@ -537,6 +577,25 @@ def test_pipeline_stages_keep_the_columns_and_the_clean_documents(spark, prose,
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == kept
 
 
+def test_pipeline_of_clashing_columns_and_of_an_empty_table(spark, prose, tmp_path):
+    """Columns that the stages use for themselves stay as they came; no rows give no rows."""
+    import corpus_pipeline
+
+    rows = [(i, t, lang, s, len(t), "own", 0.5, True, "f", 3) for i, t, lang, s in prose[:120]] + [(None, None, None, None, None, None, None, None, None, None)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, lang_pred string, Score double, rejected boolean, fingerprint string, component_id int"
+    df = spark.createDataFrame(rows, schema)
+    for name, some in (("all", df), ("none", df.limit(0))):
+        some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    kept = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = materialize(stage(spark, kept, f"{tmp_path}/all"), "stage")
+        assert kept.dtypes == df.dtypes and kept.exceptAll(df).isEmpty()
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/all")
+    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in kept.collect()} == set(range(120))
+    none = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert none.columns == pieces.columns and none.count() == 0
+
+
 def test_registered_names():
     from aislebrook.llm.queries import QUERIES
 
