@@ -1,4 +1,7 @@
-"""From raw documents to packed sequences: language, quality, near-duplicates, packing."""
+"""From raw documents to packed sequences: language, quality, near-duplicates, packing.
+
+A table without rows passes through all stages. Columns of the documents that have the name
+of one that a stage works out stay as they are, and are not read."""
 
 from __future__ import annotations
 
@@ -9,22 +12,25 @@ from aislebrook.sources.scratch import materialize
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models of all languages recognise."""
+    """Documents whose language the models of all languages recognise. A null text, or one
+    without letters, has none and goes; a null `lang` only keeps the row from the training."""
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labellers' votes on them, keeps."""
+    """Documents that the classifier, trained on the labellers' votes on them, keeps. Equal
+    texts have equal scores, so copies stay or go together; one without words goes."""
     return weaklabels.keep_good(docs, *weaklabels.train(docs))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id, one row where
+    that id is repeated. Texts without a word are one group."""
     return simhash.one_of_each(docs, shingle=3, radius=3)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in their sequences."""
+    """The pieces of the documents in their sequences; a null or empty text is its end id."""
     return queries.pieces(docs)
 
 
