@@ -29,7 +29,7 @@ from .wordtokens import encoder
 
 GROUP_TOKENS = 1 << 19
 # One document in this many gives its rest as pieces, of MOST_FILL ids down to LEAST_FILL.
-FILL_EVERY = 16
+FILL_EVERY = 8
 MOST_FILL = 64
 LEAST_FILL = 4
 # Sequences a task may number, and so the share of an id that tells the task.
