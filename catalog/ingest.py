@@ -22,12 +22,12 @@ from .sqlbase import ALL, BILLS, BILLS_ALL, SALES, q
 
 
 def raw_sales(t):
-    """Bill lines as a retailer's export, written once."""
-    return shared(t, "raw_sales", lambda: _raw_sales(t))
+    """Bill lines as a retailer's export, written once for queries that read them often."""
+    return shared(t, "raw_sales", lambda: raw_lines(t))
 
 
-def _raw_sales(t):
-    """Odd headers, all text, some cells spoiled."""
+def raw_lines(t):
+    """Odd headers, all text, some cells spoiled; for queries that read them once."""
     k, day = F.col("BILL_NO"), F.col("BILL_DATE")
     when = F.when(k % 7 == 0, F.lit("not a date")).when(k % 11 == 0, F.lit(None).cast("string"))
     when = when.when(k % 5 == 0, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
@@ -114,7 +114,7 @@ def _(t):
     ),
 )
 def _(t):
-    out = cleaning.coerce_types(raw_sales(t))
+    out = cleaning.coerce_types(raw_lines(t))
     # The rate stays text; as a number it does not depend on how an engine prints doubles.
     return out.withColumn("Rate", F.col("Rate").cast("double"))
 
@@ -129,7 +129,7 @@ SELECT 'SKU  ' || SKU AS SKU, rd AS DATE, rq AS QUANTITY, STORE, STORE_NAME FROM
     ),
 )
 def _(t):
-    return cleaning.clean_sales(raw_sales(t))
+    return cleaning.clean_sales(raw_lines(t))
 
 
 @query(
@@ -142,7 +142,7 @@ SELECT 'SKU ' || SKU AS SKU, rd AS DATE, rq AS QUANTITY, STORE, STORE_NAME FROM
     ),
 )
 def _(t):
-    return cleaning.clean_sales(raw_sales(t), "base")
+    return cleaning.clean_sales(raw_lines(t), "base")
 
 
 def raw_stock(t):
