@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from aislebrook.plans.testbed import Testbed
-from aislebrook.sources import readers, scratch, snapshots
+from aislebrook.sources import readers, sales_store, scratch, snapshots
 from aislebrook.sources.sales_store import SalesStore, merge_batches
 from aislebrook.streaming.landing import ingest_batch, landing_ingest, stream_origin
 
@@ -130,6 +130,28 @@ def test_an_update_of_one_month_rewrites_that_month(spark, tmp_path):
     assert [q for _, s, q in want if s == "x"] == [7.0, 7.0, 6.0]
 
 
+def test_only_months_of_several_uploads_are_matched_by_key(spark, tmp_path, monkeypatch):
+    matched = []
+
+    def noted(df, *args):
+        matched.extend(r[0] for r in df.select("sale_month").distinct().collect())
+        return merge_batches(df, *args)
+
+    monkeypatch.setattr(sales_store, "merge_batches", noted)
+    store = SalesStore(spark, str(tmp_path))
+    days = [date(2025, m, 5) for m in (1, 2, 3)]
+    store.append(batch(spark, *[(d, "A", "x", 1.0, "1") for d in days[:2]] * 2, (None, "A", "x", 9.0, None)), "one", 1)
+    store.append(batch(spark, *[(d, "A", "x", 2.0, "1") for d in days[1:]]), "two", 2)
+    assert store.merge() == ["2025-01", "2025-02", "2025-03", "undated"] and matched == ["2025-02"]
+    got = rows(store.merged("update"), "date", "quantity")
+    assert sorted(got, key=str) == sorted([(days[0], 1.0), (days[0], 1.0), (days[1], 2.0), (days[2], 2.0), (None, 9.0)], key=str)
+    # The upload that a month was corrected by goes elsewhere: what it had replaced is back.
+    store.append(batch(spark, (days[2], "A", "x", 3.0, "1")), "two", 2)
+    assert store.merge() == ["2025-02", "2025-03"] and matched == ["2025-02"]
+    got = rows(store.merged("update"), "date", "quantity")
+    assert sorted(got, key=str) == sorted([(days[0], 1.0), (days[0], 1.0), (days[1], 1.0), (days[1], 1.0), (days[2], 3.0), (None, 9.0)], key=str)
+
+
 def test_summary_reads_no_rows(spark, tmp_path):
     store = SalesStore(spark, str(tmp_path))
     store.append(batch(spark, (date(2025, 1, 2), "A", "x", 2.0, "1"), (date(2025, 3, 1), "A", "y", 1.0, None), (None, "A", "y", 1.0, None)), "one", 1)
