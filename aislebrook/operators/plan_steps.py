@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, stable_ceil, stable_floor
 from ..model import ReplenishParams
+from ..sources.scratch import materialize
 from . import demand
 
 NO_STOCK = "No warehouse stock available"
@@ -55,17 +56,20 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
 
 def store_names(sales: DataFrame, stock: DataFrame) -> DataFrame:
     """One name per store, the sales name before the stock name. Give the sales of the
-    planning window: older lines need not be read for names."""
+    planning window: older lines need not be read for names. Written once, so that its
+    size is known and the pairs are not shuffled by store, of which there are few."""
     parts = [
         df.where(F.col("STORE_NAME").isNotNull()).groupBy("STORE").agg(F.min("STORE_NAME").alias(n))
         for df, n in ((sales, "a"), (stock, "b"))
         if "STORE_NAME" in df.columns
     ]
     if not parts:
-        return sales.select("STORE", F.col("STORE").alias("STORE_NAME")).distinct()
-    if len(parts) == 1:
-        return parts[0].toDF("STORE", "STORE_NAME")
-    return parts[0].join(parts[1], "STORE", "full").select("STORE", F.coalesce("a", "b").alias("STORE_NAME"))
+        names = sales.select("STORE", F.col("STORE").alias("STORE_NAME")).distinct()
+    elif len(parts) == 1:
+        names = parts[0].toDF("STORE", "STORE_NAME")
+    else:
+        names = parts[0].join(parts[1], "STORE", "full").select("STORE", F.coalesce("a", "b").alias("STORE_NAME"))
+    return materialize(names, "names")
 
 
 def warehouse_by_sku(warehouse: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ReplenishParams
+from ..sources.scratch import materialize
 from . import plan_steps as ps
 from .windows import recent
 
@@ -27,12 +28,13 @@ def full_stock_sets(sku_stock: DataFrame, moq: int = 2) -> DataFrame:
 def sku_facts(warehouse: DataFrame, sku_master: DataFrame, style_master: DataFrame | None, moq: int = 2) -> DataFrame:
     """One row per SKU with everything the allocation reads: attributes, gender,
     warehouse stock and the size-set flag. Built on the SKU dimension so that the
-    pairs are shuffled by SKU only once."""
+    pairs are shuffled by SKU only once. What is joined by style is written once, so that
+    its size is known and the SKUs are not shuffled by style, of which there are few."""
     stocked = _sku_stock(warehouse, sku_master)
-    facts = stocked.join(full_stock_sets(stocked, moq), ["STYLE", "COLOR"], "left")
+    facts = stocked.join(materialize(full_stock_sets(stocked, moq), "sets"), ["STYLE", "COLOR"], "left")
     if style_master is None:
         return facts.withColumn("GENDER", F.lit("UNISEX"))
-    genders = ps.one_per_key(style_master.select("STYLE", "GENDER"), "STYLE")
+    genders = materialize(ps.one_per_key(style_master.select("STYLE", "GENDER"), "STYLE"), "genders")
     return facts.join(genders, "STYLE", "left").withColumn("GENDER", F.coalesce("GENDER", F.lit("UNISEX")))
 
 
@@ -92,11 +94,11 @@ def with_complete_size_set(plan: DataFrame) -> DataFrame:
     """COMPLETE_SIZE_SET: every planned row of the style gets something.
 
     Aggregated and joined back: a style may own a large share of all rows, which
-    a window would gather in one task.
+    a window would gather in one task. Written once, so that its size is known.
     """
     styles = plan.where(F.col("STYLE").isNotNull()).groupBy("STYLE").agg(
         F.bool_and(F.col("FINAL_REPLEN_QTY") > 0).alias("COMPLETE_SIZE_SET")
     )
-    return plan.join(styles, "STYLE", "left").withColumn(
+    return plan.join(materialize(styles, "styles"), "STYLE", "left").withColumn(
         "COMPLETE_SIZE_SET", F.coalesce("COMPLETE_SIZE_SET", F.lit(False))
     )

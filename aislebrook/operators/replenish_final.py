@@ -111,7 +111,7 @@ def with_gender(df: DataFrame, style_master: DataFrame | None) -> DataFrame:
         F.upper(F.trim("STYLE")).alias("STYLE"), F.upper(F.trim("GENDER")).alias("GENDER")
     )
     giveaway = F.upper("STYLE").rlike("|".join(FREEBIE_WORDS))
-    return df.join(ps.one_per_key(master, "STYLE"), "STYLE", "left").withColumn(
+    return df.join(materialize(ps.one_per_key(master, "STYLE"), "genders"), "STYLE", "left").withColumn(
         "GENDER", F.coalesce("GENDER", F.when(giveaway, "FREEBIES").otherwise("UNKNOWN"))
     )
 
@@ -234,18 +234,12 @@ def store_scores(df: DataFrame) -> DataFrame:
 
 
 def size_set_bonus(df: DataFrame) -> DataFrame:
-    """SIZE_SET_BONUS per (STORE, STYLE, COLOR) from the share of rows with stock and with sales."""
+    """SIZE_SET_BONUS per (STORE, STYLE, COLOR) from the share of rows with stock and with
+    sales. Written once, so that its size is known when it is joined to the rows."""
     rate = ratio(F.count_if(F.col("STOCK") > 0) + F.count_if(F.col("DAILY_SALES") > 0), F.count(F.lit(1)) * 2)
-    return (
-        df.groupBy("STORE", "STYLE", "COLOR")
-        .agg(rate.alias("rate"))
-        .select(
-            "STORE",
-            "STYLE",
-            "COLOR",
-            F.when(F.col("rate") >= 0.7, 1.5).when(F.col("rate") >= 0.5, 1.2).otherwise(1.0).alias("SIZE_SET_BONUS"),
-        )
-    )
+    bonus = F.when(F.col("rate") >= 0.7, 1.5).when(F.col("rate") >= 0.5, 1.2).otherwise(1.0)
+    rates = df.groupBy("STORE", "STYLE", "COLOR").agg(rate.alias("rate"))
+    return materialize(rates.select("STORE", "STYLE", "COLOR", bonus.alias("SIZE_SET_BONUS")), "bonus")
 
 
 def allocate(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> DataFrame:
@@ -347,7 +341,8 @@ def set_analysis(df: DataFrame) -> DataFrame:
 def complete_sets(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> DataFrame:
     """Second pass: min(MOQ, warehouse) for the missing sizes of incomplete sets; with
     `cap_to_warehouse` min(MOQ, what the warehouse has left for all stores of the SKU), by
-    priority. df should be a written table."""
+    priority. df should be a written table. The gaps are written once, so that their size
+    is known when they are joined to the rows."""
     keys = ["STORE", "STYLE", "COLOR"]
     sizes = _size_level(df)
     least = F.when(F.bool_or(F.col("SIZE").isin(PLUS_SIZES)), 3).otherwise(4)
@@ -360,6 +355,7 @@ def complete_sets(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> Data
     gaps = sizes.where(~F.col("stocked")).join(open_sets, keys, "left_semi").select(
         *keys, "SIZE", F.lit(True).alias("gap")
     )
+    gaps = materialize(gaps, "gaps")
     pick = F.coalesce("gap", F.lit(False)) & (F.col("WAREHOUSE_STOCK") > 0) & (F.col("FINAL_REPLEN_QTY") == 0)
     df = df.join(gaps, [*keys, "SIZE"], "left")
     want = F.least(F.lit(float(p.moq)), F.col("WAREHOUSE_STOCK"))

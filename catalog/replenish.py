@@ -13,7 +13,7 @@ from aislebrook.plans import replenishment as plans
 from aislebrook.sources.scratch import materialize
 
 from .demand import D01, PRIORITY
-from .registry import query, shared
+from .registry import query, sales_and_stock, shared
 from .sqlbase import ALL, SALES, q
 
 BASE = ReplenishParams(exception_styles=("BRAND#3",))
@@ -74,7 +74,7 @@ def base_plan(t):
     return shared(
         t,
         "base_plan",
-        lambda: plans.base_plan(t.sales, t.stock, t.warehouse, t.sku_master, t.style_master, BASE).drop("ALL_SIZES"),
+        lambda: plans.base_plan(*sales_and_stock(t), t.warehouse, t.sku_master, t.style_master, BASE).drop("ALL_SIZES"),
     )
 
 
@@ -117,7 +117,8 @@ FROM need n JOIN priority p ON n.STORE = p.STORE JOIN names m ON n.STORE = m.STO
     ),
 )
 def _(t):
-    return replenish_base.needs(t.sales, t.stock, store_priority(t.sales, t.stock, 90), BASE)
+    sales, stock = sales_and_stock(t)
+    return replenish_base.needs(sales, stock, store_priority(sales, stock, 90), BASE)
 
 
 @query(
@@ -192,7 +193,7 @@ SELECT b.*, coalesce(s.COMPLETE_SIZE_SET, FALSE) AS COMPLETE_SIZE_SET FROM base_
     ),
 )
 def _(t):
-    return plans.base_plan(t.sales, t.stock, t.warehouse, t.sku_master, t.style_master, BASE).drop("ALL_SIZES")
+    return plans.base_plan(*sales_and_stock(t), t.warehouse, t.sku_master, t.style_master, BASE).drop("ALL_SIZES")
 
 
 @query(
@@ -475,13 +476,13 @@ FINAL_NUMBERS = (
 
 def final_pairs(t):
     return shared(
-        t, "final_pairs", lambda: plans.final_pairs(t.sales, t.stock, t.warehouse, t.sku_master, t.style_master, FINAL)
+        t, "final_pairs", lambda: plans.final_pairs(*sales_and_stock(t), t.warehouse, t.sku_master, t.style_master, FINAL)
     )
 
 
 def final_needs(t):
     return shared(
-        t, "final_needs", lambda: plans.final_needs(final_pairs(t), t.sales, t.stock, FINAL)
+        t, "final_needs", lambda: plans.final_needs(final_pairs(t), *sales_and_stock(t), FINAL)
     )
 
 
@@ -490,7 +491,7 @@ def final_allocated(t):
         t,
         "final_allocated",
         lambda: plans.final_allocated(
-            t.sales, t.stock, t.warehouse, t.sku_master, t.style_master, t.size_master, FINAL
+            *sales_and_stock(t), t.warehouse, t.sku_master, t.style_master, t.size_master, FINAL
         ),
     )
 
@@ -551,7 +552,7 @@ def _(t):
     from dataclasses import replace
 
     p = replace(FINAL, trend="observed")
-    df = replenish_final.with_forecast(replenish_final.with_classes(final_pairs(t), p), t.sales, p)
+    df = replenish_final.with_forecast(replenish_final.with_classes(final_pairs(t), p), sales_and_stock(t)[0], p)
     return df.select("STORE", "SKU", "TREND_FACTOR", "STOCKOUT_PENALTY", "NEW_ITEM_BOOST")
 
 
@@ -564,7 +565,8 @@ def _(t):
     ),
 )
 def _(t):
-    df = replenish_final.with_forecast(replenish_final.with_classes(final_pairs(t), FINAL), t.sales, FINAL)
+    sales, _ = sales_and_stock(t)
+    df = replenish_final.with_forecast(replenish_final.with_classes(final_pairs(t), FINAL), sales, FINAL)
     return df.select("STORE", "SKU", "SEASONAL_FACTOR", "FORECAST_DEMAND")
 
 
@@ -802,7 +804,7 @@ WHERE GENDER <> 'FREEBIES' AND NOT (GENDER = 'UNISEX' AND STYLE <> 'BRAND#3')"""
 )
 def _(t):
     p = ReplenishParams(mode="universe", method="weighted", exception_styles=("BRAND#3",))
-    plan = plans.final_plan(t.sales, t.stock, t.warehouse, t.sku_master, t.style_master, t.size_master, p)
+    plan = plans.final_plan(*sales_and_stock(t), t.warehouse, t.sku_master, t.style_master, t.size_master, p)
     return plan.select(*plan_views.PLAN_COLUMNS)
 
 
