@@ -4,11 +4,12 @@ Overlapping heuristic labellers vote good, bad or nothing on every document. Vot
 counted by pattern, and expectation-maximisation over the pattern counts estimates each
 labeller's accuracies and the share of good documents: every document takes part, and
 what the driver holds is bounded by the number of patterns, two to the power of the
-labellers. A document's posterior follows from its pattern. A bounded sample of
-distinct texts, drawn by hash, then trains a linear scorer on hashed words with the
-posteriors as soft labels, so that the scorer generalises beyond what the rules see. A
-part of the sample is held out: its posteriors decide from which score on a document is
-kept.
+labellers. A document's posterior follows from its pattern. All documents then train a
+linear scorer on hashed words with the posteriors as soft labels, so that the scorer
+generalises beyond what the rules see: votes and hash buckets are written once, every
+gradient step is one pass over them, and a task returns one vector. One text in some, by
+its hash, is held out of the steps: these texts' posteriors decide from which score on a
+document is kept.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, field, forget, named, utf8, without
+from ..sources.scratch import materialize
+from .common import annotate, field, forget, named, slices, utf8, without
 
-# Most distinct texts that the scorer is fitted on, one in HELD_OUT of them aside.
-SAMPLE = 6000
+# One distinct text in this many is not fitted on, but decides on the threshold.
 HELD_OUT = 5
+# Steps of a log-odds unit by which scores are counted for the threshold.
+STEPS = 1 << 10
 # Copies of a text that count at most.
 MOST_COPIES = 4
 # Hash buckets of the scorer.
@@ -178,41 +182,106 @@ class Scorer:
         return 1 / (1 + float(np.exp(-min(max(z, -50), 50))))
 
 
-Example = tuple[np.ndarray, float, float]  # hash buckets, posterior, weight
+def _flat(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all rows of `examples`, the row each belongs to, and its scale."""
+    flat = np.frombuffer(b"".join(part.column("buckets").to_pylist()), "<u2").astype(np.int64)
+    size = pa.compute.binary_length(part.column("buckets")).to_numpy().astype(np.int64) // 2
+    row = np.repeat(np.arange(len(size)), size)
+    scale = np.repeat(1 / np.sqrt(np.maximum(1, size - len(DETECTORS))), size)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    scale[place < len(DETECTORS)] = 1.0
+    return flat, row, scale
 
 
-def fit(rows: list[Example], passes: int = PASSES, rate: float = 0.5, decay: float = 1e-4) -> Scorer:
-    """Logistic regression on soft labels by full gradient steps with per-weight rates."""
+def _targets(part: pa.RecordBatch, posterior: dict[str, float]) -> np.ndarray:
+    votes = part.column("votes").dictionary_encode()
+    known = np.array([posterior[v] for v in votes.dictionary.to_pylist()], float)
+    return known[votes.indices.to_numpy()]
+
+
+def examples(df: DataFrame, text: str = "text") -> DataFrame:
+    """Written once: h (hash of the text, null for a null text), votes and buckets
+    (binary: little-endian unsigned 16-bit numbers) of every row of df."""
+    hashed = df.select(named(text).alias("text"), F.xxhash64(named(text)).alias("hash"))
+    hashed = hashed.select("text", F.when(F.col("text").isNotNull(), F.col("hash")).alias("h"))
+
+    def compute(texts):
+        votes, buckets = [], []
+        for t in utf8(texts):
+            found = measures(t)
+            votes.append(votes_of(t, found))
+            buckets.append(features_of(t, found).astype("<u2").tobytes())
+        return [pa.array(votes, pa.string()), pa.array(buckets, pa.binary())]
+
+    made = annotate(hashed, ["text"], [field("votes", T.StringType()), field("buckets", T.BinaryType())], compute, keep=["h"])
+    return materialize(made, "examples")
+
+
+def weighted(rows: DataFrame, sample: int | None = None) -> DataFrame:
+    """Rows of `examples` that have a text, with weight: the copies of a text weigh
+    MOST_COPIES rows together at most. With `sample` one row of each of that many texts,
+    those with the smallest hash."""
+    rows = rows.where("h IS NOT NULL")
+    if sample is not None:
+        texts = rows.groupBy("h").agg(F.first("votes").alias("votes"), F.first("buckets").alias("buckets"), F.count(F.lit(1)).alias("n"))
+        weight = F.least(F.col("n"), F.lit(MOST_COPIES)).cast("double")
+        return materialize(texts.orderBy("h").limit(sample).select("h", "votes", "buckets", weight.alias("weight")), "weighted")
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_COPIES)
+    often = materialize(often.select("h", (F.lit(float(MOST_COPIES)) / F.col("n")).alias("weight")), "copies")
+    found = rows.join(often, "h", "left")
+    return materialize(found.select("h", "votes", "buckets", F.coalesce("weight", F.lit(1.0)).alias("weight")), "weighted")
+
+
+def fit(rows: DataFrame, model: LabelModel, passes: int = PASSES, rate: float = 0.5, decay: float = 1e-4) -> Scorer:
+    """Logistic regression on soft labels by full gradient steps with per-weight rates, on
+    all `weighted` rows. A step is one pass over them: each task adds up the slope of its
+    rows, and the driver holds the sums."""
     weights, bias = np.zeros(BUCKETS), 0.0
-    if not rows:
+    counts = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.sum("weight").alias("n")).collect()}
+    if not counts:
         return Scorer(weights, bias, fitted=False)
-    size = np.array([len(r[0]) for r in rows])
-    flat = np.concatenate([r[0] for r in rows])
-    row = np.repeat(np.arange(len(rows)), size)
-    scale = np.concatenate([_scales(n) for n in size.tolist()])
-    target, copies = (np.array([r[i] for r in rows]) for i in (1, 2))
+    posterior = {v: model.posterior(v) for v in counts}
     # Both classes weigh the same, so that a rare class is learnt.
-    good = max((copies * target).sum(), 1e-9)
-    bad = max((copies * (1 - target)).sum(), 1e-9)
-    importance = copies * (target / good + (1 - target) / bad)
-    importance /= importance.sum()
+    good = max(sum(n * posterior[v] for v, n in counts.items()), 1e-9)
+    bad = max(sum(n * (1 - posterior[v]) for v, n in counts.items()), 1e-9)
+    total = sum(n * (posterior[v] / good + (1 - posterior[v]) / bad) for v, n in counts.items())
+    sc = rows.sparkSession.sparkContext
     squares, square = np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(passes):
-        z = bias + np.bincount(row, weights[flat] * scale, len(rows))
-        error = importance * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target)
-        slope = np.bincount(flat, error[row] * scale, BUCKETS) + decay * weights
+        shared = sc.broadcast((weights, bias))
+
+        def slope_of(batches):
+            forget()
+            weights, bias = shared.value
+            slope, step = np.zeros(BUCKETS), 0.0
+            for batch in batches:
+                for part in slices(batch):
+                    flat, row, scale = _flat(part)
+                    target = _targets(part, posterior)
+                    importance = part.column("weight").to_numpy() * (target / good + (1 - target) / bad) / total
+                    z = bias + np.bincount(row, weights[flat] * scale, part.num_rows)
+                    error = importance * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target)
+                    slope += np.bincount(flat, error[row] * scale, BUCKETS)
+                    step += float(error.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([slope.tobytes()], pa.binary()), pa.array([step])], names=["slope", "step"])
+
+        slope, step = decay * weights, 0.0
+        for r in rows.select("votes", "buckets", "weight").mapInArrow(slope_of, "slope binary, step double").collect():
+            slope = slope + np.frombuffer(r["slope"], float)
+            step += r["step"]
+        shared.destroy()
         squares += slope * slope
-        weights -= rate * slope / np.sqrt(squares)
-        step = error.sum()
+        weights = weights - rate * slope / np.sqrt(squares)
         square += step * step
         bias -= rate * step / np.sqrt(square)
     return Scorer(weights, bias)
 
 
-def threshold_of(scores: np.ndarray, posterior: np.ndarray, weight: np.ndarray, good_cost: float = GOOD_COST) -> float:
+def threshold_of(scores: np.ndarray, posterior: np.ndarray, weight: np.ndarray, good_cost: float = GOOD_COST, tops: np.ndarray | None = None) -> float:
     """The score with the least expected loss by the posteriors: a document below it is
     lost, one at or above it kept. In the middle of the gap between the two scores next
-    to it; 0.5 where there is nothing to tell it from."""
+    to it; 0.5 where there is nothing to tell it from. Where an entry stands for several
+    documents, `scores` are the least scores of each and `tops` the largest."""
     if not len(scores):
         return 0.5
     by = np.argsort(scores, kind="stable")
@@ -221,18 +290,32 @@ def threshold_of(scores: np.ndarray, posterior: np.ndarray, weight: np.ndarray,
     loss = np.concatenate([[0.0], np.cumsum(lost)]) + kept.sum() - np.concatenate([[0.0], np.cumsum(kept)])
     edge = np.concatenate([[True], s[1:] > s[:-1], [True]])
     best = int(np.flatnonzero(edge)[np.argmin(loss[edge])])
-    low = s[best - 1] if best else 0.0
+    low = (s if tops is None else tops[by])[best - 1] if best else 0.0
     high = s[best] if best < len(s) else 1.0
     return float((low + high) / 2)
 
 
-def fit_with_threshold(rows: list[Example], good_cost: float = GOOD_COST) -> Scorer:
-    """A scorer, and its threshold from one in HELD_OUT of the rows, which it has not seen."""
-    aside = [r for i, r in enumerate(rows) if i % HELD_OUT == HELD_OUT - 1]
-    scorer = fit([r for i, r in enumerate(rows) if i % HELD_OUT != HELD_OUT - 1])
-    scores = np.array([scorer.score(b) for b, _, _ in aside])
-    scorer.threshold = threshold_of(scores, *(np.array([r[i] for r in aside]) for i in (1, 2)), good_cost)
-    return scorer
+def threshold(rows: DataFrame, model: LabelModel, scorer: Scorer, good_cost: float = GOOD_COST) -> float:
+    """threshold_of the `weighted` rows, whose scores are counted in steps of 1 / STEPS of
+    the log-odds, 100 units in all: what the driver holds is bounded by these."""
+    shared = rows.sparkSession.sparkContext.broadcast(scorer)
+
+    def scored(batches):
+        scorer, seen = shared.value, {}
+        for batch in batches:
+            for part in slices(batch):
+                flat, row, scale = _flat(part)
+                z = np.clip(scorer.bias + np.bincount(row, scorer.weights[flat] * scale, part.num_rows), -50, 50)
+                for v in part.column("votes").unique().to_pylist():
+                    seen.setdefault(v, model.posterior(v))
+                good = part.column("weight").to_numpy() * _targets(part, seen)
+                made = [np.floor(z * STEPS).astype(np.int64), 1 / (1 + np.exp(-z)), good]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made] + [part.column("weight")], names=["step", "score", "good", "weight"])
+
+    found = rows.select("votes", "buckets", "weight").mapInArrow(scored, "step bigint, score double, good double, weight double")
+    sums = [F.min("score").alias("least"), F.max("score").alias("most"), F.sum("good").alias("good"), F.sum("weight").alias("weight")]
+    least, most, good, weight = (c.to_numpy() for c in found.groupBy("step").agg(*sums).select("least", "most", "good", "weight").toArrow().columns)
+    return threshold_of(least, good / weight if len(weight) else good, weight, good_cost, most)
 
 
 def label(df: DataFrame, text: str = "text") -> DataFrame:
@@ -240,34 +323,20 @@ def label(df: DataFrame, text: str = "text") -> DataFrame:
     return annotate(df, [text], [field("votes", T.StringType())], lambda x: [pa.array([votes_of(t) for t in utf8(x)], pa.string())])
 
 
-def train(df: DataFrame, text: str = "text", sample: int = SAMPLE, good_cost: float = GOOD_COST) -> tuple[LabelModel, Scorer]:
-    """The label model from the votes on all rows of df, and the scorer from at most
-    `sample` distinct texts, those with the smallest hash. A text's copies count as one
-    example, of MOST_COPIES times the weight at most, so no text fills the sample."""
-    voted = label(df.select(named(text).alias("text")), "text").select("votes")
-    patterns = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+def train(df: DataFrame, text: str = "text", sample: int | None = None, good_cost: float = GOOD_COST) -> tuple[LabelModel, Scorer]:
+    """The label model from the votes on all rows of df, and the scorer and its threshold
+    from all rows that have a text; with `sample` from that many distinct texts only. A
+    text's copies weigh MOST_COPIES rows at most, so no text decides alone, and lie on the
+    same side of the held-out split."""
+    made = examples(df, text)
+    patterns = {r["votes"]: r["n"] for r in made.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = expectation_maximisation(patterns)
-    hashed = df.select(named(text).alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
-    texts = hashed.agg(F.approx_count_distinct("h")).first()[0] if sample else 0
-    # Twice the share of the texts that is needed, then the smallest hashes: no sort of whole texts.
-    part = hashed.where(F.pmod("h", F.lit(1 << 20)) < min(1 << 20, int((1 << 21) * sample / max(1, texts)) + 1))
-    distinct = part.groupBy("h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-
-    def compute(texts):
-        votes, buckets = [], []
-        for t in utf8(texts):
-            found = measures(t)
-            votes.append(votes_of(t, found))
-            buckets.append(features_of(t, found).astype(np.int32))
-        return [pa.array(votes, pa.string()), pa.array(buckets, pa.list_(pa.int32()))]
-
-    chosen = annotate(distinct, ["text"], [field("votes", T.StringType()), field("buckets", T.ArrayType(T.IntegerType()))], compute, keep=["h", "copies"])
-    found = chosen.orderBy("h").limit(sample).select("votes", "buckets", "copies").toArrow()
-    rows = [
-        (np.array(b, np.int64), model.posterior(v), float(min(MOST_COPIES, n)))
-        for v, b, n in zip(found["votes"].to_pylist(), found["buckets"].to_pylist(), found["copies"].to_pylist())
-    ]
-    return model, fit_with_threshold(rows, good_cost)
+    rows = weighted(made, sample)
+    aside = F.pmod(F.col("h"), F.lit(HELD_OUT)) == HELD_OUT - 1
+    scorer = fit(rows.where(~aside), model)
+    if scorer.fitted:
+        scorer.threshold = threshold(rows.where(aside), model, scorer, good_cost)
+    return model, scorer
 
 
 def classify(df: DataFrame, model: LabelModel, scorer: Scorer, text: str = "text", threshold: float | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -1,5 +1,5 @@
 """The weak-label classifier: expectation-maximisation and threshold against brute force,
-the sample of distinct texts, odd texts."""
+training on all texts, the sample of distinct texts, odd texts."""
 
 import itertools
 import random
@@ -109,3 +109,45 @@ def test_odd_texts(spark, mixed):
     assert out.columns == ["text", "posterior", "score", "kept"] and out.count() == len(texts)
     assert not any(r.kept for r in out.where("text IS NULL OR trim(text) IN ('', '\t\n')").collect())
     assert w.keep_good(df, model, scorer).columns == ["score", "text"]
+
+
+def test_all_texts_train_the_scorer(spark, mixed):
+    """Steps over the table give what one process gives for all texts at once; more texts
+    than the former sample of 6,000 all take part."""
+    good, bad = mixed
+    texts = [f"{t} n{i}" for i in range(20) for t in good + bad] + [good[0]] * 50 + [None, " "]
+    df = frame(spark, texts).repartition(7)
+    made = w.examples(df)
+    patterns = {r[0]: r[1] for r in made.groupBy("votes").count().collect()}
+    assert sum(patterns.values()) == len(texts)
+    model = w.expectation_maximisation(patterns)
+    rows = w.weighted(made)
+    assert rows.count() == len(texts) - 1 > 6000
+    assert rows.agg({"weight": "sum"}).first()[0] == pytest.approx(20 * 360 + w.MOST_COPIES + 1)
+    got = w.fit(rows, model, passes=5)
+
+    examples = [(w.features_of(t.encode()), model.posterior(w.votes_of(t.encode())), 1.0) for t in texts[: 20 * 360] + [" "]]
+    examples.append((w.features_of(good[0].encode()), model.posterior(w.votes_of(good[0].encode())), float(w.MOST_COPIES)))
+    target, weight = (np.array([x[i] for x in examples]) for i in (1, 2))
+    importance = weight * (target / (weight * target).sum() + (1 - target) / (weight * (1 - target)).sum())
+    importance /= importance.sum()
+    weights, bias, squares, square = np.zeros(w.BUCKETS), 0.0, np.full(w.BUCKETS, 1e-8), 1e-8
+    for _ in range(5):
+        slope, step = 1e-4 * weights, 0.0
+        for (b, t, _), i in zip(examples, importance):
+            e = i * (1 / (1 + np.exp(-(bias + weights[b] @ w._scales(len(b))))) - t)
+            np.add.at(slope, b, e * w._scales(len(b)))
+            step += e
+        squares, square = squares + slope * slope, square + step * step
+        weights, bias = weights - 0.5 * slope / np.sqrt(squares), bias - 0.5 * step / np.sqrt(square)
+    np.testing.assert_allclose(got.weights, weights, atol=1e-6)
+    assert got.bias == pytest.approx(bias, abs=1e-6)
+
+    # The threshold loses no more than one of single scores, but for what one step holds.
+    scores = np.array([got.score(b) for b, _, _ in examples])
+    best = w.threshold_of(scores, target, weight)
+
+    def loss(t):
+        return (w.GOOD_COST * (weight * target)[scores < t]).sum() + (weight * (1 - target))[scores >= t].sum()
+
+    assert loss(w.threshold(rows, model, got)) <= loss(best) * 1.01 + 1e-6
