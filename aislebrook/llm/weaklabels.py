@@ -18,7 +18,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,12 +100,14 @@ def features_of(text: bytes, found: list[float] | None = None) -> np.ndarray:
     distinct words and its distinct shapes of words (what ends a word, and its case).
     `found` are its measures, if they are known."""
     first = [b"m%d.%d" % (i, int(4 * np.log2(1 + 64 * x))) for i, x in enumerate(found or measures(text))]
-    parts = set()
+    bares, shapes = set(), set()
     for w in set(text.split()):
         bare = w.rstrip(_ENDS)
-        parts.add(b"w" + bare.lower())
-        parts.add(b"e" + w[len(bare) :] + (b"U" if bare.isupper() and len(bare) > 1 else b"a"))
-    rest = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(f) % BUCKETS for f in parts), np.int64, len(parts)))
+        bares.add(bare.lower())
+        shapes.add((w[len(bare) :], bare.isupper() and len(bare) > 1))
+    rest = {xxhash.xxh3_64_intdigest(b"w" + x) % BUCKETS for x in bares}
+    rest.update(xxhash.xxh3_64_intdigest(b"e" + x + (b"U" if upper else b"a")) % BUCKETS for x, upper in shapes)
+    rest = np.sort(np.fromiter(rest, np.int64, len(rest)))
     return np.concatenate([[xxhash.xxh3_64_intdigest(f) % BUCKETS for f in first], rest])
 
 
@@ -182,15 +183,35 @@ class Scorer:
         return 1 / (1 + float(np.exp(-min(max(z, -50), 50))))
 
 
-def _flat(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all rows of `examples`, the row each belongs to, and its scale."""
-    flat = np.frombuffer(b"".join(part.column("buckets").to_pylist()), "<u2").astype(np.int64)
-    size = pa.compute.binary_length(part.column("buckets")).to_numpy().astype(np.int64) // 2
-    row = np.repeat(np.arange(len(size)), size)
-    scale = np.repeat(1 / np.sqrt(np.maximum(1, size - len(DETECTORS))), size)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    scale[place < len(DETECTORS)] = 1.0
-    return flat, row, scale
+@dataclass
+class Packed:
+    """Buckets of all rows of `examples` in one array, measures first in each row."""
+
+    flat: np.ndarray
+    start: np.ndarray  # of each row
+    size: np.ndarray
+    first: np.ndarray  # row x measure
+    scale: np.ndarray  # of what follows the measures
+
+    @classmethod
+    def of(cls, part: pa.RecordBatch) -> Packed:
+        column = part.column("buckets").cast(pa.large_binary())
+        edges = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset) // 2
+        flat = np.frombuffer(column.buffers()[2], "<u2")[edges[0] : edges[-1]].astype(np.intp)
+        start, size = edges[:-1] - edges[0], np.diff(edges)
+        first = flat[start[:, None] + np.arange(len(DETECTORS))]
+        return cls(flat, start, size, first, 1 / np.sqrt(np.maximum(1, size - len(DETECTORS))))
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The scaled sum of its weights, of each row."""
+        measured = weights[self.first].sum(axis=1)
+        return measured + self.scale * (np.add.reduceat(weights[self.flat], self.start) - measured)
+
+    def slope(self, error: np.ndarray) -> np.ndarray:
+        """By bucket, the scaled sum of the errors of the rows that have it."""
+        least = error * self.scale
+        more = np.bincount(self.first.ravel(), np.repeat(error - least, len(DETECTORS)), BUCKETS)
+        return np.bincount(self.flat, np.repeat(least, self.size), BUCKETS) + more
 
 
 def _targets(part: pa.RecordBatch, posterior: dict[str, float]) -> np.ndarray:
@@ -256,12 +277,12 @@ def fit(rows: DataFrame, model: LabelModel, passes: int = PASSES, rate: float =
             slope, step = np.zeros(BUCKETS), 0.0
             for batch in batches:
                 for part in slices(batch):
-                    flat, row, scale = _flat(part)
+                    packed = Packed.of(part)
                     target = _targets(part, posterior)
                     importance = part.column("weight").to_numpy() * (target / good + (1 - target) / bad) / total
-                    z = bias + np.bincount(row, weights[flat] * scale, part.num_rows)
+                    z = bias + packed.sums(weights)
                     error = importance * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target)
-                    slope += np.bincount(flat, error[row] * scale, BUCKETS)
+                    slope += packed.slope(error)
                     step += float(error.sum())
             yield pa.RecordBatch.from_arrays([pa.array([slope.tobytes()], pa.binary()), pa.array([step])], names=["slope", "step"])
 
@@ -304,8 +325,7 @@ def threshold(rows: DataFrame, model: LabelModel, scorer: Scorer, good_cost: flo
         scorer, seen = shared.value, {}
         for batch in batches:
             for part in slices(batch):
-                flat, row, scale = _flat(part)
-                z = np.clip(scorer.bias + np.bincount(row, scorer.weights[flat] * scale, part.num_rows), -50, 50)
+                z = np.clip(scorer.bias + Packed.of(part).sums(scorer.weights), -50, 50)
                 for v in part.column("votes").unique().to_pylist():
                     seen.setdefault(v, model.posterior(v))
                 good = part.column("weight").to_numpy() * _targets(part, seen)

@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from aislebrook.llm import weaklabels as w
@@ -100,6 +101,22 @@ def test_features_hold_whole_words_and_marks():
     assert set(w.features_of(b"so!!!!!")) != set(w.features_of(b"so!!!!!!"))
 
 
+def test_a_step_reads_the_buckets_in_place():
+    """Sums and slopes of slices are those of single rows, and no row is taken out of Arrow."""
+    rng = np.random.default_rng(5)
+    texts = [b"", b"One two, two!", b"x" * 40, *(b" ".join(b"w%d" % i for i in rng.integers(0, 90, n)) for n in (1, 7, 300))]
+    made = [w.features_of(t) for t in texts]
+    column = pa.array([b.astype("<u2").tobytes() for b in made], pa.binary())
+    weights, error = rng.normal(size=w.BUCKETS), rng.normal(size=len(texts))
+    for a, b in ((0, 6), (2, 5), (5, 6)):
+        packed = w.Packed.of(pa.RecordBatch.from_arrays([column], names=["buckets"]).slice(a, b - a))
+        np.testing.assert_allclose(packed.sums(weights), [weights[x] @ w._scales(len(x)) for x in made[a:b]], atol=1e-9)
+        slope = np.zeros(w.BUCKETS)
+        for x, e in zip(made[a:b], error[a:b]):
+            np.add.at(slope, x, e * w._scales(len(x)))
+        np.testing.assert_allclose(packed.slope(error[a:b]), slope, atol=1e-9)
+
+
 def test_odd_texts(spark, mixed):
     good, _ = mixed
     texts = [None, "", " \t\n", "a", "!!", "the " * 40_000, "é" * 100_000, *good[:40]]
