@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, stable_ceil, stable_floor
 from ..model import ReplenishParams
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, spread
 from . import demand
 
 NO_STOCK = "No warehouse stock available"
@@ -31,14 +31,16 @@ def stock_by_pair(stock: DataFrame) -> DataFrame:
 
 
 def pairs(vel: DataFrame, stock: DataFrame) -> DataFrame:
-    """Velocity full-joined with stock, missing figures 0."""
+    """Velocity, one row per (STORE, SKU), and stock of the pairs that either has, missing
+    figures 0. Both are stacked and dealt by SKU: what is joined by SKU and summed over a
+    SKU later finds the pairs in place."""
     zero = F.lit(0.0)
-    return vel.join(stock_by_pair(stock), ["STORE", "SKU"], "full").select(
-        "STORE",
-        "SKU",
-        F.coalesce("DAILY_SALES", zero).alias("DAILY_SALES"),
-        F.coalesce("STOCK", zero).alias("STOCK"),
+    sold = vel.select("STORE", "SKU", "DAILY_SALES", F.lit(None).cast(stock.schema["STOCK"].dataType).alias("STOCK"))
+    held = stock.where(F.col("STORE").isNotNull() & F.col("SKU").isNotNull()).select(
+        "STORE", "SKU", F.lit(None).cast(vel.schema["DAILY_SALES"].dataType).alias("DAILY_SALES"), "STOCK"
     )
+    figures = [F.coalesce(F.max("DAILY_SALES"), zero).alias("DAILY_SALES"), F.coalesce(F.sum("STOCK"), zero).alias("STOCK")]
+    return spread(sold.union(held), "SKU").groupBy("STORE", "SKU").agg(*figures)
 
 
 def one_per_key(df: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles, ratio, scalars, stable
 from ..model import DEFAULT_SIZE_SETS, FINAL_FREEBIE_WORDS, FREEBIE_WORDS, PLUS_SIZES, ReplenishParams
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, spread
 from . import demand
 from . import plan_steps as ps
 from .windows import latest
@@ -249,7 +249,7 @@ def allocate(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> DataFrame
     factor = F.col("ENHANCED_STORE_SCORE") * F.col("PRODUCT_IMPORTANCE") * F.col("SIZE_SET_BONUS") * need
     enough = F.when(need > 0, F.greatest(F.lit(float(p.moq)), need)).otherwise(0.0)
     return (
-        df.withColumn("TOTAL_DEMAND", F.sum("REPLEN_QTY").over(ps.per_sku()))
+        spread(df, "SKU").withColumn("TOTAL_DEMAND", F.sum("REPLEN_QTY").over(ps.per_sku()))
         .withColumn("ALLOC_FACTOR", F.when(short, factor))
         .withColumn(
             "FINAL_REPLEN_QTY",
@@ -360,7 +360,7 @@ def complete_sets(df: DataFrame, p: ReplenishParams = ReplenishParams()) -> Data
     df = df.join(gaps, [*keys, "SIZE"], "left")
     want = F.least(F.lit(float(p.moq)), F.col("WAREHOUSE_STOCK"))
     if p.cap_to_warehouse:
-        df = df.withColumn("pick", pick).withColumn("granted", _within_stock(F.col("pick"), want))
+        df = spread(df, "SKU").withColumn("pick", pick).withColumn("granted", _within_stock(F.col("pick"), want))
         pick, want = F.col("granted") > 0, F.col("granted")
     return (
         df.withColumn("pick", pick)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, stable_ceil
+from ..sources.scratch import spread
 from . import plan_steps as ps
 
 
@@ -18,7 +19,7 @@ def allocate_remainder(df: DataFrame) -> DataFrame:
     )
     share = F.coalesce(F.try_divide(weight, F.sum(weight).over(ps.per_sku())) * have, F.lit(0.0))
     df = (
-        df.withColumn("TOTAL_DEMAND", F.sum("REPLEN_QTY").over(ps.per_sku()))
+        spread(df, "SKU").withColumn("TOTAL_DEMAND", F.sum("REPLEN_QTY").over(ps.per_sku()))
         .withColumn("share", F.round(share, 6))
         .withColumn("base", F.floor("share").cast("double"))
         .withColumn("part", F.round(F.col("share") - F.col("base"), 6))
@@ -50,7 +51,7 @@ def allocate_priority(df: DataFrame) -> DataFrame:
     )
     short = (F.col("TOTAL_DEMAND") > have) & (have > 0)
     return (
-        ps.with_place(df, F.desc("PRIORITY_SCORE"), F.asc("STOCK_COVER_DAYS"), F.asc("STORE"))
+        ps.with_place(spread(df, "SKU"), F.desc("PRIORITY_SCORE"), F.asc("STOCK_COVER_DAYS"), F.asc("STORE"))
         .withColumn("TOTAL_DEMAND", F.sum("REPLEN_QTY").over(ps.per_sku()))
         .withColumn("FINAL_REPLEN_QTY", F.when(short, shared).otherwise(need))
         .drop("__place")

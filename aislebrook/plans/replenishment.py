@@ -33,12 +33,23 @@ def base_plan(
     style_master: DataFrame | None = None,
     params: ReplenishParams = ReplenishParams(),
 ) -> DataFrame:
+    return base.with_complete_size_set(base_rows(sales, stock, warehouse, sku_master, style_master, params))
+
+
+def base_rows(
+    sales: DataFrame,
+    stock: DataFrame,
+    warehouse: DataFrame,
+    sku_master: DataFrame,
+    style_master: DataFrame | None = None,
+    params: ReplenishParams = ReplenishParams(),
+) -> DataFrame:
+    """The base plan without COMPLETE_SIZE_SET, written once."""
     p = with_planning_date(sales, params)
     rows = base.needs(sales, stock, store_priority(sales, stock, p.period_days, p.as_of), p)
     facts = base.sku_facts(warehouse, sku_master, style_master, p.moq)
     rows = rows.join(facts, "SKU", "left").withColumn("GENDER", F.coalesce("GENDER", F.lit("UNISEX")))
-    plan = base.allocate(rows.where(F.col("GENDER") != "FREEBIES"), p)
-    return base.with_complete_size_set(materialize(plan, "plan"))
+    return materialize(base.allocate(rows.where(F.col("GENDER") != "FREEBIES"), p), "plan")
 
 
 def final_pairs(
@@ -97,6 +108,21 @@ def final_allocated(
     params: ReplenishParams = ReplenishParams(),
 ) -> DataFrame:
     """The plan after allocation and size completion, before the closing filter."""
+    return completed(first_pass(sales, stock, warehouse, sku_master, style_master, size_master, params), params)
+
+
+def first_pass(
+    sales: DataFrame,
+    stock: DataFrame,
+    warehouse: DataFrame,
+    sku_master: DataFrame,
+    style_master: DataFrame | None = None,
+    size_master: DataFrame | None = None,
+    params: ReplenishParams = ReplenishParams(),
+    columns: list[str] | None = None,
+) -> DataFrame:
+    """The plan (or its `columns`) after allocation and the first completion pass, written
+    once if a second one follows: columns left out are not shuffled by SKU either."""
     p = with_planning_date(sales, params)
     rows = final_needs(final_pairs(sales, stock, warehouse, sku_master, style_master, p), sales, stock, p)
     rows = rows.join(final.size_set_bonus(rows), ["STORE", "STYLE", "COLOR"], "left").join(
@@ -104,8 +130,14 @@ def final_allocated(
     )
     rows = final.allocate(rows, p)
     rows = final.complete_sizes(rows, final.size_sets(sales.sparkSession, size_master), p)
+    rows = rows if columns is None else rows.select(*columns)
+    return materialize(rows, "allocated") if p.completion == "full" else rows
+
+
+def completed(rows: DataFrame, p: ReplenishParams) -> DataFrame:
+    """`first_pass` rows after the second completion pass, where the plan has one."""
     if p.completion == "full":
-        rows = final.complete_sets(materialize(rows, "allocated"), p)
+        rows = final.complete_sets(rows, p)
     return rows.withColumn("COMPLETE_SIZE_SET", F.lit(False))
 
 

@@ -13,7 +13,7 @@ from aislebrook.plans import replenishment as plans
 from aislebrook.sources.scratch import materialize
 
 from .demand import D01, PRIORITY
-from .registry import query, sales_and_stock, shared
+from .registry import kept, query, sales_and_stock
 from .sqlbase import ALL, SALES, q
 
 BASE = ReplenishParams(exception_styles=("BRAND#3",))
@@ -71,11 +71,8 @@ PLAN_NUMBERS = (
 
 
 def base_plan(t):
-    return shared(
-        t,
-        "base_plan",
-        lambda: plans.base_plan(*sales_and_stock(t), t.warehouse, t.sku_master, t.style_master, BASE).drop("ALL_SIZES"),
-    )
+    rows = kept(t, "base_plan", lambda: plans.base_rows(*sales_and_stock(t), t.warehouse, t.sku_master, t.style_master, BASE))
+    return replenish_base.with_complete_size_set(rows.drop("ALL_SIZES"))
 
 
 # --- single steps ------------------------------------------------------------
@@ -475,24 +472,26 @@ FINAL_NUMBERS = (
 
 
 def final_pairs(t):
-    return shared(
+    return kept(
         t, "final_pairs", lambda: plans.final_pairs(*sales_and_stock(t), t.warehouse, t.sku_master, t.style_master, FINAL)
     )
 
 
 def final_needs(t):
-    return shared(
+    return kept(
         t, "final_needs", lambda: plans.final_needs(final_pairs(t), *sales_and_stock(t), FINAL)
     )
 
 
 def final_allocated(t):
-    return shared(
-        t,
-        "final_allocated",
-        lambda: plans.final_allocated(
-            *sales_and_stock(t), t.warehouse, t.sku_master, t.style_master, t.size_master, FINAL
+    columns = [*plan_views.PLAN_COLUMNS]
+    return plans.completed(
+        kept(
+            t,
+            "first_pass",
+            lambda: plans.first_pass(*sales_and_stock(t), t.warehouse, t.sku_master, t.style_master, t.size_master, FINAL, columns),
         ),
+        FINAL,
     )
 
 
@@ -679,7 +678,7 @@ def _(t):
     p = replace(FINAL, cap_to_warehouse=True)
     rows = replenish_final.allocate(with_factors(t), p)
     rows = replenish_final.complete_sizes(rows, replenish_final.size_sets(t.spark, t.size_master), p)
-    out = replenish_final.complete_sets(materialize(rows, "allocated"), p)
+    out = replenish_final.complete_sets(materialize(rows.select(*plan_views.PLAN_COLUMNS), "allocated"), p)
     used = F.sum("FINAL_REPLEN_QTY").over(Window.partitionBy("SKU")) <= F.greatest("WAREHOUSE_STOCK", F.lit(0.0))
     return out.select("STORE", "SKU", "FINAL_REPLEN_QTY", "SIZE_SET_ALLOCATION", "REMARKS", used.alias("within_stock"))
 
