@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, scalars, stable, with_percent_ranks
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, spread
 from .windows import recent
 
 
 def _store_facts(sales: DataFrame, stock: DataFrame, days: int, as_of=None) -> DataFrame:
     """One row per stock store: total_sales (NULL without sales), stock, SKUs, empty rows."""
     sold = recent(sales, days, as_of=as_of).groupBy("STORE").agg(F.sum("QUANTITY").alias("total_sales"))
+    empty = (F.col("STOCK") == 0) & F.col("SKU").isNotNull()
+    lines = stock.where(F.col("STORE").isNotNull()).select("STORE", "SKU", "STOCK")
+    # Pairs first, in pieces that fit a task: distinct SKUs of few stores are most rows.
     held = (
-        stock.where(F.col("STORE").isNotNull())
+        spread(lines, "SKU")
+        .groupBy("STORE", "SKU")
+        .agg(F.sum("STOCK").alias("STOCK"), F.count_if(empty).alias("empty"))
         .groupBy("STORE")
         .agg(
             F.sum("STOCK").alias("total_stock"),
-            F.count_distinct("SKU").alias("sku_count"),
-            F.count_if((F.col("STOCK") == 0) & F.col("SKU").isNotNull()).alias("oos_count"),
+            F.count("SKU").alias("sku_count"),
+            F.sum("empty").alias("oos_count"),
         )
     )
     return materialize(held.join(sold, "STORE", "left"), "stores")

@@ -6,7 +6,7 @@ from datetime import date
 from conftest import rows
 from pyspark.sql import functions as F
 
-from aislebrook.operators import plan_steps, replenish_base, replenish_final
+from aislebrook.operators import plan_steps, priority, replenish_base, replenish_final
 from aislebrook.plans.testbed import Testbed
 from aislebrook.sources import scratch
 from aislebrook.sources.files import Files
@@ -117,3 +117,19 @@ def test_lines_are_shuffled_by_order_and_item_only(spark, tmp_path):
     assert rows(t.sales.select("SKU", "QUANTITY", "STORE", "STORE_NAME"), "SKU", "QUANTITY", "STORE", "STORE_NAME") == sorted([*once, *once, ("1", 7.0, "ST004", "D"), ("1", 7.0, "ST004", "D")])
     assert rows(t.stock.where("SKU IS NOT NULL").select("SKU", "STORE", "STORE_NAME"), "SKU", "STORE", "STORE_NAME") == [("1", "ST003", "C"), ("1", "ST004", "D"), ("2", "ST003", "C")]
     assert "STORE" not in t._lines("l_quantity").columns and "c_nationkey" in t._lines().columns
+
+
+def test_store_facts_of_a_large_table_are_counted_in_pieces(spark, tmp_path, monkeypatch):
+    """Repeated lines, SKUs that are null, figures that are null; the lines dealt by SKU."""
+    given = [("A", "x", 0.0), ("A", "x", 0.0), ("A", "y", 2.0), ("A", None, 0.0), ("B", "x", None), ("B", None, None), (None, "x", 5.0)]
+    spark.createDataFrame(given, "STORE string, SKU string, STOCK double").write.parquet(f"{tmp_path}/stock")
+    stock = spark.read.parquet(f"{tmp_path}/stock")
+    sales = spark.createDataFrame([("A", date(2025, 1, 1), 4.0)], "STORE string, DATE date, QUANTITY double")
+    expected = [("A", 2.0, 2, 2, 4.0), ("B", None, 1, 0, None)]
+    dealt = []
+    for size in (scratch.PIECE_BYTES, 50):
+        monkeypatch.setattr(scratch, "PIECE_BYTES", size)
+        monkeypatch.setattr(priority, "spread", lambda df, *keys: dealt.append(keys) or scratch.spread(df, *keys))
+        facts = priority._store_facts(sales, stock, 90)
+        assert rows(facts, "STORE", "total_stock", "sku_count", "oos_count", "total_sales") == expected
+    assert dealt == [("SKU",)] * 2
