@@ -93,3 +93,15 @@ def test_small_groups_are_pooled_and_say_so(spark):
     assert pooled[0] == "language" and pooled[95] == "all" and pooled[125] == "all" and pooled[501] == "all"
     few = o.judge(df.limit(8), keep=["doc_id"]).collect()
     assert all(r.judged_with is None and r.kept for r in few) and len(few) == 8
+
+
+def test_a_concentration_step_is_planned_in_few_calls(spark, monkeypatch):
+    """The driver plans up to sixty of them: built operator by operator, one took over a thousand calls."""
+    rows = spark.createDataFrame([("=l", "=s", [0.0] * 5)], "g_lang string, g_source string, x array<double>")
+    fit = spark.createDataFrame([], o._FIT)
+    client, calls = spark.sparkContext._gateway._gateway_client, []
+    send = client.send_command
+    # What only frees objects (m, d) comes whenever Python collects them.
+    monkeypatch.setattr(client, "send_command", lambda c, *a, **k: (c.startswith("m") or calls.append(c), send(c, *a, **k))[1])
+    assert o._concentrated(rows, fit, o.SHARE, 1.0).columns[:3] == ["g_lang", "g_source", "start"]
+    assert 0 < len(calls) < 600, len(calls)
