@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 8 << 20
+# Texts whose ids are put together at a time.
+TEXTS_AT_ONCE = 256
 
 _REMEMBERED: dict[tuple, Any] = {}
 
@@ -22,7 +24,9 @@ def remembered(key: tuple, build: Callable[[], Any]):
     """The one vocabulary that a worker process remembers over batches and tasks;
     another one takes its place."""
     if key not in _REMEMBERED:
-        forget()
+        _REMEMBERED.clear()
+        gc.collect()
+        give_back()
         _REMEMBERED[key] = build()
     return _REMEMBERED[key]
 
@@ -32,10 +36,15 @@ def forget() -> None:
     if _REMEMBERED:
         _REMEMBERED.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:  # the allocator keeps what Python frees
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; the allocators keep what Python and Arrow free."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def named(name: str) -> Column:
@@ -109,20 +118,25 @@ class Ragged:
         each = size[codes]
         ends = np.concatenate([[0], np.cumsum(each)])
         self.edges = ends[edges]
-        self._made = (codes, each, ends, size, ids)
+        self._made = (codes, edges, each, ends, size, ids)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.edges)
 
     def texts(self) -> list[bytes]:
-        codes, each, ends, size, ids = self._made
+        codes, edges, each, ends, size, ids = self._made
         flat = np.frombuffer(b"".join(ids), "<u4")
         first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        at = np.repeat(first[codes] - ends[:-1], each)
-        at += np.arange(ends[-1])
-        whole = flat[at].tobytes()
-        edges = (4 * self.edges).tolist()
-        return [whole[a:b] for a, b in zip(edges, edges[1:])]
+        made: list[bytes] = []
+        for i in range(0, len(edges) - 1, TEXTS_AT_ONCE):
+            part = edges[i : i + TEXTS_AT_ONCE + 1]
+            some = slice(part[0], part[-1])
+            at = np.repeat(first[codes[some]] - ends[some], each[some])
+            at += np.arange(ends[part[0]], ends[part[-1]])
+            whole = flat[at].tobytes()
+            bounds = (4 * (ends[part] - ends[part[0]])).tolist()
+            made += [whole[a:b] for a, b in zip(bounds, bounds[1:])]
+        return made
 
 
 def fold(key: Column, parts: int) -> Column:

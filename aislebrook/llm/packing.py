@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import field, named, slices
+from .common import field, give_back, named, slices
 from .wordtokens import encoder
 
 GROUP_TOKENS = 1 << 19
@@ -166,6 +166,7 @@ def pack(
         for batch in batches:
             key_type[0] = batch.column(0).type
             for part in slices(batch):
+                give_back()  # what the slice before took is much of a worker's memory
                 for k, ids in zip(part.column(0).to_pylist(), encode(part.column(1)).texts()):
                     ids += end
                     n = len(ids) // 4

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ REMEMBERED = 300_000
 REMEMBERED_WORDS = 600_000
 LONGEST_REMEMBERED = 64
 # Runs given to the library at a time.
-AT_ONCE = 20_000
+AT_ONCE = 5_000
 
 # Composed letters whose normal form is themselves and whose lower case is one letter.
 LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
@@ -55,7 +57,6 @@ class Words:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.normalizers import Sequence
         from tokenizers.pre_tokenizers import ByteLevel
 
         with open(path, encoding="utf-8") as file:
@@ -67,8 +68,9 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = Sequence([])
+        # For words of Latin letters, which no added token lies in: one vocabulary for both.
+        self.by_run = self.by_run and not any(re.fullmatch(LATIN, t["content"]) for t in added)
+        self.plain = Tokenizer(self.library.model)
         self.plain.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -77,7 +79,10 @@ class Words:
         library = self.plain if plain else self.library
         made = []
         for i in range(0, len(runs), AT_ONCE):
-            made += [array("I", e.ids).tobytes() for e in library.encode_batch_fast(runs[i : i + AT_ONCE], add_special_tokens=False)]
+            ids = [e.ids for e in library.encode_batch_fast(runs[i : i + AT_ONCE], add_special_tokens=False)]
+            ends = [4 * n for n in accumulate(map(len, ids), initial=0)]
+            whole = array("I", chain.from_iterable(ids)).tobytes()
+            made += [whole[a:b] for a, b in pairwise(ends)]
         return made
 
     def _learn(self, runs: pa.Array) -> list[bytes]:
@@ -130,9 +135,13 @@ class Words:
                 ids[i] = x
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-            known.update((r, x) for r, x in zip(distinct[missing], new) if len(r) <= LONGEST_REMEMBERED)
+            made = zip(distinct[missing], new)
+            longest = pc.max(pc.utf8_length(coded.dictionary)).as_py()
+            known.update(made if longest <= LONGEST_REMEMBERED else ((r, x) for r, x in made if len(r) <= LONGEST_REMEMBERED))
         edges = runs.offsets.to_numpy().astype(np.int64)
-        return Ragged(coded.indices.to_numpy(), edges - edges[0], ids)
+        codes = coded.indices.to_numpy()
+        del runs, coded, distinct
+        return Ragged(codes, edges - edges[0], ids)
 
 
 class Pieces:

@@ -5,6 +5,7 @@ import base64
 import hashlib
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -14,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aislebrook.llm import bpe, langid, outliers, packing, queries, sharding, simhash, tokencache, topk, warc, weaklabels
+from aislebrook.llm.common import Ragged
 from aislebrook.sources.scratch import materialize, scratch_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -600,3 +602,16 @@ def test_registered_names():
     from aislebrook.llm.queries import QUERIES
 
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+def test_ids_of_many_texts_are_put_together_in_blocks():
+    codes = np.arange(1_000_000) % 1_000
+    edges = np.concatenate([np.arange(0, 1_000_000, 400), [1_000_000, 1_000_000]])
+    ids = [np.arange(n % 3, dtype="<u4").tobytes() for n in range(1_000)]
+    packed = Ragged(codes, edges, ids)
+    tracemalloc.start()
+    made = packed.texts()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == [b"".join(ids[c] for c in codes[a:b]) for a, b in zip(edges, edges[1:])]
+    assert peak < 3 * sum(map(len, made))
