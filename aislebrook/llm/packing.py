@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import field, give_back, named, slices
+from .common import SLICE_BYTES, field, give_back, named, slices
 from .wordtokens import encoder
 
 GROUP_TOKENS = 1 << 19
@@ -123,6 +123,7 @@ def pack(
     most_fill: int = MOST_FILL,
     least_fill: int = LEAST_FILL,
     group_tokens: int = GROUP_TOKENS,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """One row per piece: the key column, start (ids of its document before it), length,
     token_ids (binary: little-endian unsigned 32-bit ids), doc_tokens (with the end id),
@@ -131,7 +132,8 @@ def pack(
     Every row's whole text is packed: a null or empty text is the end id alone, repeated
     rows are packed each, a null key stays null, an empty table gives no rows, other
     columns of df are ignored, whatever their names. Equal sizes keep the order in which
-    the task read them, so a task that runs again gives the same sequences."""
+    the task read them, so a task that runs again gives the same sequences. slice_bytes of
+    rows are encoded at a time: fewer take less memory and more time, and pack alike."""
     schema = T.StructType(
         [T.StructField(key, df.schema[key].dataType)]
         + [field(n, T.BinaryType() if n == "token_ids" else T.LongType()) for n in ("start", "length", "token_ids", "doc_tokens", "sequence_id", "offset")]
@@ -165,7 +167,7 @@ def pack(
         key_type = [None]
         for batch in batches:
             key_type[0] = batch.column(0).type
-            for part in slices(batch):
+            for part in slices(batch, slice_bytes):
                 give_back()  # what the slice before took is much of a worker's memory
                 for k, ids in zip(part.column(0).to_pylist(), encode(part.column(1)).texts()):
                     ids += end

@@ -84,8 +84,8 @@ def language_id(spark, sf_dir):
     return found.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    packed = packing.pack(docs, WORD_BPE)
+def pieces(docs: DataFrame, slice_bytes: int = packing.SLICE_BYTES) -> DataFrame:
+    packed = packing.pack(docs, WORD_BPE, slice_bytes=slice_bytes)
     return packed.withColumn("ids_crc32", F.crc32("token_ids")).select(*PIECE_COLUMNS)
 
 

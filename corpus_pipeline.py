@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from aislebrook.llm import langid, queries, simhash, weaklabels
 from aislebrook.sources.scratch import materialize
 
+# Bytes of texts that packing encodes at a time: executors still hold what the stages before took.
+PACKED_AT_ONCE = 1 << 20
+
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models of all languages recognise. A null text, or one
@@ -31,7 +34,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in their sequences; a null or empty text is its end id."""
-    return queries.pieces(docs)
+    return queries.pieces(docs, PACKED_AT_ONCE)
 
 
 STAGES = [("language ID", identified), ("quality classifier", good), ("SimHash near-dedup", distinct), ("packing", packed)]

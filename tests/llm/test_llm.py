@@ -615,3 +615,9 @@ def test_ids_of_many_texts_are_put_together_in_blocks():
     tracemalloc.stop()
     assert made == [b"".join(ids[c] for c in codes[a:b]) for a, b in zip(edges, edges[1:])]
     assert peak < 3 * sum(map(len, made))
+
+
+def test_slices_of_any_size_pack_alike(spark, prose):
+    df = docs(spark, [t for _, t, _, _ in prose] + ODD).coalesce(1)
+    few, many = queries.pieces(df, 1 << 10), queries.pieces(df)
+    assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
